@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.packing import pack_documents
@@ -30,8 +31,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return window_digests(chat_windows(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op8_best_fit_packing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
