@@ -12,6 +12,7 @@ from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.packing import pack_documents
+from tidegauge.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_digests(chat_windows(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit_toxicity(docs, labels.where(~held_out))
+    scored = toxicity_scores(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_toxicity, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
