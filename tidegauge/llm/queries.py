@@ -12,6 +12,7 @@ from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.packing import pack_documents
+from tidegauge.llm.sentencepiece import decode_ids, encode_texts
 from tidegauge.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -39,6 +40,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_digests(chat_windows(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, path).withColumn("n_ids", F.size("ids").cast("long")).withColumn("ids_xxhash64", F.xxhash64("ids"))
+    decoded = decode_ids(encoded, path, keep=("n_ids", "ids_xxhash64"))
+    return decoded.select("doc_id", "n_ids", "ids_xxhash64", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -48,7 +57,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_toxicity, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_toxicity, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,9 +23,8 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on, at most: those of the smallest hashes of their ids.
 FIT_ROWS = 20_000
-#: Added to the counts of both classes together: a hundredth of the fitted rows, between these two. Keeps n-grams of a few
-#: documents from having large ratios by chance.
-SMOOTHING = (1.0, 20.0)
+#: Added to the counts of both classes together; keeps n-grams of a few documents from having large ratios by chance.
+SMOOTHING = 20.0
 #: N-grams whose log ratio is closer to 0 have no weight.
 LEAST_RATIO = 1.0
 STEPS, STEP, RIDGE = 200, 0.05, 1e-4
@@ -133,8 +132,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return ToxicityModel(np.zeros(BUCKETS), math.log((n1 + 0.5) / (n0 + 0.5)))
     counts = fit.mapInArrow(_frequencies, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     share, ratios = n1 / (n0 + n1), np.zeros(BUCKETS)
-    added = min(max((n0 + n1) / 100, SMOOTHING[0]), SMOOTHING[1])
-    p, q = (counts["n1"] + added * share) / n1, (counts["n0"] + added * (1 - share)) / n0
+    p, q = (counts["n1"] + SMOOTHING * share) / n1, (counts["n0"] + SMOOTHING * (1 - share)) / n0
     ratios[counts["bucket"]] = np.log(p / q)
     ratios[np.abs(ratios) < LEAST_RATIO] = 0
     rows = fit.mapInArrow(_values(spark.sparkContext.broadcast(ratios)), "label int, buckets binary, counts binary").toPandas()
