@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.line_dedup import drop_repeated_lines
+from tidegauge.llm.minhash_dedup import near_duplicates
 from tidegauge.llm.packing import pack_documents
 from tidegauge.llm.sentencepiece import decode_ids, encode_texts
 from tidegauge.llm.toxicity import fit_toxicity, toxicity_scores
@@ -29,6 +30,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85).drop("class_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,7 +62,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_toxicity, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
