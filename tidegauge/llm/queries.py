@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chat_format import chat_windows, window_digests
+from tidegauge.llm.embedding_dedup import near_vectors
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.minhash_dedup import near_duplicates
@@ -45,6 +46,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_digests(chat_windows(turns.unionByName(own), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings")).drop("class_id")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,11 +67,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embedding_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+            n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.len > 0 AND b.len > 0 AND list_inner_product(a.e, b.e) / (a.len * b.len) >= 0.93),
+            r AS (SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT p.b, r.reached FROM r JOIN p ON p.a = r.node),
+            c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+            k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+            SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+            FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
         "op1_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
