@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 from array import array
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import regex
@@ -39,17 +40,17 @@ class WordTokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: dict[str, str]) -> None:
-        """Remember words: their keys, and what they stand for."""
-        split = {k: PATTERN.findall(w) for k, w in new.items()}
-        unknown = {p for parts in split.values() for p in parts if p not in self.parts}
-        plain = [p for p in unknown if p.strip()]
+    def _learn(self, new: set[str], heads: set[str]) -> None:
+        """Remember words, each with the space before it, and first words, which have none."""
+        split = {w: PATTERN.findall(f" {w}") for w in new} | {f" {w}": PATTERN.findall(w) for w in heads}
+        unknown = set(filterfalse(self.parts.__contains__, chain.from_iterable(split.values())))
+        plain = [p for p in unknown if not p.isspace()]
         for at in range(0, len(plain), LINES):
             self._learn_lines(plain[at : at + LINES])
-        if spaces := [p for p in unknown if not p.strip()]:
+        if spaces := [p for p in unknown if p.isspace()]:
             self.parts.update(zip(spaces, self.whole(spaces)))
         get = self.parts.__getitem__
-        self.words.update((k, b"".join(map(get, parts))) for k, parts in split.items())
+        self.words.update((w, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for w, parts in split.items())
 
     def _learn_lines(self, parts: list[str]) -> None:
         """Remember parts that aren't white space; as lines of one text they keep apart, and need only one call."""
@@ -64,19 +65,17 @@ class WordTokens:
             self.words.clear()
         if len(self.parts) > self.LIMIT:
             self.parts.clear()
-        known, split, new = self.words, [], {}
+        known, split, new, heads = self.words, [], set(), set()
         for text in texts:
             words = text.split(" ")
             if "" in words[1:]:
                 words = None
             else:
-                first = words[0]
-                words[0] = f" {first}"  # no word has a space, so that the key of a text's first word is its own
-                if words[0] not in known:
-                    new[words[0]] = first
-                new.update((w, f" {w}") for w in words if w not in known and w not in new)
+                heads.add(words[0])
+                words[0] = f" {words[0]}"  # no word has a space, so that the key of a text's first word is its own
+                new.update(filterfalse(known.__contains__, islice(words, 1, None)))
             split.append(words)
-        self._learn(new)
+        self._learn(new, {w for w in heads if f" {w}" not in known})
         return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
 
     def encode(self, text: str) -> bytes:

@@ -19,7 +19,7 @@ from tidegauge.llm.bpe import word_tokens
 from tidegauge.llm.common import batched, rows_of, saved
 
 #: Texts that are encoded together.
-TEXTS = 128
+TEXTS = 256
 #: Pieces that one packing problem holds; bounds memory and time of a task.
 GROUP = 8192
 #: A sequence with more room than 1/SLACK of its size gives its pieces to the second round.

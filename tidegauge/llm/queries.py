@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.embedding_dedup import near_vectors
 from tidegauge.llm.exact_dedup import exact_duplicates
+from tidegauge.llm.html_extract import extract_main_text, fit_labeller
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.lm_score import fit_ngram_model, lm_scores
 from tidegauge.llm.minhash_dedup import near_duplicates
 from tidegauge.llm.packing import pack_documents
 from tidegauge.llm.sentencepiece import decode_ids, encode_texts
-from tidegauge.llm.toxicity import fit_toxicity, toxicity_scores
+from tidegauge.llm.toxicity import fit_toxicity, with_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_xxhash64", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_main_text(pages, fit_labeller(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -70,12 +76,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = fit_toxicity(docs, labels.where(~held_out))
-    scored = toxicity_scores(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

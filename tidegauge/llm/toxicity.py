@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,33 +160,28 @@ def _logistic(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, label: np.
     return w, float(b)
 
 
-def _scored(shared):
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(shared):
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, known = shared.value, {}
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                words = [distinct_words(t) for t in texts]
+        for part in parts:
+            out = []
+            for at in range(0, len(part), 256):
+                words = [distinct_words(t) for t in part.iloc[at : at + 256]]
                 if len(known) > CACHE:
                     known.clear()
                 new = list({w for ws in words for w in ws if w not in known})
                 known.update(zip(new, model.word_scores(new).tolist()))
-                z = [math.fsum(map(known.__getitem__, ws)) + model.bias for ws in words]
-                scores = 1 / (1 + np.exp(-np.clip(np.array(z), -700, 700)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores)], schema=schema)
+                out += [math.fsum(map(known.__getitem__, ws)) + model.bias for ws in words]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700))))
 
-    return run
+    return score
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, score (0 to 1, higher: more likely toxic).
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column score_col (0 to 1, higher: more likely toxic) in place of any of that name.
 
-    Null and empty texts get the score of a text without words. Repeated rows get a row each, null ids stay null. Other
-    columns aren't read. An empty table gives an empty result.
+    Null and empty texts get the score of a text without words. Repeated rows get a score each. Only the text is read. An
+    empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_scored(shared), "id long, score double").withColumnRenamed("id", id_col)
+    return docs.withColumn(score_col, _scorer(docs.sparkSession.sparkContext.broadcast(model))(F.col(text_col)))
