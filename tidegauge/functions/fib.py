@@ -96,35 +96,36 @@ def _short_of(at: Column, cursor: Column) -> Column:
     return F.coalesce(F.array_max(F.filter(at, lambda e: e + _EPS < cursor)), F.array_min(at))
 
 
-def _cycled_up(v: Column, at: Column) -> Column:
-    top, first = F.array_max(at), F.array_min(at)
+def _cycled_up(v: Column, at: Column, first: float, top: float) -> Column:
     base = F.floor(v / top) * top
     below_zero = F.when(-v <= first + _EPS, F.lit(0.0)).otherwise(-_short_of(at, -v))
-    return F.when(v < 0, below_zero).otherwise(base + F.coalesce(_beyond(at, v - base), top + first))
+    return F.when(v < 0, below_zero).otherwise(base + F.coalesce(_beyond(at, v - base), F.lit(top + first)))
 
 
-def _cycled_down(v: Column, at: Column) -> Column:
-    top, first = F.array_max(at), F.array_min(at)
+def _cycled_down(v: Column, at: Column, first: float, top: float) -> Column:
     a = F.abs(v)
     base = F.floor(a / top) * top
-    deeper = -(base + F.coalesce(_beyond(at, F.when(a - base < _EPS, F.lit(0.0)).otherwise(a - base)), top + first))
+    deeper = -(base + F.coalesce(_beyond(at, F.when(a - base < _EPS, F.lit(0.0)).otherwise(a - base)), F.lit(top + first)))
     start = F.when(v - base < _EPS, base - top).otherwise(base)
     cursor = v - start
     shallower = F.when(cursor <= first + _EPS, start).otherwise(start + _short_of(at, cursor))
     return F.when(v <= 0, deeper).otherwise(shallower)
 
 
-def fib_next_cycled(x: Column | str, steps: int, up: bool, at: Column) -> Column:
+def fib_next_cycled(x: Column | str, steps: int, up: bool, at: tuple[float, ...]) -> Column:
     """`steps` levels up or down from x, along levels of at least 0 that repeat every largest level and are mirrored below
     0; 0 is skipped where the levels have neither 0 nor 100. Null where there are fewer than two levels or none above 0."""
-    allow_zero = F.exists(at, lambda e: (F.abs(e) < _EPS) | (F.abs(e - 100) < _EPS))
-    own, move = cycle_levels(at), _cycled_up if up else _cycled_down
+    allow_zero = any(abs(e) < _EPS or abs(e - 100) < _EPS for e in at)
+    own = sorted({float(e) for e in at} | ({0.0, 100.0} if allow_zero else set()))
+    if len(own) < 2 or own[-1] <= 0:
+        return F.lit(None).cast("double")
+    all_, move = levels(tuple(own)), _cycled_up if up else _cycled_down
 
-    def one(v: Column) -> Column:
-        to = move(v, own)
-        return F.when(allow_zero | (F.abs(to) >= _EPS), to).otherwise(move(to, own))
+    def one(v: Column, _: Column) -> Column:
+        to = move(v, all_, own[0], own[-1])
+        return to if allow_zero else F.when(F.abs(to) >= _EPS, to).otherwise(move(to, all_, own[0], own[-1]))
 
-    return F.when((F.size(own) >= 2) & (F.array_max(own) > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _c(x).cast("double"), lambda v, _: one(v)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _c(x).cast("double"), one)
 
 
 def structure_percent(price: Column | str, is_bottom: Column | str, peak: Column | str, bottom: Column | str) -> Column:

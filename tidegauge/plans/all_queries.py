@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.plans import indicator_queries  # noqa: F401  (registers its queries)
+from tidegauge.plans import indicator_queries, structure_queries  # noqa: F401  (register their queries)
 from tidegauge.plans.registry import ORACLES, QUERIES, Query
 
 
