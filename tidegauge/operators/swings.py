@@ -14,8 +14,13 @@ from tidegauge.functions.fib import ALL_LEVELS, DEFAULT_LEVELS, levels, snap_lev
 from tidegauge.functions.scalars import round_digits
 from tidegauge.operators.windows import KEYS, with_macd, with_macd_normalized, with_stochastic
 
-_W = Window.partitionBy(*KEYS).orderBy("bar_idx")
-_S = Window.partitionBy(*KEYS).orderBy("leg_id")
+
+def _bars():
+    return Window.partitionBy(*KEYS).orderBy("bar_idx")
+
+
+def _legs():
+    return Window.partitionBy(*KEYS).orderBy("leg_id")
 
 
 def swings_of(bars: DataFrame, sign: Column, osc: Column) -> DataFrame:
@@ -24,10 +29,10 @@ def swings_of(bars: DataFrame, sign: Column, osc: Column) -> DataFrame:
     last = F.max("bar_idx").over(Window.partitionBy(*KEYS))
     b = bars.withColumn("__last", last).where(F.col("bar_idx") < F.col("__last"))
     b = b.withColumns({"__sign": F.when(F.col("bar_idx") >= 2, sign), "__osc": osc})
-    b = b.withColumn("__s", F.last("__sign", True).over(_W.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("__started", F.max((F.col("__sign") == 1).cast("int")).over(_W.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.where("__started = 1").withColumn("__flip", (~F.col("__s").eqNullSafe(F.lag("__s").over(_W))).cast("int"))
-    b = b.withColumn("__leg", F.sum("__flip").over(_W.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("__s", F.last("__sign", True).over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("__started", F.max((F.col("__sign") == 1).cast("int")).over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.where("__started = 1").withColumn("__flip", (~F.col("__s").eqNullSafe(F.lag("__s").over(_bars()))).cast("int"))
+    b = b.withColumn("__leg", F.sum("__flip").over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
     # a leg's first bar is also the last bar of the leg before
     legs = F.when((F.col("__flip") == 1) & (F.col("__leg") > 1), F.array(F.col("__leg") - 1, F.col("__leg"))).otherwise(F.array("__leg"))
     rows = b.select(*KEYS, "bar_ts", "bar_idx", "high", "low", "__osc", "__flip", F.col("__leg").alias("__own"), F.explode(legs).alias("leg_id"))
@@ -68,14 +73,14 @@ def macd_swings(bars: DataFrame, mode: str = "signal", **macd) -> DataFrame:
 
 def with_swing_types(swings: DataFrame) -> DataFrame:
     """HH or LH for peaks, HL or LL for bottoms, against the swing of the same kind before; EQ for the first two."""
-    old = F.lag("price", 2).over(_S)
+    old = F.lag("price", 2).over(_legs())
     kind = F.when(old.isNull(), "EQ").when(F.col("price") == old, "EQ").when(F.col("is_peak"), F.when(F.col("price") > old, "HH").otherwise("LH")).otherwise(F.when(F.col("price") > old, "HL").otherwise("LL"))
     return swings.withColumn("swing_type", kind)
 
 
 def with_swing_intern(swings: DataFrame) -> DataFrame:
     """Move since the previous swing as a percent of the move before it, snapped to the nine levels, and whether it is more."""
-    p1, p2 = F.lag("price", 1).over(_S), F.lag("price", 2).over(_S)
+    p1, p2 = F.lag("price", 1).over(_legs()), F.lag("price", 2).over(_legs())
     percent = round_digits(F.greatest(F.lit(0.0), F.try_divide(F.abs(F.col("price") - p1), F.abs(p1 - p2)) * 100), 2)
     s = swings.withColumn("intern_percent", F.when(p2.isNotNull(), percent))
     snapped = snap_level("intern_percent", levels(DEFAULT_LEVELS))
@@ -87,7 +92,7 @@ def with_swing_extern(swings: DataFrame, depth: int = 13) -> DataFrame:
     one exceeded) is the reference; the partner is the furthest swing of the other kind between; the percent is the
     move from the partner against that range, with the number of structures broken on the way."""
     item = F.struct("leg_id", "price")
-    w = _S.rowsBetween(-(depth - 1), -1)
+    w = _legs().rowsBetween(-(depth - 1), -1)
     s = swings.withColumn("__before", F.reverse(F.collect_list(item).over(w)))
     sign = F.when(F.col("is_peak"), 1.0).otherwise(-1.0)
     same = F.filter("__before", lambda e: F.pmod(F.col("leg_id") - e["leg_id"], F.lit(2)) == 0)
@@ -120,11 +125,11 @@ def structure_snapshot(bars: DataFrame, depth: int = 13, **stochastic) -> DataFr
     b = with_stochastic(bars, **stochastic).withColumn("__osc", oscillator())
     s = swings(bars, **stochastic).where("confirmed")
     keep = 2 * depth - 1  # two legs at most share a bar
-    held = F.collect_list(F.struct("leg_id", F.col("extremum_idx").alias("idx"), F.col("extremum_ts").alias("ts"), "is_peak", "price", "osc")).over(_S.rowsBetween(-(keep - 1), 0))
+    held = F.collect_list(F.struct("leg_id", F.col("extremum_idx").alias("idx"), F.col("extremum_ts").alias("ts"), "is_peak", "price", "osc")).over(_legs().rowsBetween(-(keep - 1), 0))
     s = s.withColumn("held", held).groupBy(*KEYS, "confirm_idx").agg(F.max_by("held", "leg_id").alias("held"))
     # a leg confirmed at bar c is seen from bar c + 1 on
     seen = b.join(s.withColumnRenamed("confirm_idx", "__c").withColumnsRenamed({k: f"__{k}" for k in KEYS}), (F.col("symbol") == F.col("__symbol")) & (F.col("tf") == F.col("__tf")) & (F.col("bar_idx") - 1 == F.col("__c")), "left").drop("__c", *(f"__{k}" for k in KEYS))
-    now = seen.withColumn("held", F.last("held", True).over(_W.rowsBetween(Window.unboundedPreceding, 0)))
+    now = seen.withColumn("held", F.last("held", True).over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
     once = F.filter("held", lambda x: ~F.exists("held", lambda y: (y["idx"] == x["idx"]) & (y["leg_id"] > x["leg_id"])))
     now = now.withColumn("__done", F.slice(F.reverse(once), 1, depth - 1))
     now = now.withColumns({"__from": F.try_element_at("__done", F.lit(1))["idx"], "__peak": F.try_element_at("__done", F.lit(1))["is_peak"]})

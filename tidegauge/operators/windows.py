@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalars import applied_price, body_size, candle_anatomy, percent_in_channel, round_digits
 
 KEYS = ("symbol", "tf")
-_W = Window.partitionBy(*KEYS).orderBy("bar_ts")
+
+
+def by_time():
+    return Window.partitionBy(*KEYS).orderBy("bar_ts")
 
 
 def rows(n: int):
     """The last n bars."""
-    return _W.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(_W)
+    return F.lag(x, n).over(by_time())
 
 
 def true_range() -> Column:
