@@ -51,7 +51,7 @@ class CoverTree:
             following: list[int] = []
             for k in level:
                 centre, lo, hi = nodes[k][:3]
-                own = order[lo:hi]
+                own = order[lo:hi].copy()
                 away = _distances(unit[own], unit[centre])
                 nodes[k][3] = float(away.max()) if len(own) else 0.0
                 if hi - lo <= LEAF or nodes[k][3] <= SLACK:
