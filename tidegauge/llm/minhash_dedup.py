@@ -6,9 +6,8 @@ as bins, the round's own bin takes all shingles: every bin fills. Bins agree wit
 similarity, with concentration as of independent hashes.
 
 Documents with equal shingle sets are one class. Classes that agree in a band of bins meet in a bucket, and are compared on
-full sets with the bucket's first class. What stays in different components then is compared with each other, where the
-distances to the first class allow a link at all: no link between two classes of a bucket is lost, and no bucket's pairs
-are listed.
+full sets with the bucket's first class. What meets a first class and stays in different components then is compared with
+each other, in pairs of bounded blocks: no link between two classes of a bucket is lost, and no bucket's pairs are listed.
 """
 
 from __future__ import annotations
@@ -28,8 +27,12 @@ BINS = 128
 MISS = 1e-6
 #: Documents whose sketches are computed together, and their shingles at most (unless one document has more).
 DOCS, SHINGLES = 256, 1 << 19
+#: Ids of documents to compare are broadcast up to this many (8 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Classes that one task compares with a bucket's first class.
 SHARE = 256
+#: Classes of a block that is compared with other blocks, and shingles of one matrix product.
+BLOCK, COLUMNS = 256, 1 << 13
 
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -112,7 +115,7 @@ def _sketch(size: int, percent: int):
 
 def _compare(size: int, percent: int):
     """Rows by group, the group's first class before the others: exact intersections with the first class."""
-    schema = pa.schema([("first", pa.int64()), ("other", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
+    schema = pa.schema([("first", pa.int64()), ("other", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -129,7 +132,7 @@ def _compare(size: int, percent: int):
                 for base in firsts:
                     common = _common(base, own)
                     union = len(base) + len(own) - common
-                    yield first, other, 1 - common / union, 100 * common >= percent * union
+                    yield first, other, 100 * common >= percent * union
 
         yield from batched(rows(), schema)
 
@@ -145,15 +148,23 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _fetched(rows: DataFrame, texts: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the texts of the documents that key names. Few enough ids are broadcast, and only their texts travel."""
+    ids = saved(rows.select(F.col(key).alias("needed")).distinct(), f"{name}-ids")
+    few = ids.count() <= BROADCAST_IDS
+    needed = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("needed"), "left_semi")
+    return needed.hint("shuffle_merge").join(rows, F.col("id") == F.col(key))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """first, other, distance, linked of the pairs, on full shingle sets; hot first classes are spread over tasks."""
+    """first, other, linked of the pairs, on full shingle sets; hot first classes are spread over tasks."""
     sizes = pairs.groupBy(F.col("first").alias("first_of")).agg(F.count(F.lit(1)).alias("others")).withColumn("parts", F.ceil(F.col("others") / SHARE).cast("int"))
     others = pairs.join(sizes, F.col("first") == F.col("first_of")).select("first", F.expr("pmod(xxhash64(other), parts)").cast("int").alias("part"), "other")
     firsts = sizes.select(F.col("first_of").alias("first"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("first_of").alias("other"))
     wanted = saved(others.unionByName(firsts), f"{name}-wanted")
-    found = texts.join(wanted, F.col("id") == F.col("other")).select("first", "part", "other", "text")
+    found = _fetched(wanted, texts, "other", name).select("first", "part", "other", "text")
     dealt = found.repartition("first", "part").sortWithinPartitions("first", "part", F.col("other") != F.col("first"))
-    return saved(dealt.mapInArrow(_compare(size, percent), "first long, other long, distance double, linked boolean"), name)
+    return saved(dealt.mapInArrow(_compare(size, percent), "first long, other long, linked boolean"), name)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,14 +183,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = drawn.where("id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "bands")).alias("first"))
     classes = saved(classes.select("n", "h1", "h2", F.col("first.id").alias("class"), F.col("first.bands").alias("bands")), "classes")
     entries = classes.select("class", F.explode("bands").alias("key"))
-    buckets = entries.groupBy(F.col("key").alias("bucket")).agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    members = saved(entries.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "first", F.col("class").alias("other")), "members")
+    buckets = entries.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = saved(entries.join(buckets, F.col("key") == F.col("bucket")).select("bucket", "held", "class"), "met")
+    # the first class of a bucket is the one that meets most others in all its buckets: in the middle of its group, it links
+    # with more of them than the smallest id would
+    weights = met.groupBy(F.col("class").alias("weighed")).agg(F.sum("held").alias("weight"))
+    weighed = saved(met.join(weights, F.col("class") == F.col("weighed")).select("bucket", "class", "weight"), "weighed")
+    firsts = weighed.groupBy(F.col("bucket").alias("of")).agg(F.max(F.struct("weight", (-F.col("class")).alias("less"))).alias("first"))
+    members = saved(weighed.join(firsts, F.col("bucket") == F.col("of")).select("bucket", (-F.col("first.less")).alias("first"), F.col("class").alias("other")), "members")
     stars = _verified(members.where("other != first").select("first", "other").distinct(), texts, size, percent, "stars")
     links = stars.where("linked").select("first", "other")
     joined = saved(components(links, "first", "other"), "joined")
-    rest = saved(_unsettled(members, stars, joined, percent), "rest")
+    rest = saved(_unsettled(members, joined), "rest")
     if not rest.isEmpty():
-        more = _verified(rest, texts, size, percent, "more").where("linked").select("first", "other")
+        more = saved(_settled(rest, texts, size, percent), "more")
         joined = saved(components(links.unionByName(more), "first", "other"), "joined")
     named = classes.select("n", "h1", "h2", "class").join(joined, F.col("class") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "class", F.coalesce("component", "class").alias("component"))
     same = (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("id").isNotNull()
@@ -188,19 +205,76 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("class_id"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _unsettled(members: DataFrame, stars: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components whose distances to its first class don't rule out a link.
+def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Classes that meet the same first class and aren't all in one component with it: first, other, component."""
+    met = members.select("first", "other").distinct()
+    placed = met.join(joined, F.col("other") == F.col("node"), "left").select("first", "other", F.coalesce("component", "other").alias("component"))
+    mixed = placed.groupBy(F.col("first").alias("mixed")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held")).where("low < high AND held > 2").select("mixed")
+    return placed.where("other != first").join(mixed, F.col("first") == F.col("mixed"), "left_semi")
+
+
+def _settled(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components among the classes of each first class, as few as connect them: first, other.
 
-    Jaccard distance is a metric: a link needs the two distances to differ by 1 - percent / 100 at most.
+    Classes are dealt into blocks, and each pair of blocks is one task's group: a bounded number of documents, whose
+    intersections come from one matrix product.
     """
-    at = F.when(F.col("other") == F.col("first"), 0.0).otherwise(F.col("distance"))
-    known = stars.select(F.col("first").alias("sf"), F.col("other").alias("so"), "distance").distinct()
-    placed = members.join(known, (F.col("first") == F.col("sf")) & (F.col("other") == F.col("so")), "left")
-    placed = placed.join(joined, F.col("other") == F.col("node"), "left").select("bucket", "first", "other", at.alias("at"), F.coalesce("component", "other").alias("component"))
-    mixed = placed.groupBy(F.col("bucket").alias("mixed")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("mixed")
-    open_ = placed.where("other != first").join(mixed, F.col("bucket") == F.col("mixed"), "left_semi")
-    a = open_.select("bucket", F.col("other").alias("first"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
-    b = open_.select(F.col("bucket").alias("b_bucket"), "other", F.col("at").alias("b_at"), F.col("component").alias("b_component"))
-    near = F.abs(F.col("a_at") - F.col("b_at")) <= 1 - percent / 100 + 1e-9
-    pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & (F.col("first") < F.col("other")) & (F.col("a_component") != F.col("b_component")) & near)
-    return pairs.select("first", "other").distinct()
+    sizes = rest.groupBy(F.col("first").alias("first_of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, F.col("first") == F.col("first_of")).withColumn("own", F.expr("pmod(xxhash64(other), blocks)").cast("int"))
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "other", "component")
+    found = _fetched(pairs, texts, "other", "rest").select("first", "low", "high", "own", "other", "component", "text")
+    dealt = found.repartition("first", "low", "high").sortWithinPartitions("first", "low", "high", "other")
+    return dealt.mapInArrow(_blocks(size, percent), "first long, other long")
+
+
+def _blocks(size: int, percent: int):
+    schema = pa.schema([("first", pa.int64()), ("other", pa.int64())])
+
+    def links(ids: list[int], own: np.ndarray, components: list[int], sets: list[np.ndarray], low: int, high: int) -> Iterator[tuple]:
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        shared = times[column] > 1  # shingles of one document are in no intersection
+        row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        common, width = np.zeros((len(a), len(b))), int((times > 1).sum())
+        for lo in range(0, width, COLUMNS):
+            inside = (column >= lo) & (column < lo + COLUMNS)
+            has = np.zeros((len(sets), min(COLUMNS, width - lo)), np.float32)
+            has[row[inside], column[inside] - lo] = 1
+            common += has[a] @ has[b].T
+        n = np.array([len(s) for s in sets])
+        union = n[a][:, None] + n[b][None, :] - common
+        root = {c: c for c in components}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for i, j in zip(*np.nonzero(100 * common >= percent * union)):
+            x, y = find(components[a[i]]), find(components[b[j]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield ids[a[i]], ids[b[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def rows() -> Iterator[tuple]:
+            group, held = None, []
+
+            def done() -> Iterator[tuple]:
+                if len({h[2] for h in held}) > 1:
+                    ids, own, components, sets = zip(*held)
+                    yield from links(list(ids), np.array(own), list(components), list(sets), group[1], group[2])
+
+            for first, low, high, own, other, component, text in rows_of(batches, "first", "low", "high", "own", "other", "component", "text"):
+                if (first, low, high) != group:
+                    yield from done()
+                    group, held = (first, low, high), []
+                held.append((other, own, component, shingles(words_of(text), size, hashes)))
+            yield from done()
+
+        yield from batched(rows(), schema)
+
+    return run
