@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 from array import array
-from itertools import chain, filterfalse, islice
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -65,18 +66,32 @@ class WordTokens:
             self.words.clear()
         if len(self.parts) > self.LIMIT:
             self.parts.clear()
-        known, split, new, heads = self.words, [], set(), set()
+        get, split, new, heads = self.words.get, [], set(), set()
+        gc.disable()  # very many small lists, and no cycles
         for text in texts:
+            if "  " in text or text.endswith(" "):
+                split.append(None)
+                continue
             words = text.split(" ")
-            if "" in words[1:]:
-                words = None
-            else:
-                heads.add(words[0])
-                words[0] = f" {words[0]}"  # no word has a space, so that the key of a text's first word is its own
-                new.update(filterfalse(known.__contains__, islice(words, 1, None)))
-            split.append(words)
-        self._learn(new, {w for w in heads if f" {w}" not in known})
-        return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+            heads.add(words[0])
+            words[0] = f" {words[0]}"  # no word has a space, so that the key of a text's first word is its own
+            found = list(map(get, words))
+            missing = [i for i, x in enumerate(found) if x is None]
+            new.update(map(words.__getitem__, missing))
+            split.append((words, found, missing))
+        heads = {w for w in heads if f" {w}" in new}
+        self._learn(new.difference(f" {w}" for w in heads), heads)
+        out = []
+        for text, parts in zip(texts, split):
+            if parts is None:
+                out += self.whole([text])
+                continue
+            words, found, missing = parts
+            for i in missing:
+                found[i] = self.words[words[i]]
+            out.append(b"".join(found))
+        gc.enable()
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

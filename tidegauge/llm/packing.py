@@ -19,7 +19,7 @@ from tidegauge.llm.bpe import word_tokens
 from tidegauge.llm.common import batched, rows_of, saved
 
 #: Texts that are encoded together.
-TEXTS = 256
+TEXTS = 512
 #: Pieces that one packing problem holds; bounds memory and time of a task.
 GROUP = 8192
 #: A sequence with more room than 1/SLACK of its size gives its pieces to the second round.
@@ -236,4 +236,4 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, end_id: i
     cuts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(own, F.col("id") == F.col("own")).select("id", "text", "pieces")
     parts = cuts.mapInArrow(encode, "sequence_id long, doc_id long, offset long, ids binary")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
-    return parts.groupBy("sequence_id").agg(ordered.alias("parts")).select("sequence_id", F.col("parts.doc_id").alias("doc_ids"), F.aggregate("parts.ids", F.lit(b""), F.concat).alias("ids"))
+    return parts.groupBy("sequence_id").agg(ordered.alias("parts")).select("sequence_id", F.col("parts.doc_id").alias("doc_ids"), F.aggregate("parts.ids", F.lit(b""), lambda done, x: F.concat(done, x)).alias("ids"))
