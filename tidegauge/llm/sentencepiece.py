@@ -57,7 +57,7 @@ class PieceModel:
         self.words: dict[str, bytes] = {}
         ranks = [s for _, _, s in self.pieces.values() if s > -1e8]
         self.by_merges = len(ranks) > 1 and all(s == int(s) for s in ranks) and len(set(ranks)) == len(ranks)
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[int, bool] = {}  # by the pair of ids
 
     def _merged(self, parts: list[str]) -> list[str]:
         """Characters after all merges: the pair of the best score first, of equal scores the left one."""
@@ -72,46 +72,43 @@ class PieceModel:
         return parts
 
     def stable(self, left: str, right: str) -> bool:
-        """Whether merges leave these two pieces apart and whole."""
-        key = (left, right)
-        found = self.beside.get(key)
-        if found is None:
-            if len(self.beside) > 2 * CACHE:
-                self.beside.clear()
-            found = self.beside[key] = self._merged([*left, *right]) == [p for p in (left, right) if p]
-        return found
+        """Whether merges leave these two pieces (or the right one alone) apart and whole."""
+        return self._merged([*left, *right]) == [p for p in (left, right) if p]
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation of a text that is written with U+2581 for spaces."""
-        n = len(text)
-        score, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        known, at, free = self.characters, 0, not self.by_merges
+        n, many = len(text), len(self.as_bytes)
+        score, back, sizes = [0.0] + [-np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        known, at, free, beside = self.characters, 0, not self.by_merges, self.beside
+        if len(beside) > 2 * CACHE:
+            beside.clear()
         for end, (i, size, own) in self.automaton.iter(text):
             while at <= end:  # characters that no piece covers, up to here
-                if text[at] not in known and (s := score[at] + self.unknown_score) > score[at + 1]:
-                    score[at + 1], back[at + 1] = s, (None, 1)
+                if text[at] not in known:
+                    score[at + 1], back[at + 1], sizes[at + 1] = score[at] + self.unknown_score, -1, 1
                 at += 1
             end += 1
             start = end - size
-            if (s := score[start] + own) > score[end] and (free or self._may_follow(text, back, start, end)):
-                score[end], back[end] = s, (i, size)
+            if (s := score[start] + own) > score[end]:
+                if not free:
+                    # the piece before, -1 at the start and after an unknown character, and this one
+                    pair = back[start] * many + i
+                    fits = beside.get(pair)
+                    if fits is None:
+                        fits = beside[pair] = self.stable(text[start - sizes[start] : start] if back[start] >= 0 else "", text[start:end])
+                    if not fits:
+                        continue
+                score[end], back[end], sizes[end] = s, i, size
         for at in range(at, n):
-            if text[at] not in known and (s := score[at] + self.unknown_score) > score[at + 1]:
-                score[at + 1], back[at + 1] = s, (None, 1)
+            if text[at] not in known:
+                score[at + 1], back[at + 1], sizes[at + 1] = score[at] + self.unknown_score, -1, 1
         ids: list[int] = []
         at = n
         while at:
-            i, size = back[at]
-            ids += [i] if i is not None else [self.byte_id[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= size
+            ids += [back[at]] if back[at] >= 0 else [self.byte_id[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
+            at -= sizes[at]
         return ids[::-1], score[n]
 
-    def _may_follow(self, text: str, back: list, start: int, end: int) -> bool:
-        """Whether merges give the piece from start to end, and leave it beside the piece that ends at start."""
-        if not start or back[start][0] is None:
-            return self.stable("", text[start:end])
-        return self.stable(text[start - back[start][1] : start], text[start:end])
-
     def chunk(self, text: str) -> bytes:
         """Ids of a part of a text that begins with a space; U+2581 in it stays itself, as bytes."""
         if SPACE not in text:
