@@ -26,7 +26,7 @@ class WordTokens:
     or one at the end are encoded as they are.
     """
 
-    LIMIT = 800_000
+    LIMIT = 450_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +29,11 @@ SMOOTHING = 20.0
 LEAST_RATIO = 1.0
 STEPS, STEP, RIDGE = 200, 0.05, 1e-4
 #: Words whose score a worker remembers.
-CACHE = 500_000
+CACHE = 250_000
+#: Texts that are scored together.
+TEXTS = 128
 #: Characters whose n-grams are computed together.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 _APART = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
 
@@ -161,19 +162,19 @@ def _logistic(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, label: np.
 
 
 def _scorer(shared):
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known = shared.value, {}
         for part in parts:
             out = []
-            for at in range(0, len(part), 256):
-                words = [distinct_words(t) for t in part.iloc[at : at + 256]]
+            for at in range(0, len(part), TEXTS):
+                words = [distinct_words(t) for t in part.slice(at, TEXTS).to_pylist()]
                 if len(known) > CACHE:
                     known.clear()
                 new = list({w for ws in words for w in ws if w not in known})
                 known.update(zip(new, model.word_scores(new).tolist()))
                 out += [math.fsum(map(known.__getitem__, ws)) + model.bias for ws in words]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700))))
 
     return score
 
