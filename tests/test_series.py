@@ -157,3 +157,30 @@ def test_stream_lifecycle(spark):
     e = spark.createDataFrame(rows, "symbol string, ts timestamp, event_id long, price double, signal_id long, direction string, trigger double, stop double, target double")
     got = [(r["event"], r["price"]) for r in _streamed(spark, e, streams.stream_lifecycle, "live_cycle").orderBy("ts").collect()]
     assert got == [("ENTRY", 10.5), ("TP", 12.5)]
+
+
+def test_snapshot_sees_all_of_a_long_leg(spark):
+    """A peak leg of more than 512 bars: flat closes keep the stochastic high, and slot 0 is still the leg's highest high."""
+    close = [round(float(100 + 10 * np.sin(i / 4)), 2) for i in range(384)] + [109.0] * 1200
+    high, low = [c + 1 for c in close], [c - 1 for c in close]
+    high[500] = 150.0
+    rows = [("a", "1h", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, c, h, x, c) for i, (c, h, x) in enumerate(zip(close, high, low))]
+    b = spark.createDataFrame(rows, "symbol string, tf string, bar_ts timestamp_ntz, bar_idx int, open double, high double, low double, close double")
+    newest = {}
+    for r in W.swings(b).where("confirmed").orderBy("leg_id").collect():
+        newest[r["confirm_idx"]] = (r["is_peak"], r["extremum_idx"])
+    stoch = {r["bar_idx"]: r["v"] for r in windows.with_stochastic(b).withColumn("v", W.oscillator()).collect()}
+    got = {r["bar_idx"]: r["slots"] for r in W.structure_snapshot(b).collect()}
+    longest = 0
+    for i in range(len(rows)):
+        seen = [c for c in newest if c <= i - 1]
+        if not seen:
+            assert got[i] is None
+            continue
+        peak, start = newest[max(seen)]
+        longest = max(longest, i - start)
+        at = range(start, i)
+        best = max(at, key=lambda j: (-low[j] if peak else high[j], j))
+        osc = (min if peak else max)(stoch[j] for j in at)
+        assert tuple(got[i][0]) == (0, not peak, rows[best][2], best, low[best] if peak else high[best], osc)
+    assert longest > 1000

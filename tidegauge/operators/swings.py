@@ -126,23 +126,30 @@ def structure_snapshot(bars: DataFrame, depth: int = 13, **stochastic) -> DataFr
     s = swings(bars, **stochastic).where("confirmed")
     keep = 2 * depth - 1  # two legs at most share a bar
     held = F.collect_list(F.struct("leg_id", F.col("extremum_idx").alias("idx"), F.col("extremum_ts").alias("ts"), "is_peak", "price", "osc")).over(_legs().rowsBetween(-(keep - 1), 0))
-    s = s.withColumn("held", held).groupBy(*KEYS, "confirm_idx").agg(F.max_by("held", "leg_id").alias("held"))
+    # the provisional extremum starts from the bars of the leg itself, from its extremum to the bar that confirms it
+    value = lambda peak: F.when(peak, -F.col("low")).otherwise(F.col("high"))
+    own = s.select(*KEYS, "confirm_idx", "is_peak", F.explode(F.sequence("extremum_idx", "confirm_idx")).alias("bar_idx")).join(b.select(*KEYS, "bar_idx", "bar_ts", "high", "low", "__osc"), [*KEYS, "bar_idx"])
+    start = own.groupBy(*KEYS, "confirm_idx").agg(F.max(F.struct(value(F.col("is_peak")).alias("v"), F.col("bar_idx").alias("idx"), F.col("bar_ts").alias("ts"))).alias("__start"), F.max(F.when(F.col("is_peak"), -F.col("__osc")).otherwise(F.col("__osc"))).alias("__start_osc"))
+    s = s.withColumn("held", held).groupBy(*KEYS, "confirm_idx").agg(F.max_by("held", "leg_id").alias("held"), F.max("leg_id").alias("__leg")).join(start, [*KEYS, "confirm_idx"])
     # a leg confirmed at bar c is seen from bar c + 1 on
     seen = b.join(s.withColumnRenamed("confirm_idx", "__c").withColumnsRenamed({k: f"__{k}" for k in KEYS}), (F.col("symbol") == F.col("__symbol")) & (F.col("tf") == F.col("__tf")) & (F.col("bar_idx") - 1 == F.col("__c")), "left").drop("__c", *(f"__{k}" for k in KEYS))
-    now = seen.withColumn("held", F.last("held", True).over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = _bars().rowsBetween(Window.unboundedPreceding, 0)
+    now = seen.withColumns({"held": F.last("held", True).over(so_far), "__leg": F.last("__leg", True).over(so_far)})
     once = F.filter("held", lambda x: ~F.exists("held", lambda y: (y["idx"] == x["idx"]) & (y["leg_id"] > x["leg_id"])))
     now = now.withColumn("__done", F.slice(F.reverse(once), 1, depth - 1))
-    now = now.withColumns({"__from": F.try_element_at("__done", F.lit(1))["idx"], "__peak": F.try_element_at("__done", F.lit(1))["is_peak"]})
-    # the provisional extremum: over the closed bars since the last extremum, collected by the bars that share it
-    since = Window.partitionBy(*KEYS).orderBy("bar_idx").rowsBetween(-512, -1)
-    recent = F.filter(F.collect_list(F.struct(F.col("bar_idx").alias("idx"), F.col("bar_ts").alias("ts"), "high", "low", F.col("__osc").alias("osc"))).over(since), lambda x: x["idx"] >= F.col("__from"))
-    now = now.withColumn("__recent", recent)
-    value = lambda x: F.when(F.col("__peak"), -x["low"]).otherwise(x["high"])
-    top = F.array_max(F.transform("__recent", lambda x: F.struct(value(x).alias("v"), x["idx"].alias("idx"), x["ts"].alias("ts"))))
-    osc = F.when(F.col("__peak"), F.array_min(F.transform("__recent", lambda x: x["osc"]))).otherwise(F.array_max(F.transform("__recent", lambda x: x["osc"])))
-    first = F.struct(F.lit(0).alias("slot"), (~F.col("__peak")).alias("is_peak"), top["ts"].alias("ts"), top["idx"].alias("idx"), F.when(F.col("__peak"), -top["v"]).otherwise(top["v"]).alias("price"), osc.alias("osc"))
+    now = now.withColumn("__peak", F.try_element_at("__done", F.lit(1))["is_peak"])
+    # each later bar adds the bar before it, as a running maximum over the bars that see the same leg as the newest
+    before = now.withColumns({"__before": F.lag(F.struct("high", "low", F.col("bar_idx").alias("idx"), F.col("bar_ts").alias("ts"), F.col("__osc").alias("osc"))).over(_bars())})
+    bar = F.struct(F.when(F.col("__peak"), -F.col("__before.low")).otherwise(F.col("__before.high")).alias("v"), F.col("__before.idx").alias("idx"), F.col("__before.ts").alias("ts"))
+    since = Window.partitionBy(*KEYS, "__leg").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    now = before.withColumns({
+        "__top": F.max(F.coalesce("__start", bar)).over(since),
+        "__osc_top": F.max(F.coalesce("__start_osc", F.when(F.col("__peak"), -F.col("__before.osc")).otherwise(F.col("__before.osc")))).over(since),
+    })
+    top, signed = F.col("__top"), lambda x: F.when(F.col("__peak"), -x).otherwise(x)
+    first = F.struct(F.lit(0).alias("slot"), (~F.col("__peak")).alias("is_peak"), top["ts"].alias("ts"), top["idx"].alias("idx"), signed(top["v"]).alias("price"), signed(F.col("__osc_top")).alias("osc"))
     rest = F.transform("__done", lambda x, i: F.struct((i + 1).alias("slot"), x["is_peak"].alias("is_peak"), x["ts"].alias("ts"), x["idx"].alias("idx"), x["price"].alias("price"), x["osc"].alias("osc")))
-    slots = F.when(F.col("__from").isNotNull(), F.concat(F.array(first), rest))
+    slots = F.when(F.col("__peak").isNotNull(), F.concat(F.array(first), rest))
     return now.select(*KEYS, "bar_ts", "bar_idx", (F.coalesce(F.size("__done"), F.lit(0)) >= depth - 1).alias("valid"), slots.alias("slots"))
 
 
