@@ -114,6 +114,31 @@ def test_blocks():
     assert H.blocks_of(None) == H.blocks_of("") == H.blocks_of("<!-- open") == H.blocks_of("<script>open") == []
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>T</title><p>article <b>one</b><p>two", ["article one", "two"]),
+        ("<html><head>\n<meta charset=x><title>T</title>\n<style>p {}</style>\ntext<p>two", ["text", "two"]),
+        ("<head><title>T</title></head>\n<p>one", ["one"]),
+        ("<head><title>T</title><meta a=b>\n<body><p>one", ["one"]),
+        ("<head><noscript>no<body><p>one", ["one"]),
+        *((f"<body><p>one<{t}><p>two", ["one", "two"]) for t in ("noscript", "svg", "object", "iframe", "template", "math")),
+        *((f"<body><p>one<{t} a=1>no<p>no</{t}> more<p>two", ["one more", "two"]) for t in ("noscript", "svg", "iframe", "template")),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<object data=a>instead</object>", ["so x=2 holdsinstead"]),
+        ("<p>one<svg-icon>two</svg-icon><script>no</p><body>no", ["onetwo"]),
+        ("<p>one<style>no <p>no", ["one"]),
+    ],
+)
+def test_blocks_with_open_elements(page, want):
+    got = H.blocks_of(page)
+    assert [b.text for b in got] == want
+    assert not any("head" in b.path for b in got)
+
+
+def test_many_open_elements_take_linear_time():
+    assert len(H.blocks_of("<p>a<svg>" * 20_000)) == 20_000
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = H.Labeller.fresh(1)

@@ -36,7 +36,11 @@ EPOCHS, BATCH, RATE = 18, 32, 0.01
 TOGETHER = 1 << 14
 
 # Elements of HTML by what they do to the text in them.
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|head|title"
+# Scripts and styles run to the end of the page where nothing ends them. These others are silent up to their end tag or the
+# body; where there is neither, they are ordinary tags.
+_SILENT = frozenset("noscript template svg iframe title".split())
+#: What can stand in a head; anything else ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol "
     "optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul br".split()
@@ -47,9 +51,10 @@ _ALONE = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"
 _SCOPE = frozenset("ul ol table select dl menu body html article section div main aside nav".split())
 
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z) | <({_SILENT})\b(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|(?=<body\b)|\Z) | <(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)> | <(/?)([a-zA-Z][^\s/>]*)([^>]*)> | <[!?][^>]*> | ([^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z) | <(script|style)(?![^\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z) | <(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)> | <(/?)([a-zA-Z][^\s/>]*)([^>]*)> | <[!?][^>]*> | ([^<]+|<)""",
     re.S | re.X | re.I,
 )
+_ENDS = {name: re.compile(rf"</{name}\s*>|(?=<body\b)", re.I) for name in _SILENT}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -62,7 +67,8 @@ class Block:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order. Tags that are never closed end with the block tag around them."""
+    """Leaf blocks of a page in order. Tags that are never closed end with the block tag around them, a head without an end
+    at the first text or element that can't stand in it."""
     stack: list[tuple[str, str]] = []
     out: list[Block] = []
     text: list[str] = []
@@ -77,9 +83,21 @@ def blocks_of(page: str | None) -> list[Block]:
             text.clear()
         links[0] = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    def end_head() -> None:
+        at = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
+        if at is not None:
+            flush()
+            del stack[at:]
+
+    page, at_char, endless = page or "", 0, set()
+    while m := _TOKEN.match(page, at_char):
+        at_char = m.end()
         run = m[8]
         if run is not None:
+            if stack and stack[-1][0] == "head":
+                if run.isspace():
+                    continue
+                end_head()
             if not text:
                 path = tuple(x for _, x in stack if x)
             text.append(run)
@@ -90,6 +108,11 @@ def blocks_of(page: str | None) -> list[Block]:
         if name is None:
             continue
         name, closing, rest = name.lower(), m[2] or m[5], m[4] or m[7] or ""
+        if not closing and name in _SILENT and name not in endless and not rest.endswith("/"):
+            if end := _ENDS[name].search(page, at_char):
+                at_char = end.end()
+                continue
+            endless.add(name)
         if name in _BLOCK:
             flush()
         if closing:
@@ -97,6 +120,8 @@ def blocks_of(page: str | None) -> list[Block]:
             if at is not None:
                 del stack[at:]
             continue
+        if name not in _IN_HEAD and name != "head":
+            end_head()
         if name in _CLOSES_P:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
             if at is not None and not any(t in _SCOPE for t, _ in stack[at + 1 :]):
