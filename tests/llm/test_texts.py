@@ -18,6 +18,7 @@ from tidegauge.llm import packing as P
 from tidegauge.llm import sentencepiece as S
 from tidegauge.llm import toxicity as T
 from tidegauge.llm.elias_fano import EliasFano, encode
+from tidegauge.llm.queries import op5_lm_score
 
 ODD = [(0, None), (1, ""), (2, "  a\t\nb "), (3, " a b "), (3, " a b "), (4, "a b"), (5, "x" * 200_000), (6, "x" * 200_000), (None, "a b"), (7, "ünï 漢字 🎉   \\n")]
 
@@ -300,6 +301,17 @@ def test_probabilities_sum_to_one(table):
     assert (10 ** M._probability(shared, [np.repeat(a, 5)], words, unigram)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_query_scores_with_two_words_of_context(table, tmp_path):
+    rng = random.Random(4)
+    docs = table([(i, " ".join(rng.choice("abcd") for _ in range(30))) for i in range(60)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    train = docs.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 7 <> 2")
+    got = {r["doc_id"]: r["score"] for r in op5_lm_score(docs.sparkSession, str(tmp_path)).collect()}
+    two, three = ({r["doc_id"]: r["score"] for r in M.lm_scores(docs, M.fit_ngram_model(train, n)).collect()} for n in (2, 3))
+    assert got == pytest.approx(three, abs=1e-9)
+    assert max(abs(three[i] - two[i]) for i in three) > 0.1
+
+
 def test_model_of_nothing(table):
     model = M.fit_ngram_model(table([]), 2)
     assert M.lm_scores(table([]), model).count() == 0

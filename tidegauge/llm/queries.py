@@ -68,7 +68,7 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    scored = lm_scores(docs, fit_ngram_model(docs.where(~held_out)))
+    scored = lm_scores(docs, fit_ngram_model(docs.where(~held_out), 3))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
