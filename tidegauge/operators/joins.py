@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidegauge.operators.windows import lag
 from tidegauge.sources.tables import TIMEFRAMES, floor_ts
 
+#: Days of a span of an as-of join; a symbol's spans are tasks of their own.
+SPAN_DAYS = 256
 #: Dimension tables are broadcast up to this many rows; larger ones are joined as Spark sees fit.
 DIMENSION_ROWS = 100_000
 
@@ -23,25 +25,42 @@ def lookup_bars_back(at: DataFrame, bars: DataFrame, value: str, n: int, time_co
     return at.join(back, ["symbol", "tf", time_col], "left")
 
 
-def asof_closed_bar(base: DataFrame, macro: DataFrame, values: dict[str, Column], macro_tf: str) -> DataFrame:
-    """Add to each row of base (symbol, bar_ts) values of the last macro bar that closed at or before its start.
+def asof_closed_bars(base: DataFrame, macro: DataFrame, values: dict[str, Column], tfs: tuple[str, ...]) -> DataFrame:
+    """Add to each row of base (symbol, bar_ts) values of the last macro bar of each timeframe that closed at or before its
+    start, as __name_tf.
 
-    Both sides are put in one order by the time from which they count, and the last macro row is carried on: one shuffle,
-    whatever gaps there are.
+    Both sides are put in one order by the time from which they count, and the last macro row of each timeframe is carried
+    on: one shuffle for all, whatever gaps there are. Time is cut into spans of SPAN_DAYS that are tasks of their own; the
+    last rows before a span come from a small table of the spans' ends.
     """
-    seconds = TIMEFRAMES[macro_tf]
-    names = list(values)
-    m = macro.where(F.col("tf") == macro_tf).select("symbol", (F.col("bar_ts") + F.make_dt_interval(secs=F.lit(seconds))).alias("__at"), F.struct(*(v.alias(k) for k, v in values.items())).alias("__macro"))
-    b = base.select("symbol", F.col("bar_ts").alias("__at"), F.struct(*base.columns).alias("__base"))
-    both = b.withColumn("__macro", F.lit(None).cast(m.schema["__macro"].dataType)).unionByName(m.withColumn("__base", F.lit(None).cast(b.schema["__base"].dataType)))
-    w = Window.partitionBy("symbol").orderBy("__at", F.col("__base").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__last", F.last("__macro", True).over(w)).where("__base IS NOT NULL").select("__base.*", *(F.col(f"__last.{n}").alias(n) for n in names))
+    closes = F.col("bar_ts") + F.make_dt_interval(secs=F.coalesce(*(F.when(F.col("tf") == tf, F.lit(TIMEFRAMES[tf])) for tf in tfs)))
+    m = macro.where(F.col("tf").isin(*tfs)).select("symbol", closes.alias("__at"), F.col("tf").alias("__tf"), F.struct(*(v.alias(k) for k, v in values.items())).alias("__macro"))
+    span = F.floor(F.unix_seconds(F.col("__at").cast("timestamp")) / (SPAN_DAYS * 86400))
+    m = m.withColumn("__span", span)
+    kind = m.schema["__macro"].dataType
+    # the last row of each span and timeframe, carried over the spans after it that have none
+    ends = m.groupBy("symbol", "__span").agg(*(F.max_by(F.when(F.col("__tf") == tf, F.col("__macro")), F.when(F.col("__tf") == tf, F.col("__at"))).alias(f"__end_{tf}") for tf in tfs))
+    b = base.select("symbol", F.col("bar_ts").alias("__at"), F.struct(*base.columns).alias("__base")).withColumn("__span", span)
+    spans = b.select("symbol", "__span").distinct().withColumns({f"__end_{tf}": F.lit(None).cast(kind) for tf in tfs} | {"__own": F.lit(True)}).unionByName(ends.withColumn("__own", F.lit(False)))
+    before = Window.partitionBy("symbol").orderBy("__span").rangeBetween(Window.unboundedPreceding, -1)
+    starts = spans.withColumns({f"__start_{tf}": F.last(f"__end_{tf}", True).over(before) for tf in tfs}).where("__own").select("symbol", "__span", *(f"__start_{tf}" for tf in tfs))
+    w = Window.partitionBy("symbol", "__span").orderBy("__at", F.col("__base").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = b.withColumns({"__macro": F.lit(None).cast(kind), "__tf": F.lit(None).cast("string")}).unionByName(m.withColumn("__base", F.lit(None).cast(b.schema["__base"].dataType)))
+    both = both.withColumns({f"__last_{tf}": F.last(F.when(F.col("__tf") == tf, F.col("__macro")), True).over(w) for tf in tfs}).where("__base IS NOT NULL")
+    both = both.join(starts, ["symbol", "__span"], "left")
+    return both.select("__base.*", *(F.coalesce(F.col(f"__last_{tf}"), F.col(f"__start_{tf}"))[k].alias(f"__{k}_{tf}") for tf in tfs for k in values))
+
+
+def asof_closed_bar(base: DataFrame, macro: DataFrame, values: dict[str, Column], macro_tf: str) -> DataFrame:
+    """Add to each row of base (symbol, bar_ts) values of the last macro bar that closed at or before its start."""
+    out = asof_closed_bars(base, macro, values, (macro_tf,))
+    return out.withColumnsRenamed({f"__{k}_{macro_tf}": k for k in values})
 
 
 def cross_strategies(rows: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Each row for every enabled strategy and both directions. The strategies are a table of a few rows."""
-    s = strategies.where("enabled").select("strategy_id", "label", "base_delay", "macro", "macro_delay")
-    return rows.join(F.broadcast(s)).withColumn("direction", F.explode(F.array(F.lit("BULLISH"), F.lit("BEARISH"))))
+    """Each row for every enabled strategy and both directions."""
+    s = dimension(strategies.where("enabled").select("strategy_id", "label", "base_delay", "macro", "macro_delay"))
+    return rows.join(s).withColumn("direction", F.explode(F.array(F.lit("BULLISH"), F.lit("BEARISH"))))
 
 
 def session_join(rows: DataFrame, sessions: DataFrame, ts: str = "ts", guard_seconds: int = 60) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import scalars as S
-from tidegauge.operators.joins import asof_closed_bar, cross_strategies
+from tidegauge.operators.joins import asof_closed_bars, cross_strategies
+from tidegauge.operators.lifecycle import first_bar, source_signals
 from tidegauge.operators.swings import current_extremum, structure_snapshot
-from tidegauge.operators.windows import lag, with_ma
+from tidegauge.operators.windows import KEYS, lag, with_ma
 from tidegauge.sources.tables import resample_bars
 
 
@@ -16,6 +17,13 @@ def is_bull() -> Column:
     return F.col("direction") == S.BULLISH
 
 
+def directional_slope(direction: Column | str, now: Column, before: Column, strict: bool = False) -> Column:
+    """Whether a value didn't fall (for bulls) or rise (for bears); with `strict`, whether it moved their way."""
+    d = F.col(direction) if isinstance(direction, str) else direction
+    way = (now - before) * S.direction_multiplier(d)
+    return way > 0 if strict else way >= 0
+
+
 def first_reason(**blocked: Column) -> Column:
     """The name of the first condition that holds, null if none does."""
     return F.coalesce(*(F.when(c, F.lit(k)) for k, c in blocked.items()))
@@ -52,30 +60,49 @@ def entry_geometry_valid(trigger: Column, stop: Column) -> Column:
     return (trigger > 0) & (stop > 0) & F.when(is_bull(), trigger > stop).otherwise(trigger < stop)
 
 
-def base_setup(rows: DataFrame, bars: DataFrame, delays: tuple[int, ...], n: int = 21) -> DataFrame:
-    """Rows (with extremum_ts, is_peak, direction, base_delay) whose extremum lies beyond the mean of base_delay bars before
-    it, while that mean moved their way: a bottom below a rising mean for bulls, a peak above a falling one for bears."""
+def _base_means(bars: DataFrame, delays: tuple[int, ...], n: int) -> DataFrame:
+    """Of each bar: the mean of n closes some bars ago and one before that, for every delay."""
     b = with_ma(bars, "SMA", n, "ma")
-    at = b.withColumns({f"__ma_{d}": lag("ma", d) for d in delays} | {f"__was_{d}": lag("ma", d + 1) for d in delays})
-    at = at.select("symbol", F.col("bar_ts").alias("__ts"), F.col("low").alias("__low"), F.col("high").alias("__high"), *(F.col(f"__{k}_{d}") for k in ("ma", "was") for d in delays))
-    j = rows.join(at.withColumnRenamed("symbol", "__symbol"), (F.col("symbol") == F.col("__symbol")) & (F.col("extremum_ts") == F.col("__ts")))
-    pick = lambda k: F.coalesce(*(F.when(F.col("base_delay") == d, F.col(f"__{k}_{d}")) for d in delays))
-    j = j.withColumns({"base_ma": pick("ma"), "base_ma_before": pick("was")})
+    return b.withColumns({f"ma_{d}": lag("ma", d) for d in delays} | {f"was_{d}": lag("ma", d + 1) for d in delays}).select("symbol", "bar_ts", "low", "high", *(f"{k}_{d}" for k in ("ma", "was") for d in delays))
+
+
+def _picked(by: str, kind: str, of: tuple) -> Column:
+    return F.coalesce(*(F.when(F.col(by) == x, F.col(f"__{kind}_{x}")) for x in of))
+
+
+def with_base_setup(rows: DataFrame, bars: DataFrame, delays: tuple[int, ...], n: int = 21) -> DataFrame:
+    """Add base_ma and base_ma_before, the mean of base_delay bars before the extremum and one before; base_setup, whether
+    the extremum lies beyond that mean while it moved their way (a bottom below a rising mean for bulls, a peak above a
+    falling one for bears); and base_ok, whether the mean of base_delay bars before the row's own bar moved their way."""
+    means = _base_means(bars, delays, n)
+    names = [c for c in means.columns if c not in ("symbol", "bar_ts")]
+    for time, prefix in (("extremum_ts", "__"), ("bar_ts", "__now_")):
+        own = means.select(F.col("symbol").alias("__symbol"), F.col("bar_ts").alias("__ts"), *(F.col(c).alias(f"{prefix}{c}") for c in names))
+        rows = rows.join(own, (F.col("symbol") == F.col("__symbol")) & (F.col(time) == F.col("__ts")), "left").drop("__symbol", "__ts")
+    rows = rows.withColumns({"base_ma": _picked("base_delay", "ma", delays), "base_ma_before": _picked("base_delay", "was", delays)})
     up = ~F.col("is_peak") & (F.col("__low") < F.col("base_ma")) & (F.col("base_ma") > F.col("base_ma_before"))
     down = F.col("is_peak") & (F.col("__high") > F.col("base_ma")) & (F.col("base_ma") < F.col("base_ma_before"))
-    return j.where(F.when(is_bull(), up).otherwise(down)).drop("__symbol", "__ts", "__low", "__high", *(f"__{k}_{d}" for k in ("ma", "was") for d in delays))
+    now = directional_slope("direction", _picked("base_delay", "now_ma", delays), _picked("base_delay", "now_was", delays), strict=True)
+    setup = F.when(is_bull(), up).otherwise(down)
+    return rows.withColumns({"base_setup": F.coalesce(setup, F.lit(False)), "base_ok": F.coalesce(now, F.lit(False))}).drop(*(f"{p}{c}" for p in ("__", "__now_") for c in names))
 
 
-def macro_confirm(rows: DataFrame, bars: DataFrame, tfs: tuple[str, ...], n: int = 21) -> DataFrame:
-    """Rows (with macro) whose last closed macro bar's mean moved their way against the one before."""
-    out = rows
-    for tf in tfs:
-        macro = with_ma(resample_bars(bars, tf), "SMA", n, "ma").withColumn("ma_before", lag("ma"))
-        out = asof_closed_bar(out, macro, {f"__now_{tf}": F.col("ma"), f"__was_{tf}": F.col("ma_before")}, tf)
-    pick = lambda k: F.coalesce(*(F.when(F.col("macro") == tf, F.col(f"__{k}_{tf}")) for tf in tfs))
-    out = out.withColumns({"macro_ma": pick("now"), "macro_ma_before": pick("was")})
+def base_setup(rows: DataFrame, bars: DataFrame, delays: tuple[int, ...], n: int = 21) -> DataFrame:
+    return with_base_setup(rows, bars, delays, n).where("base_setup").drop("base_setup", "base_ok")
+
+
+def with_macro(rows: DataFrame, bars: DataFrame, tfs: tuple[str, ...], n: int = 21) -> DataFrame:
+    """Add macro_ma and macro_ma_before, the mean of the last closed bar of the row's macro timeframe and of the one before,
+    and macro_ok, whether it moved their way. All timeframes take one pass over the bars and one window."""
+    macro = with_ma(resample_bars(bars, *tfs), "SMA", n, "ma").withColumn("ma_before", lag("ma"))
+    out = asof_closed_bars(rows, macro, {"ma": F.col("ma"), "was": F.col("ma_before")}, tfs)
+    out = out.withColumns({"macro_ma": _picked("macro", "ma", tfs), "macro_ma_before": _picked("macro", "was", tfs)})
     ok = F.when(is_bull(), F.col("macro_ma") > F.col("macro_ma_before")).otherwise(F.col("macro_ma") < F.col("macro_ma_before"))
-    return out.where(ok).drop(*(f"__{k}_{tf}" for k in ("now", "was") for tf in tfs))
+    return out.withColumn("macro_ok", F.coalesce(ok, F.lit(False))).drop(*(f"__{k}_{tf}" for k in ("ma", "was") for tf in tfs))
+
+
+def macro_confirm(rows: DataFrame, bars: DataFrame, tfs: tuple[str, ...], n: int = 21) -> DataFrame:
+    return with_macro(rows, bars, tfs, n).where("macro_ok").drop("macro_ok")
 
 
 def fresh_structure(rows: DataFrame) -> DataFrame:
@@ -88,60 +115,66 @@ def with_attempt_index(rows: DataFrame) -> DataFrame:
     return rows.withColumn("attempt", F.row_number().over(Window.partitionBy("source_key").orderBy("bar_ts")))
 
 
-def detect_candidates(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3, 5, 10), macros: tuple[str, ...] = ("3h", "4h", "8h")) -> DataFrame:
-    """Candidates at each base bar: its provisional extremum, for every strategy and direction that the base setup and the
-    macro mean confirm, each source once; with trigger (the last closed bar's high or low), stop (the extremum), target and key."""
+def setups(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3, 5, 10), macros: tuple[str, ...] = ("3h", "4h", "8h"), allowed: Column | None = None) -> DataFrame:
+    """Each bar with its current extremum, for every strategy, in the direction that the extremum speaks for: what
+    source_signals reads of it. A bar is eligible when base setup, macro mean and entry geometry hold, and `allowed` (a
+    Column over bars, such as the outcome of gates)."""
     x = current_extremum(structure_snapshot(bars))
-    last = bars.select("symbol", "bar_ts", lag("high").alias("high_1"), lag("low").alias("low_1"), "close")
-    c = cross_strategies(x.join(last, ["symbol", "bar_ts"]), strategies)
-    c = c.where(F.when(is_bull(), ~F.col("is_peak")).otherwise(F.col("is_peak")))
-    c = fresh_structure(macro_confirm(base_setup(c, bars, delays), bars, macros))
-    c = c.withColumns({"trigger": F.when(is_bull(), F.col("high_1")).otherwise(F.col("low_1")), "stop": F.col("price")})
-    c = c.where(entry_geometry_valid(F.col("trigger"), F.col("stop")))
+    own = bars.withColumn("allowed", F.lit(True) if allowed is None else allowed).select("symbol", "bar_ts", lag("high").alias("high_1"), lag("low").alias("low_1"), "high", "low", "close", "allowed", F.max("bar_idx").over(Window.partitionBy(*KEYS)).alias("last_idx"))
+    c = cross_strategies(x.join(own, ["symbol", "bar_ts"]), strategies).where(F.when(is_bull(), ~F.col("is_peak")).otherwise(F.col("is_peak")))
+    c = with_macro(with_base_setup(c, bars, delays), bars, macros)
+    edge = F.when(is_bull(), F.col("high_1")).otherwise(F.col("low_1"))
+    valid = F.coalesce(entry_geometry_valid(edge, F.col("price")), F.lit(False))
+    return c.withColumn("eligible", F.col("base_setup") & F.col("macro_ok") & valid & F.col("allowed"))
+
+
+def detect_candidates(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3, 5, 10), macros: tuple[str, ...] = ("3h", "4h", "8h"), allowed: Column | None = None) -> DataFrame:
+    """The signals of each source, with trigger (the last closed bar's high or low), stop (the extremum), target, key and
+    number, and what became of them: see source_signals. A source is tried again after a stop or a failed confirmation, not
+    while a signal of it waits or runs, and not after a target."""
+    c = setups(bars, strategies, delays, macros, allowed)
+    labels = {r["strategy_id"]: r["label"] for r in strategies.select("strategy_id", "label").collect()}  # a table of a few rows
+    label = F.coalesce(*(F.when(F.col("strategy_id") == k, F.lit(v)) for k, v in labels.items()), F.lit(""))
+    c = source_signals(c).withColumn("label", label)
     key = S.source_key(F.col("label"), F.col("direction"), F.col("slot"), F.col("is_peak"), F.unix_seconds(F.col("extremum_ts").cast("timestamp")), F.col("price"))
-    c = c.withColumns({"target": S.tp_price("direction", "trigger", "stop", 100.0), "source_key": F.concat_ws("|", "symbol", key)})
-    c = with_attempt_index(c)
-    return c.select("symbol", "bar_ts", "bar_idx", "strategy_id", "label", "direction", "slot", "is_peak", "extremum_ts", "extremum_idx", "price", "trigger", "stop", "target", "source_key", "attempt", "macro_ma", "macro_ma_before")
+    target = S.tp_price("direction", "trigger", "price", 100.0)
+    return c.withColumnsRenamed({"target": "running_target"}).withColumns({"stop": F.col("price"), "target": target, "source_key": F.concat_ws("|", "symbol", key)})
 
 
-def label_outcomes(candidates: DataFrame, bars: DataFrame, horizon_bars: int = 48) -> DataFrame:
-    """Each candidate alone: the first later bar within the horizon whose close passes the trigger is its entry, then the
-    first bar that closes beyond the stop or reaches the target ends it; the stop counts first on one bar.
+def label_outcomes(candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """Outcomes of detected candidates: entry_ts, entry_close, exit_ts, exit_close, outcome (TP, SL, OPEN, and as in
+    source_signals for those without an entry) and profit.
 
-    Adds entry_ts, entry_close, exit_ts, exit_close, outcome (TP, SL, OPEN, or EXPIRED without entry), profit. Bars are few
-    beside ticks: each candidate meets just the bars of its horizon, by their numbers.
+    A signal that runs when its source is over ends at the first later bar that closes beyond the stop or reaches the
+    target, however late; the stop counts first on one bar.
     """
-    key = ["symbol", "strategy_id", "direction", "bar_idx"]
-    path = bars.select(F.col("symbol").alias("__s"), F.col("bar_idx").alias("__i"), F.col("bar_ts").alias("__ts"), F.col("close").alias("__close"), F.col("high").alias("__high"), F.col("low").alias("__low"))
-    reach = lambda frm, n: F.explode(F.sequence(F.col(frm) + 1, F.col(frm) + n))
-    bar = F.struct("__ts", "__i", "__close")
-    passed = F.when(is_bull(), F.col("__close") > F.col("trigger")).otherwise(F.col("__close") < F.col("trigger"))
-    entered = candidates.withColumn("__at", reach("bar_idx", horizon_bars)).join(path, (F.col("symbol") == F.col("__s")) & (F.col("__at") == F.col("__i"))).where(passed)
-    entered = entered.groupBy(*key).agg(F.min_by(bar, "__i").alias("entry"))
-    c = candidates.join(entered, key, "left")
-    live = c.where("entry IS NOT NULL").withColumn("__from", F.col("entry.__i"))
-    stopped = F.when(is_bull(), F.col("__close") < F.col("stop")).otherwise(F.col("__close") > F.col("stop"))
-    hit = F.when(is_bull(), F.col("__high") >= F.col("target")).otherwise(F.col("__low") <= F.col("target"))
-    ended = live.withColumn("__at", reach("__from", horizon_bars)).join(path, (F.col("symbol") == F.col("__s")) & (F.col("__at") == F.col("__i"))).where(stopped | hit)
-    ended = ended.groupBy(*key).agg(F.min_by(F.struct("__ts", "__close", stopped.alias("stopped")), "__i").alias("exit"))
-    c = c.join(ended, key, "left")
-    outcome = F.when(F.col("entry").isNull(), "EXPIRED").when(F.col("exit").isNull(), "OPEN").when(F.col("exit.stopped"), "SL").otherwise("TP")
-    at = F.when(F.col("exit.stopped"), F.col("exit.__close")).otherwise(F.col("target"))
-    profit = F.when(F.col("exit").isNotNull(), (at - F.col("entry.__close")) * S.direction_multiplier("direction"))
-    return c.withColumns({"entry_ts": F.col("entry.__ts"), "entry_close": F.col("entry.__close"), "exit_ts": F.col("exit.__ts"), "exit_close": F.col("exit.__close"), "outcome": outcome, "profit": profit}).drop("entry", "exit")
-
-
-def pending_anchor(candidates: DataFrame, bars: DataFrame, horizon_bars: int = 48, point: float = 0.01) -> DataFrame:
-    """Add anchor: the trigger after each later closed bar of the horizon has moved it towards the stop, where that bar's high
-    (low for bears) is nearer the stop by more than a point and still beyond it."""
-    key = ["symbol", "strategy_id", "direction", "bar_idx"]
-    path = bars.select(F.col("symbol").alias("__s"), F.col("bar_idx").alias("__i"), F.col("high").alias("__high"), F.col("low").alias("__low"))
-    own = candidates.select(*key, F.explode(F.sequence(F.col("bar_idx"), F.col("bar_idx") + horizon_bars - 1)).alias("__at")).join(path, (F.col("symbol") == F.col("__s")) & (F.col("__at") == F.col("__i")))
-    own = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__i", "__high", "__low"))).alias("__bars"))  # at most the horizon's bars
-    sign = S.direction_multiplier("direction")
-    nearer = lambda a, b: F.when(((a - b["v"]) * sign > point + 1e-9) & ((b["v"] - F.col("stop")) * sign > 1e-9), b["v"]).otherwise(a)
-    values = F.transform("__bars", lambda b: F.struct(F.when(is_bull(), b["__high"]).otherwise(b["__low"]).alias("v")))
-    return candidates.join(own, key, "left").withColumn("anchor", F.aggregate(F.coalesce(values, F.array().cast("array<struct<v: double>>")), F.col("trigger"), nearer)).drop("__bars")
+    keys = ("symbol", "strategy_id", "source_key", "attempt")
+    live = candidates.where("outcome IS NULL")
+
+    def ends(close_low: Column, close_high: Column, low: Column, high: Column) -> Column:
+        return F.when(is_bull(), (close_low < F.col("stop")) | (high >= F.col("running_target"))).otherwise((close_high > F.col("stop")) | (low <= F.col("running_target")))
+
+    found = first_bar(live, keys, bars, "seen_idx", ends)
+    at = bars.select(F.col("symbol").alias("__s"), F.col("bar_idx").alias("__i"), F.struct("bar_ts", "close").alias("__bar"))
+    found = found.join(at, (F.col("symbol") == F.col("__s")) & (F.col("hit_idx") == F.col("__i"))).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("hit_idx"), "__bar")
+    c = candidates.join(found, [F.col(k) == F.col(f"__k_{k}") for k in keys], "left")
+    stopped = F.when(is_bull(), F.col("__bar.close") < F.col("stop")).otherwise(F.col("__bar.close") > F.col("stop"))
+    late = F.when(F.col("__bar").isNull(), "OPEN").when(stopped, "SL").otherwise("TP")
+    ended = F.col("outcome").isin("TP", "SL")  # an end without an entry is no exit
+    c = c.withColumns({
+        "exit_ts": F.coalesce(F.when(ended, F.col("exit_ts")), F.col("__bar.bar_ts")), "exit_close": F.coalesce(F.when(ended, F.col("exit_close")), F.col("__bar.close")), "exit_idx": F.coalesce(F.when(ended, F.col("exit_idx")), F.col("hit_idx")),
+        "outcome": F.coalesce("outcome", late),
+    })
+    price = F.when(F.col("outcome") == "SL", F.col("exit_close")).when(F.col("outcome") == "TP", F.col("running_target"))
+    return c.withColumn("profit", (price - F.col("entry_close")) * S.direction_multiplier("direction")).drop("__bar", "hit_idx", *(f"__k_{k}" for k in keys))
+
+
+def outcome_report(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """By keys: candidates, entered, targets, stops, wins and profit (2 decimals); only ends count as wins and profit."""
+    return outcomes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count("entry_ts").alias("entered"), F.count_if(F.col("outcome") == "TP").alias("targets"), F.count_if(F.col("outcome") == "SL").alias("stops"),
+        F.count_if(S.outcome_class("profit") == "WIN").alias("wins"), S.round_digits(F.coalesce(F.sum("profit"), F.lit(0.0)), 2).alias("profit"),
+    )
 
 
 def execution_plan(candidates: DataFrame, spec: DataFrame, levels: int = 3, multiplier: float = 1.5, risk_amount: float = 100.0, tp_percent: float = 100.0) -> DataFrame:

@@ -391,73 +391,86 @@ def _candidates_sql() -> str:
             q{h} AS (SELECT symbol, mts + to_hours({h}) AS at, ma, lag(ma) OVER (PARTITION BY symbol ORDER BY mts) AS was FROM q{h}c)"""
         )
     pick = lambda c: "CASE strategy_id WHEN 1 THEN q3.{0} WHEN 2 THEN q4.{0} ELSE q8.{0} END".format(c)
+    key = "symbol, strategy_id, extremum_ts, is_peak, price"
     return f"""{SNAPSHOT_SQL}, {', '.join(ctes)},
         x AS (SELECT symbol, bar_ts, bar_idx, is_peak, extremum_ts, extremum_idx, price FROM sized WHERE valid AND slot = 0 AND price > 0),
-        bb AS (SELECT *, CASE WHEN bar_idx >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END AS ma, lag(high) OVER (PARTITION BY symbol ORDER BY bar_ts) AS high_1, lag(low) OVER (PARTITION BY symbol ORDER BY bar_ts) AS low_1 FROM bars),
-        s AS (SELECT x.*, b.high_1, b.low_1, v.strategy_id, v.label, v.delay, CASE WHEN x.is_peak THEN 'BEARISH' ELSE 'BULLISH' END AS direction FROM x JOIN bb b USING (symbol, bar_ts), (VALUES (1, 'S1', 3), (2, 'S2', 5), (3, 'S3', 10)) v(strategy_id, label, delay)),
-        e AS (SELECT s.*, c.ma AS bma, d.ma AS bwas, o.low AS elow, o.high AS ehigh FROM s JOIN bb o ON o.symbol = s.symbol AND o.bar_ts = s.extremum_ts LEFT JOIN bb c ON c.symbol = s.symbol AND c.bar_idx = s.extremum_idx - delay LEFT JOIN bb d ON d.symbol = s.symbol AND d.bar_idx = s.extremum_idx - delay - 1),
-        f AS (SELECT * FROM e WHERE (direction = 'BULLISH' AND elow < bma AND bma > bwas) OR (direction = 'BEARISH' AND ehigh > bma AND bma < bwas)),
-        g AS (SELECT f.*, {pick('ma')} AS macro_ma, {pick('was')} AS macro_ma_before FROM f ASOF LEFT JOIN q3 ON f.symbol = q3.symbol AND f.bar_ts >= q3.at ASOF LEFT JOIN q4 ON f.symbol = q4.symbol AND f.bar_ts >= q4.at ASOF LEFT JOIN q8 ON f.symbol = q8.symbol AND f.bar_ts >= q8.at),
-        h AS (SELECT *, max(extremum_ts) OVER (PARTITION BY symbol, strategy_id, direction ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM g WHERE CASE direction WHEN 'BULLISH' THEN macro_ma > macro_ma_before ELSE macro_ma < macro_ma_before END),
-        i AS (SELECT *, CASE direction WHEN 'BULLISH' THEN high_1 ELSE low_1 END AS trigger, price AS stop FROM h WHERE used IS NULL OR extremum_ts > used),
-        candidates AS (SELECT *, trigger + CASE direction WHEN 'BULLISH' THEN 1 ELSE -1 END * abs(trigger - stop) AS target FROM i WHERE trigger > 0 AND stop > 0 AND CASE direction WHEN 'BULLISH' THEN trigger > stop ELSE trigger < stop END)"""
+        bb AS (SELECT *, CASE WHEN bar_idx >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END AS ma, lag(high) OVER (PARTITION BY symbol ORDER BY bar_ts) AS high_1, lag(low) OVER (PARTITION BY symbol ORDER BY bar_ts) AS low_1, max(bar_idx) OVER (PARTITION BY symbol) AS last_idx FROM bars),
+        s AS (SELECT x.*, b.high_1, b.low_1, b.high, b.low, b.close, b.last_idx, v.strategy_id, v.label, v.delay, CASE WHEN x.is_peak THEN 'BEARISH' ELSE 'BULLISH' END AS direction, CASE WHEN x.is_peak THEN -1 ELSE 1 END AS sg FROM x JOIN bb b USING (symbol, bar_ts), (VALUES (1, 'S1', 3), (2, 'S2', 5), (3, 'S3', 10)) v(strategy_id, label, delay)),
+        e AS (SELECT s.*, c.ma AS bma, d.ma AS bwas, o.low AS elow, o.high AS ehigh, f.ma AS nma, g.ma AS nwas FROM s JOIN bb o ON o.symbol = s.symbol AND o.bar_ts = s.extremum_ts LEFT JOIN bb c ON c.symbol = s.symbol AND c.bar_idx = s.extremum_idx - delay LEFT JOIN bb d ON d.symbol = s.symbol AND d.bar_idx = s.extremum_idx - delay - 1
+            LEFT JOIN bb f ON f.symbol = s.symbol AND f.bar_idx = s.bar_idx - delay LEFT JOIN bb g ON g.symbol = s.symbol AND g.bar_idx = s.bar_idx - delay - 1),
+        g AS (SELECT e.*, {pick('ma')} AS macro_ma, {pick('was')} AS macro_ma_before FROM e ASOF LEFT JOIN q3 ON e.symbol = q3.symbol AND e.bar_ts >= q3.at ASOF LEFT JOIN q4 ON e.symbol = q4.symbol AND e.bar_ts >= q4.at ASOF LEFT JOIN q8 ON e.symbol = q8.symbol AND e.bar_ts >= q8.at),
+        h AS (SELECT *, coalesce((bma - bwas) * sg > 0 AND CASE WHEN is_peak THEN ehigh > bma ELSE elow < bma END, false) AS setup, coalesce((nma - nwas) * sg > 0, false) AS base_ok, coalesce((macro_ma - macro_ma_before) * sg > 0, false) AS macro_ok, CASE WHEN is_peak THEN low_1 ELSE high_1 END AS edge, CASE WHEN is_peak THEN low ELSE high END AS reach FROM g),
+        r AS MATERIALIZED (SELECT *, setup AND macro_ok AND coalesce(edge > 0 AND price > 0 AND (edge - price) * sg > 0, false) AS eligible, row_number() OVER (PARTITION BY {key} ORDER BY bar_idx) AS n FROM h),
+        life AS (SELECT {key}, sg, last_idx, n, bar_idx, bar_idx AS seen, CASE WHEN eligible THEN 1 ELSE 0 END AS att, CASE WHEN eligible THEN 'P' ELSE 'I' END AS st, bar_ts AS sig_ts, bar_idx AS sig_idx, edge AS trigger, edge AS anchor, CAST(NULL AS TIMESTAMP) AS entry_ts, CAST(NULL AS BIGINT) AS entry_idx, CAST(NULL AS DOUBLE) AS entry_close,
+                CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS TIMESTAMP) AS exit_ts, CAST(NULL AS DOUBLE) AS exit_close FROM r WHERE n = 1
+            UNION ALL
+            SELECT {key}, sg, last_idx, n, bar_idx, CASE WHEN st IN ('P', 'A') AND gap THEN seen ELSE bar_idx END, att + (st = 'I' AND eligible)::INT,
+                CASE st WHEN 'P' THEN CASE WHEN gap OR passed AND NOT (base_ok AND macro_ok) THEN 'I' WHEN passed THEN 'A' ELSE 'P' END WHEN 'A' THEN CASE WHEN gap OR stopped THEN 'I' WHEN reached THEN 'C' ELSE 'A' END WHEN 'I' THEN CASE WHEN eligible THEN 'P' ELSE 'I' END ELSE 'C' END,
+                CASE WHEN st = 'I' AND eligible THEN bar_ts ELSE sig_ts END, CASE WHEN st = 'I' AND eligible THEN bar_idx ELSE sig_idx END, CASE WHEN st = 'I' AND eligible THEN edge ELSE trigger END, CASE WHEN st = 'I' AND eligible THEN edge ELSE nearer END,
+                CASE WHEN st = 'P' AND passed AND base_ok AND macro_ok AND NOT gap THEN bar_ts WHEN st = 'I' AND eligible THEN NULL ELSE entry_ts END, CASE WHEN st = 'P' AND passed AND base_ok AND macro_ok AND NOT gap THEN bar_idx WHEN st = 'I' AND eligible THEN NULL ELSE entry_idx END, CASE WHEN st = 'P' AND passed AND base_ok AND macro_ok AND NOT gap THEN close WHEN st = 'I' AND eligible THEN NULL ELSE entry_close END,
+                CASE WHEN st = 'P' THEN CASE WHEN gap THEN 'EXPIRED' WHEN passed AND NOT base_ok THEN 'BASE_EXPIRED' WHEN passed AND NOT macro_ok THEN 'MACRO_EXPIRED' END WHEN st = 'A' AND NOT gap THEN CASE WHEN stopped THEN 'SL' WHEN reached THEN 'TP' END WHEN st = 'I' AND eligible THEN NULL ELSE outcome END,
+                CASE WHEN st = 'A' AND NOT gap AND (stopped OR reached) THEN bar_ts WHEN st = 'I' AND eligible THEN NULL ELSE exit_ts END, CASE WHEN st = 'A' AND NOT gap AND (stopped OR reached) THEN close WHEN st = 'I' AND eligible THEN NULL ELSE exit_close END
+            FROM (SELECT *, (close - nearer) * sg > 0 AND (close - edge) * sg > 0 AS passed, (close - price) * sg < 0 AS stopped, (reach - (entry_close + sg * abs(entry_close - price))) * sg >= 0 AS reached
+                FROM (SELECT l.symbol, l.strategy_id, l.extremum_ts, l.is_peak, l.price, l.sg, l.last_idx, l.seen, l.att, l.st, l.sig_ts, l.sig_idx, l.trigger, l.entry_ts, l.entry_idx, l.entry_close, l.outcome, l.exit_ts, l.exit_close, r.n, r.bar_idx, r.bar_ts, r.edge, r.close, r.reach, r.eligible, r.base_ok, r.macro_ok, r.bar_idx <> l.bar_idx + 1 AS gap,
+                    CASE WHEN l.st = 'P' AND r.bar_idx = l.bar_idx + 1 AND (l.anchor - r.edge) * r.sg > 0.01::DOUBLE AND (r.edge - r.price) * r.sg > 0.01::DOUBLE AND abs(r.edge - r.price) / 0.01::DOUBLE >= 5 - 1e-7 THEN r.edge ELSE l.anchor END AS nearer
+                    FROM life l JOIN r ON r.symbol = l.symbol AND r.strategy_id = l.strategy_id AND r.extremum_ts = l.extremum_ts AND r.is_peak = l.is_peak AND r.price = l.price AND r.n = l.n + 1))),
+        ended AS (SELECT {key}, sg, last_idx, att, arg_max(struct_pack(seen := seen, st := st, sig_ts := sig_ts, sig_idx := sig_idx, trigger := trigger, anchor := anchor, entry_ts := entry_ts, entry_close := entry_close, outcome := outcome, exit_ts := exit_ts, exit_close := exit_close), n) AS z FROM life WHERE att > 0 GROUP BY ALL),
+        candidates AS (SELECT symbol, z.sig_ts AS bar_ts, z.sig_idx AS bar_idx, strategy_id, 'S' || strategy_id AS label, CASE sg WHEN 1 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, sg, is_peak, extremum_ts, price AS stop, att AS attempt, z.trigger AS trigger, z.anchor AS anchor, z.trigger + sg * abs(z.trigger - price) AS target, z.entry_ts AS entry_ts, z.entry_close AS entry_close,
+            z.entry_close + sg * abs(z.entry_close - price) AS running_target, z.seen AS seen, CASE WHEN z.st = 'P' THEN CASE WHEN z.seen = last_idx THEN 'PENDING' ELSE 'EXPIRED' END ELSE z.outcome END AS outcome, z.exit_ts AS exit_ts, z.exit_close AS exit_close,
+            symbol || '|S' || strategy_id || '|' || CASE sg WHEN 1 THEN 'BULLISH' ELSE 'BEARISH' END || '|slot=0|' || CASE WHEN is_peak THEN 'PEAK' ELSE 'BOTTOM' END || '|time=' || CAST(epoch(extremum_ts) AS BIGINT) || '|price=' || printf('%.2f', price) AS source_key FROM ended)"""
 
 
 _CANDIDATES = _candidates_sql()
 
 
 @query(
-    f"""WITH {_CANDIDATES}, k AS (SELECT *, symbol || '|' || label || '|' || direction || '|slot=0|' || CASE WHEN is_peak THEN 'PEAK' ELSE 'BOTTOM' END || '|time=' || CAST(epoch(extremum_ts) AS BIGINT) || '|price=' || printf('%.2f', price) AS source_key FROM candidates)
-    SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, extremum_ts, CAST(extremum_idx AS INTEGER) AS extremum_idx, {r6('trigger')} AS trigger, {r6('stop')} AS stop, {r6('target')} AS target, source_key,
-    CAST(row_number() OVER (PARTITION BY source_key ORDER BY bar_ts) AS INTEGER) AS attempt, {r6('macro_ma')} AS macro_ma FROM k"""
+    f"""WITH RECURSIVE {_CANDIDATES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, extremum_ts, {r6('trigger')} AS trigger, {r6('stop')} AS stop, {r6('target')} AS target, source_key, CAST(attempt AS INTEGER) AS attempt FROM candidates"""
 )
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = G.detect_candidates(bars(spark, sf_dir), T.strategy_config(spark))
-    return shown(c, "strategy_id", "direction", "extremum_ts", "extremum_idx", "trigger", "stop", "target", "source_key", "attempt", "macro_ma")
+    return shown(c, "strategy_id", "direction", "extremum_ts", "trigger", "stop", "target", "source_key", "attempt")
 
 
-_OUTCOMES = f"""{_CANDIDATES}, c AS (SELECT *, row_number() OVER () AS cid, CASE direction WHEN 'BULLISH' THEN 1 ELSE -1 END AS sg FROM candidates),
-    en AS (SELECT c.cid, min(b.bar_idx) AS ei FROM c JOIN bars b ON b.symbol = c.symbol AND b.bar_idx BETWEEN c.bar_idx + 1 AND c.bar_idx + 48 AND (b.close - c.trigger) * sg > 0 GROUP BY 1),
-    ex AS (SELECT c.cid, min(b.bar_idx) AS xi FROM c JOIN en USING (cid) JOIN bars b ON b.symbol = c.symbol AND b.bar_idx BETWEEN ei + 1 AND ei + 48 AND ((b.close - c.stop) * sg < 0 OR CASE direction WHEN 'BULLISH' THEN b.high >= c.target ELSE b.low <= c.target END) GROUP BY 1),
-    lab AS (SELECT c.*, en.ei, ex.xi, eb.bar_ts AS entry_ts, eb.close AS entry_close, xb.bar_ts AS exit_ts, xb.close AS exit_close, CASE WHEN en.ei IS NULL THEN 'EXPIRED' WHEN ex.xi IS NULL THEN 'OPEN' WHEN (xb.close - c.stop) * sg < 0 THEN 'SL' ELSE 'TP' END AS outcome
-        FROM c LEFT JOIN en USING (cid) LEFT JOIN ex USING (cid) LEFT JOIN bars eb ON eb.symbol = c.symbol AND eb.bar_idx = en.ei LEFT JOIN bars xb ON xb.symbol = c.symbol AND xb.bar_idx = ex.xi),
-    outcomes AS (SELECT *, CASE outcome WHEN 'SL' THEN (exit_close - entry_close) * sg WHEN 'TP' THEN (target - entry_close) * sg END AS profit FROM lab)"""
+_OUTCOMES = f"""{_CANDIDATES},
+    ex AS (SELECT c.source_key, c.attempt, min(b.bar_idx) AS xi FROM candidates c JOIN bars b ON b.symbol = c.symbol AND b.bar_idx > c.seen AND ((b.close - c.stop) * sg < 0 OR (CASE WHEN is_peak THEN b.low ELSE b.high END - running_target) * sg >= 0) WHERE outcome IS NULL GROUP BY 1, 2),
+    lab AS (SELECT c.* REPLACE (coalesce(c.exit_ts, b.bar_ts) AS exit_ts, coalesce(c.exit_close, b.close) AS exit_close, coalesce(c.outcome, CASE WHEN b.bar_ts IS NULL THEN 'OPEN' WHEN (b.close - c.stop) * sg < 0 THEN 'SL' ELSE 'TP' END) AS outcome) FROM candidates c LEFT JOIN ex USING (source_key, attempt) LEFT JOIN bars b ON b.symbol = c.symbol AND b.bar_idx = ex.xi),
+    outcomes AS (SELECT *, CASE outcome WHEN 'SL' THEN (exit_close - entry_close) * sg WHEN 'TP' THEN (running_target - entry_close) * sg END AS profit FROM lab)"""
 
 
-@query(f"WITH {_OUTCOMES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, entry_ts, {r6('entry_close')} AS entry_close, exit_ts, {r6('exit_close')} AS exit_close, outcome, {r6('profit')} AS profit FROM outcomes")
-def outcomes_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    o = G.label_outcomes(G.detect_candidates(b, T.strategy_config(spark)), b)
-    return shown(o, "strategy_id", "direction", "entry_ts", "entry_close", "exit_ts", "exit_close", "outcome", "profit")
+    return G.label_outcomes(G.detect_candidates(b, T.strategy_config(spark)), b)
+
+
+@query(f"WITH RECURSIVE {_OUTCOMES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, CAST(attempt AS INTEGER) AS attempt, entry_ts, {r6('entry_close')} AS entry_close, exit_ts, {r6('exit_close')} AS exit_close, outcome, {r6('profit')} AS profit FROM outcomes")
+def outcomes_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_outcomes(spark, sf_dir), "strategy_id", "direction", "attempt", "entry_ts", "entry_close", "exit_ts", "exit_close", "outcome", "profit")
 
 
 @query(
-    f"""WITH {_OUTCOMES} SELECT CAST(strategy_id AS INTEGER) AS strategy_id, direction, count(*) AS candidates, count(entry_ts) AS entered, count(*) FILTER (WHERE outcome = 'TP') AS targets, count(*) FILTER (WHERE outcome = 'SL') AS stops,
+    f"""WITH RECURSIVE {_OUTCOMES} SELECT CAST(strategy_id AS INTEGER) AS strategy_id, direction, count(*) AS candidates, count(entry_ts) AS entered, count(*) FILTER (WHERE outcome = 'TP') AS targets, count(*) FILTER (WHERE outcome = 'SL') AS stops,
     count(*) FILTER (WHERE profit >= 0.01) AS wins, floor(coalesce(sum(profit), 0) * 100 + 0.5) / 100 AS profit FROM outcomes GROUP BY 1, 2"""
 )
 def outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    o = G.label_outcomes(G.detect_candidates(b, T.strategy_config(spark)), b)
-    return o.groupBy("strategy_id", "direction").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count("entry_ts").alias("entered"), F.count_if(F.col("outcome") == "TP").alias("targets"), F.count_if(F.col("outcome") == "SL").alias("stops"),
-        F.count_if(S.outcome_class("profit") == "WIN").alias("wins"), S.round_digits(F.coalesce(F.sum("profit"), F.lit(0.0)), 2).alias("profit"),
-    )
+    return G.outcome_report(_outcomes(spark, sf_dir), "strategy_id", "direction")
 
 
 @query(
-    f"""WITH {_CANDIDATES}, l AS (SELECT c.*, v.level, greatest(abs(trigger - stop) / 0.01::DOUBLE * pow(1.5::DOUBLE, v.level), 5.0) AS d FROM candidates c, (VALUES (0), (1), (2)) v(level))
-    SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, CAST(level AS INTEGER) AS level, {r6('d')} AS distance_points, {r6("CASE WHEN level = 0 THEN trigger ELSE trigger - CASE direction WHEN 'BULLISH' THEN 1 ELSE -1 END * d * 0.01::DOUBLE END")} AS leg_price, {r6('target')} AS tp FROM l"""
+    f"""WITH RECURSIVE {_CANDIDATES}, l AS (SELECT c.*, v.level, greatest(abs(trigger - stop) / 0.01::DOUBLE * pow(1.5::DOUBLE, v.level), 5.0) AS d FROM candidates c, (VALUES (0), (1), (2)) v(level)),
+    m AS (SELECT *, least(greatest(100 / d * pow(1.5::DOUBLE, level), 0.01::DOUBLE), 100.0::DOUBLE) AS v FROM l)
+    SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, CAST(level AS INTEGER) AS level, {r6('d')} AS distance_points, {r6("CASE WHEN level = 0 THEN trigger ELSE trigger - sg * d * 0.01::DOUBLE END")} AS leg_price, {r6('target')} AS tp,
+    {r6('least(greatest(floor(floor(v / 0.01::DOUBLE + 1e-12) * 0.01::DOUBLE * 100 + 0.5) / 100, 0.01::DOUBLE), 100.0::DOUBLE)')} AS lot, 'EX_' || label || CASE sg WHEN 1 THEN '_B_' ELSE '_S_' END || (CAST(epoch(bar_ts) AS BIGINT) % 1000000) || '_L' || level AS comment FROM m"""
 )
 def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     p = G.execution_plan(G.detect_candidates(b, T.strategy_config(spark)), T.symbol_spec(b))
-    return shown(p, "strategy_id", "direction", "level", "distance_points", "leg_price", "tp")
+    return shown(p, "strategy_id", "direction", "level", "distance_points", "leg_price", "tp", "lot", "comment")
 
 
-@query()
+@query(f"WITH RECURSIVE {_CANDIDATES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, {r6('trigger')} AS trigger, {r6('anchor')} AS anchor FROM candidates")
 def pending_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    return shown(G.pending_anchor(G.detect_candidates(b, T.strategy_config(spark)), b), "strategy_id", "direction", "trigger", "anchor")
+    """Where each signal's trigger had come to when it entered or ended."""
+    return shown(G.detect_candidates(bars(spark, sf_dir), T.strategy_config(spark)), "strategy_id", "direction", "trigger", "anchor")
 
 
 # -- logs
