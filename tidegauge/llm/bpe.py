@@ -1,103 +1,51 @@
-"""Ids of a public byte-level BPE vocabulary, with the tokens of words remembered between texts."""
+"""Ids of a public byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
 import functools
-import gc
-import os
-from array import array
-from itertools import chain, filterfalse
+import json
 
 import numpy as np
-import regex
+import tiktoken
 
-#: What the vocabulary's pre-tokenizer splits a text into (a fixed value of its file).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: What the vocabulary's pre-tokenizer splits a text into (a fixed value of its kind).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Parts that are encoded in one call.
-LINES = 4096
 
+def _bytes_by_character() -> dict[str, int]:
+    """Byte-level vocabularies spell printable Latin-1 bytes as themselves, and the others, in order, from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
-class WordTokens:
-    """Encodes texts word by word, remembering a bounded number of words and of the pattern's parts.
 
-    Ids are little-endian unsigned 32-bit integers. The vocabulary's pattern never lets a part cross from a non-space
-    character into the white space after it, so a text may be cut before single spaces. Texts with two spaces in a row
-    or one at the end are encoded as they are.
-    """
+class TextTokens:
+    """The ids that `tokenizers` gives for the same file without special tokens, whose strings are ordinary text.
 
-    LIMIT = 450_000
+    The file's merges are in the order of the ids that they make, so its tokens are ranks that `tiktoken` merges by. It
+    needs no memory of words, and takes texts of any length. A test compares both libraries.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str], heads: set[str]) -> None:
-        """Remember words, each with the space before it, and first words, which have none."""
-        split = {w: PATTERN.findall(f" {w}") for w in new} | {f" {w}": PATTERN.findall(w) for w in heads}
-        unknown = set(filterfalse(self.parts.__contains__, chain.from_iterable(split.values())))
-        plain = [p for p in unknown if not p.isspace()]
-        for at in range(0, len(plain), LINES):
-            self._learn_lines(plain[at : at + LINES])
-        if spaces := [p for p in unknown if p.isspace()]:
-            self.parts.update(zip(spaces, self.whole(spaces)))
-        get = self.parts.__getitem__
-        self.words.update((w, get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))) for w, parts in split.items())
-
-    def _learn_lines(self, parts: list[str]) -> None:
-        """Remember parts that aren't white space; as lines of one text they keep apart, and need only one call."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.newline)
-        starts, ends, data = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
-        self.parts.update((p, data[a:b]) for p, a, b in zip(parts, starts, ends, strict=True))
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model, added = held["model"], {t["content"] for t in held["added_tokens"]}
+        vocab, spelt = model["vocab"], _bytes_by_character()
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError(f"{path}: merges aren't in the order of their ids")
+        ranks = {bytes(spelt[c] for c in token): i for token, i in vocab.items() if token not in added}
+        self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self.words) > self.LIMIT:
-            self.words.clear()
-        if len(self.parts) > self.LIMIT:
-            self.parts.clear()
-        get, split, new, heads = self.words.get, [], set(), set()
-        gc.disable()  # very many small lists, and no cycles
-        for text in texts:
-            if "  " in text or text.endswith(" "):
-                split.append(None)
-                continue
-            words = text.split(" ")
-            heads.add(words[0])
-            words[0] = f" {words[0]}"  # no word has a space, so that the key of a text's first word is its own
-            found = list(map(get, words))
-            missing = [i for i, x in enumerate(found) if x is None]
-            new.update(map(words.__getitem__, missing))
-            split.append((words, found, missing))
-        heads = {w for w in heads if f" {w}" in new}
-        self._learn(new.difference(f" {w}" for w in heads), heads)
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out += self.whole([text])
-                continue
-            words, found, missing = parts
-            for i in missing:
-                found[i] = self.words[words[i]]
-            out.append(b"".join(found))
-        gc.enable()
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit ids."""
+        return self.encoding.encode_to_numpy(text).astype("<u4", copy=False)
 
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_to_numpy(text))
 
 
 @functools.cache
-def word_tokens(path: str) -> WordTokens:
+def text_tokens(path: str) -> TextTokens:
     """One encoder for each Python worker."""
-    return WordTokens(path)
+    return TextTokens(path)

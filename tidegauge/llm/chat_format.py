@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import word_tokens
+from tidegauge.llm.bpe import text_tokens
 from tidegauge.llm.common import batched, rows_of
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -70,7 +70,7 @@ class _Turn:
     def __init__(self, role: str, text: str, encoder):
         self.role = role
         self.rendered, self.start, self.end = render(role, text)
-        self.tokens = len(encoder.encode(text)) // 4 + FRAME_TOKENS
+        self.tokens = encoder.count(text) + FRAME_TOKENS
 
 
 def _window(key: tuple, number: int, system: _Turn | None, history: list[_Turn], own: list[_Turn]) -> tuple:
@@ -87,7 +87,7 @@ def _spans(path: str, budget: int, history_turns: int, history_tokens: int):
     """Windows of rows that come by conversation, block and turn; holds one window and its history at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(path)
+        encoder = text_tokens(path)
 
         def rows() -> Iterator[tuple]:
             key, number, system, history, own = None, 0, None, [], []

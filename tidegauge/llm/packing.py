@@ -8,25 +8,25 @@ Sequences that still have room give their pieces up to a second round over all t
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpe import word_tokens
+from tidegauge.llm.bpe import text_tokens
 from tidegauge.llm.common import batched, rows_of, saved
 
-#: Texts that are encoded together.
-TEXTS = 512
 #: Pieces that one packing problem holds; bounds memory and time of a task.
 GROUP = 8192
 #: A sequence with more room than 1/SLACK of its size gives its pieces to the second round.
 SLACK = 128
 
-_PIECES = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence", pa.string()), ("offset", pa.int64())])
-_PIECES_DDL = "id long, row long, piece int, start long, length long, ids_crc32 long, sequence string, offset long"
+_PIECES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence", pa.int64()), ("offset", pa.int64())])
+_PIECES_DDL = "id long, key long, piece int, start long, length long, ids_crc32 long, sequence long, offset long"
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -61,137 +61,159 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Bins whose sum of squared fills grows with each exchange; emptied bins go."""
+    """Bins whose sum of squared fills grows with each exchange, until none is left that makes it grow; emptied bins go.
+
+    A bin has few distinct lengths (44 at most of 1024 tokens), over which all searches run.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
-        self.bins, self.lengths, self.size = bins, lengths, size
+        self.lengths, self.size = lengths, size
+        self.held: list[dict[int, list[int]]] = []  # pieces of each bin by their length
+        for b in bins:
+            own: dict[int, list[int]] = {}
+            for i in b:
+                own.setdefault(lengths[i], []).append(i)
+            self.held.append(own)
         self.fill = [sum(lengths[i] for i in b) for b in bins]
-
-    def _exchange(self, a: int, out: list[int], b: int, into: list[int]) -> None:
-        """`out` leaves bin a for bin b, `into` leaves b for a."""
-        for i in out:
-            self.bins[a].remove(i)
-        for i in into:
-            self.bins[b].remove(i)
-        self.bins[a] += into
-        self.bins[b] += out
-        moved = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in into)
-        self.fill[a] -= moved
-        self.fill[b] += moved
-
-    def _best(self, a: int, b: int) -> tuple[int, list[int], list[int]] | None:
+        self.sorted = [sorted(own) for own in self.held]
+
+    def _exchange(self, a: int, out: tuple[int, ...], b: int, into: tuple[int, ...]) -> None:
+        """Pieces of the lengths `out` leave bin a for bin b, of the lengths `into` b for a."""
+        moved = [(b, n, self.held[a][n].pop()) for n in out] + [(a, n, self.held[b][n].pop()) for n in into]
+        for k, n, i in moved:
+            self.held[k].setdefault(n, []).append(i)
+            self.fill[k] += n
+            self.fill[a + b - k] -= n
+        for k in (a, b):
+            self.held[k] = {n: own for n, own in self.held[k].items() if own}
+            self.sorted[k] = sorted(self.held[k])
+
+    def _best(self, a: int, b: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
         """The exchange that fills b most at a's cost: a move, one for one, two for one or one for two.
 
         b is at least as full as a, so that any gain g > 0 of b raises the sum of squares by 2 g (fill b - fill a + g).
         """
-        room, best = self.size - self.fill[b], None
-
-        def offer(gain: int, out: list[int], into: list[int]) -> None:
-            nonlocal best
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, out, into)
-
-        mine, theirs, n = self.bins[a], self.bins[b], self.lengths
-        for x, i in enumerate(mine):
-            offer(n[i], [i], [])
-            for j in theirs:
-                offer(n[i] - n[j], [i], [j])
-            for i2 in mine[x + 1 :]:
-                for j in theirs:
-                    offer(n[i] + n[i2] - n[j], [i, i2], [j])
-        for y, j in enumerate(theirs):
-            for j2 in theirs[y + 1 :]:
-                for i in mine:
-                    offer(n[i] - n[j] - n[j2], [i], [j, j2])
-        return best
-
-    def run(self, width: int = 24) -> list[list[int]]:
-        """Empty the emptiest bins one after the other into the fullest of the underfull ones, as far as exchanges go."""
-        open_ = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.size), key=self.fill.__getitem__)
-        stuck: set[int] = set()
-        while len(open_) > 1:
-            a = next((k for k in open_ if k not in stuck), None)
-            if a is None or a == open_[-1]:
+        room, mine, theirs = self.size - self.fill[b], self.sorted[a], self.sorted[b]
+        best, found = 0, None
+        at = bisect_right(mine, room)
+        if at and mine[at - 1] > best:
+            best, found = mine[at - 1], ((mine[at - 1],), ())
+        several, more = [n for n in mine if len(self.held[a][n]) > 1], [n for n in theirs if len(self.held[b][n]) > 1]
+        for n in theirs:
+            if best == room:
+                return best, *found
+            at = bisect_right(mine, n + room)
+            if at and mine[at - 1] - n > best:
+                best, found = mine[at - 1] - n, ((mine[at - 1],), (n,))
+            two = _two(mine, several, n + best + 1, n + room, True)
+            if two:
+                best, found = sum(two) - n, (two, (n,))
+        for n in mine:
+            if best == room:
                 break
-            partners = [k for k in reversed(open_) if k != a and self.fill[k] >= self.fill[a]][:width]
-            done = False
-            for b in partners:
-                if len(self.bins[a]) * len(self.bins[b]) > 4096:
-                    continue  # very many tiny pieces: best fit has already placed them
-                if found := self._best(a, b):
-                    self._exchange(a, found[1], b, found[2])
-                    done = True
-                    if self.fill[b] == self.size:
-                        open_.remove(b)
-                    if not self.bins[a]:
-                        open_.remove(a)
-                        break
-            if not done:
-                stuck.add(a)
-        return [b for b in self.bins if b]
+            two = _two(theirs, more, n - room, n - best - 1, False)
+            if two:
+                best, found = n - sum(two), ((n,), two)
+        return (best, *found) if found else None
+
+    def run(self) -> list[list[int]]:
+        """Empty the emptiest bins one after the other into the fullest of the underfull ones, as far as exchanges go.
+
+        A bin that found none is tried again with those that have changed since.
+        """
+        open_ = sorted((k for k in range(len(self.held)) if 0 < self.fill[k] < self.size), key=self.fill.__getitem__)
+        changed, tried, clock = dict.fromkeys(open_, 1), dict.fromkeys(open_, 0), 1
+        again = True
+        while again:
+            again = False
+            for a in sorted(open_, key=self.fill.__getitem__):
+                mine = changed[a] > tried[a]
+                partners = sorted((b for b in open_ if b != a and (mine or changed[b] > tried[a])), key=lambda b: -self.fill[b])
+                tried[a] = clock
+                for b in partners:
+                    if self.fill[b] < self.fill[a] or not 0 < self.fill[b] < self.size:
+                        continue
+                    if got := self._best(a, b):
+                        self._exchange(a, got[1], b, got[2])
+                        clock += 1
+                        changed[a] = changed[b] = clock
+                        again = True
+                        if not self.fill[a]:
+                            break
+            open_ = [k for k in open_ if 0 < self.fill[k] < self.size]
+        return [[i for own in b.values() for i in own] for b in self.held if b]
+
+
+def _two(lengths: list[int], several: list[int], least: int, most: int, largest: bool) -> tuple[int, int] | None:
+    """Two of the sorted distinct lengths (one of `several` may count twice) with the largest or smallest sum from least to most."""
+    if most < least:
+        return None
+    best, found = (least - 1, None) if largest else (most + 1, None)
+    lo, hi = 0, len(lengths) - 1
+    while lo < hi:
+        total = lengths[lo] + lengths[hi]
+        if largest:
+            if best < total <= most:
+                best, found = total, (lengths[lo], lengths[hi])
+        elif least <= total < best:
+            best, found = total, (lengths[lo], lengths[hi])
+        if total > most or (not largest and total > least):
+            hi -= 1
+        else:
+            lo += 1
+    for n in several:
+        if best < 2 * n <= most if largest else least <= 2 * n < best:
+            best, found = 2 * n, (n, n)
+    return found
 
 
 def pack(lengths: list[int], size: int) -> list[list[int]]:
     return LocalSearch(best_fit(lengths, size), lengths, size).run()
 
 
-def _placed(group: list[tuple], name: str, size: int) -> Iterator[tuple]:
-    """Pieces (id, row, piece, start, length, crc) with their sequence and offset."""
-    for k, members in enumerate(pack([p[4] for p in group], size)):
-        at = 0
+def _placed(group: list[tuple], size: int) -> Iterator[tuple]:
+    """Pieces (id, key, piece, start, length, crc) with their sequence, which has the key of its first piece, and offset."""
+    for members in pack([p[4] for p in group], size):
+        first, at = group[members[0]][1], 0
         for i in members:
-            yield (*group[i], f"{name}.{k}", at)
+            yield (*group[i], first, at)
             at += group[i][4]
 
 
-def _first_round(path: str, end_id: int, size: int):
-    end = end_id.to_bytes(4, "little")
+def _in_groups(pieces: Iterator[tuple], size: int) -> Iterator[tuple]:
+    held: list[tuple] = []
+    for p in pieces:
+        if p[4] == size:
+            yield (*p, p[1], 0)
+            continue
+        held.append(p)
+        if len(held) >= GROUP:
+            yield from _placed(held, size)
+            held = []
+    if held:
+        yield from _placed(held, size)
+
 
+def _first_round(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(path)
+        encoder, key = text_tokens(path), TaskContext.get().partitionId() << 33
 
         def pieces() -> Iterator[tuple]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, TEXTS):
-                    keys, rows, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
-                    for key, row, ids in zip(keys, rows, encoder.encode_all([t or "" for t in texts])):
-                        ids += end
-                        for k, (start, n) in enumerate(cut(len(ids) // 4, size)):
-                            yield key, row, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])
+            nonlocal key
+            for name, text in rows_of(batches, "id", "text"):
+                ids = np.append(encoder.encode(text or ""), np.array([end_id], "<u4"))
+                for k, (start, n) in enumerate(cut(len(ids), size)):
+                    yield name, key, k, start, n, zlib.crc32(ids[start : start + n])
+                    key += 1
 
-        def rows() -> Iterator[tuple]:
-            held: list[tuple] = []
-            for p in pieces():
-                if p[4] == size:
-                    yield (*p, f"f{p[1]}.{p[2]}", 0)
-                else:
-                    held.append(p)
-                if len(held) >= GROUP:
-                    yield from _placed(held, f"a{held[0][1]}", size)
-                    held = []
-            if held:
-                yield from _placed(held, f"a{held[0][1]}", size)
-
-        yield from batched(rows(), _PIECES)
+        yield from batched(_in_groups(pieces(), size), _PIECES)
 
     return run
 
 
 def _second_round(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "row", "piece", "start", "length", "ids_crc32")
-
-        def rows() -> Iterator[tuple]:
-            held: list[tuple] = []
-            for p in rows_of(batches, *names):
-                held.append(p)
-                if len(held) >= GROUP:
-                    yield from _placed(held, f"b{held[0][1]}.{held[0][2]}", size)
-                    held = []
-            if held:
-                yield from _placed(held, f"b{held[0][1]}.{held[0][2]}", size)
-
-        yield from batched(rows(), _PIECES)
+        yield from batched(_in_groups(rows_of(batches, "id", "key", "piece", "start", "length", "ids_crc32"), size), _PIECES)
 
     return run
 
@@ -201,17 +223,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size:
 
     A document is its text's ids and then end_id; null and empty texts are the end id alone. Documents longer than `size`
     are cut into pieces of `size` ids, the first of which may be shorter; others stay whole. Sequences hold at most `size`
-    ids, gapless from offset 0. Rows that repeat an id are documents of their own; null ids stay null. Other columns
-    aren't read. An empty table gives an empty result.
+    ids, gapless from offset 0, and are numbered by the task and count of their first piece, so that no two share a number.
+    Rows that repeat an id are documents of their own; null ids stay null. Other columns aren't read. An empty table gives
+    an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = saved(source.mapInArrow(_first_round(tokenizer_path, end_id, size), _PIECES_DDL), "pieces")
     fills = first.groupBy("sequence").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - size // SLACK).select(F.col("sequence").alias("open"))
     loose = saved(first.join(fills, F.col("sequence") == F.col("open"), "left_semi"), "loose")
     groups = max(1, -(-loose.count() // (4 * GROUP)))
-    again = loose.repartition(groups, F.xxhash64("row", "piece")).mapInArrow(_second_round(size), _PIECES_DDL)
+    again = loose.repartition(groups, F.xxhash64("key")).mapInArrow(_second_round(size), _PIECES_DDL)
     placed = first.join(fills, F.col("sequence") == F.col("open"), "left_anti").unionByName(again)
-    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.xxhash64("sequence").alias("sequence_id"), "offset")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,14 +244,14 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, end_id: i
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(tokenizer_path)
+        encoder = text_tokens(tokenizer_path)
         schema = pa.schema([("sequence_id", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
         def rows() -> Iterator[tuple]:
             for key, text, own in rows_of(batches, "id", "text", "pieces"):
-                ids = encoder.encode(text or "") + end_id.to_bytes(4, "little")
+                ids = np.append(encoder.encode(text or ""), np.array([end_id], "<u4"))
                 for p in own:
-                    yield p["sequence_id"], key, p["offset"], ids[4 * p["start"] : 4 * (p["start"] + p["length"])]
+                    yield p["sequence_id"], key, p["offset"], ids[p["start"] : p["start"] + p["length"]].tobytes()
 
         yield from batched(rows(), schema, 512)
 
