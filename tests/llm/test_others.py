@@ -3,14 +3,17 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidegauge.llm import chat_format as C
 from tidegauge.llm import embedding_dedup as V
 from tidegauge.llm import html_extract as H
+from tidegauge.llm.common import few_by_hash
 from tidegauge.llm.components import components
 
 # -- vectors
@@ -109,7 +112,7 @@ def test_components(spark):
 def test_blocks():
     page = """<!DOCTYPE html><html><head><title>no</title><script>var a = "<p>no</p>"</script></head><body class="Top x"><!-- <p>no</p> --><nav><ul><li><a href="/a>b">One</a><li>Two</ul></nav>
     <p>A &amp; B&nbsp;<b>bold<br>next <p title='>'>third &lt;x&gt;<div>fourth</div> tail < end</body>"""
-    got = [(b.text, b.path[-1] if b.path else "") for b in H.blocks_of(page)]
+    got = [(b.text, b.path.element if b.path else "") for b in H.blocks_of(page)]
     assert got == [("One", "a"), ("Two", "li"), ("A & B bold", "p"), ("next", "b"), ("third <x>", "p"), ("fourth", "div"), ("tail < end", "body.top.x")]
     assert H.blocks_of(None) == H.blocks_of("") == H.blocks_of("<!-- open") == H.blocks_of("<script>open") == []
 
@@ -132,11 +135,26 @@ def test_blocks():
 def test_blocks_with_open_elements(page, want):
     got = H.blocks_of(page)
     assert [b.text for b in got] == want
-    assert not any("head" in b.path for b in got)
+    assert not any("head" in b.path.elements() for b in got if b.path)
 
 
-def test_many_open_elements_take_linear_time():
-    assert len(H.blocks_of("<p>a<svg>" * 20_000)) == 20_000
+def test_references_are_decoded_run_by_run():
+    assert [b.text for b in H.blocks_of("<p>AT&<b>amp;</b> &amp;amp; &#x41;&lt;b&gt;<p a='b>c'>x &nbsp; y &unknown; &copy")] == ["AT&amp; &amp; A<b>", "x y &unknown; ©"]
+
+
+@pytest.mark.parametrize(
+    "unit,blocks",
+    [
+        ("<p>a<svg>", 20_000), ("<p title=\"x>a ", 10_000), ("<p \"> \"", 20_000), ('<p a="> b="', 20_000), ("<div>x", 20_000), ("<p><b>x<hr>", 20_000),
+        ("<a ", 1), ("<", 1), ("<!x", 1), ("<a>x<p>", 20_000), ("<p><select><b>x<hr>", 20_000), ("<script ", 1), ("<td>x<dd>", 20_000), ("<p = =", 1),
+    ],
+)
+def test_hostile_pages_take_linear_time(unit, blocks):
+    """Among others, pages whose quotes or tags never end, and very deep ones; 20,000 units in well under a second."""
+    began = time.perf_counter()
+    found = H.blocks_of(unit * 20_000)
+    H.Features().of(found)
+    assert len(found) == blocks and time.perf_counter() - began < 5
 
 
 def test_gradients():
@@ -184,6 +202,54 @@ def test_extraction(spark, sf):
     assert wrong <= 0.06 * n  # with the few pages of the smallest table
 
 
+# Pages and their main text, written by hand.
+_WRITTEN = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Tides</title><link rel=stylesheet href=a.css>
+        <body><header><a href=/>Harbour Post</a></header><nav><ul><li><a href=/n>News</a><li><a href=/w>Weather</a></ul></nav>
+        <article><h1>Tides of the northern harbour</h1><p>The harbour was measured every hour over the whole winter, and the tables were printed in spring.
+        <p>Nobody had expected the second maximum, which came &frac12; a day late &amp; stayed for a week.</article>
+        <aside><p><a href=/1>Read more about storms</a></aside><footer><p>&copy; Harbour Post. All rights reserved.</footer>""",
+        "Tides of the northern harbour\nThe harbour was measured every hour over the whole winter, and the tables were printed in spring.\n"
+        "Nobody had expected the second maximum, which came ½ a day late & stayed for a week.",
+    ),
+    (
+        """<html><head><title>x</title><style>p { color: red }</style></head><body><div class="cookie-notice"><p>We use cookies to improve this site.</p></div>
+        <div class="menu"><ul><li><a href="#">Home</a></li><li><a href="#">Contact</a></li></ul></div>
+        <main><h1>How bread rises</h1><p>Yeast turns sugar into gas, and the gas is held by a net of gluten that long kneading has made.</p>
+        <script>track("<p>no</p>")</script><p>A cold night in the pantry makes the crumb <b>open</b> and the crust dark, as every baker knows.</p>
+        <ul><li>Flour, water and a little salt go in first.</li><li>The yeast is added at the very end.</li></ul></main>
+        <section class="comments"><p>First! Great read, thanks.</p><p>I tried it and it failed.</p></section>
+        <div class="footer"><p>Imprint</p></div></body></html>""",
+        "How bread rises\nYeast turns sugar into gas, and the gas is held by a net of gluten that long kneading has made.\n"
+        "A cold night in the pantry makes the crumb open and the crust dark, as every baker knows.\nFlour, water and a little salt go in first.\nThe yeast is added at the very end.",
+    ),
+    (
+        """<body><form action=/s><label>Search this site</label><button>Go</button></form><div class="ad">Buy now: shoes at half price</div>
+        <article><h2>A quiet valley</h2><p>The road ends at the mill, and from there only a path leads up along the stream to the pass.</p>
+        <blockquote>We never saw a soul, wrote the surveyor in the autumn of that year.</blockquote>
+        <p>Since then two farms have been given up, and the meadows are turning back to forest.</p></article></body>""",
+        "A quiet valley\nThe road ends at the mill, and from there only a path leads up along the stream to the pass.\nWe never saw a soul, wrote the surveyor in the autumn of that year.\n"
+        "Since then two farms have been given up, and the meadows are turning back to forest.",
+    ),
+]
+
+
+def test_pages_written_by_hand(spark, sf):
+    model = H.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
+    df = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(_WRITTEN)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, model).collect()} == {i: text for i, (_, text) in enumerate(_WRITTEN)}
+
+
+def test_the_sample_is_small_and_whole(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS id", "repeat('x', 10) AS html")
+    for n in (1, 50, 10_000):
+        few = few_by_hash(rows, F.xxhash64("id"), n)
+        want = sorted({r["h"] for r in rows.select(F.xxhash64("id").alias("h")).collect()})[:n]
+        assert sorted({r["hash"] for r in few.collect()}) == want
+    assert few_by_hash(rows.limit(0), F.xxhash64("id"), 3).count() == 0
+
+
 def test_odd_pages(spark, sf):
     model = H.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
     rows = [(1, None, None), (1, "u", ""), (None, "u", "<p>x"), (2, "u", "<article>" + "<p>word one two.</p>" * 3000 + "</article>")]

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the contracts define it; bytes.split() and bytes.strip() use the same six characters.
 WHITE = " \t\n\x0b\x0c\r"
@@ -35,6 +36,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_by_hash(df: DataFrame, hash_: Column, n: int) -> DataFrame:
+    """Rows of df with one of its n smallest distinct hashes, which column `hash` has.
+
+    A count tells below which bound about enough hashes lie, so that the driver gets hashes from below it only: a few more
+    than n of them at any size, and no rows.
+    """
+    rows, total = df.withColumn("hash", hash_), df.count()
+    reach = (2 * n + 64) / max(total, 1)
+    while True:
+        top = (1 << 63) - 1 if reach >= 1 else int(reach * (1 << 64)) - (1 << 63)
+        found = [r["hash"] for r in rows.where(F.col("hash") <= top).select("hash").distinct().orderBy("hash").limit(n).collect()]
+        if len(found) >= n or reach >= 1:
+            return rows.where(F.col("hash") <= (found[-1] if found else top))
+        reach *= 16  # rows repeat
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

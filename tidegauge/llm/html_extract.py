@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WordHashes
+from tidegauge.llm.common import WordHashes, few_by_hash
 
 #: Pages that the labeller is fitted on, at most: those of the smallest hashes of their ids, up to this many characters.
 FIT_PAGES, FIT_CHARS = 256, 1 << 16
@@ -49,93 +49,162 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = _BLOCK - {"br", "button", "label", "option", "optgroup", "select", "textarea"}
 _ALONE = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _SCOPE = frozenset("ul ol table select dl menu body html article section div main aside nav".split())
+_STOPS = _SCOPE | {"p", *_ALONE}
+# Tags by which a page says itself what is its article and what is around it.
+_ARTICLE, _AROUND = frozenset(["article", "main"]), frozenset(["nav", "aside", "footer", "header", "form", "menu", "dialog"])
+_TELLING = _ARTICLE | _AROUND
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <(script|style)(?![^\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z) | <(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)> | <(/?)([a-zA-Z][^\s/>]*)([^>]*)> | <[!?][^>]*> | ([^<]+|<)""",
-    re.S | re.X | re.I,
-)
+_QUOTED = r"""(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+"""
+
+
+def _tokens(attributes: str) -> re.Pattern:
+    """A comment, a script or style with what is in it, a tag, a declaration, or a run of text."""
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(script|style)(?![^\s/>]){attributes}(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({attributes})>|<[!?][^>]*>|([^<]+|<)", re.S | re.I
+    )
+
+
+#: Tags whose values may hold a >; and, for what follows a tag whose quotes never end, tags up to the next >.
+_STRICT, _PLAIN = _tokens(_QUOTED), _tokens("[^>]*+")
 _ENDS = {name: re.compile(rf"</{name}\s*>|(?=<body\b)", re.I) for name in _SILENT}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open element and those around it. What the labeller makes of it is kept with it, so that a path costs no more than
+    its last element, however deep it is."""
+
+    __slots__ = ("parent", "element", "sums", "tags")
+
+    def __init__(self, parent: Path | None, element: str):
+        self.parent, self.element, self.sums = parent, element, None
+        self.tags: frozenset[str] = parent.tags if parent else frozenset()
+        if (tag := element.split(".", 1)[0]) in _TELLING:
+            self.tags |= {tag}
+
+    def elements(self) -> Iterator[str]:
+        """From the innermost element out."""
+        at: Path | None = self
+        while at is not None:
+            yield at.element
+            at = at.parent
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path | None
     linked: int  # characters inside links
 
 
+class _Open:
+    """The stack of open elements, with what makes each look at it independent of its depth: how many of a kind are open, and
+    for each element the nearest one at or below it that ends the search for an element to close."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[Path] = []
+        self.stops: list[int] = []
+        self.many: dict[str, int] = {}
+
+    def push(self, tag: str, element: str) -> None:
+        self.stops.append(len(self.tags) if tag in _STOPS else self.stops[-1] if self.stops else -1)
+        self.tags.append(tag)
+        self.paths.append(Path(self.paths[-1] if self.paths else None, element))
+        self.many[tag] = self.many.get(tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        for tag in self.tags[at:]:
+            self.many[tag] -= 1
+        del self.tags[at:], self.paths[at:], self.stops[at:]
+
+    def close(self, tag: str) -> None:
+        """The innermost element of the tag, and all inside it."""
+        if self.many.get(tag):
+            at = len(self.tags) - 1
+            while self.tags[at] != tag:
+                at -= 1
+            self.cut(at)
+
+    def close_near(self, wanted: frozenset[str] | set[str]) -> None:
+        """The innermost element with one of the tags, unless a list, table or section is open inside it."""
+        if not any(self.many.get(t) for t in wanted):
+            return
+        at = self.stops[-1]
+        while at >= 0 and self.tags[at] not in wanted:
+            if self.tags[at] in _SCOPE:
+                return
+            at = self.stops[at - 1] if at else -1
+        if at >= 0:
+            self.cut(at)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order. Tags that are never closed end with the block tag around them, a head without an end
-    at the first text or element that can't stand in it."""
-    stack: list[tuple[str, str]] = []
-    out: list[Block] = []
-    text: list[str] = []
-    links = [0]
-    path: tuple[str, ...] = ()
+    at the first text or element that can't stand in it. A tag whose quotes never end is one up to the next >, as are all
+    after it; a < that no > follows is text. Time grows with the page's length."""
+    open_, out, text, endless = _Open(), [], [], set()
+    linked, path = 0, None
 
     def flush() -> None:
+        nonlocal linked
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
-                out.append(Block(whole, path, min(links[0], len(whole))))
+                out.append(Block(whole, path, min(linked, len(whole))))
             text.clear()
-        links[0] = 0
+        linked = 0
 
     def end_head() -> None:
-        at = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
-        if at is not None:
+        if open_.many.get("head"):
             flush()
-            del stack[at:]
-
-    page, at_char, endless = page or "", 0, set()
-    while m := _TOKEN.match(page, at_char):
-        at_char = m.end()
-        run = m[8]
+            open_.cut(open_.tags.index("head"))
+
+    page = page or ""
+    at, last, token = 0, page.rfind(">"), _STRICT
+    while m := token.match(page, at):
+        run = m[5]
+        if run == "<" and token is _STRICT and at < last and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/"):
+            token = _PLAIN
+            continue
+        at = m.end()
         if run is not None:
-            if stack and stack[-1][0] == "head":
+            if m.start() > last:  # no tag can follow
+                run, at = page[m.start() :], len(page)
+            if open_.tags and open_.tags[-1] == "head":
                 if run.isspace():
                     continue
                 end_head()
             if not text:
-                path = tuple(x for _, x in stack if x)
+                path = open_.paths[-1] if open_.paths else None
+            run = html.unescape(run)
             text.append(run)
-            if any(t == "a" for t, _ in stack):
-                links[0] += len(run)
+            if open_.many.get("a"):
+                linked += len(run)
             continue
-        name = m[3] or m[6]
-        if name is None:
+        if m[3] is None:
             continue
-        name, closing, rest = name.lower(), m[2] or m[5], m[4] or m[7] or ""
+        name, closing, rest = m[3].lower(), m[2], m[4]
         if not closing and name in _SILENT and name not in endless and not rest.endswith("/"):
-            if end := _ENDS[name].search(page, at_char):
-                at_char = end.end()
+            if end := _ENDS[name].search(page, at):
+                at = end.end()
                 continue
             endless.add(name)
         if name in _BLOCK:
             flush()
         if closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                del stack[at:]
+            open_.close(name)
             continue
         if name not in _IN_HEAD and name != "head":
             end_head()
         if name in _CLOSES_P:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if at is not None and not any(t in _SCOPE for t, _ in stack[at + 1 :]):
-                del stack[at:]
+            open_.close_near({"p"})
         if name in _ALONE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _ALONE[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            open_.close_near(_ALONE[name])
         if name not in _VOID and not rest.endswith("/"):
             named = "".join(f".{x}" for g in _NAMES.findall(rest) for x in _PIECES.findall("".join(g).lower())) if rest else ""
-            stack.append((name, name + named))
+            open_.push(name, name + named)
     flush()
     return out
 
@@ -146,26 +215,42 @@ def _bucket(text: str, n: int) -> tuple[int, float]:
 
 
 class Features:
-    """Vectors of blocks; those of paths are remembered."""
+    """Vectors of blocks; what an element adds is remembered."""
+
+    ELEMENTS = 50_000
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.elements: dict[str, np.ndarray] = {}
         self.hashes = WordHashes()
 
-    def _path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
+    def _element(self, element: str, leaf: bool) -> np.ndarray:
+        """The signed buckets of an element, or of its tag as the innermost one."""
+        key = f"leaf {element.split('.', 1)[0]}" if leaf else element
+        v = self.elements.get(key)
         if v is None:
-            if len(self.paths) > 100_000:
-                self.paths.clear()
-            v = np.zeros(PATH)
-            for depth, element in enumerate(reversed(path)):
-                tag, *names = element.split(".")
-                for token in (tag, *(f".{x}" for x in names), *([f"leaf {tag}"] if depth == 0 else [])):
-                    at, sign = _bucket(token, PATH)
-                    v[at] += sign
-            self.paths[path] = v = np.clip(v, -2, 2)
+            if len(self.elements) > self.ELEMENTS:
+                self.elements.clear()
+            v = np.zeros(PATH, np.float32)
+            tag, *names = [key] if leaf else element.split(".")
+            for token in (tag, *(f".{x}" for x in names)):
+                at, sign = _bucket(token, PATH)
+                v[at] += sign
+            if len(key) <= 256:
+                self.elements[key] = v
         return v
 
+    def _path(self, path: Path | None) -> np.ndarray:
+        if path is None:
+            return np.zeros(PATH, np.float32)
+        new, at = [], path
+        while at is not None and at.sums is None:
+            new.append(at)
+            at = at.parent
+        for node in reversed(new):
+            own = self._element(node.element, False)
+            node.sums = own if node.parent is None else node.parent.sums + own
+        return np.clip(path.sums + self._element(path.element, True), -2, 2)
+
     def of(self, blocks: list[Block]) -> np.ndarray:
         """One row for each block of a page."""
         n = len(blocks)
@@ -266,13 +351,10 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # -- training pages
 
-_ARTICLE, _AROUND = {"article", "main"}, {"nav", "aside", "footer", "header", "form", "menu", "dialog"}
-
-
 def _own_labels(blocks: list[Block]) -> np.ndarray | None:
     """Labels by what the page says of itself: inside its article and no furniture; None if it has no article."""
-    tags = [[e.split(".")[0] for e in b.path] for b in blocks]
-    label = np.array([bool(_ARTICLE & set(t)) and not _AROUND & set(t) for t in tags], float)
+    tags = [b.path.tags if b.path else frozenset() for b in blocks]
+    label = np.array([bool(_ARTICLE & t) and not _AROUND & t for t in tags], float)
     return label if label.any() else None
 
 
@@ -362,9 +444,10 @@ def layout(rng: random.Random, content: list[str], other: list[str]) -> tuple[st
 
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES, seed: int = 7) -> Labeller:
-    """Fit on a bounded sample of pages; without any page, the labeller is as it starts."""
+    """Fit on a bounded sample of pages, one for each id; without any page, the labeller is as it starts."""
     short = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") <= FIT_CHARS)
-    sample = [r["html"] for r in short.orderBy(F.xxhash64("id"), F.xxhash64("html")).limit(fit_pages).collect()]
+    chosen = few_by_hash(short, F.xxhash64("id"), fit_pages).groupBy("hash").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    sample = [r["html"] for r in sorted(chosen.collect(), key=lambda r: r["hash"])]
     features, rng, data, texts = Features(), random.Random(seed), [], []
     for page in sample:
         blocks = blocks_of(page)
