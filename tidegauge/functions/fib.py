@@ -112,7 +112,7 @@ def _cycled_down(v: Column, at: Column, first: float, top: float) -> Column:
     return F.when(v <= 0, deeper).otherwise(shallower)
 
 
-def fib_next_cycled(x: Column | str, steps: int, up: bool, at: tuple[float, ...]) -> Column:
+def fib_next_cycled(x: Column | str, steps: Column | int, up: bool, at: tuple[float, ...]) -> Column:
     """`steps` levels up or down from x, along levels of at least 0 that repeat every largest level and are mirrored below
     0; 0 is skipped where the levels have neither 0 nor 100. Null where there are fewer than two levels or none above 0."""
     allow_zero = any(abs(e) < _EPS or abs(e - 100) < _EPS for e in at)
@@ -125,7 +125,7 @@ def fib_next_cycled(x: Column | str, steps: int, up: bool, at: tuple[float, ...]
         to = move(v, all_, own[0], own[-1])
         return to if allow_zero else F.when(F.abs(to) >= _EPS, to).otherwise(move(to, all_, own[0], own[-1]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _c(x).cast("double"), one)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps) if isinstance(steps, int) else steps), _c(x).cast("double"), one)
 
 
 def structure_percent(price: Column | str, is_bottom: Column | str, peak: Column | str, bottom: Column | str) -> Column:

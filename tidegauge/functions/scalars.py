@@ -71,6 +71,10 @@ def direction_multiplier(direction: Column | str) -> Column:
     return F.when(_c(direction) == BULLISH, 1).when(_c(direction) == BEARISH, -1).otherwise(0)
 
 
+def is_direction(direction: Column | str) -> Column:
+    return _c(direction).isin(BULLISH, BEARISH)
+
+
 def side_price(direction: Column | str, entry_side: bool) -> Column:
     """Bulls enter at the ask and leave at the bid, bears the other way."""
     a, b = ("ask", "bid") if entry_side else ("bid", "ask")
@@ -163,6 +167,19 @@ def tf_label(tf: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, _c(tf)), F.lit("UNKNOWN"))
 
 
+#: The names of enumerated kinds by their numbers, and what stands around a number that has none.
+ENUM_LABELS = {
+    "swing": (("EQ", "HH", "HL", "LH", "LL"), "T(%d)"), "signal": (("NO_SIGNAL", "BULLISH", "BEARISH"), "SIG(%d)"), "body_trend": (("BODY_UNDEFINED", "STRONG_BODY_TREND", "WEAK_BODY_TREND"), "BODY_TREND(%d)"),
+    "body_ma": (("BODY_UNDEFINED_MA", "BODY_BULLISH_MA", "BODY_BEARISH_MA"), "BODY_MA(%d)"),
+}
+
+
+def enum_label(kind: str, number: Column | str) -> Column:
+    names, unknown = ENUM_LABELS[kind]
+    named = F.try_element_at(F.array(*(F.lit(n) for n in names)), F.when(_c(number) >= 0, _c(number) + 1).cast("int"))
+    return F.coalesce(named, F.format_string(unknown, _c(number)))
+
+
 def sanitize_token(x: Column | str) -> Column:
     clean = F.regexp_replace(_c(x), "[^0-9A-Za-z_-]", "_")
     return F.when(clean == "", "_").otherwise(clean)
@@ -175,6 +192,11 @@ def source_key(label: Column, direction: Column, slot: Column, is_peak: Column,
     return F.when((label != "") & direction.isin(BULLISH, BEARISH) & (slot >= 0) & (seconds > 0) & (price > 0), text).otherwise("")
 
 
+def sequence_id(label: Column, direction: Column, entry: Column, structure: Column) -> Column:
+    """S1_B_<entry seconds>_<structure seconds>."""
+    return F.concat_ws("_", label, F.when(direction == BULLISH, "B").otherwise("S"), entry, structure)
+
+
 def leg_comment(label: Column, direction: Column, seconds: Column, level: Column) -> Column:
     return F.concat(F.lit("EX_"), label, F.when(direction == BULLISH, "_B_").otherwise("_S_"), seconds % 1000000, F.lit("_L"), level)
 
@@ -183,6 +205,26 @@ def compact_time(ts: Column | str) -> Column:
     return F.date_format(_c(ts), "yyyyMMdd_HHmmss")
 
 
+def signal_identifier(sequence: Column | str, entry_ts: Column | str, price: Column | str, direction: Column | str, digits: int = 2) -> Column:
+    """The first there is: the sequence id, the compact time, the price's digits, EXEC_ and the direction's number."""
+    number = F.when(_c(direction) == BULLISH, 1).when(_c(direction) == BEARISH, 2).otherwise(0)
+    figures = F.replace(F.format_string(f"%.{digits}f", _c(price)), F.lit("."), F.lit(""))
+    return F.coalesce(F.when(_c(sequence) != "", _c(sequence)), compact_time(entry_ts), F.when(_c(price) > 0, figures), F.format_string("EXEC_%d", number))
+
+
+def signal_label(direction: Column | str, suffix: str = "") -> Column:
+    side = F.when(_c(direction) == BULLISH, BULLISH).otherwise(BEARISH)
+    return F.concat_ws(" ", side, F.lit(suffix)) if suffix else side
+
+
+def fib_entry_label(base: Column, level: Column, actual: Column | None = None) -> Column:
+    return F.format_string("%s %.1f%%", base, level) if actual is None else F.format_string("%s %.1f%% (%.2f%%)", base, level, actual)
+
+
+def fib_next_label(base: Column, level: Column, level_index: Column, lot: Column) -> Column:
+    return F.format_string("%s %.1f%% L%d lot=%.2f", base, level, F.greatest(level_index, F.lit(0)) + 1, lot)
+
+
 def kv_message(**parts: Column) -> Column:
     """k=v|k=v; missing values are n/a."""
     return F.concat_ws("|", *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("n/a"))) for k, v in parts.items()))
@@ -208,8 +250,29 @@ def safe_percentile(x: Column | str) -> Column:
     return safe_number(x, -100.0, 200.0)
 
 
+def safe_epoch(x: Column | str) -> Column:
+    return F.when(_c(x) >= 0, _c(x)).otherwise(F.lit(0))
+
+
+def safe_enum(x: Column | str, low: int, high: int, default: int) -> Column:
+    return F.when(_c(x).between(low, high), _c(x)).otherwise(F.lit(default))
+
+
 def offset_text(minutes: Column | str) -> Column:
-    return F.format_string("%+dm", _c(minutes))
+    """+60m, 0m, -30m."""
+    return F.when(_c(minutes) > 0, F.format_string("+%dm", _c(minutes))).otherwise(F.format_string("%dm", _c(minutes)))
+
+
+def session_label(**slots: Column) -> Column:
+    """The name of the first slot that is open, OUTSIDE if none is, ALL HOURS without slots."""
+    if not slots:
+        return F.lit("ALL HOURS")
+    return F.coalesce(*(F.when(is_open, F.lit(name)) for name, is_open in slots.items()), F.lit("OUTSIDE"))
+
+
+def dst_summary(mode: str, ts: Column | str, manual: int = 0) -> Column:
+    """MANUAL (60m) and the like."""
+    return F.concat(F.lit(f"{mode} ("), offset_text(trading_offset_minutes(mode, ts, manual)), F.lit(")"))
 
 
 # -- distances, volumes, profits
@@ -237,6 +300,21 @@ def point_value(tick_value: Column | str, point: Column | str, tick: Column | st
     return F.try_divide(_c(tick_value) * _c(point), _c(tick))
 
 
+def amount_to_lots(amount: Column | str, points: Column | str, value: Column, low: Column | str, high: Column | str, step: Column | str) -> Column:
+    """Lots whose move by so many points is worth the amount; 0 where one of them isn't above 0."""
+    ok = (_c(amount) > 0) & (_c(points) > 0) & (value > 0)
+    return F.when(ok, normalize_volume(_c(amount) / (value * _c(points)), low, high, step)).otherwise(0.0)
+
+
+def lots_to_amount(lots: Column | str, points: Column | str, value: Column) -> Column:
+    return F.when((_c(lots) > 0) & (_c(points) > 0) & (value > 0), _c(lots) * value * _c(points)).otherwise(0.0)
+
+
+def raw_profit(direction: Column | str, entry: Column | str, price: Column | str, value: Column, point: Column | str) -> Column:
+    """Of one lot."""
+    return projected_profit(direction, F.lit(1.0), entry, price, value, point)
+
+
 def projected_profit(direction: Column | str, lots: Column | str, entry: Column | str, price: Column | str, value: Column, point: Column | str) -> Column:
     return _c(lots) * value * F.try_divide((_c(price) - _c(entry)) * direction_multiplier(direction), _c(point))
 
@@ -247,6 +325,58 @@ def target_profit(mode: str, amount: float, balance: Column, account_size: Colum
     return base * tp_percent / 100
 
 
+def base_lot(kind: str, size: float, points: Column | str, target: Column, value: Column, low: Column, high: Column, step: Column, tp_percent: float = 100.0) -> Column:
+    """FIXED: the size in whole steps. Else (a share of the account or a sum of money) lots whose move over the points, times
+    the take-profit's share, is worth the target, up to whole steps; the size where target or points aren't above 0."""
+    fixed = normalize_volume(F.lit(abs(size)), low, high, step)
+    if kind == "FIXED":
+        return fixed
+    reach = _c(points) * (tp_percent / 100 if tp_percent > 0 else 1.0)
+    lots = amount_to_lots(target, reach, value, low, high, step)
+    own = F.when(lots > 0, lots).otherwise(F.lit(abs(size)) if size else low)
+    return F.when((target > 0) & (reach > 0), normalize_volume(own, low, high, step, up=True)).otherwise(fixed)
+
+
+def scaled_lot(lot: Column | str, multiplier: float, step_index: Column | str, low: Column, high: Column, step: Column) -> Column:
+    """The lot times the multiplier for each step; as it is for step 0."""
+    grown = normalize_volume(_c(lot) * F.pow(F.lit(abs(multiplier) or 1.0), _c(step_index)), low, high, step)
+    return F.when(_c(step_index) > 0, grown).otherwise(_c(lot))
+
+
+# -- order triggers
+
+
+def limit_reached(direction: Column | str, price: Column | str, trigger: Column | str) -> Column:
+    """A bull's price has come down to the trigger, a bear's up to it."""
+    way = (_c(trigger) - _c(price)) * direction_multiplier(direction)
+    return (_c(trigger) > 0) & is_direction(direction) & (way >= 0)
+
+
+def limit_opposite(direction: Column | str, price: Column | str, trigger: Column | str) -> Column:
+    """The price is still on the other side of the trigger."""
+    return (_c(trigger) > 0) & is_direction(direction) & ~limit_reached(direction, price, trigger)
+
+
+def breakout_entry(direction: Column | str, price: Column | str, trigger: Column | str) -> Column:
+    way = (_c(price) - _c(trigger)) * direction_multiplier(direction)
+    return (_c(trigger) > 0) & is_direction(direction) & (way >= 0)
+
+
+def meaningful_gap(a: Column | str, b: Column | str, point: float, least_points: Column) -> Column:
+    """Two prices above 0 that are at least so many points apart."""
+    return (_c(a) > 0) & (_c(b) > 0) & (F.abs(_c(a) - _c(b)) / point + 1e-9 >= least_points)
+
+
+def level_cap(level_index: Column | str, limit: int) -> Column:
+    """Whether the level, counted from 1, has reached a limit above 0."""
+    return F.lit(limit > 0) & (_c(level_index) >= 0) & (_c(level_index) + 1 >= limit)
+
+
+def market_status_allows(status: Column | str, action: str = "SIGNAL") -> Column:
+    """Signals only where the market is ACTIVE, broker actions unless the broker has disabled trade."""
+    return _c(status) == "ACTIVE" if action == "SIGNAL" else _c(status) != "BROKER_DISABLED"
+
+
 def required_lot(target: Column, existing: Column, per_lot: Column, low: Column, high: Column, step: Column) -> Column:
     """struct(lot, feasible): lots that reach the target, up to whole steps; infeasible beyond the largest volume."""
     raw = F.try_divide(target - existing, F.when(per_lot > 0, per_lot))

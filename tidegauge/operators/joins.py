@@ -136,10 +136,16 @@ def first_touch(starts: DataFrame, path: DataFrame, hit: Column, horizon_seconds
 
 
 def deal_to_position(deals: DataFrame, positions: DataFrame, hours: int = 24) -> DataFrame:
-    """Deals with the positions of their magic opened up to `hours` before."""
-    p = positions.select(F.col("magic").alias("__m"), F.col("ticket").alias("position_id"), F.col("opened_ts"))
-    near = (F.col("magic") == F.col("__m")) & (F.col("opened_ts") <= F.col("deal_time")) & (F.col("opened_ts") > F.col("deal_time") - F.make_dt_interval(hours=F.lit(hours)))
-    return deals.join(p, near).drop("__m")
+    """Deals with the positions of their magic opened up to `hours` before.
+
+    Both meet by magic and time span; a position is in the span it opened in and the next one, so that a magic with very
+    many deals spreads over its spans.
+    """
+    span = lambda ts: F.floor(F.unix_seconds(ts.cast("timestamp")) / (hours * 3600))
+    own = span(F.col("opened_ts"))
+    p = positions.select(F.col("magic").alias("__m"), F.col("ticket").alias("position_id"), "opened_ts", F.explode(F.array(own, own + 1)).alias("__span"))
+    near = (F.col("magic") == F.col("__m")) & (span(F.col("deal_time")) == F.col("__span")) & (F.col("opened_ts") <= F.col("deal_time")) & (F.col("opened_ts") > F.col("deal_time") - F.make_dt_interval(hours=F.lit(hours)))
+    return deals.join(p, near).drop("__m", "__span")
 
 
 def floor_of(ts: str, tf: str) -> Column:

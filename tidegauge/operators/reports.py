@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import direction_multiplier, outcome_class, round2_no_negzero, round_digits, utc_day
+from tidegauge.functions.scalars import direction_multiplier, kv_message, outcome_class, projected_profit, round2_no_negzero, round_digits, tf_label, utc_day
 
 
 def daily_net_pnl(deals: DataFrame, server_offset_seconds: int = 0) -> DataFrame:
@@ -124,48 +124,154 @@ def latest_filled_leg(legs: DataFrame) -> DataFrame:
     return filled.groupBy("signal_id").agg(F.max_by(F.struct("level_index", "status", "entry_price"), "level_index").alias("leg")).select("signal_id", "leg.*")
 
 
-def single_running(intervals: DataFrame, key: str = "signal_id") -> DataFrame:
-    """Intervals (key, symbol, direction, start_ts, end_ts) that no earlier one of the symbol and direction overlaps."""
-    w = Window.partitionBy("symbol", "direction").orderBy("start_ts", key).rowsBetween(Window.unboundedPreceding, -1)
-    return intervals.withColumn("__end", F.max("end_ts").over(w)).where(F.col("__end").isNull() | (F.col("__end") <= F.col("start_ts"))).drop("__end")
+def _in_order(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], first, step, added: str) -> DataFrame:
+    """Rows that `step` keeps, which depends on what it kept before of the same keys: rows stream through in order, and only
+    the state that step returns is held. step(state, row) gives the next state and the added column's value, or None to drop
+    the row; `first` is the state of new keys."""
+    import pyarrow as pa
 
+    names, kind = rows.columns, added.split(" ")
+    keyed, at = [names.index(k) for k in keys], None
 
-def changes(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], *values: str) -> DataFrame:
-    """Rows whose values differ from the row before of the same keys; the first row always stays."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
+    def keep(batches):
+        nonlocal at
+        key, state = None, first
+        for b in batches:
+            out, columns = [], [b.column(c).cast(pa.int64()).to_pylist() if pa.types.is_timestamp(b.column(c).type) else b.column(c).to_pylist() for c in names]
+            for k, row in enumerate(zip(*columns)):
+                own = tuple(row[i] for i in keyed)
+                if own != key:
+                    key, state = own, first
+                state, value = step(state, row)
+                if value is not None:
+                    out.append((k, value))
+            took = b.take(pa.array([k for k, _ in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array([d for _, d in out], pa.int64())], names=[*names, kind[0]])
+
+    kinds = dict(rows.dtypes)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(keep, ", ".join(f"{n} {kinds[n]}" for n in names) + f", {added}")
+
+
+def single_running(intervals: DataFrame, key: str = "signal_id") -> DataFrame:
+    """Intervals (key, symbol, direction, start_ts, end_ts) that start while none that was let through of their symbol and
+    direction runs. Ones that were refused don't run, and so refuse no other. A symbol's and direction's intervals meet in
+    one task, as they depend on each other."""
+    rows = intervals.select(key, "symbol", "direction", "start_ts", "end_ts")
+
+    def step(running, row):
+        _, _, _, start, end = row
+        return (running, None) if running is not None and start < running else (end, 1)
+
+    return _in_order(rows, ("symbol", "direction"), ("start_ts", key), None, step, "allowed long").drop("allowed")
+
+
+def changes(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], *values: str, span: Column | None = None) -> DataFrame:
+    """Rows whose values differ from the row before of the same keys; the first row always stays. With a span (one that grows
+    with the order, such as the day) each span is a task of its own, and gets the values at the end of the one before."""
+    if span is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        before, first = [F.lag(v).over(w) for v in values], F.row_number().over(w) == 1
+    else:
+        rows = rows.withColumn("__span", span)
+        w = Window.partitionBy(*keys, "__span").orderBy(*order)
+        ends = rows.groupBy(*keys, "__span").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__end"))
+        over = Window.partitionBy(*keys).orderBy("__span")
+        ends = ends.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__span").alias("__k_span"), F.lag("__end").over(over).alias("__before"), F.row_number().over(over).alias("__n_span"))
+        on = F.col("__span") == F.col("__k_span")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        rows = rows.join(ends, on).withColumn("__n", F.row_number().over(w))
+        before = [F.when(F.col("__n") == 1, F.col(f"__before.{v}")).otherwise(F.lag(v).over(w)) for v in values]
+        first = (F.col("__n") == 1) & (F.col("__n_span") == 1)
     same = F.lit(True)
-    for v in values:
-        same = same & F.col(v).eqNullSafe(F.lag(v).over(w))
-    return rows.withColumns({"__n": n, "__same": same}).where((F.col("__n") == 1) | ~F.col("__same")).drop("__n", "__same")
+    for v, old in zip(values, before):
+        same = same & F.col(v).eqNullSafe(old)
+    names = [c for c in rows.columns if not c.startswith("__")]
+    return rows.withColumns({"__first": first, "__same": same}).where(F.col("__first") | ~F.col("__same")).select(*names)
 
 
 def log_throttle(events: DataFrame, seconds: int) -> DataFrame:
     """Of each (label, state_key), the first event and then the next one at least `seconds` after the last kept one, with the
     number of events dropped since: event_id, ts, label, state_key, message, suppressed.
 
-    What is kept depends on what was kept before, which windows can't say: rows stream through in order, and only the last
-    kept time is held. Events go by (ts, event_id); a key's events meet in one task, as they depend on each other.
+    Events go by (ts, event_id); a key's events meet in one task, as they depend on each other.
     """
-    import pyarrow as pa
+    rows = events.select("label", "state_key", "ts", "event_id", "message")
 
-    names = ["label", "state_key", "ts", "event_id", "message"]
+    def step(state, row):
+        last, dropped = state
+        if last is None or row[2] - last >= seconds * 1_000_000:
+            return (row[2], 0), dropped
+        return (last, dropped + 1), None
 
-    def keep(batches):
-        key, last, dropped = None, None, 0
-        for b in batches:
-            out, us = [], b.column("ts").cast(pa.int64()).to_pylist()
-            for k, (label, state, t) in enumerate(zip(b.column("label").to_pylist(), b.column("state_key").to_pylist(), us)):
-                if (label, state) != key:
-                    key, last, dropped = (label, state), None, 0
-                if last is None or t - last >= seconds * 1_000_000:
-                    out.append((k, dropped))
-                    last, dropped = t, 0
-                else:
-                    dropped += 1
-            took = b.take(pa.array([k for k, _ in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array([d for _, d in out], pa.int64())], names=[*names, "suppressed"])
+    return _in_order(rows, ("label", "state_key"), ("ts", "event_id"), (None, 0), step, "suppressed long")
 
-    rows = events.select(*names).repartition("label", "state_key").sortWithinPartitions("label", "state_key", "ts", "event_id")
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(keep, ", ".join(f"{n} {kinds[n]}" for n in names) + ", suppressed long")
+
+def realized_profit(closes: DataFrame, legs: DataFrame, point_value: float, point: float) -> DataFrame:
+    """By signal: realized_profit and closed_volume of closes (signal_id, level_index, volume, close_price) at their legs' entry
+    prices. Closes without a volume, a price or an entry price above 0 don't count."""
+    at = legs.select("signal_id", "level_index", "direction", "entry_price")
+    own = closes.join(at, ["signal_id", "level_index"]).where((F.col("volume") > 0) & (F.col("close_price") > 0) & (F.col("entry_price") > 0))
+    profit = projected_profit("direction", "volume", "entry_price", "close_price", F.lit(point_value), F.lit(point))
+    return own.groupBy("signal_id").agg(F.sum(profit).alias("realized_profit"), F.sum("volume").alias("closed_volume"))
+
+
+def outcome_flags(legs: DataFrame, realized: DataFrame) -> DataFrame:
+    """By signal: has_confirmed_outcome (volume or profit was realized, or a leg has a ticket, an entry or is ACTIVE) and
+    any_active."""
+    held = legs.groupBy("signal_id").agg(F.bool_or(F.col("ticket").isNotNull() | (F.col("status") == "ACTIVE") | (F.col("entry_price") > 0)).alias("__held"), F.bool_or(F.col("status") == "ACTIVE").alias("any_active"))
+    r = realized.select(F.col("signal_id").alias("__id"), ((F.col("closed_volume") > 0) | (F.abs("realized_profit") > 1e-7)).alias("__closed"))
+    out = held.join(r, F.col("signal_id") == F.col("__id"), "left")
+    return out.select("signal_id", (F.col("__held") | F.coalesce("__closed", F.lit(False))).alias("has_confirmed_outcome"), "any_active")
+
+
+#: How results are ordered by each of their fields.
+SORT_ORDERS = {"finish_level": "asc", "expectations": "desc", "z_score": "desc", "winrate": "desc", "variant_sharpe_ratio": "desc", "sharpe_ratio": "desc", "bayesian_sharpe_ratio": "desc", "entry_time": "asc"}
+
+
+def sort_by(rows: DataFrame, field: str, order: str | None = None, *ties: str) -> DataFrame:
+    """Rows by a field, in the order that results have by it unless another is given; equal ones by `ties`."""
+    down = (order or SORT_ORDERS[field]) == "desc"
+    return rows.orderBy(F.desc(field) if down else F.asc(field), *ties)
+
+
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Sorted rows with their places from 1: counts of the sorted tasks say where each one's rows begin."""
+    at = rows.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).persist()
+    starts = at.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
+    starts = starts.withColumn("__before", F.coalesce(before, F.lit(0))).select(F.col("__task").alias("__t"), "__first", "__before")
+    out_ = at.join(F.broadcast(starts), F.col("__task") == F.col("__t")).withColumn(out, F.col("__before") + F.col("__at") - F.col("__first") + 1)
+    return out_.drop("__task", "__at", "__t", "__first", "__before")
+
+
+def trailing_reference(ticks: DataFrame, keys: tuple[Column | str, ...], order: tuple[str, ...], offset: float, price: str = "price") -> DataFrame:
+    """Add bull_reference and bear_reference, the adverse-only references of a signal that starts with each key: an offset below
+    the price that only ever falls, and one above that only ever rises."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ticks.withColumns({"bull_reference": F.min(F.col(price) - offset).over(w), "bear_reference": F.max(F.col(price) + offset).over(w)})
+
+
+def event_log(events: DataFrame, **parts: Column) -> DataFrame:
+    """Rows of an event log (event_id, ts, label) with their message of labelled parts, as the log's sink writes them."""
+    return events.withColumn("message", kv_message(**parts))
+
+
+def leg_resolution(legs: DataFrame) -> Column:
+    """What became of a leg: its number, status, entry and lot in one labelled text."""
+    return kv_message(level=F.col("level_index") + 1, status=F.col("status"), entry=F.format_string("%.2f", round_digits("entry_price", 2)), lot=F.format_string("%.2f", round_digits("lot_size", 2)), ticket=F.col("ticket"))
+
+
+def run_manifest(ticks: DataFrame, strategies: DataFrame, **inputs: str) -> DataFrame:
+    """What a run over ticks covers, one labelled row for each input, strategy and symbol: section, name, value."""
+    head = ticks.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    said = lambda c: F.date_format(c, "yyyy.MM.dd HH:mm:ss")
+    symbols = head.select(F.lit("symbol").alias("section"), F.col("symbol").alias("name"), kv_message(ticks=F.col("n"), first=said("a"), last=said("b")).alias("value"))
+    text = kv_message(base_delay=F.col("base_delay"), macro=tf_label("macro"), macro_delay=F.col("macro_delay"))
+    own = strategies.select(F.when(F.col("enabled"), "active strategy").otherwise("inactive strategy").alias("section"), F.col("label").alias("name"), text.alias("value"))
+    out = symbols.unionByName(own)
+    if inputs:
+        given = F.array(*(F.struct(F.lit("input").alias("section"), F.lit(k).alias("name"), F.lit(str(v)).alias("value")) for k, v in sorted(inputs.items())))
+        out = out.unionByName(ticks.sparkSession.range(1).select(F.inline(given)))
+    return out

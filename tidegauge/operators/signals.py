@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import scalars as S
-from tidegauge.operators.joins import asof_closed_bars, cross_strategies
+from tidegauge.operators.joins import asof_closed_bars, cross_strategies, dimension
 from tidegauge.operators.lifecycle import first_bar, source_signals
 from tidegauge.operators.swings import current_extremum, structure_snapshot
 from tidegauge.operators.windows import KEYS, lag, with_ma
+from tidegauge.sources.stored import stored
 from tidegauge.sources.tables import resample_bars
 
 
@@ -131,14 +132,15 @@ def setups(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3,
 def detect_candidates(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3, 5, 10), macros: tuple[str, ...] = ("3h", "4h", "8h"), allowed: Column | None = None) -> DataFrame:
     """The signals of each source, with trigger (the last closed bar's high or low), stop (the extremum), target, key and
     number, and what became of them: see source_signals. A source is tried again after a stop or a failed confirmation, not
-    while a signal of it waits or runs, and not after a target."""
+    while a signal of it waits or runs, and not after a target.
+
+    The bars are read several times: pass a stored table. The result is one (a row for each signal)."""
     c = setups(bars, strategies, delays, macros, allowed)
-    labels = {r["strategy_id"]: r["label"] for r in strategies.select("strategy_id", "label").collect()}  # a table of a few rows
-    label = F.coalesce(*(F.when(F.col("strategy_id") == k, F.lit(v)) for k, v in labels.items()), F.lit(""))
-    c = source_signals(c).withColumn("label", label)
+    c = source_signals(c).join(dimension(strategies.select("strategy_id", "label")), "strategy_id")
     key = S.source_key(F.col("label"), F.col("direction"), F.col("slot"), F.col("is_peak"), F.unix_seconds(F.col("extremum_ts").cast("timestamp")), F.col("price"))
     target = S.tp_price("direction", "trigger", "price", 100.0)
-    return c.withColumnsRenamed({"target": "running_target"}).withColumns({"stop": F.col("price"), "target": target, "source_key": F.concat_ws("|", "symbol", key)})
+    c = c.withColumnsRenamed({"target": "running_target"}).withColumns({"stop": F.col("price"), "target": target, "source_key": F.concat_ws("|", "symbol", key)})
+    return stored(c, "candidates")
 
 
 def label_outcomes(candidates: DataFrame, bars: DataFrame) -> DataFrame:
@@ -194,6 +196,38 @@ def execution_plan(candidates: DataFrame, spec: DataFrame, levels: int = 3, mult
     return c.select("symbol", "bar_ts", "strategy_id", "direction", "level", "distance_points", "leg_price", "tp", "lot", comment.alias("comment"))
 
 
+def range_distance(mode: str, points: float, least: Column, tick: float, point: float, atr: Column | None = None, structure: Column | None = None) -> Column:
+    """Distance in points of a signal's range, at least the broker's: ATR of the last closed bar, fixed POINTS, or the
+    STRUCTURE's base distance. Null where there is none."""
+    if mode == "STRUCTURE":
+        return structure
+    own = F.when(atr > 0, atr / point) if mode == "ATR" else F.lit(float(points))
+    return F.when(own.isNotNull(), S.enforce_distance(own, least, F.lit(tick), F.lit(point)))
+
+
+def expire_on_new_source(pending: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Add valid_until, the first bar at which the symbol's current extremum (of current_extremum) isn't any more the one that
+    each pending signal (symbol, bar_ts, extremum_ts, is_peak, price) came from; null while it is. Signals with an open or
+    active leg (exposed) don't expire. A source is one run of bars: the next run's start is its end."""
+    w = Window.partitionBy("symbol").orderBy("bar_ts")
+    x = snapshot.select("symbol", "bar_ts", "extremum_ts", "is_peak", "price")
+    same = F.lit(True)
+    for c in ("extremum_ts", "is_peak", "price"):
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    starts = x.withColumn("__same", same).where(~F.col("__same")).withColumn("__until", F.lead("bar_ts").over(w))
+    runs = starts.select(F.col("symbol").alias("__s"), F.col("bar_ts").alias("__from"), "__until", F.col("extremum_ts").alias("__x"), F.col("is_peak").alias("__p"), F.col("price").alias("__v"))
+    on = (F.col("symbol") == F.col("__s")) & (F.col("extremum_ts") == F.col("__x")) & (F.col("is_peak") == F.col("__p")) & (F.col("price") == F.col("__v"))
+    on = on & (F.col("bar_ts") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("bar_ts") < F.col("__until")))
+    out = pending.join(runs, on, "left").withColumn("valid_until", F.when(~F.col("exposed"), F.col("__until")))
+    return out.drop("__s", "__from", "__until", "__x", "__p", "__v")
+
+
+def close_guard(ts: Column, session_end: Column, seconds: int) -> Column:
+    """Whether a time is in the last span of so many seconds that ends with the session, spans counted from midnight."""
+    second = F.col(ts) if isinstance(ts, str) else ts
+    return (second >= F.floor((session_end - 1) / seconds) * seconds) & (second < session_end)
+
+
 def session_exit_edges(rows: DataFrame) -> DataFrame:
     """Rows (symbol, slot, ts, active) at which a slot that was active on the row before of that day is not any more."""
     w = Window.partitionBy("symbol", "slot", F.date_trunc("day", "ts")).orderBy("ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.plans import indicator_queries, market_queries, structure_queries  # noqa: F401  (register their queries)
+from tidegauge.plans import entry_queries, indicator_queries, market_queries, structure_queries  # noqa: F401  (register their queries)
 from tidegauge.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import scalars as S
@@ -10,8 +10,9 @@ from tidegauge.operators import joins as J
 from tidegauge.operators import reports as R
 from tidegauge.operators import signals as G
 from tidegauge.operators import windows as W
-from tidegauge.plans.registry import bars, bars_sql, query, r6, shown, table, ticks
+from tidegauge.plans.registry import bars, bars_sql, query, r6, shown, stored_bars, table, ticks
 from tidegauge.plans.structure_queries import SNAPSHOT_SQL
+from tidegauge.sources import sinks as K
 from tidegauge.sources import tables as T
 
 
@@ -100,7 +101,7 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     mode = F.when(F.col("user_id") % 7 == 0, "CLOSEONLY").when(F.col("user_id") % 7 == 1, "DISABLED").otherwise("FULL")
     m = e.select(F.col("event_type").alias("symbol"), "ts", "event_id", G.market_status(mode, F.hour("ts") == 23).alias("status"))
-    return R.changes(m, ("symbol",), ("ts", "event_id"), "status").select("symbol", "event_id", "status")
+    return R.changes(m, ("symbol",), ("ts", "event_id"), "status", span=F.to_date("ts")).select("symbol", "event_id", "status")
 
 
 # -- volumes and prices
@@ -132,7 +133,7 @@ _POSITIONS = """positions AS (SELECT o_orderkey AS ticket, o_custkey % 4 AS magi
 def profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.read_legs(spark, _p(sf_dir, "orders"))
     more = {
-        "projected": F.col("lot_size") * (250 - F.col("entry_price")) * S.direction_multiplier("direction") / 0.01, "outcome": S.outcome_class(F.col("entry_price") - 250),
+        "projected": S.projected_profit("direction", "lot_size", "entry_price", F.lit(250.0), F.lit(1.0), F.lit(0.01)), "outcome": S.outcome_class(F.col("entry_price") - 250),
         "tp": S.tp_price("direction", "entry_price", F.lit(240.0), 150.0), "distance": S.level_distance(F.lit(10.0), 1.5, "level_index", F.lit(12.0)),
     }
     return shown(g.withColumns(more), *more, keys=("signal_id", "level_index"))
@@ -343,8 +344,11 @@ def run_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT event_id AS signal_id, event_type AS symbol, CASE WHEN user_id % 2 = 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, ts AS start_ts, ts + to_minutes(CAST(user_id % 90 AS BIGINT)) AS end_ts FROM events),
-    w AS (SELECT *, max(end_ts) OVER (PARTITION BY symbol, direction ORDER BY start_ts, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i) SELECT signal_id, symbol, direction, start_ts FROM w WHERE before IS NULL OR before <= start_ts"""
+    """WITH RECURSIVE i AS (SELECT event_id AS signal_id, event_type AS symbol, CASE WHEN user_id % 2 = 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, ts AS start_ts, ts + to_minutes(CAST(user_id % 90 AS BIGINT)) AS end_ts FROM events),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY start_ts, signal_id) AS k FROM i),
+    nx AS MATERIALIZED (SELECT a.symbol, a.direction, a.k, (SELECT min(b.k) FROM n b WHERE b.symbol = a.symbol AND b.direction = a.direction AND b.k > a.k AND b.start_ts >= a.end_ts) AS j FROM n a),
+    c AS (SELECT symbol, direction, k FROM n WHERE k = 1 UNION ALL SELECT c.symbol, c.direction, nx.j FROM c JOIN nx ON nx.symbol = c.symbol AND nx.direction = c.direction AND nx.k = c.k WHERE nx.j IS NOT NULL)
+    SELECT signal_id, symbol, direction, start_ts FROM c JOIN n USING (symbol, direction, k)"""
 )
 def single_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -427,7 +431,7 @@ _CANDIDATES = _candidates_sql()
     f"""WITH RECURSIVE {_CANDIDATES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, extremum_ts, {r6('trigger')} AS trigger, {r6('stop')} AS stop, {r6('target')} AS target, source_key, CAST(attempt AS INTEGER) AS attempt FROM candidates"""
 )
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = G.detect_candidates(bars(spark, sf_dir), T.strategy_config(spark))
+    c = G.detect_candidates(stored_bars(spark, sf_dir), T.strategy_config(spark))
     return shown(c, "strategy_id", "direction", "extremum_ts", "trigger", "stop", "target", "source_key", "attempt")
 
 
@@ -438,7 +442,7 @@ _OUTCOMES = f"""{_CANDIDATES},
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
+    b = stored_bars(spark, sf_dir)
     return G.label_outcomes(G.detect_candidates(b, T.strategy_config(spark)), b)
 
 
@@ -462,7 +466,7 @@ def outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     {r6('least(greatest(floor(floor(v / 0.01::DOUBLE + 1e-12) * 0.01::DOUBLE * 100 + 0.5) / 100, 0.01::DOUBLE), 100.0::DOUBLE)')} AS lot, 'EX_' || label || CASE sg WHEN 1 THEN '_B_' ELSE '_S_' END || (CAST(epoch(bar_ts) AS BIGINT) % 1000000) || '_L' || level AS comment FROM m"""
 )
 def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
+    b = stored_bars(spark, sf_dir)
     p = G.execution_plan(G.detect_candidates(b, T.strategy_config(spark)), T.symbol_spec(b))
     return shown(p, "strategy_id", "direction", "level", "distance_points", "leg_price", "tp", "lot", "comment")
 
@@ -470,7 +474,7 @@ def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_CANDIDATES} SELECT symbol, bar_ts, CAST(strategy_id AS INTEGER) AS strategy_id, direction, {r6('trigger')} AS trigger, {r6('anchor')} AS anchor FROM candidates")
 def pending_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each signal's trigger had come to when it entered or ended."""
-    return shown(G.detect_candidates(bars(spark, sf_dir), T.strategy_config(spark)), "strategy_id", "direction", "trigger", "anchor")
+    return shown(G.detect_candidates(stored_bars(spark, sf_dir), T.strategy_config(spark)), "strategy_id", "direction", "trigger", "anchor")
 
 
 # -- logs
@@ -496,22 +500,30 @@ def log_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LOG} SELECT event_id, strftime(ts, '%Y.%m.%d %H:%M:%S') || ' | ' || upper(label) || ' | state=' || state_key || '|level=' || message || '|note=n/a' AS line FROM lg"""
+    f"""WITH {_LOG} SELECT event_id, strftime(ts, '%Y.%m.%d %H:%M:%S') || ' | ' || upper(label) || ' | state=' || state_key || '|level=' || message || '|note=n/a' AS line, strftime(ts, '%Y%m%d') AS day FROM lg"""
 )
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.read_event_log(spark, _p(sf_dir, "events"))
-    body = S.kv_message(state=F.col("state_key"), level=F.col("message"), note=F.lit(None))
-    return g.select("event_id", F.concat_ws(" | ", F.date_format("ts", "yyyy.MM.dd HH:mm:ss"), F.upper("label"), body).alias("line"))
+    return K.log_lines(R.event_log(g, state=F.col("state_key"), level=F.col("message"), note=F.lit(None)), "event_id").select("event_id", F.col("value").alias("line"), "day")
+
 
+@query(
+    f"""WITH {_LEGS}, m AS (SELECT *, floor(entry_price * 100 + 0.5) / 100 AS e FROM legs) SELECT signal_id, CAST(level_index AS INTEGER) AS level_index, 'level=' || (level_index + 1) || '|status=' || status || '|entry=' || printf('%.2f', e) || '|lot=' || printf('%.2f', floor(lot_size * 100 + 0.5) / 100) || '|ticket=' || coalesce(CAST(ticket AS VARCHAR), 'n/a') AS resolution FROM m"""
+)
+def leg_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = T.read_legs(spark, _p(sf_dir, "orders"))
+    return g.select("signal_id", "level_index", R.leg_resolution(g).alias("resolution"))
 
-@query()
+
+@query(
+    """WITH h AS (SELECT event_type, count(*) AS n, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)
+    SELECT 'symbol' AS section, event_type AS name, 'ticks=' || n || '|first=' || strftime(a, '%Y.%m.%d %H:%M:%S') || '|last=' || strftime(b, '%Y.%m.%d %H:%M:%S') AS value FROM h
+    UNION ALL SELECT CASE WHEN id <> 2 THEN 'active strategy' ELSE 'inactive strategy' END, 'S' || id, 'base_delay=' || d || '|macro=' || m || '|macro_delay=1' FROM (VALUES (1, 3, 'H3'), (2, 5, 'H4'), (3, 10, 'H8')) v(id, d, m)
+    UNION ALL SELECT 'input', n, x FROM (VALUES ('levels', '3'), ('risk', '100.0')) w(n, x)"""
+)
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One header row for each symbol and strategy that a run over the ticks covers."""
-    t = ticks(spark, sf_dir)
-    head = t.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_ticks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    s = T.strategy_config(spark)
-    text = S.kv_message(strategy=F.col("label"), base_delay=F.col("base_delay"), macro=S.tf_label("macro"), macro_delay=F.col("macro_delay"), enabled=F.col("enabled"))
-    return head.join(F.broadcast(s)).select("symbol", "strategy_id", "n_ticks", "first_ts", "last_ts", text.alias("settings"))
+    """What a run over the ticks with two of the strategies covers."""
+    return R.run_manifest(ticks(spark, sf_dir), T.strategy_config(spark, (1, 3)), levels="3", risk="100.0")
 
 
 @query(
@@ -519,7 +531,6 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, floor(min(value - 5) OVER (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 1e6 + 0.5) / 1e6 AS bull_reference, floor(max(value + 5) OVER (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 1e6 + 0.5) / 1e6 AS bear_reference FROM o"""
 )
 def trailing_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adverse-only reference of a signal that each symbol and day opens: it only ever falls for bulls and rises for bears."""
-    w = Window.partitionBy("symbol", F.date_trunc("day", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = ticks(spark, sf_dir)
-    return shown(t.withColumns({"bull_reference": F.min(F.col("price") - 5).over(w), "bear_reference": F.max(F.col("price") + 5).over(w)}), "bull_reference", "bear_reference", keys=("event_id",))
+    """The adverse-only references of a signal that each symbol and day opens."""
+    t = R.trailing_reference(ticks(spark, sf_dir), ("symbol", F.date_trunc("day", "ts")), ("ts", "event_id"), 5)
+    return shown(t, "bull_reference", "bear_reference", keys=("event_id",))

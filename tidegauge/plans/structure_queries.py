@@ -146,9 +146,19 @@ def fib_levels5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.fib_levels5(W.structure_snapshot(b), b).drop("tf")
 
 
-@query()
+def _kind_sql(i: int) -> str:
+    new, old, peak = f"p[{i + 1}]", f"p[{i + 3}]", f"k[{i + 1}]"
+    return f"CASE WHEN {new} = {old} THEN 'EQ' WHEN {new} > {old} THEN CASE WHEN {peak} THEN 'HH' ELSE 'HL' END ELSE CASE WHEN {peak} THEN 'LH' ELSE 'LL' END END"
+
+
+@query(
+    f"""WITH {SNAPSHOT_SQL}, l AS (SELECT symbol, bar_ts, bar_idx, list(price ORDER BY slot) AS p, list(is_peak ORDER BY slot) AS k, list(extremum_ts ORDER BY slot) AS t FROM sized WHERE valid GROUP BY ALL), y AS (SELECT *, [{', '.join(_kind_sql(i) for i in range(6))}] AS types FROM l)
+    SELECT symbol, bar_ts, CAST(bar_idx AS INTEGER) AS bar_idx, array_to_string(types, ',') AS types, array_to_string(types[1:4], ',') AS sequence, """
+    + ", ".join(f"t[{i + 1}] AS ts_{i}, p[{i + 1}] AS price_{i}" for i in range(4))
+    + " FROM y"
+)
 def structure6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.structure6(W.structure_snapshot(bars(spark, sf_dir))).drop("tf")
+    return W.structure6(W.structure_snapshot(bars(spark, sf_dir))).drop("tf").withColumn("types", F.array_join("types", ","))
 
 
 # -- scalars over price triples
@@ -219,7 +229,14 @@ def fib_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(t, low=band["low"], high=band["high"], strict_low=strict["low"], strict_high=strict["high"])
 
 
-@query()
+# the levels repeat every largest one, and are mirrored below 0; from below minus the largest one, that comes first
+_LADDER = "[" + ", ".join(f"{x}::DOUBLE" for x in sorted({s * (100 * k + x) for k in range(9) for x in _SIX for s in (1, -1)})) + "]"
+_UP, _DOWN = f"list_filter({_LADDER}, lambda e: e > x + 1e-4)", f"list_reverse(list_filter({_LADDER}, lambda e: e < x - 1e-4))"
+
+
+@query(
+    f"WITH {_TRIPLES} SELECT id, x, CASE WHEN x < -100 THEN -100.0::DOUBLE ELSE {_UP}[1] END AS up_1, CASE WHEN x < -100 THEN list_filter({_LADDER}, lambda e: e > -100 + 1e-4)[2] ELSE {_UP}[3] END AS up_3, {_DOWN}[1] AS down_1, {_DOWN}[3] AS down_3 FROM t"
+)
 def fib_next_cycled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, at = _triples(spark, sf_dir), _SIX
     return _out(t, x=F.col("x"), up_1=X.fib_next_cycled("x", 1, True, at), up_3=X.fib_next_cycled("x", 3, True, at), down_1=X.fib_next_cycled("x", 1, False, at), down_3=X.fib_next_cycled("x", 3, False, at))

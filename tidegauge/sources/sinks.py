@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def log_lines(events: DataFrame) -> DataFrame:
-    """Lines `time | LABEL | message` with their day."""
+def log_lines(events: DataFrame, *keep: str) -> DataFrame:
+    """Lines `time | LABEL | message` with their day, and the columns to keep."""
     line = F.concat_ws(" | ", F.date_format("ts", "yyyy.MM.dd HH:mm:ss"), F.upper("label"), F.col("message").cast("string"))
-    return events.select(line.alias("value"), F.date_format("ts", "yyyyMMdd").alias("day"))
+    return events.select(*keep, line.alias("value"), F.date_format("ts", "yyyyMMdd").alias("day"))
 
 
 def write_event_log(events: DataFrame, path: str) -> None:
@@ -20,13 +20,15 @@ def write_event_log(events: DataFrame, path: str) -> None:
 def publish_daily_results(spark: SparkSession, results: DataFrame, path: str, schema: str = "account long, magic long, day timestamp_ntz, net_pnl double, deals long") -> int:
     """Append the results (account, magic, day, ...) that the table at path doesn't have yet; how many they were.
 
-    A result that comes again, by a retry or in another batch, is left out. The join is by the three keys, so that it
-    needs no more than one exchange of each side.
+    A result that comes again, by a retry or in another batch, is left out. Of the table only the batch's span of days is
+    read. The append is one job that commits its files together; two writers at once aren't kept apart.
     """
     jvm = spark._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    done = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    results = results.persist()
+    span = results.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    done = spark.read.schema(schema).parquet(path).where(F.col("day").between(F.lit(span["a"]), F.lit(span["b"]))) if exists else spark.createDataFrame([], schema)
     keys = ["account", "magic", "day"]
     new = results.dropDuplicates(keys).join(done.select(*(F.col(k).alias(f"done_{k}") for k in keys)), [F.col(k) == F.col(f"done_{k}") for k in keys], "left_anti")
     new = new.persist()
@@ -34,4 +36,5 @@ def publish_daily_results(spark: SparkSession, results: DataFrame, path: str, sc
     if n:
         new.write.mode("append").parquet(path)
     new.unpersist()
+    results.unpersist()
     return n
