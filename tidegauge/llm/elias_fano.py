@@ -1,4 +1,9 @@
-"""Monotone sequences of 64-bit integers in Elias-Fano blocks that numpy decodes many at a time."""
+"""Monotone sequences of 64-bit integers in Elias-Fano blocks, of which numpy looks up many values at a time.
+
+A block has BLOCK values. Above its first value, their high parts stand in unary in two machine words, of BLOCK ones and HIGH
+zeros; their low parts are whole bytes. A value is found by selecting a one, its place by selecting zeros: no block is
+decoded for a lookup.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,15 @@ import numpy as np
 
 from tidegauge.llm.common import U64
 
-#: Values of a block. Their high parts, below HIGH, stand in unary; low parts are whole bytes.
-BLOCK, HIGH = 32, 128
-_BITMAP = (BLOCK + HIGH) // 8
+BLOCK, HIGH = 32, 96
+_WORDS = (BLOCK + HIGH) // 64
+#: Lookups that are worked on together, so that what they need stays in the processor's cache.
+TOGETHER = 1 << 14
+_MASKS = np.array([(1 << 8 * w) - 1 for w in range(8)], dtype=U64)
 
 
 def encode(values: np.ndarray) -> bytes:
-    """Of a non-decreasing sequence."""
+    """Of a non-decreasing sequence, whose values span less than 2**62."""
     n = len(values)
     blocks = -(-n // BLOCK)
     full = np.full(blocks * BLOCK, values[-1] if n else 0, dtype=U64)
@@ -21,31 +28,47 @@ def encode(values: np.ndarray) -> bytes:
     first = full[:, 0].copy()
     off = full - first[:, None]
     width = np.zeros(blocks, dtype=np.int64)
-    for w in range(1, 9):
+    for w in range(1, 8):
         width[(off[:, -1] >> U64(8 * (w - 1))) >= U64(HIGH)] = w
-    shift = (8 * np.minimum(width, 7)).astype(U64)[:, None]
-    high = (off >> shift).astype(np.int64)
+    high = (off >> (8 * width).astype(U64)[:, None]).astype(np.int64)
     bits = np.zeros((blocks, BLOCK + HIGH), dtype=bool)
     np.put_along_axis(bits, high + np.arange(BLOCK), True, axis=1)
     at = np.concatenate(([0], np.cumsum(width * BLOCK)))
-    low = np.zeros(at[-1], dtype=np.uint8)
+    low = np.zeros(at[-1] + 8, dtype=np.uint8)  # lookups read eight bytes
     parts = off.astype("<u8").view(np.uint8).reshape(blocks, BLOCK, 8)
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
         low[(at[own][:, None] + np.arange(w * BLOCK)).reshape(-1)] = parts[own, :, :w].reshape(-1)
-    return b"".join((np.array([n, blocks], "<i8").tobytes(), first.astype("<u8").tobytes(), at[:-1].astype("<i8").tobytes(), width.astype("<i8").tobytes(), np.packbits(bits, axis=1).tobytes(), low.tobytes()))
+    where = (at[:-1].astype(U64) << U64(3)) | width.astype(U64)
+    return b"".join((np.array([n, blocks], "<i8").tobytes(), first.astype("<u8").tobytes(), where.astype("<u8").tobytes(), np.packbits(bits, axis=1, bitorder="little").tobytes(), low.tobytes()))
+
+
+def _places_in_bytes() -> np.ndarray:
+    """By rank * 256 + byte: the place of the byte's one that has `rank` ones below it."""
+    out = np.zeros(8 * 256, np.uint8)
+    for byte in range(256):
+        for rank, place in enumerate(i for i in range(8) if byte >> i & 1):
+            out[rank * 256 + byte] = place
+    return out
+
 
+_IN_BYTE = _places_in_bytes()
+_EACH, _TOP = U64(0x0101010101010101), U64(0x8080808080808080)
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and where each value is among them; cheap for sorted input."""
-    if (np.diff(x) >= 0).all():
-        first = np.flatnonzero(np.diff(x, prepend=-1))
-        return x[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(x)))
-    return np.unique(x, return_inverse=True)
+
+def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the one with `rank` ones below it, in 64-bit words: sums of ones up to each byte find its byte, and a
+    table its place there."""
+    x = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    x = (x & U64(0x3333333333333333)) + ((x >> U64(2)) & U64(0x3333333333333333))
+    x = ((x + (x >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    bits = np.bitwise_count(((rank * _EACH) | _TOP) - x & _TOP).astype(U64) * U64(8)
+    before = ((x << U64(8)) >> bits) & U64(255)
+    return (bits + _IN_BYTE[(((rank - before) << U64(8)) | ((word >> bits) & U64(255))).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
-    """A sequence in a buffer, which may be a memory map; only the blocks that are asked for are read."""
+    """A sequence in a buffer, which may be a memory map; only what is asked for is read."""
 
     def __init__(self, buffer: np.ndarray):
         self.n, blocks = (int(x) for x in buffer[:16].view("<i8"))
@@ -57,54 +80,76 @@ class EliasFano:
             at += size
             return out
 
-        self.first, self.at, self.width = take(8 * blocks, "<u8"), take(8 * blocks, "<i8"), take(8 * blocks, "<i8")
-        self.bitmaps = take(_BITMAP * blocks, "u1").reshape(blocks, _BITMAP)
-        self.low = buffer[at:]
-
-    def blocks(self, wanted: np.ndarray) -> np.ndarray:
-        """The values of blocks, one row each."""
-        out = np.empty((len(wanted), BLOCK), dtype=U64)
-        for lo in range(0, len(wanted), 8192):
-            own = wanted[lo : lo + 8192]
-            ones = np.flatnonzero(np.unpackbits(self.bitmaps[own], axis=1)).reshape(len(own), BLOCK)
-            high = ones - (np.arange(len(own)) * (BLOCK + HIGH))[:, None] - np.arange(BLOCK)
-            width, first, value = self.width[own], self.first[own], out[lo : lo + 8192]
-            for w in np.unique(width):
-                rows = np.flatnonzero(width == w) if (width != w).any() else slice(None)
-                part = high[rows].astype(U64) << U64(8 * w)
-                if w:
-                    low = self.low[self.at[own[rows]][:, None] + np.arange(w * BLOCK)].reshape(-1, BLOCK, w)
-                    for k in range(w):
-                        part |= low[:, :, k].astype(U64) << U64(8 * k)
-                value[rows] = part + first[rows][:, None]
-        return out
+        self.first, self.where = take(8 * blocks, "<u8"), take(8 * blocks, "<u8")
+        self.unary = take(8 * _WORDS * blocks, "<u8").reshape(blocks, _WORDS)
+        low = np.ascontiguousarray(buffer[at:])
+        self.low = np.ndarray(max(len(low) - 7, 0), "<u8", low, strides=(1,))  # eight bytes from every place on
+
+    def _ones(self, block: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
+        """The place in the block's unary part of the one (or zero) with this many before it."""
+        words = self.unary[block]
+        if flip:
+            words = ~words
+        below = np.bitwise_count(words[:, 0])
+        second = rank >= below
+        return 64 * second + _select(np.where(second, words[:, 1], words[:, 0]), (rank - below * second).astype(U64))
+
+    def _low(self, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Low parts of the values at places of blocks, and the blocks' widths in bytes."""
+        where = self.where[block]
+        width = (where & U64(7)).astype(np.int64)
+        return self.low[(where >> U64(3)).astype(np.int64) + place * width] & _MASKS[width], width
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at positions."""
-        if not len(index):
-            return np.zeros(0, U64)
-        wanted, which = _runs(index // BLOCK)
-        return self.blocks(wanted)[which, index % BLOCK]
+        out = np.zeros(len(index), U64)
+        for lo in range(0, len(index), TOGETHER):
+            own = index[lo : lo + TOGETHER]
+            block, place = own // BLOCK, own % BLOCK
+            high = (self._ones(block, place, False) - place).astype(U64)
+            low, width = self._low(block, place)
+            out[lo : lo + TOGETHER] = self.first[block] + ((high << (8 * width).astype(U64)) | low)
+        return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Positions of values in a sequence without repeats, -1 for those that it hasn't."""
+        """Positions of values in a sequence without repeats, -1 for those that it hasn't. Sorted values are found fastest."""
         out = np.full(len(values), -1, dtype=np.int64)
-        if not self.n or not len(values):
+        if not self.n:
             return out
-        near = np.searchsorted(self.first, values, side="right") - 1
-        inside = np.flatnonzero(near >= 0)
-        for lo in range(0, len(inside), 1 << 16):
-            own = inside[lo : lo + (1 << 16)]
-            wanted, which = _runs(near[own])
-            rows = self.blocks(wanted)
-            # rows follow each other in order, so that one search over all of them finds each value in its own
-            flat = rows.reshape(-1)
-            at = np.searchsorted(flat, values[own])
-            at[at == len(flat)] = 0
-            hit = (flat[at] == values[own]) & (at // BLOCK == which)
-            found = wanted[which] * BLOCK + at % BLOCK
-            out[own[hit]] = found[hit]
+        for lo in range(0, len(values), TOGETHER):
+            own = values[lo : lo + TOGETHER]
+            block = np.searchsorted(self.first, own, side="right") - 1
+            inside = np.flatnonzero(block >= 0)
+            block = block[inside]
+            off = own[inside] - self.first[block]
+            width = self.where[block] & U64(7)
+            high = (off >> (U64(8) * width)).astype(np.int64)
+            some = np.flatnonzero(high < HIGH)
+            inside, block, off, high, width = inside[some], block[some], off[some], high[some], width[some]
+            # values of this high part stand after the zero before it, up to the next zero
+            start = np.where(high > 0, self._ones(block, np.maximum(high, 1) - 1, True) + 1 - high, 0)
+            want, flat = off & _MASKS[width.astype(np.int64)], self.unary.reshape(-1)
+            left = self.n - block * BLOCK
+            open_ = np.arange(len(block))
+            while len(open_):
+                b, s = block[open_], start[open_]
+                bit = s + high[open_]
+                there = ((flat[_WORDS * b + np.minimum(bit >> 6, _WORDS - 1)] >> (bit & 63).astype(U64)) & U64(1)).astype(bool) & (bit < BLOCK + HIGH) & (s < left[open_])
+                open_, b, s = open_[there], b[there], s[there]
+                low, mine = self._low(b, s)[0], want[open_]
+                hit = low == mine
+                out[lo + inside[open_[hit]]] = b[hit] * BLOCK + s[hit]
+                open_ = open_[low < mine]
+                start[open_] += 1
         return out
 
     def all(self) -> np.ndarray:
-        return self.blocks(np.arange(len(self.first))).reshape(-1)[: self.n]
+        """All values, whole blocks at a time."""
+        out = np.empty((len(self.first), BLOCK), U64)
+        for lo in range(0, len(out), 4096):
+            own = np.arange(lo, min(lo + 4096, len(out)))
+            ones = np.flatnonzero(np.unpackbits(self.unary[own].view(np.uint8), axis=1, bitorder="little")).reshape(len(own), BLOCK)
+            high = (ones - (BLOCK + HIGH) * np.arange(len(own))[:, None] - np.arange(BLOCK)).astype(U64)
+            low, width = self._low(own[:, None], np.arange(BLOCK))
+            out[own] = self.first[own][:, None] + ((high << (8 * width).astype(U64)) | low)
+        return out.reshape(-1)[: self.n]
