@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import batched, rows_of, saved
+from tidegauge.llm.common import batched, few_by_hash, rows_of, saved
 from tidegauge.llm.components import components
 
 #: Classes of a block, about.
@@ -58,19 +58,21 @@ class CoverTree:
                     continue
                 # children: centres further than `reach` from each other, the node's own centre first
                 nodes[k][4] = len(nodes)
-                left, done = own, lo
-                pick = centre
+                left, done = np.arange(len(own)), lo
+                pick = int(np.flatnonzero(own == centre)[0])
+                # all distances at once, where that is no more than a block's
+                every = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit[own] @ unit[own].T))) if len(own) <= 2 * BLOCK else None
                 while len(left):
-                    d = _distances(unit[left], unit[pick])
+                    d = every[pick, left] if every is not None else _distances(unit[own[left]], unit[own[pick]])
                     near = (d <= reach) | (left == pick)
-                    taken = left[near]
+                    taken = own[left[near]]
                     order[done : done + len(taken)] = taken
-                    nodes.append([int(pick), done, done + len(taken), 0.0, 0, 0])
+                    nodes.append([int(own[pick]), done, done + len(taken), 0.0, 0, 0])
                     following.append(len(nodes) - 1)
                     done += len(taken)
                     left = left[~near]
                     if len(left):
-                        pick = left[0]
+                        pick = int(left[0])
                 nodes[k][5] = len(nodes)
             level = following
         table = np.array(nodes, dtype=float)
@@ -120,9 +122,8 @@ def dual_links(a: np.ndarray, ta: CoverTree, wa: np.ndarray, b: np.ndarray, tb:
     na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     forest = _Forest(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    i, j, d = np.zeros(1, np.int64), np.zeros(1, np.int64), _distances(a[ta.centre[:1]], b[tb.centre[:1]])
     while len(i):
-        d = _distances(a[ta.centre[i]], b[tb.centre[j]])
         spread = ta.radius[i] + tb.radius[j]
         open_ = d - spread <= limit + SLACK
         i, j, d, spread = i[open_], j[open_], d[open_], spread[open_]
@@ -146,26 +147,18 @@ def dual_links(a: np.ndarray, ta: CoverTree, wa: np.ndarray, b: np.ndarray, tb:
                 nb[q] += wa[p] @ hit
                 for r, c in zip(*np.nonzero(hit)):
                     forest.link(int(p[r]), shift + int(q[c]))
-        rest = ~whole & ~(leaf_a & leaf_b)
-        i, j, leaf_a, leaf_b = i[rest], j[rest], leaf_a[rest], leaf_b[rest]
-        first = ~leaf_a & (leaf_b | (ta.radius[i] >= tb.radius[j]))
-        twin = (i == j) & same
-        out_i, out_j = [], []
-        for x, y, f, t in zip(i, j, first, twin):
-            if t:  # a node with itself: its pairs of children, each once
-                kids = np.arange(ta.first[x], ta.end[x])
-                u, v = np.triu_indices(len(kids))
-                out_i.append(kids[u])
-                out_j.append(kids[v])
-            elif f:
-                kids = np.arange(ta.first[x], ta.end[x])
-                out_i.append(kids)
-                out_j.append(np.full(len(kids), y))
-            else:
-                kids = np.arange(tb.first[y], tb.end[y])
-                out_i.append(np.full(len(kids), x))
-                out_j.append(kids)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+        rest = np.flatnonzero(~whole & ~(leaf_a & leaf_b))
+        out: list[tuple[np.ndarray, ...]] = []
+        for x, y in zip(i[rest], j[rest]):
+            # the children of both (a leaf stays), all their distances at once; only pairs that aren't pruned go on
+            u, v = (np.arange(t.first[k], t.end[k]) if t.end[k] else np.array([k]) for t, k in ((ta, x), (tb, y)))
+            apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a[ta.centre[u]] @ b[tb.centre[v]].T)))
+            near = apart - ta.radius[u][:, None] - tb.radius[v][None, :] <= limit + SLACK
+            if same and x == y:  # a node with itself: its pairs of children, each once
+                near = np.triu(near)
+            r, c = np.nonzero(near)
+            out.append((u[r], v[c], apart[r, c]))
+        i, j, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return na, nb, forest.edges
 
 
@@ -263,7 +256,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     classes = rows.where("valid").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = saved(classes.where("rep is not null").select("label", F.size("vector").alias("dim"), "vector", "rep", "copies"), "vectors")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = classes.select("dim", "vector").orderBy(F.xxhash64("rep"), "rep").limit(PIVOT_SAMPLE).collect()
+    sample = sorted(few_by_hash(classes.select("rep", "dim", "vector"), F.xxhash64("rep"), PIVOT_SAMPLE).collect(), key=lambda r: r["hash"])
     common = max({r["dim"] for r in sample}, key=[r["dim"] for r in sample].count, default=0)
     pivots = _pivots(_unit([r["vector"] for r in sample if r["dim"] == common]) if common else np.zeros((0, 0)), min(PIVOTS, math.ceil(largest / BLOCK)))
     dealt = classes.select("label", "dim", "rep", "copies", "vector").mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "label string, dim int, rep long, copies long, vector array<double>, pivot int")
