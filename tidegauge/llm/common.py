@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.sources.stored import shared_dir, stored  # noqa: F401  (operators take shared_dir from here)
+
 #: White space as the contracts define it; bytes.split() and bytes.strip() use the same six characters.
 WHITE = " \t\n\x0b\x0c\r"
 
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (as in tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at
+#: Rows of a table that may be broadcast whole, once they are counted.
+BROADCAST_ROWS = 1 << 20
+#: Longer words aren't remembered by any cache, which so are bounded in bytes too.
+LONGEST = 64
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the planner exact sizes."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, with a broadcast hint if it has few enough rows; else it is joined as Spark sees fit."""
+    held = saved(df, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
 def few_by_hash(df: DataFrame, hash_: Column, n: int) -> DataFrame:
@@ -63,9 +62,11 @@ class WordHashes(dict):
     LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

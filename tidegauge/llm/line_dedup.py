@@ -15,9 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, WHITE, batched, mix, rows_of, saved
+from tidegauge.llm.common import U64, WHITE, batched, mix, rows_of, saved, small
 
 PROBES = 4
+#: Documents of a key that counts as very common.
+COMMON = 1 << 10
 #: Bits of one segment of the filters (64 KB); segments are merged apart from each other.
 SEGMENT_BITS = 1 << 19
 
@@ -142,8 +144,13 @@ def drop_repeated_lines(
     shared = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in merged.toLocalIterator()})
     marked = source.withColumn("print", F.xxhash64("text"))
     found = saved(marked.mapInArrow(_suspected(min_chars, segment_bits, shared), "id long, print long, line int, key string"), "lines")
-    repeated = found.groupBy("key").agg(F.countDistinct("id").alias("held"), F.max("id").alias("last")).where(F.col("held") >= min_docs).select(F.col("key").alias("gone_key"), "last")
-    gone = found.join(repeated, (F.col("key") == F.col("gone_key")) & (F.col("id") != F.col("last"))).select("id", "print", "line")
+    repeated = found.groupBy("key").agg(F.countDistinct("id").alias("held"), F.max("id").alias("last")).where(F.col("held") >= min_docs)
+    repeated = saved(repeated.select(F.col("key").alias("gone_key"), "held", "last"), "repeated")
+    # occurrences of the commonest keys stay where they are; they are told apart before the others are dealt by their key
+    common = small(repeated.where(F.col("held") > COMMON).select("gone_key", "last"), "common")
+    same, drops = F.col("key") == F.col("gone_key"), F.col("id") != F.col("last")
+    rest = found.join(common, same, "left_anti").join(repeated.where(F.col("held") <= COMMON).select("gone_key", "last"), same & drops)
+    gone = found.join(common, same & drops).select("id", "print", "line").unionByName(rest.select("id", "print", "line"))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone"))
     kept = marked.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("print") == F.col("gone_print")), "left").select("id", "text", "gone")
     return kept.mapInArrow(_without, "id long, n_lines long, n_dropped long, text string").withColumnsRenamed({"id": id_col, "text": text_col})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, WordHashes, batched, mix, rows_of, saved, words_of
+from tidegauge.llm.common import U64, WordHashes, batched, mix, rows_of, saved, small, words_of
 from tidegauge.llm.components import components
 
 BINS = 128
@@ -156,10 +156,16 @@ def _fetched(rows: DataFrame, texts: DataFrame, key: str, name: str) -> DataFram
     return needed.hint("shuffle_merge").join(rows, F.col("id") == F.col(key))
 
 
+def _with_parts(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """rows with the number of parts of their first class; only classes with more than one are looked up, and those are few."""
+    large = small(sizes.where("parts > 1").select(F.col("first_of").alias("large"), "parts"), f"{name}-large")
+    return rows.join(large, F.col("first") == F.col("large"), "left").drop("large").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """first, other, linked of the pairs, on full shingle sets; hot first classes are spread over tasks."""
-    sizes = pairs.groupBy(F.col("first").alias("first_of")).agg(F.count(F.lit(1)).alias("others")).withColumn("parts", F.ceil(F.col("others") / SHARE).cast("int"))
-    others = pairs.join(sizes, F.col("first") == F.col("first_of")).select("first", F.expr("pmod(xxhash64(other), parts)").cast("int").alias("part"), "other")
+    sizes = saved(pairs.groupBy(F.col("first").alias("first_of")).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts")), f"{name}-sizes")
+    others = _with_parts(pairs, sizes, name).select("first", F.expr("pmod(xxhash64(other), parts)").cast("int").alias("part"), "other")
     firsts = sizes.select(F.col("first_of").alias("first"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("first_of").alias("other"))
     wanted = saved(others.unionByName(firsts), f"{name}-wanted")
     found = _fetched(wanted, texts, "other", name).select("first", "part", "other", "text")
@@ -210,6 +216,7 @@ def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
     met = members.select("first", "other").distinct()
     placed = met.join(joined, F.col("other") == F.col("node"), "left").select("first", "other", F.coalesce("component", "other").alias("component"))
     mixed = placed.groupBy(F.col("first").alias("mixed")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("held")).where("low < high AND held > 2").select("mixed")
+    mixed = small(mixed, "mixed")
     return placed.where("other != first").join(mixed, F.col("first") == F.col("mixed"), "left_semi")
 
 
@@ -219,9 +226,9 @@ def _settled(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     Classes are dealt into blocks, and each pair of blocks is one task's group: a bounded number of documents, whose
     intersections come from one matrix product.
     """
-    sizes = rest.groupBy(F.col("first").alias("first_of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, F.col("first") == F.col("first_of")).withColumn("own", F.expr("pmod(xxhash64(other), blocks)").cast("int"))
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "other", "component")
+    sizes = saved(rest.groupBy(F.col("first").alias("first_of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "rest-sizes")
+    dealt = _with_parts(rest, sizes, "rest").withColumn("own", F.expr("pmod(xxhash64(other), parts)").cast("int"))
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("first", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "other", "component")
     found = _fetched(pairs, texts, "other", "rest").select("first", "low", "high", "own", "other", "component", "text")
     dealt = found.repartition("first", "low", "high").sortWithinPartitions("first", "low", "high", "other")
     return dealt.mapInArrow(_blocks(size, percent), "first long, other long")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import LONGEST
+
 SPACE = "▁"
 #: Words whose ids a worker remembers.
 CACHE = 500_000
@@ -126,7 +128,7 @@ class PieceModel:
         """
         if len(self.words) > CACHE:
             self.words.clear()
-        known, out = self.words, []
+        known, out, long_ = self.words, [], []
         for text in texts:
             if not text:
                 out.append(b"")
@@ -145,7 +147,12 @@ class PieceModel:
             for w in words:
                 if w not in known:
                     known[w] = self.chunk(" " + w)
+                    if len(w) > LONGEST:  # isn't remembered beyond its text
+                        long_.append(w)
             out.append(b"".join(map(known.__getitem__, words)))
+            for w in long_:
+                del known[w]
+            long_.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import U64, batched, mix, rows_of, saved
+from tidegauge.llm.common import LONGEST, U64, batched, few_by_hash, mix, rows_of, saved
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
@@ -125,7 +125,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)  # bounds what is broadcast and collected
+    chosen = few_by_hash(known, F.xxhash64("label_id"), fit_rows).drop("hash")  # bounds what is broadcast and collected
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fit = saved(texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label", "text"), "labelled")
     sizes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
@@ -174,6 +174,9 @@ def _scorer(shared):
                 new = list({w for ws in words for w in ws if w not in known})
                 known.update(zip(new, model.word_scores(new).tolist()))
                 out += [math.fsum(map(known.__getitem__, ws)) + model.bias for ws in words]
+                for w in new:
+                    if len(w) > LONGEST:
+                        del known[w]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700))))
 
     return score
