@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -321,6 +322,54 @@ def test_pipeline(spark, sf):
         assert any(i != j and len(own & s) >= 0.8 * len(own | s) for j, t in texts.items() if (v := t.lower().split()) is not None and (s := {tuple(v[k : k + 5]) for k in range(max(1, len(v) - 4))})), i
 
 
+def test_stages_are_brute_force(spark, sf):
+    """What each filtering stage keeps of a given table, and that the packed sequences hold all of it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(re.sub("[ \t-\r]+", " ", texts[i]), i)
+    once = corpus_pipeline.drop_exact_copies(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(first.values())
+    sets = {}
+    for i in first.values():
+        w = re.findall("[^ \t-\r]+", texts[i].translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in sets}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    holders = {}
+    for i, own in sets.items():
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    pairs = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    for a, b in pairs:
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    left = corpus_pipeline.drop_near_copies(spark, once, sf)
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i in sets if root(i) == i)
+    placed = corpus_pipeline.pack(spark, left, sf).collect()
+    assert {r["doc_id"] for r in placed} == {i for i in sets if root(i) == i}
+    by = {}
+    for r in placed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in own) <= 1024 and all(o == sum(n for p, n in own if p < o) for o, _ in own) for own in by.values())
+
+
+def test_stages_decide_rows_by_their_own_text(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    row = lambda i, t: (i, t, "en", "s", 0)
+    rows = [row(1, "a"), row(1, "b"), row(0, "b"), row(None, "b"), row(None, None), row(None, ""), row(3, "c  d"), row(4, "c d"), row(5, "e"), row(5, "e")]
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS id", "'x' AS kept", "2 AS component_id")
+    got = sorted((r["doc_id"], r["text"] or "") if r["doc_id"] is not None else (-1, r["text"] or "") for r in corpus_pipeline.drop_exact_copies(spark, df, sf).collect())
+    assert got == [(-1, ""), (0, "b"), (1, "a"), (3, "c  d"), (5, "e")]
+    assert corpus_pipeline.drop_exact_copies(spark, df, sf).columns == df.columns
+
+
 def test_pipeline_stages_of_nothing_and_odd_rows(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, None, None, None), (3, "plain words here", "en", "s", 1), (3, "plain words here", "en", "s", 1)], schema)

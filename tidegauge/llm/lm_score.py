@@ -301,25 +301,30 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _packed(part: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each part that has some of the sorted keys: the keys in Elias-Fano form, and the counts above one."""
+    """A row for each part that has some of the sorted keys: the keys in Elias-Fano form, which of them came more than once,
+    the counts of those as bytes, and counts that no byte holds."""
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(part)]):
-        more = np.flatnonzero(count[a:b] > 1)
+        several = count[a:b] > 1
+        more = count[a:b][several]
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part[a]], pa.int32()), "keys": pa.array([elias_fano.encode(key[a:b])], pa.binary()),
-            "at": pa.array([more.astype("<i4").tobytes()], pa.binary()), "counts": pa.array([count[a:b][more].astype("<i8").tobytes()], pa.binary()),
+            "part": pa.array([part[a]], pa.int32()), "keys": pa.array([elias_fano.encode(key[a:b])], pa.binary()), "several": pa.array([np.packbits(several).tobytes()], pa.binary()),
+            "counts": pa.array([np.minimum(more, 255).astype("u1").tobytes()], pa.binary()), "large": pa.array([more[more >= 255].astype("<i8").tobytes()], pa.binary()),
         })
 
 
-_PACKED = "part int, keys binary, at binary, counts binary"
+_PACKED = "part int, keys binary, several binary, counts binary, large binary"
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
-    for k, at, more in zip(table.column("keys"), table.column("at"), table.column("counts")):
-        keys.append(EliasFano(np.frombuffer(k.as_py(), np.uint8)).all())
+    for row in zip(*(table.column(c) for c in ("keys", "several", "counts", "large"))):
+        own, several, more, large = (np.frombuffer(x.as_buffer(), np.uint8) for x in row)
+        keys.append(EliasFano(own).all())
         count = np.ones(len(keys[-1]), np.int64)
-        count[np.frombuffer(at.as_py(), "<i4")] = np.frombuffer(more.as_py(), "<i8")
+        more = more.astype(np.int64)
+        more[more == 255] = large.view("<i8")
+        count[np.unpackbits(several, count=len(count)).astype(bool)] = more
         counts.append(count)
     return _counted(keys, counts)
 

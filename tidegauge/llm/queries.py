@@ -98,6 +98,15 @@ def oracle_sql() -> dict[str, str]:
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op7_minhash_dedup": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+            u AS (SELECT doc_id, unnest(sh) AS g FROM s), z AS (SELECT doc_id, len(sh) AS n FROM s),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            l AS (SELECT p.a, p.b FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+            r AS (SELECT doc_id AS node, doc_id AS reached FROM z UNION SELECT l.b, r.reached FROM r JOIN l ON l.a = r.node),
+            c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+            SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM z JOIN c ON c.node = z.doc_id""",
         "op9_line_dedup": r"""
             WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
             l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
