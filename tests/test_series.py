@@ -4,15 +4,16 @@ import datetime as dt
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fib, scalars
-from tidegauge.operators import reports, windows
+from tidegauge.operators import lifecycle, reports, signals, windows
 from tidegauge.operators import swings as W
 from tidegauge.plans.registry import bars as bars_of
 from tidegauge.sources import sinks
-from tidegauge.sources.tables import build_bars, read_event_log, read_ticks
+from tidegauge.sources.tables import build_bars, read_deals, read_event_log, read_ticks, strategy_config
 from tidegauge.streaming import streams
 
 
@@ -184,3 +185,124 @@ def test_snapshot_sees_all_of_a_long_leg(spark):
         osc = (min if peak else max)(stoch[j] for j in at)
         assert tuple(got[i][0]) == (0, not peak, rows[best][2], best, low[best] if peak else high[best], osc)
     assert longest > 1000
+
+
+# -- signals of sources
+
+
+def _bar(i, close, high_1=10.0, low_1=9.0, eligible=False, base=True, macro=True, high=None, low=None):
+    return (i, i, high_1, low_1, high if high is not None else close, low if low is not None else close, close, eligible, base, macro, 99)
+
+
+def _life(bars, stop=8.0):
+    s, out = lifecycle.Signal(), []
+    for b in bars:
+        if end := s.step(1, stop, b, 0.01, 5.0, 100.0):
+            out.append((end[0], end[9], end[11]))
+    if end := s.left(99):
+        out.append((end[0], end[9], end[11]))
+    return out
+
+
+def test_a_source_is_tried_again_until_a_target():
+    b = [_bar(0, 9.5, eligible=True), _bar(1, 10.5, eligible=True), _bar(2, 7.5, eligible=True), _bar(3, 9.0, eligible=True), _bar(4, 10.5), _bar(5, 13.5), _bar(6, 9.5, eligible=True)]
+    # enters at 10.5 with the stop at 8 and so the target at 13; stopped, tried again by the next bar, entered, hit; then never again
+    assert _life(b) == [(1, "SL", 2), (2, "TP", 5)]
+    assert _life([_bar(0, 9.5, eligible=True), _bar(1, 10.5, base=False), _bar(2, 9.5, eligible=True), _bar(3, 10.5, macro=False), _bar(4, 9.0)]) == [(1, "BASE_EXPIRED", 1), (2, "MACRO_EXPIRED", 3)]
+    assert _life([_bar(0, 9.5, eligible=True), _bar(1, 9.5)]) == [(1, "EXPIRED", None)]
+    assert _life([_bar(98, 9.5, eligible=True), _bar(99, 9.5)]) == [(1, "PENDING", None)]
+    assert _life([_bar(0, 9.5, eligible=True), *(_bar(i, 9.5) for i in range(1, 80)), _bar(80, 10.5), *(_bar(i, 11.0) for i in range(81, 98)), _bar(98, 13.5)]) == [(1, "TP", 98)]  # no limit of bars
+
+
+def test_the_trigger_follows_closed_bars_towards_the_stop():
+    # the edge comes down to 9.2, so that 9.5 enters; an edge below the stop, or nearer than five points, is no trigger
+    assert _life([_bar(0, 9.5, eligible=True), _bar(1, 9.1, high_1=9.2), _bar(2, 9.5, high_1=9.3), _bar(3, 7.0)]) == [(1, "SL", 3)]
+    s = lifecycle.Signal()
+    for b in (_bar(0, 9.0, eligible=True), _bar(1, 7.9, high_1=7.5), _bar(2, 7.9, high_1=8.02)):
+        s.step(1, 8.0, b, 0.01, 5.0, 100.0)
+    assert s.anchor == 10.0 and s.status == lifecycle.PENDING
+
+
+def test_first_bar_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    n = 9000  # more than FAN * FAN * 2 bars
+    close = np.cumsum(rng.normal(size=n)).round(2)
+    high, low = close + 0.5, close - 0.5
+    b = spark.createDataFrame(pd.DataFrame({"symbol": "a", "bar_idx": np.arange(n, dtype="int32"), "close": close, "high": high, "low": low}))
+    asks = [(k, "a", int(i), float(close[i] + d)) for k, (i, d) in enumerate(zip(rng.integers(0, n, 300), rng.normal(size=300) * 40))]
+    q = spark.createDataFrame(asks, "k int, symbol string, at int, goal double")
+    got = {r["k"]: r["hit_idx"] for r in lifecycle.first_bar(q, ("k",), b, "at", lambda cl, ch, lo, hi: hi >= F.col("goal")).collect()}
+    assert got == {k: int(i + 1 + np.argmax(high[i + 1 :] >= g)) for k, _, i, g in asks if (high[i + 1 :] >= g).any()}
+
+
+def test_stream_signals_are_the_batch(spark, sf):
+    b = bars_of(spark, sf, "15min")
+    s = signals.setups(b, strategy_config(spark), macros=("3h", "4h", "8h"))
+    want = signals.label_outcomes(signals.detect_candidates(b, strategy_config(spark)), b).where("outcome NOT IN ('OPEN', 'PENDING')")
+    want = {(r["symbol"], r["strategy_id"], r["extremum_ts"], r["attempt"]): (r["outcome"], r["exit_idx"] if r["outcome"] in ("TP", "SL") else None) for r in want.collect()}
+    flow = s.select(*lifecycle.SOURCE, *lifecycle.BAR).withColumns({c: F.col(c).cast("timestamp") for c in ("bar_ts", "extremum_ts")})
+    rows = _streamed(spark, flow, streams.stream_signals, "live_signals").collect()
+    got = {(r["symbol"], r["strategy_id"], r["extremum_ts"], r["attempt"]): (r["outcome"], r["exit_idx"] if r["outcome"] in ("TP", "SL") else None) for r in rows}
+    assert len(got) == len(rows) and got == want and len(want) > 20
+
+
+def test_stream_indicators_are_the_batch(spark, sf):
+    b = bars_of(spark, sf)
+    b = windows.with_ma(windows.with_ma(windows.with_atr(b, 5), "SMA", 5, "sma"), "EMA", 5, "ema")
+    flow = b.select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "bar_idx", "high", "low", "close")
+    got = {(r["symbol"], r["bar_idx"]): (r["sma"], r["ema"], r["atr"]) for r in _streamed(spark, flow, lambda x: streams.stream_indicators(x, 5), "live_indicators").collect()}
+    for r in b.collect():
+        assert got.pop((r["symbol"], r["bar_idx"])) == pytest.approx((r["sma"], r["ema"], r["atr"]), abs=1e-6)
+    assert not got
+
+
+def test_stream_new_bars_come_once(spark, sf):
+    t = read_ticks(spark, f"{sf}/events.parquet")
+    rows = _streamed(spark, t, lambda s: streams.stream_new_bars(s, 3600, "40 days"), "live_new").collect()
+    assert {(r["symbol"], r["bar_ts"]) for r in rows} == {(r["symbol"], r["bar_ts"]) for r in build_bars(t, "1h").collect()} and len(rows) == len({(r["symbol"], r["bar_ts"]) for r in rows})
+
+
+def test_stream_sources_locks_and_closes(spark, sf):
+    t = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("k", "ATTEMPT", t), ("k", "TP", t + dt.timedelta(hours=1)), ("k", "ATTEMPT", t + dt.timedelta(hours=2)), ("m", "ATTEMPT", t)], "source_key string, event string, ts timestamp")
+    got = {r["source_key"]: (r["attempts"], r["consumed_ts"]) for r in _streamed(spark, e, streams.stream_source_state, "live_sources", "complete").collect()}
+    assert got == {"k": (2, t + dt.timedelta(hours=1)), "m": (1, None)}
+    eq = read_ticks(spark, f"{sf}/events.parquet").withColumn("drawdown", F.col("price"))
+    for period in ("day", "week"):
+        flow = eq.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "drawdown")
+        live = {r["event_id"]: r["locked"] for r in _streamed(spark, flow, lambda s: streams.stream_drawdown_lock(s, 480.0, period), f"live_lock_{period}").collect()}
+        assert live == {r["event_id"]: r["locked"] for r in reports.drawdown_lock(eq, F.lit(480.0), period, order=("ts", "event_id")).collect()}
+    rows = [("a", t + dt.timedelta(seconds=i), i, reason, ok) for i, (reason, ok) in enumerate([("x", False), ("x", False), ("y", False), (None, True), (None, True), ("x", True)])]
+    r = spark.createDataFrame(rows, "symbol string, ts timestamp, event_id long, reason string, allowed boolean")
+    assert [x["reason"] for x in _streamed(spark, r, streams.stream_force_close, "live_closes").orderBy("ts", "reason").collect()] == ["x", "y", "x"]
+
+
+def test_stream_publishes_once(spark, tmp_path):
+    r = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 1.5, 2), (1, 2, dt.datetime(2024, 1, 2), 0.5, 1)], "account long, magic long, day timestamp_ntz, net_pnl double, deals long")
+    r.write.parquet(str(tmp_path / "in"))
+    for turn in range(2):
+        flow = spark.readStream.schema(r.schema).parquet(str(tmp_path / "in"))
+        streams.publish_stream(flow, str(tmp_path / "out"), str(tmp_path / f"check{turn}")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_event_log_is_written_by_day(spark, sf, tmp_path):
+    e = read_event_log(spark, f"{sf}/events.parquet")
+    sinks.write_event_log(e, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == e.count()
+    assert {r["day"] for r in spark.read.text(str(tmp_path / "log")).select("day").distinct().collect()} == {int(r["d"]) for r in e.select(F.date_format("ts", "yyyyMMdd").alias("d")).distinct().collect()}
+
+
+def test_deals_since_and_until_reach_the_scan(spark, sf):
+    whole = read_deals(spark, f"{sf}/lineitem.parquet")
+    cut = read_deals(spark, f"{sf}/lineitem.parquet", "1995-01-01", "1996-01-01", 3600)
+    a, b = dt.datetime(1995, 1, 1, 1), dt.datetime(1996, 1, 1, 1)
+    assert cut.count() == whole.where((F.col("deal_time") >= F.lit(a)) & (F.col("deal_time") < F.lit(b))).count() > 0
+    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indicators_by_name(spark, sf):
+    b = bars_of(spark, sf)
+    windows.register_indicator("double", lambda x, by=2: x.withColumn("d", F.col("close") * by))
+    assert windows.indicator("double", b, by=3).where("d <> close * 3").count() == 0
+    assert "atr" in windows.indicator("atr", b, n=5).columns

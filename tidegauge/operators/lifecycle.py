@@ -58,12 +58,7 @@ class Signal:
                 self.status, self.entry_ts, self.entry_idx, self.entry_close = ACTIVE, ts, i, close
                 self.target = close + sign * abs(close - stop) * percent / 100
         elif self.status == ACTIVE:
-            if (close - stop) * sign < 0:
-                self.status = IDLE
-                return self.row("SL", ts, i, close)
-            if ((high if sign > 0 else low) - self.target) * sign >= 0:
-                self.status = CONSUMED
-                return self.row("TP", ts, i, close)
+            return self.exit(sign, stop, bar)
         elif self.status == IDLE and eligible:
             self.attempt, self.status, self.signal_ts, self.signal_idx = self.attempt + 1, PENDING, ts, i
             self.trigger = self.anchor = edge
@@ -71,6 +66,17 @@ class Signal:
             self.entry_ts, self.entry_idx, self.entry_close = None, -1, 0.0
         return None
 
+    def exit(self, sign: int, stop: float, bar: tuple) -> tuple | None:
+        """The row of a running signal, if the bar ends it; the stop counts first."""
+        ts, i, _, _, high, low, close = bar[:7]
+        if (close - stop) * sign < 0:
+            self.status = IDLE
+            return self.row("SL", ts, i, close)
+        if ((high if sign > 0 else low) - self.target) * sign >= 0:
+            self.status = CONSUMED
+            return self.row("TP", ts, i, close)
+        return None
+
     def left(self, last_idx: int) -> tuple | None:
         """The signal's row when its source's bars are over, if it hasn't ended. One that runs has no outcome yet."""
         if self.status == PENDING:

@@ -6,6 +6,7 @@ watermark. Operators whose next decision depends on earlier ones keep a small st
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegauge.operators.lifecycle import ACTIVE, ATTEMPT, BAR, SOURCE, Signal
 from tidegauge.sources.sinks import publish_daily_results
 
 
@@ -63,6 +65,68 @@ def stream_swings(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, is_peak boolean, extremum_idx long, price double, confirm_idx long", "sign int, idx long, price double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_indicators(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Mean, exponential mean and mean true range of each streaming bar (symbol, bar_ts, bar_idx, high, low, close): symbol, bar_ts,
+    bar_idx, sma, ema, atr, as the batch functions give them. Holds n closes and n true ranges of a symbol, whatever its
+    history; bars come in order of their numbers."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closes, ranges, ema, seen = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], 0.0, 0)
+        out = []
+        for r in _ordered(parts, "bar_idx").itertuples():
+            ranges = [*ranges, max(r.high, closes[-1]) - min(r.low, closes[-1]) if closes else 0.0][-n:]
+            closes = [*closes, float(r.close)][-n:]
+            ema = float(r.close) if not seen else 2 / (n + 1) * r.close + (1 - 2 / (n + 1)) * ema
+            seen += 1
+            out.append((key[0], r.bar_ts, int(r.bar_idx), sum(closes) / n if seen >= n else None, ema, sum(ranges) / n if seen > n else None))
+        state.update((closes, ranges, ema, seen))
+        yield pd.DataFrame(out, columns=["symbol", "bar_ts", "bar_idx", "sma", "ema", "atr"])
+
+    out = "symbol string, bar_ts timestamp, bar_idx int, sma double, ema double, atr double"
+    return bars.groupBy("symbol").applyInPandasWithState(step, out, "closes array<double>, ranges array<double>, ema double, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_signals(setups: DataFrame, point: float = 0.01, least_points: float = 5.0, percent: float = 100.0) -> DataFrame:
+    """Signals of streaming setups (lifecycle.SOURCE and BAR, one row for each bar and strategy, in order of bars) as they end:
+    lifecycle.SOURCE and the columns of lifecycle.ATTEMPT.
+
+    A signal waits, runs and ends as in the batch; what runs when its source changes goes on until it meets its stop or target.
+    State of a symbol and strategy: the newest source's signal and those that still run.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        source, signal, running = pickle.loads(state.get[0]) if state.exists else (None, Signal(), [])
+        out = []
+        for r in _ordered(parts, "bar_idx").to_dict("records"):
+            own, bar = tuple(r[c] for c in SOURCE), tuple(r[c] for c in BAR)
+            if own != source:
+                if source is not None and signal.status == ACTIVE:
+                    running.append((source, signal))
+                elif source is not None and (end := signal.left(-1)):
+                    out.append((*source, *end))
+                source, signal = own, Signal()
+            left = []
+            for of, live in running:
+                end = live.exit(1 if of[2] == "BULLISH" else -1, of[6], bar)
+                if end:
+                    out.append((*of, *end))
+                else:
+                    left.append((of, live))
+            running = left
+            if end := signal.step(1 if own[2] == "BULLISH" else -1, own[6], bar, point, least_points, percent):
+                out.append((*own, *end))
+        state.update((pickle.dumps((source, signal, running)),))
+        frame = pd.DataFrame(out, columns=names)
+        for c in ("entry_idx", "exit_idx"):
+            frame[c] = frame[c].astype("Int32")
+        yield frame
+
+    kinds = dict(setups.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in SOURCE) + ", " + ATTEMPT.replace("timestamp_ntz", "timestamp")
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    return setups.select(*SOURCE, *BAR).groupBy("symbol", "strategy_id").applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_lifecycle(ticks: DataFrame) -> DataFrame:
     """Decisions on signals that come mixed with the ticks of their symbol: symbol, signal_id, event, ts, price.
 
@@ -150,9 +214,42 @@ def stream_log_throttle(events: DataFrame, seconds: int) -> DataFrame:
     return events.groupBy("label", "state_key").applyInPandasWithState(step, f"{_LOG}, suppressed long", "last long, dropped long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_force_close(requests: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Requests (symbol, ts, reason), each reason of a symbol once within the watermark."""
-    return _event_time(requests, late).dropDuplicatesWithinWatermark(["symbol", "reason"])
+def stream_drawdown_lock(equity: DataFrame, threshold: float, period: str = "day") -> DataFrame:
+    """Rows (symbol, ts, event_id, drawdown) with `locked`: an earlier row of the same day or week had a drawdown of at least the
+    threshold. The lock goes when the next day or week begins."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        anchor, locked = state.get if state.exists else (None, False)
+        rows = _ordered(parts, "ts", "event_id")
+        starts, out = rows["ts"].dt.to_period("W" if period == "week" else "D").astype(str), []
+        for start, drawdown in zip(starts, rows["drawdown"]):
+            if start != anchor:
+                anchor, locked = start, False
+            out.append(locked)
+            locked = locked or drawdown >= threshold
+        state.update((anchor, bool(locked)))
+        yield rows.assign(locked=out)[["symbol", "ts", "event_id", "locked"]]
+
+    return equity.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, event_id long, locked boolean", "anchor string, locked boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_force_close(requests: DataFrame) -> DataFrame:
+    """Requests (symbol, ts, event_id, reason or null, allowed) as they are carried out: symbol, ts, reason. A reason waits until
+    a row of its symbol says that closing is allowed, and isn't queued again while it waits."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = list(state.get[0]) if state.exists else []
+        out = []
+        for r in _ordered(parts, "ts", "event_id").itertuples():
+            if isinstance(r.reason, str) and r.reason and r.reason not in waiting:
+                waiting.append(r.reason)
+            if r.allowed:
+                out += [(key[0], r.ts, reason) for reason in waiting]
+                waiting = []
+        state.update((waiting,))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "reason"])
+
+    return requests.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, reason string", "waiting array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def publish_stream(results: DataFrame, path: str, checkpoint: str):
