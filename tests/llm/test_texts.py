@@ -66,6 +66,32 @@ def test_repeated_lines(table):
     assert L.drop_repeated_lines(table([])).count() == 0
 
 
+def test_common_lines_give_the_same(table, monkeypatch):
+    """Lines of very many documents go another way than others."""
+    docs = [(i, "\n".join(f"line number {k} of this corpus" for k in range(i % 9)) + "\n" + "a line that is in all of them") for i in range(30)]
+    plain = rows(L.drop_repeated_lines(table(docs)))
+    monkeypatch.setattr(L, "COMMON", 5)
+    assert rows(L.drop_repeated_lines(table(docs))) == plain
+
+
+def test_filters_of_partitions_merge(table):
+    """A line that two partitions have, or that one has twice, is in the merged twice-seen filter; hardly any other line is."""
+    import pyarrow as pa
+
+    lines = [f"this is line number {i} of many others" for i in range(400)]
+    parts = [[*lines[:150], lines[200]], [lines[200], *lines[140:160]], [lines[300], f"{lines[301]}\n{lines[302]}", lines[301]]]
+    sent = [b for p in parts for b in L._filters(20, 4)(iter([pa.RecordBatch.from_pydict({"text": pa.array(p)})]))]
+    table_ = pa.Table.from_batches(sent)
+    twice = {s: L._merge((pa.scalar(s),), table_.filter(pa.compute.equal(table_.column("segment"), s))).column("bits")[0].as_py() for s in set(table_.column("segment").to_pylist())}
+
+    class Shared:
+        value = twice
+
+    ask = pa.RecordBatch.from_pydict({"id": pa.array([1]), "print": pa.array([1]), "text": pa.array(["\n".join(lines)])})
+    found = {k for b in L._suspected(20, 4, Shared)(iter([ask])) for k in b.column("key").to_pylist()}
+    assert set(lines[140:150]) | {lines[200], lines[301]} <= found and len(found) <= 15
+
+
 def test_a_full_filter_gives_the_same(table):
     docs = [(i, "\n".join(f"line number {random.Random(i * 31 + k).randrange(40)} of this corpus" for k in range(12))) for i in range(40)]
     full = L.drop_repeated_lines(table(docs), bits_per_line=1, max_filter_bytes=1)

@@ -1,7 +1,7 @@
 """Removal of lines that many documents repeat, with two Bloom filters.
 
-A first pass over the documents builds two Bloom filters, of line hashes seen once and seen twice. Only lines that the
-second filter has leave their documents: they are counted exactly, by the line's own text, and the last document that
+A first pass over the documents builds two Bloom filters in each partition, of line hashes seen once and seen twice. Segments of
+the filters are merged apart from each other, bit by bit. Only lines that the merged second filter has leave their documents: they are counted exactly, by the line's own text, and the last document that
 holds them keeps them. Too small a filter makes more lines travel, never a wrong result.
 """
 
@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm import elias_fano
 from tidegauge.llm.common import U64, WHITE, batched, mix, rows_of, saved, small
 
 PROBES = 4
@@ -47,8 +48,9 @@ def _segment(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _sketches(least: int, segment_bits: int):
-    """Of each partition, the filters in their sparse form: sorted hashes by segment, those seen twice apart."""
+def _filters(least: int, segment_bits: int):
+    """The two filters of each partition, segment by segment: the sorted places of the bits that are set, in Elias-Fano form. A
+    line of two documents of the partition is in both."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, U64)]
@@ -61,21 +63,21 @@ def _sketches(least: int, segment_bits: int):
         part = _segment(hashes, segment_bits)
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(hashes) else []
         for a, b in zip(cuts, [*cuts[1:], len(hashes)]):
-            h, c = hashes[a:b], counts[a:b]
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([part[a]], pa.int32()), "once": pa.array([h.tobytes()], pa.binary()), "twice": pa.array([h[c > 1].tobytes()], pa.binary())})
+            once, twice = (elias_fano.encode(np.unique(_places(h)).astype(U64)) for h in (hashes[a:b], hashes[a:b][counts[a:b] > 1]))
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([part[a]], pa.int32()), "once": pa.array([once], pa.binary()), "twice": pa.array([twice], pa.binary())})
 
     return build
 
 
 def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The twice-seen filter of a segment: what the once-seen filter has when it comes again goes into it."""
+    """The twice-seen filter of a segment over all partitions: bits of any partition's twice-seen filter, and those that the
+    once-seen filters of two partitions both have. A line of two partitions has all its bits among them."""
     once, twice = np.zeros(SEGMENT_BITS, dtype=bool), np.zeros(SEGMENT_BITS, dtype=bool)
     for a, b in zip(table.column("once"), table.column("twice")):
-        places = _places(np.frombuffer(a.as_py(), U64))
-        again = once[places].all(axis=0)
-        twice[places[:, again]] = True
-        twice[_places(np.frombuffer(b.as_py(), U64))] = True
-        once[places] = True
+        seen, again = (elias_fano.EliasFano(np.frombuffer(x.as_py(), np.uint8)).all().astype(np.int64) for x in (a, b))
+        twice[again] = True
+        twice[seen[once[seen]]] = True
+        once[seen] = True
     return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
 
@@ -139,8 +141,8 @@ def drop_repeated_lines(
     wanted = min(max(n * bits_per_line, 1), max_filter_bytes * 8) / SEGMENT_BITS
     segment_bits = max(4, int(np.ceil(np.log2(max(wanted, 1)))))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = source.where("id is not null").select("text").mapInArrow(_sketches(min_chars, segment_bits), "segment int, once binary, twice binary")
-    merged = sketches.groupBy("segment").applyInArrow(_merge, "segment int, bits binary")
+    filters = source.where("id is not null").select("text").mapInArrow(_filters(min_chars, segment_bits), "segment int, once binary, twice binary")
+    merged = filters.groupBy("segment").applyInArrow(_merge, "segment int, bits binary")
     shared = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in merged.toLocalIterator()})
     marked = source.withColumn("print", F.xxhash64("text"))
     found = saved(marked.mapInArrow(_suspected(min_chars, segment_bits, shared), "id long, print long, line int, key string"), "lines")
