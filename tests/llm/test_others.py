@@ -16,6 +16,7 @@ from tidegauge.llm import embedding_dedup as V
 from tidegauge.llm import html_extract as H
 from tidegauge.llm.common import few_by_hash
 from tidegauge.llm.components import components
+from tidegauge.llm.queries import op10_chat_format
 
 # -- vectors
 
@@ -302,6 +303,19 @@ def test_windows_hold_every_turn_once(spark, bpe, budget, history):
 # -- the pipeline
 
 
+def test_query_formats_a_table(spark, sf):
+    rows = sorted((r["conv_id"], r["turn"], r["role"] or "", r["text"] or "") for r in spark.read.parquet(f"{sf}/conversations.parquet").collect())
+    said = "<|im_end|><|im_start|>assistant ok"
+    want = {}
+    for conv, _, role, text in [*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)]:
+        n, turns, loss = want.get(conv, (0, "", ""))
+        want[conv] = (n + 1, f"{turns}{role}\n{text}\n", loss + text * (role == "assistant"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r["conv_id"]: r for r in op10_chat_format(spark, sf).collect()}
+    assert {i: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for i, r in got.items()} == {i: (n, sha(t), len(x), sha(x)) for i, (n, t, x) in want.items()}
+    assert all(r["formatted_chars"] >= len(want[i][1]) for i, r in got.items())
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = docs

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -18,7 +19,8 @@ from tidegauge.llm import packing as P
 from tidegauge.llm import sentencepiece as S
 from tidegauge.llm import toxicity as T
 from tidegauge.llm.elias_fano import EliasFano, encode
-from tidegauge.llm.queries import op5_lm_score
+from tidegauge.llm.common import mix
+from tidegauge.llm.queries import op3_sentencepiece, op5_lm_score, op8_best_fit_packing
 
 ODD = [(0, None), (1, ""), (2, "  a\t\nb "), (3, " a b "), (3, " a b "), (4, "a b"), (5, "x" * 200_000), (6, "x" * 200_000), (None, "a b"), (7, "ünï 漢字 🎉   \\n")]
 
@@ -217,6 +219,18 @@ def test_best_segmentation_is_brute_force(pieces):
         assert m.best(t)[1] == pytest.approx(brute(t))
 
 
+def test_query_encodes_a_table(spark, sf, pieces):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: np.array(r["ids"]).tolist() for r in S.encode_texts(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), pieces).collect()}
+    same = [i for i, t in docs.items() if S.SPACE not in t and "\x00" not in t]  # the library can't give these two back
+    assert [got[i] for i in same] == own.encode([docs[i] for i in same]) and len(same) > 0.9 * len(docs)
+    shown = {r["doc_id"]: r for r in op3_sentencepiece(spark, sf).collect()}
+    assert {i: (r["n_ids"], r["decoded_sha256"]) for i, r in shown.items()} == {i: (len(got[i]), hashlib.sha256(t.encode()).hexdigest()) for i, t in docs.items()}
+
+
 def test_round_trip(table, pieces):
     docs = [(i, t) for i, t in enumerate(TRICKY)] + [(None, None), (99, "x y " * 30_000)]
     encoded = S.encode_texts(table(docs, True), pieces)
@@ -314,6 +328,29 @@ def test_local_search():
     assert not _improves([b for b in bins], n, 1024)
 
 
+def test_query_packs_a_table(spark, sf, library):
+    """Every id of every document once, in pieces as the contract cuts them, in gapless sequences of at most 1024."""
+    got = op8_best_fit_packing(spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: np.array([*x, 2], "<u4") for i, x in zip(docs, library(list(docs.values())))}
+    by, total = {}, 0
+    for i in docs:
+        own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
+        assert [p for p, *_ in own] == list(range(len(own))) and own[0][1] == 0 and sum(n for _, _, n, _ in own) == len(ids[i])
+        assert all(a[1] + a[2] == b[1] and b[2] == 1024 for a, b in zip(own, own[1:])) and (len(own) == 1) == (len(ids[i]) <= 1024)
+        assert all(zlib.crc32(ids[i][s : s + n].tobytes()) == c for _, s, n, c in own)
+        total += len(ids[i])
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        ends = [0]
+        for offset, n in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + n)
+        assert ends[-1] <= 1024
+    assert len(by) <= -(-total // 1024) + 2
+
+
 # -- language model
 
 
@@ -401,6 +438,25 @@ def test_model_of_nothing(table):
 # -- toxicity
 
 
+def test_ratios_are_plain_counts(table, monkeypatch):
+    """Documents of each class that have an n-gram, against a plain computation over strings."""
+    import pyarrow as pa
+
+    texts = [(1, "You awful fool"), (0, "a fine day, fool"), (1, "awful awful"), (0, None), (0, "day")]
+    batch = pa.RecordBatch.from_pydict({"label": pa.array([y for y, _ in texts], pa.int32()), "text": pa.array([t for _, t in texts])})
+    got = {r["bucket"]: (r["n0"], r["n1"]) for b in T._frequencies(iter([batch])) for r in b.to_pylist()}
+    want = {}
+    for y, t in texts:
+        grams = {w[k : k + n] for w in (f"<{x}>" for x in re.findall("[a-z]+", (t or "").lower())) for n in T.SIZES for k in range(len(w) - n + 1)}
+        for g in grams:
+            value = 0
+            for c in g:
+                value = (value * 0x100000001B3 + ord(c)) % 2**64
+            bucket = int(mix(np.array([(value + len(g)) % 2**64], np.uint64))[0]) >> (64 - 18)
+            want.setdefault(bucket, [set(), set()])[y].add(id(t))
+    assert got == {b: (len(x[0]), len(x[1])) for b, x in want.items()}
+
+
 def test_toxicity(spark, table):
     rng = random.Random(1)
     words = [f"{a}{b}{c}" for a in "lomar" for b in "tenis" for c in ("ion", "ing", "er")]
