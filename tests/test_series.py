@@ -306,3 +306,16 @@ def test_indicators_by_name(spark, sf):
     windows.register_indicator("double", lambda x, by=2: x.withColumn("d", F.col("close") * by))
     assert windows.indicator("double", b, by=3).where("d <> close * 3").count() == 0
     assert "atr" in windows.indicator("atr", b, n=5).columns
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 90, 2000])
+def test_exponential_means_of_long_histories(spark, n):
+    rng = np.random.default_rng(n)
+    close = 100 + np.cumsum(rng.normal(size=5000))
+    b = spark.createDataFrame(pd.DataFrame({"symbol": "a", "tf": "1h", "bar_ts": pd.date_range("2024-01-01", periods=5000, freq="h"), "bar_idx": np.arange(5000, dtype="int32"), "close": close}))
+    for method, k in (("EMA", 2 / (n + 1)), ("SMMA", 1 / n)):
+        want = [close[0]]
+        for x in close[1:]:
+            want.append(k * x + (1 - k) * want[-1])
+        got = [r["y"] for r in windows.with_ma(b, method, n, "y").orderBy("bar_idx").collect()]
+        assert np.allclose(got, want, rtol=1e-11, atol=0)

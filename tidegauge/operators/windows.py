@@ -6,6 +6,7 @@ exchange and one sort. For symbols with very long histories see in_chunks().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,15 +64,15 @@ def std_around(x: Column, mean: Column, n: int) -> Column:
     return F.when(F.col("bar_idx") >= n, F.sqrt(spread / n)).otherwise(0.0)
 
 
-#: Rows of a chunk of the affine scan.
-SCAN = 64
+#: Rows of a chunk of the affine scan, and the weight below which what is further back doesn't change a double.
+SCAN, EPSILON = 64, 1e-18
 
 
 def affine_scan(bars: DataFrame, x: Column, k: float, out: str, first: Column | None = None, start: int = 0) -> DataFrame:
     """Add out: y[start] = first, then y = k * x + (1 - k) * y[previous]; null before start.
 
-    Chunks of SCAN rows are summed up by windows; the ends of a symbol's chunks are folded once and joined back, so that no
-    task walks a history row by row.
+    Chunks of SCAN rows are summed up by windows. What a chunk passes on is a mean over the ends of the chunks before it, of
+    which the weights fall below EPSILON after some: only those are looked at, so that no history is held or walked whole.
     """
     r = 1.0 - k
     first = x if first is None else first
@@ -84,13 +85,16 @@ def affine_scan(bars: DataFrame, x: Column, k: float, out: str, first: Column |
     keyed = bars.withColumns({"__chunk": chunk, "__place": place}).withColumn("__term", term * F.pow(F.lit(r), -F.col("__place")))
     running = F.sum("__term").over(Window.partitionBy(*KEYS, "__chunk").orderBy("bar_ts"))
     local = keyed.withColumn("__local", F.pow(F.lit(r), F.col("__place")) * running)
-    ends = local.where((F.col("__place") == SCAN - 1) & (F.col("__chunk") >= 0)).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("__chunk", "__local"))).alias("__ends"))
-    carried = F.aggregate("__ends", F.array(F.lit(0.0)), lambda done, e: F.concat(done, F.array(e["__local"] + r**SCAN * F.element_at(done, -1))))
-    carries = ends.select(*(F.col(c).alias(f"__{c}") for c in KEYS), carried.alias("__carries"))
-    joined = local.join(carries, (F.col("symbol") == F.col("__symbol")) & (F.col("tf") == F.col("__tf")), "left")
-    carry = F.coalesce(F.try_element_at("__carries", F.col("__chunk").cast("int") + 1), F.lit(0.0))
+    step = r**SCAN
+    reach = math.ceil(math.log(EPSILON) / math.log(step)) if step > EPSILON else 0
+    over = Window.partitionBy(*KEYS).orderBy("__chunk").rowsBetween(-reach, 0)
+    carried = F.aggregate(F.collect_list("__local").over(over), F.lit(0.0), lambda done, e: e + step * done)
+    ends = local.where((F.col("__place") == SCAN - 1) & (F.col("__chunk") >= 0)).withColumn("__carry", carried)
+    carries = ends.select(*(F.col(c).alias(f"__{c}") for c in KEYS), (F.col("__chunk") + 1).alias("__next"), "__carry")
+    joined = local.join(carries, (F.col("symbol") == F.col("__symbol")) & (F.col("tf") == F.col("__tf")) & (F.col("__chunk") == F.col("__next")), "left")
+    carry = F.coalesce("__carry", F.lit(0.0))
     y = F.when(at >= 0, F.col("__local") + F.pow(F.lit(r), F.col("__place") + 1) * carry)
-    return joined.withColumn(out, y).drop("__chunk", "__place", "__term", "__local", "__symbol", "__tf", "__carries")
+    return joined.withColumn(out, y).drop("__chunk", "__place", "__term", "__local", "__symbol", "__tf", "__next", "__carry")
 
 
 def with_ma(bars: DataFrame, method: str, n: int, out: str, x: Column | None = None, seed: str = "first_price") -> DataFrame:
