@@ -120,7 +120,7 @@ def setups(bars: DataFrame, strategies: DataFrame, delays: tuple[int, ...] = (3,
     """Each bar with its current extremum, for every strategy, in the direction that the extremum speaks for: what
     source_signals reads of it. A bar is eligible when base setup, macro mean and entry geometry hold, and `allowed` (a
     Column over bars, such as the outcome of gates)."""
-    x = current_extremum(structure_snapshot(bars))
+    x = stored(current_extremum(structure_snapshot(bars)), "extrema")
     own = bars.withColumn("allowed", F.lit(True) if allowed is None else allowed).select("symbol", "bar_ts", lag("high").alias("high_1"), lag("low").alias("low_1"), "high", "low", "close", "allowed", F.max("bar_idx").over(Window.partitionBy(*KEYS)).alias("last_idx"))
     c = cross_strategies(x.join(own, ["symbol", "bar_ts"]), strategies).where(F.when(is_bull(), ~F.col("is_peak")).otherwise(F.col("is_peak")))
     c = with_macro(with_base_setup(c, bars, delays), bars, macros)
