@@ -130,7 +130,8 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256, and text_print, a 64-bit hash of the
+    normalised text that tells rows of one id apart.
 
     Texts are equal when identical after replacing each run of white space by one space; of equal texts the row with the
     smallest id stays. Null texts are empty texts and equal each other. Rows that repeat id and text count in group_size
@@ -156,4 +157,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("print").alias("text_print"),
     )

@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("text_print")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

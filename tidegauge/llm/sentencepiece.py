@@ -23,7 +23,7 @@ from tidegauge.llm.common import LONGEST
 
 SPACE = "▁"
 #: Words whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 1_000_000
 TEXTS = 128
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -82,7 +82,7 @@ class PieceModel:
         n, many = len(text), len(self.as_bytes)
         score, back, sizes = [0.0] + [-np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
         known, at, free, beside = self.characters, 0, not self.by_merges, self.beside
-        if len(beside) > 2 * CACHE:
+        if len(beside) > CACHE:
             beside.clear()
         for end, (i, size, own) in self.automaton.iter(text):
             while at <= end:  # characters that no piece covers, up to here
