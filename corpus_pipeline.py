@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import saved
+from tidegauge.llm.common import saved, small
 from tidegauge.llm.exact_dedup import exact_duplicates, normalised
 from tidegauge.llm.minhash_dedup import near_duplicates
 from tidegauge.llm.packing import pack_documents
@@ -33,22 +33,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, with the smallest id. A row goes for its own id and text: another text under the id of a
     copy stays. Of rows that repeat both, and of copies without any id, one stays; null and empty texts are one text."""
-    decided = saved(exact_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"), "kept"), "decided")
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__text"))
-    gone = saved(decided.where("NOT kept").select("__id", "__text").distinct(), "copies")
+    decided = saved(exact_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("text_print").alias("__text"), "kept"), "decided")
+    keyed = docs.withColumn("__print", F.xxhash64(normalised(F.col("text"))))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__text"))
+    gone = small(decided.where("NOT kept").select("__id", "__text").distinct(), "copies")
     stay = keyed.join(gone, same, "left_anti")
     twice = saved(decided.where("kept").groupBy("__id", "__text").count().where("count > 1").select("__id", "__text"), "repeats")
     if not twice.isEmpty():
-        stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__sha"]))
-    return stay.drop("__sha")
+        stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__print"]))
+    return stay.drop("__print")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity of 0.8 or more), the document with the smallest id stays. Rows that
     share an id are one document, and go or stay together; rows with a null id and without words always stay."""
     decided = near_duplicates(docs, size=5, percent=80)
-    gone = saved(decided.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = small(decided.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
