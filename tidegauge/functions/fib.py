@@ -82,7 +82,7 @@ def fib_band_strict(x: Column | str, at: Column) -> Column:
 
 def fib_next(x: Column | str, steps: int, at: Column) -> Column:
     """The upper end of x's band, `steps` times over."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _c(x), lambda v, _: fib_band(v, at)["high"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), _c(x).cast("double"), lambda v, _: fib_band(v, at)["high"])
 
 
 _EPS = 1e-4

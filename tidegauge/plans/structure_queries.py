@@ -261,3 +261,20 @@ def parse_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _triples(spark, sf_dir).withColumn("direction", F.when(F.col("is_bottom"), "BULLISH").otherwise("BEARISH"))
     return _out(t, breakout=X.breakout_target("direction", "peak", "bottom"), opposite=X.opposite_endpoint("x", F.lit(38.2), F.lit(61.8)))
+
+
+def _next_sql(x: str) -> str:
+    return f"CASE WHEN {x} >= 100 THEN 100 + (floor(({x} - 100) / (100 - 78.6::DOUBLE)) + 1) * (100 - 78.6::DOUBLE) ELSE list_min(list_filter({_SIX_SQL}, lambda e: e > {x})) END"
+
+
+@query(
+    f"""WITH {_TRIPLES}, n AS (SELECT *, {_next_sql('x')} AS n1 FROM t), q AS (SELECT *, CASE WHEN is_bottom THEN peak - x::DOUBLE / 100 * (peak - bottom) ELSE bottom + x::DOUBLE / 100 * (peak - bottom) END AS p FROM n)
+    SELECT id, {r6('n1')} AS next_1, {r6(_next_sql('n1'))} AS next_2, {r6('CASE WHEN p > 0 THEN p END')} AS price, CASE WHEN id % 2 = 0 THEN '0|236|1000' ELSE '236|618' END AS cycle FROM q"""
+)
+def fib_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper ends of the bands above a percent, its price, and levels with both ends of a cycle where one is there."""
+    t, at = _triples(spark, sf_dir), X.levels(_SIX)
+    own = F.when(F.col("id") % 2 == 0, X.levels((23.6, 100.0))).otherwise(X.levels((23.6, 61.8)))
+    t = t.withColumn("cycle", F.array_join(F.transform(X.cycle_levels(own), lambda e: F.floor(e * 10 + 0.5).cast("string")), "|"))
+    out = {"next_1": X.fib_next("x", 1, at), "next_2": X.fib_next("x", 2, at), "price": X.structure_price(F.col("x").cast("double"), "is_bottom", "peak", "bottom")}
+    return shown(t.withColumns(out), *out, "cycle", keys=("id",))
