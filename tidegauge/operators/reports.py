@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import direction_multiplier, kv_message, outcome_class, projected_profit, round2_no_negzero, round_digits, tf_label, utc_day
+from tidegauge.sources.stored import stored
 
 
 def daily_net_pnl(deals: DataFrame, server_offset_seconds: int = 0) -> DataFrame:
@@ -131,10 +132,9 @@ def _in_order(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fi
     import pyarrow as pa
 
     names, kind = rows.columns, added.split(" ")
-    keyed, at = [names.index(k) for k in keys], None
+    keyed = [names.index(k) for k in keys]
 
     def keep(batches):
-        nonlocal at
         key, state = None, first
         for b in batches:
             out, columns = [], [b.column(c).cast(pa.int64()).to_pylist() if pa.types.is_timestamp(b.column(c).type) else b.column(c).to_pylist() for c in names]
@@ -237,8 +237,9 @@ def sort_by(rows: DataFrame, field: str, order: str | None = None, *ties: str) -
 
 
 def numbered(rows: DataFrame, out: str) -> DataFrame:
-    """Sorted rows with their places from 1: counts of the sorted tasks say where each one's rows begin."""
-    at = rows.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).persist()
+    """Sorted rows with their places from 1: counts of the sorted tasks say where each one's rows begin. The rows are written with
+    their tasks' numbers, so that a task that runs again changes none."""
+    at = stored(rows.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "sorted")
     starts = at.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
     starts = starts.withColumn("__before", F.coalesce(before, F.lit(0))).select(F.col("__task").alias("__t"), "__first", "__before")
