@@ -12,6 +12,7 @@ from tidegauge.llm.chat_format import chat_windows, window_digests
 from tidegauge.llm.embedding_dedup import near_vectors
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.html_extract import extract_main_text, fit_labeller
+from tidegauge.llm.length_buckets import decompose_documents
 from tidegauge.llm.line_dedup import drop_repeated_lines
 from tidegauge.llm.lm_score import fit_ngram_model, lm_scores
 from tidegauge.llm.minhash_dedup import near_duplicates
@@ -79,8 +80,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = decompose_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
