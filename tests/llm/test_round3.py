@@ -1,5 +1,7 @@
 """Decomposed documents, coded vectors and repaired conversations."""
 
+import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -8,8 +10,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.llm import conversation_repair as C
 from tidegauge.llm import length_buckets as B
-from tidegauge.llm.queries import op13_packing
+from tidegauge.llm.queries import op12_conversation_repair, op13_packing
 
 # -- documents in pieces of powers of two
 
@@ -81,3 +84,132 @@ def test_batches_and_buckets(spark, table, library, tmp_path):
     assert batches.where("tokens < 256").count() <= tasks * 8
     one = back.where("doc_id = 77").orderBy("start").collect()
     assert [i for r in one for i in r["ids"]] == [*library("some words of a text " * 77), 1]
+
+
+# -- conversations
+
+
+def _plain_repair(turns):
+    """(cost, letters) of the cheapest edits of (role, fault): whole strings for every state, compared as they are."""
+    follow = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    best = {0: (0, "")}
+
+    def with_inserts(best):
+        for _ in range(3):
+            for role in "ua":
+                for state, to in follow[role].items():
+                    if state in best:
+                        best[to] = min(best.get(to, (10**9, "")), (best[state][0] + 5, best[state][1] + "I"))
+        return best
+
+    best = with_inserts(best)
+    for role, fault in turns:
+        now = {}
+
+        def offer(state, cost, letters):
+            now[state] = min(now.get(state, (10**9, "")), (cost, letters))
+
+        for state, (cost, letters) in best.items():
+            offer(state, cost + 2, letters + "D")
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                for to_role in "sua":
+                    if state in follow[to_role] and role[:1] == to_role:
+                        offer(follow[to_role][state], cost + more, letters + "K")
+                    elif state in follow[to_role] and to_role != "s":
+                        offer(follow[to_role][state], cost + more + 1, letters + "R")
+        best = with_inserts(now)
+    return min(best[s] for s in (0, 3) if s in best)
+
+
+@pytest.mark.parametrize("prime", [C._PRIME, 5])
+@pytest.mark.parametrize("commit", [1, 7, 10**6])
+def test_repair_is_the_plain_one(monkeypatch, prime, commit):
+    monkeypatch.setattr(C, "_PRIME", prime)  # 5: hashes collide all the time
+    rng = random.Random(commit)
+    for _ in range(250):
+        roles = rng.choice((["user", "assistant"], ["user", "assistant", "system"], ["user"], ["system", "tool", "", "assistant", "aide"]))
+        faults = rng.choice(([None], [None, "truncated"], [None, "blank", "duplicate", "truncated"], ["truncated"]))
+        turns = [(rng.choice(roles), rng.choice(faults)) for _ in range(rng.randrange(1, 45))]
+        repair, edits = C.Repair(), []
+        for k, turn in enumerate(turns):
+            repair.turn(*turn)
+            if (k + 1) % commit == 0:
+                edits += repair.shared()
+        cost, rest = repair.end()
+        assert rest
+        assert (cost, "".join(e.letter for e in edits + rest)) == _plain_repair(turns), turns
+
+
+def _by_hand(rows):
+    """The report of the damaged rows (turn, role, text) of one conversation."""
+    white = " \t\n\x0b\x0c\r"
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.strip(white)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else None)
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit = _plain_repair([(r[1], f) for r, f in zip(rows, faults)])
+    out, left = [], list(rows)
+    for letter in audit:
+        row = None if letter == "I" else left.pop(0)
+        if letter == "K":
+            out.append(f"{row[1]}:{row[2]}")
+        elif letter != "D":
+            system = bool(out) and out[0].startswith("s")
+            out.append(f"{('user', 'assistant')[(len(out) - system) % 2]}:{row[2] if row else ''}")
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def _damaged_by_hand(conv, turn, role, text):
+    role, text = " " if role is None else role, " " if text is None else text
+    kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+    text = {1: "", 2: text.translate(dict.fromkeys(map(ord, ".!?")))}.get(kind, text)
+    return [(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+
+
+NAMES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def _repair_matches(spark, path, rows):
+    want = {}
+    for conv, *row in rows:
+        want.setdefault(conv, []).extend(_damaged_by_hand(conv, *row))
+    got = op12_conversation_repair(spark, path).collect()
+    assert len(got) == len(want)
+    for r in got:
+        expected = _by_hand(want[r["conv_id"]]) if want[r["conv_id"]] else (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+        assert tuple(r[n] for n in NAMES) == expected, r["conv_id"]
+
+
+def test_op12_on_the_table(spark):
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    _repair_matches(spark, path, rows)
+
+
+def test_op12_odd_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(1, None, None, None), (1, None, "user", "a."), (1, 3, "user", "a."), (None, 1, "user", "x"), (None, None, "assistant", "y!"), (2, 5, "", " \n"), (3, 0, "user", "long. " * 300_000), (3, 0, "user", "long. " * 300_000), (3, 9, "assistant", "ok")]
+    rows += [(4, rng.choice((None, *range(900))), rng.choice(("user", "assistant", "system", "tool", None)), rng.choice(("a.", "b", "", " \t", "what?", " ", None, "é!\r\n"))) for _ in range(3000)]
+    rows += [(5, i, ("user", "assistant")[i % 2], f"turn {i}.") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS fault", "2 AS copy", "3 AS kind", "4 AS bare")
+    df.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    _repair_matches(spark, str(tmp_path), rows)
+
+
+def test_op12_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert op12_conversation_repair(spark, str(tmp_path)).count() == 0
+
+
+def test_repaired_conversations_are_sound(spark):
+    turns = C.damaged(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    edits = C.repair_edits(turns)
+    kept = edits.where("edit <> 'D'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edit_no", "role"))), lambda x: F.left(x["role"], F.lit(1))), "").alias("roles"))
+    assert kept.where("NOT roles RLIKE '^s?(ua)+$'").count() == 0
+    assert edits.where("edit <> 'I'").count() == turns.count()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chat_format import chat_windows, window_digests
+from tidegauge.llm.conversation_repair import damaged, repair_edits, repair_report
 from tidegauge.llm.embedding_dedup import near_vectors
 from tidegauge.llm.exact_dedup import exact_duplicates
 from tidegauge.llm.html_extract import extract_main_text, fit_labeller
@@ -80,17 +81,69 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    report = repair_report(repair_edits(damaged(conversations))).withColumnRenamed("conv_id", "own")
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(report, F.col("conv_id").eqNullSafe(F.col("own")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = decompose_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format, op13_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format, op12_conversation_repair, op13_packing)}
+
+
+def _repair_sql() -> str:
+    """The dynamic program as a recursion over turns, its candidates as nine digits of cost and the letters of the edits."""
+    more = lambda at, cost, letter: f"lpad(CAST(CAST(left({at}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({at}, 10) || '{letter}'"
+
+    def candidates(own: str, sources: tuple[str, ...], initial: str) -> str:
+        found = [more(own, 2, "D")]
+        for source in sources:
+            found.append(f"CASE WHEN live AND ini = '{initial}' THEN {more(source, 'extra', 'K')} END")
+            if initial in "ua":
+                found.append(f"CASE WHEN live AND ini <> '{initial}' THEN {more(source, 'extra + 1', 'R')} END")
+        return f"least({', '.join(found)})"
+
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+        WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+        d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+              FROM src CROSS JOIN (VALUES (1), (2)) c(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, trim(text, {white}) AS bare FROM d),
+        f AS (SELECT *, left(role, 1) AS ini, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+        t AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS live, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM f),
+        r AS (SELECT conv_id, 0 AS i, repeat('0', 9) AS q0, CAST(NULL AS VARCHAR) AS qs, '000000005I' AS qu, '000000010II' AS qa FROM (SELECT DISTINCT conv_id FROM t)
+              UNION ALL
+              SELECT conv_id, i, q0, qs, u, least(qa, {more("u", 5, "I")})
+              FROM (SELECT *, least(qu, {more("q0", 5, "I")}, {more("qs", 5, "I")}, {more("qa", 5, "I")}) AS u
+                    FROM (SELECT t.conv_id, t.i, {more("q0", 2, "D")} AS q0, {candidates("qs", ("q0",), "s")} AS qs, {candidates("qu", ("q0", "qs", "qa"), "u")} AS qu, {candidates("qa", ("qu",), "a")} AS qa
+                          FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i + 1))),
+        n AS (SELECT conv_id, max(i) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE was || ini NOT IN ('su', 'ua', 'au')) AS illegal
+              FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM f) GROUP BY conv_id),
+        b AS (SELECT n.*, least(q0, qa) AS best FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.last),
+        p AS (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, unnest(range(1, length(best) - 8)) AS pos FROM b),
+        g AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS place FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        e AS (SELECT g.conv_id, g.pos, g.edit, g.place, t.role, t.text, coalesce(max(CASE WHEN g.place = 1 AND g.edit = 'K' AND t.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g.conv_id), 0) AS shift
+              FROM g LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.i = g.i AND g.edit <> 'I'),
+        x AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY pos) FILTER (WHERE edit <> 'D') AS repaired FROM e GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_conversation_repair": _repair_sql(),
         "op2_embedding_dedup": """
             WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
             n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
