@@ -1,10 +1,12 @@
 """Decomposed documents, coded vectors and repaired conversations."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import conversation_repair as C
 from tidegauge.llm import length_buckets as B
-from tidegauge.llm.queries import op12_conversation_repair, op13_packing
+from tidegauge.llm import vector_codes as Q
+from tidegauge.llm.queries import op12_conversation_repair, op13_packing, oracle_sql, queries
 
 # -- documents in pieces of powers of two
 
@@ -213,3 +216,116 @@ def test_repaired_conversations_are_sound(spark):
     kept = edits.where("edit <> 'D'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edit_no", "role"))), lambda x: F.left(x["role"], F.lit(1))), "").alias("roles"))
     assert kept.where("NOT roles RLIKE '^s?(ua)+$'").count() == 0
     assert edits.where("edit <> 'I'").count() == turns.count()
+
+
+# -- vectors as codes
+
+
+def _plain_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """{row number: (code, error)} and the codebooks, in Python's whole numbers."""
+    ok = [(v, r) for r, (v, e) in enumerate(rows) if e and all(x is not None and math.isfinite(x) for x in e)]
+    ok.sort(key=lambda x: (x[0] is None, x[0] or 0, rows[x[1]][1]))
+    whole = {r: [math.floor(scale * x) for x in rows[r][1]] for _, r in ok}
+    w = len(next(iter(whole.values()))) // parts
+    cut = {r: [e[p * w : (p + 1) * w] for p in range(parts)] for r, e in whole.items()}
+    books = [[cut[r][p] for _, r in ok[:entries]] for p in range(parts)]
+
+    def dealt():
+        return {r: [min((sum((a - b) ** 2 for a, b in zip(own[p], e)), k) for k, e in enumerate(books[p])) for p in range(parts)] for r, own in cut.items()}
+
+    for _ in range(rounds):
+        at = dealt()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                own = [cut[r][p] for r in cut if at[r][p][1] == k]
+                if own:
+                    books[p][k] = [sum(c) // len(own) for c in zip(*own)]
+    return {r: ("".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found)) for r, found in dealt().items()}, books
+
+
+def _clustered(rng, n, width, spread):
+    centres = rng.normal(size=(9, width))
+    return [(centres[i % 9] + rng.normal(size=width) * spread).tolist() for i in range(n)]
+
+
+@pytest.mark.parametrize(("seed", "spread", "parts", "entries", "first_b"), [(1, 0.3, 4, 16, 4), (2, 0.05, 2, 5, 2), (3, 1.5, 8, 16, 1), (4, 0.3, 4, 3, 4), (5, 300.0, 2, 16, 6)])
+def test_codes_are_plain_ones(spark, monkeypatch, seed, spread, parts, entries, first_b):
+    monkeypatch.setattr(Q, "FIRST_B", first_b)
+    rng = np.random.default_rng(seed)
+    vectors = _clustered(rng, 260, 16, spread)
+    rows = list(enumerate(vectors)) + [(1000 + i, vectors[i % 7]) for i in range(60)]
+    rows = [(v, [round(x, 1) for x in e] if v % 3 else e) for v, e in rows]  # equal numbers, and so equal distances
+    want, books = _plain_codes(rows, parts, entries)
+    got = Q.compress_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), parts, entries)
+    assert got.codebooks == books
+    assert {r["vec_id"]: (r["code"], r["error"]) for r in got.rows.collect()} == {rows[k][0]: v for k, v in want.items()}
+    assert all(sum(x) == len(rows) * parts for x in got.looked)
+
+
+def test_bounds_spare_most_distances(spark):
+    rows = list(enumerate(_clustered(np.random.default_rng(8), 4000, 32, 0.2)))
+    looked = Q.compress_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4).looked
+    assert looked[-1][0] > 0.8 * sum(looked[-1])  # nearly all parts are settled by their bounds
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    part, book = rng.integers(-5000, 5000, (800, 5)), rng.integers(-5000, 5000, (16, 5))
+    bounds = Q.all_computed(part, book, 4)
+    for step in range(12):
+        new = book + rng.integers(-600, 600, book.shape) * (rng.random((16, 1)) < 0.4)
+        apart = np.sqrt(((new - book) ** 2).sum(1)) * Q._UP
+        bounds = Q.resized(bounds, (4, 2, 6, 3, 8, 1)[step % 6], 16)
+        Q.moved(bounds, part, new, np.append(apart, apart.max()), np.zeros(17, np.int64))
+        book, true = new, np.sqrt(((part[:, None] - new) ** 2).sum(2))
+        squares = ((part[:, None] - new) ** 2).sum(2)
+        assert (bounds.near[:, 0] == squares.argmin(1)).all()
+        rows = np.arange(len(part))
+        assert (bounds.far[:, 0] >= true[rows, bounds.near[:, 0]]).all()
+        listed = np.zeros((800, 17), bool)
+        for k in range(bounds.near.shape[1]):
+            listed[rows, bounds.near[:, k]] = True
+            known = bounds.near[:, k] < 16
+            if k:
+                assert (bounds.far[known, k] <= true[rows, np.minimum(bounds.near[:, k], 15)][known]).all()
+        assert (np.where(listed[:, :16], np.inf, true).min(1) >= bounds.outer).all()
+
+
+def test_codes_of_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, rng.normal(size=8).tolist()) for i in range(2, 40)]
+    odd = [(0, None), (1, [1.0, None] * 4), (50, [math.nan] * 8), (51, [-math.inf] * 8), (52, []), (7, good[3][1]), (7, good[5][1]), (None, good[0][1]), (60, [0.0] * 8), (61, [2.0] * 8), (62, [-0.00001] * 8)]
+    rows = [(v, e, k % 3 if k % 4 else None) for k, (v, e) in enumerate(good + odd)]
+    df = spark.createDataFrame(rows + [(70, [1.0] * 16, 1), (71, [1.0] * 7, 1), (72, [1e300] * 8, 1)], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS held", "2 AS bounds", "3 AS sums", "4 AS code", "5 AS error", "6 AS label_error")
+    got = Q.compress_vectors(df, keep=("label",))
+    coded = Q.with_label_error(got.rows).collect()
+    limit = Q.Shape(8, 1, 16, 4096).limit
+    want, books = _plain_codes([(v, e) for v, e, _ in rows] + [(72, [limit / 4096] * 8)])
+    assert got.codebooks == books
+    assert Counter((r["vec_id"], r["code"], r["error"]) for r in coded) == Counter(((rows[k][0] if k < len(rows) else 72), *v) for k, v in want.items())
+    sums = Counter()
+    for r in coded:
+        sums[r["label"]] += r["error"]
+    assert all(r["label_error"] == sums[r["label"]] for r in coded)
+    back = Q.decode_vectors(got.rows.where("vec_id = 61"), got.codebooks).first()["decoded"]
+    assert back == [books[p][int(got.rows.where("vec_id = 61").first()["code"][2 * p : 2 * p + 2], 16)][0] / 4096 for p in range(8)]
+
+
+def test_codes_of_few_and_none(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    empty = Q.compress_vectors(none, keep=("label",))
+    assert empty.rows.columns == ["vec_id", "label", "code", "error"] and Q.with_label_error(empty.rows).count() == 0
+    one = Q.compress_vectors(spark.createDataFrame([(3, [0.5] * 8)], "vec_id long, embedding array<float>"))
+    assert [tuple(r) for r in one.rows.collect()] == [(3, "00" * 8, 0)] and one.codebooks == [[[2048]]] * 8
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_conversation_repair"])
+def test_equals_sql(spark, name):
+    path = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for table in ("embeddings", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet'")
+    ours, theirs = queries()[name](spark, path), duck.execute(oracle_sql()[name])
+    names = [d[0] for d in theirs.description]
+    assert sorted(names) == sorted(ours.columns)
+    assert Counter(map(tuple, ours.select(*names).collect())) == Counter(theirs.fetchall())

@@ -20,6 +20,7 @@ from tidegauge.llm.minhash_dedup import near_duplicates
 from tidegauge.llm.packing import pack_documents
 from tidegauge.llm.sentencepiece import decode_ids, encode_texts
 from tidegauge.llm.toxicity import fit_toxicity, with_toxicity
+from tidegauge.llm.vector_codes import compress_vectors, with_label_error
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +82,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = compress_vectors(_table(spark, sf_dir, "embeddings"), keep=("label",))
+    return with_label_error(codes.rows).select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     report = repair_report(repair_edits(damaged(conversations))).withColumnRenamed("conv_id", "own")
@@ -97,7 +103,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format, op12_conversation_repair, op13_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_sentencepiece, op4_html_extract, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_best_fit_packing, op9_line_dedup, op10_chat_format, op11_vector_codes, op12_conversation_repair, op13_packing)}
 
 
 def _repair_sql() -> str:
@@ -141,8 +147,30 @@ def _repair_sql() -> str:
         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round as a pair of tables: the parts with their nearest entry, and the next codebooks."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (SELECT id, label, p, x, arg_min(entry, (square, entry)) AS entry, min(square) AS square
+              FROM (SELECT x.*, b.entry, list_sum(list_transform(list_zip(x.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS square FROM x JOIN b{k} b USING (p)) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+        m{k} AS (SELECT p, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT p, entry, i, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT p, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+        b{k + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, entry))""")
+    return f"""
+        WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(4096 * x)::BIGINT) AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id FROM embeddings
+              WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        x AS MATERIALIZED (SELECT id, label, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS x FROM v CROSS JOIN range({parts}) r(p)),
+        b0 AS MATERIALIZED (SELECT p, id - 1 AS entry, x FROM x WHERE id <= {entries}), {",".join(steps)},
+        c AS (SELECT id, label, string_agg(lpad(printf('%x', entry), 2, '0'), '' ORDER BY p) AS code, sum(square)::BIGINT AS error FROM a{rounds} GROUP BY id, label)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY c.label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN v USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_vector_codes": _codes_sql(),
         "op12_conversation_repair": _repair_sql(),
         "op2_embedding_dedup": """
             WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
