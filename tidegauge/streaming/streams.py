@@ -1,32 +1,27 @@
 """The ordered-series operators on streams: bars, new-bar events, swings, lifecycles, logs and daily results.
 
 Sources are streaming ticks (event_id, ts, symbol, price). Bars need no code of their own: a windowed aggregation with a
-watermark. Operators whose next decision depends on earlier ones keep a small state for each key.
+watermark. Operators whose next decision depends on earlier ones keep a small state for each key and get its rows in order of
+time, as ordered.py says: a row may be late by `late`, and what is decided on it comes out when the watermark has passed it.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from dataclasses import astuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.operators.lifecycle import ACTIVE, ATTEMPT, BAR, SOURCE, Signal
 from tidegauge.sources.sinks import publish_daily_results
-
-
-def _event_time(ticks: DataFrame, late: str) -> DataFrame:
-    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+from tidegauge.streaming.ordered import DAY_US, Machine, SourceState, event_time, keyed, ordered
 
 
 def stream_bars(ticks: DataFrame, tf: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Bars of each symbol: symbol, bar_ts, open, high, low, close, tick_volume. In append mode a bar comes once, when the
     watermark passes its end; in update mode the forming bar comes with every change."""
     at = F.struct("ts", "event_id")
-    bars = _event_time(ticks, late).groupBy("symbol", F.window("ts", tf).alias("w")).agg(
+    bars = event_time(ticks, "ts", late).groupBy("symbol", F.window("ts", tf).alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("tick_volume")
     )
     return bars.select("symbol", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "tick_volume")
@@ -34,100 +29,97 @@ def stream_bars(ticks: DataFrame, tf: str = "1 hour", late: str = "10 minutes")
 
 def stream_new_bars(ticks: DataFrame, tf_seconds: int, late: str = "10 minutes") -> DataFrame:
     """The first tick seen of each symbol's bar, once."""
-    t = _event_time(ticks, late).withColumn("bar_ts", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / tf_seconds) * tf_seconds))
+    t = event_time(ticks, "ts", late).withColumn("bar_ts", F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / tf_seconds) * tf_seconds))
     return t.dropDuplicatesWithinWatermark(["symbol", "bar_ts"])
 
 
-def _ordered(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(list(by), ignore_index=True)
-
-
-def stream_swings(bars: DataFrame) -> DataFrame:
+def stream_swings(bars: DataFrame, late: str = "0 seconds") -> DataFrame:
     """Confirmed swings of streaming bars with a sign (symbol, bar_ts, bar_idx, high, low, sign: 1, -1 or null): symbol,
     is_peak, extremum_idx, price, confirm_idx. Holds a sign and the leg's extremum for each symbol."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sign, idx, price = state.get if state.exists else (0, -1, 0.0)
-        out = []
-        for r in _ordered(parts, "bar_idx").itertuples():
-            own = 0 if pd.isna(r.sign) else int(r.sign)
-            if sign:  # the leg goes on, and has the bar that turns it
-                edge = r.high if sign > 0 else r.low
-                if (edge > price) if sign > 0 else (edge < price):
-                    idx, price = int(r.bar_idx), float(edge)
-            if own and own != sign and (sign or own > 0):
-                if sign:
-                    out.append((key[0], sign > 0, idx, price, int(r.bar_idx)))
-                sign, idx, price = own, int(r.bar_idx), float(r.high if own > 0 else r.low)
-        state.update((sign, idx, price))
-        yield pd.DataFrame(out, columns=["symbol", "is_peak", "extremum_idx", "price", "confirm_idx"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, is_peak boolean, extremum_idx long, price double, confirm_idx long", "sign int, idx long, price double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_indicators(bars: DataFrame, n: int = 14) -> DataFrame:
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        sign, idx, price = state
+        own, out = r.sign or 0, []
+        if sign:  # the leg goes on, and has the bar that turns it
+            edge = r.high if sign > 0 else r.low
+            if (edge > price) if sign > 0 else (edge < price):
+                idx, price = r.bar_idx, edge
+        if own and own != sign and (sign or own > 0):
+            if sign:
+                out.append((sign > 0, idx, price, r.bar_idx))
+            sign, idx, price = own, r.bar_idx, r.high if own > 0 else r.low
+        return (sign, idx, price), out
+
+    machine = Machine("sign int, idx long, price double", (0, -1, 0.0), "is_peak boolean, extremum_idx long, price double, confirm_idx long", step)
+    return ordered(bars, ("symbol",), "bar_ts", ("bar_idx",), ("high", "low", "sign"), machine, late)
+
+
+def stream_indicators(bars: DataFrame, n: int = 14, late: str = "0 seconds") -> DataFrame:
     """Mean, exponential mean and mean true range of each streaming bar (symbol, bar_ts, bar_idx, high, low, close): symbol, bar_ts,
     bar_idx, sma, ema, atr, as the batch functions give them. Holds n closes and n true ranges of a symbol, whatever its
-    history; bars come in order of their numbers."""
+    history."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closes, ranges, ema, seen = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], 0.0, 0)
-        out = []
-        for r in _ordered(parts, "bar_idx").itertuples():
-            ranges = [*ranges, max(r.high, closes[-1]) - min(r.low, closes[-1]) if closes else 0.0][-n:]
-            closes = [*closes, float(r.close)][-n:]
-            ema = float(r.close) if not seen else 2 / (n + 1) * r.close + (1 - 2 / (n + 1)) * ema
-            seen += 1
-            out.append((key[0], r.bar_ts, int(r.bar_idx), sum(closes) / n if seen >= n else None, ema, sum(ranges) / n if seen > n else None))
-        state.update((closes, ranges, ema, seen))
-        yield pd.DataFrame(out, columns=["symbol", "bar_ts", "bar_idx", "sma", "ema", "atr"])
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        closes, ranges, ema, seen = state
+        ranges = [*ranges, max(r.high, closes[-1]) - min(r.low, closes[-1]) if closes else 0.0][-n:]
+        closes = [*closes, r.close][-n:]
+        ema = r.close if not seen else 2 / (n + 1) * r.close + (1 - 2 / (n + 1)) * ema
+        seen += 1
+        return (closes, ranges, ema, seen), [(r.us, r.bar_idx, sum(closes) / n if seen >= n else None, ema, sum(ranges) / n if seen > n else None)]
 
-    out = "symbol string, bar_ts timestamp, bar_idx int, sma double, ema double, atr double"
-    return bars.groupBy("symbol").applyInPandasWithState(step, out, "closes array<double>, ranges array<double>, ema double, seen long", "append", GroupStateTimeout.NoTimeout)
+    machine = Machine("closes array<double>, ranges array<double>, ema double, seen long", ([], [], 0.0, 0), "bar_ts long, bar_idx int, sma double, ema double, atr double", step)
+    return ordered(bars, ("symbol",), "bar_ts", ("bar_idx",), ("high", "low", "close"), machine, late, ("bar_ts",))
 
 
-def stream_signals(setups: DataFrame, point: float = 0.01, least_points: float = 5.0, percent: float = 100.0) -> DataFrame:
-    """Signals of streaming setups (lifecycle.SOURCE and BAR, one row for each bar and strategy, in order of bars) as they end:
-    lifecycle.SOURCE and the columns of lifecycle.ATTEMPT.
+_SIGNAL = "attempt int, status int, signal_us long, signal_idx int, trigger double, anchor double, target double, entry_us long, entry_idx int, entry_close double, seen_idx int"
+#: Of SOURCE, what a symbol and strategy don't have in common. Times are microseconds.
+_OF = "direction string, slot int, is_peak boolean, extremum_us long, price double"
+
+
+def stream_signals(setups: DataFrame, point: float = 0.01, least_points: float = 5.0, percent: float = 100.0, late: str = "0 seconds") -> DataFrame:
+    """Signals of streaming setups (lifecycle.SOURCE and BAR, one row for each bar and strategy) as they end: lifecycle.SOURCE and
+    the columns of lifecycle.ATTEMPT.
 
     A signal waits, runs and ends as in the batch; what runs when its source changes goes on until it meets its stop or target.
-    State of a symbol and strategy: the newest source's signal and those that still run.
+    State of a symbol and strategy: the newest source and its signal, and those that still run.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        source, signal, running = pickle.loads(state.get[0]) if state.exists else (None, Signal(), [])
-        out = []
-        for r in _ordered(parts, "bar_idx").to_dict("records"):
-            own, bar = tuple(r[c] for c in SOURCE), tuple(r[c] for c in BAR)
-            if own != source:
-                if source is not None and signal.status == ACTIVE:
-                    running.append((source, signal))
-                elif source is not None and (end := signal.left(-1)):
-                    out.append((*source, *end))
-                source, signal = own, Signal()
-            left = []
-            for of, live in running:
-                end = live.exit(1 if of[2] == "BULLISH" else -1, of[6], bar)
-                if end:
-                    out.append((*of, *end))
-                else:
-                    left.append((of, live))
-            running = left
-            if end := signal.step(1 if own[2] == "BULLISH" else -1, own[6], bar, point, least_points, percent):
-                out.append((*own, *end))
-        state.update((pickle.dumps((source, signal, running)),))
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("entry_idx", "exit_idx"):
-            frame[c] = frame[c].astype("Int32")
-        yield frame
-
-    kinds = dict(setups.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in SOURCE) + ", " + ATTEMPT.replace("timestamp_ntz", "timestamp")
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    return setups.select(*SOURCE, *BAR).groupBy("symbol", "strategy_id").applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_lifecycle(ticks: DataFrame) -> DataFrame:
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        source, held, running = state
+        source, signal, out = source and tuple(source), Signal(*held), []
+        own = (r.direction, r.slot, r.is_peak, r.extremum_us, r.price)
+        bar = (r.us, r.bar_idx, r.high_1, r.low_1, r.high, r.low, r.close, r.eligible, r.base_ok, r.macro_ok, None)
+        if own != source:
+            if source is not None and signal.status == ACTIVE:
+                running = [*running, (*source, *astuple(signal))]
+            elif source is not None and (end := signal.left(-1)):
+                out.append((*source, *end))
+            source, signal = own, Signal()
+        left = []
+        for x in running:
+            of, live = tuple(x[:5]), Signal(*x[5:])
+            end = live.exit(1 if of[0] == "BULLISH" else -1, of[4], bar)
+            if end:
+                out.append((*of, *end))
+            else:
+                left.append((*of, *astuple(live)))
+        if end := signal.step(1 if own[0] == "BULLISH" else -1, own[4], bar, point, least_points, percent):
+            out.append((*own, *end))
+        return (source, astuple(signal), left), out
+
+    state = f"source struct<{_as_struct(_OF)}>, signal struct<{_as_struct(_SIGNAL)}>, running array<struct<{_as_struct(_OF)}, {_as_struct(_SIGNAL)}>>"
+    machine = Machine(state, (None, astuple(Signal()), []), _OF.replace("extremum_us", "extremum_ts") + ", " + ATTEMPT.replace("timestamp_ntz", "long"), step)
+    rows = setups.select(*SOURCE, *BAR).withColumn("extremum_us", F.unix_micros(F.col("extremum_ts").cast("timestamp"))).withColumn("slot", F.col("slot").cast("int"))
+    columns = ("bar_idx", "direction", "slot", "is_peak", "extremum_us", "price", "high_1", "low_1", "high", "low", "close", "eligible", "base_ok", "macro_ok")
+    out = ordered(rows, ("symbol", "strategy_id"), "bar_ts", ("bar_idx",), columns, machine, late, ("extremum_ts", "bar_ts", "entry_ts", "exit_ts"))
+    return out.select(*SOURCE, *(x.split(" ")[0] for x in ATTEMPT.split(", ")))
+
+
+def _as_struct(ddl: str) -> str:
+    return ", ".join(x.replace(" ", ": ", 1) for x in ddl.split(", "))
+
+
+def stream_lifecycle(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Decisions on signals that come mixed with the ticks of their symbol: symbol, signal_id, event, ts, price.
 
     Rows: symbol, ts, event_id, price, and for a row that opens a signal also signal_id, direction, trigger, stop, target.
@@ -135,121 +127,124 @@ def stream_lifecycle(ticks: DataFrame) -> DataFrame:
     goes. State: the signals of a symbol that are still open.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = list(zip(*state.get)) if state.exists else []
-        out = []
-        for r in _ordered(parts, "ts", "event_id").itertuples():
-            left = []
-            for sid, sign, trigger, stop, target, active in open_:
-                event = None
-                if not active and (r.price - trigger) * sign > 0:
-                    event, active = "ENTRY", True
-                elif active and (r.price - stop) * sign < 0:
-                    event = "SL"
-                elif active and (r.price - target) * sign >= 0:
-                    event = "TP"
-                if event:
-                    out.append((key[0], sid, event, r.ts, r.price))
-                if event not in ("SL", "TP"):
-                    left.append((sid, sign, trigger, stop, target, active))
-            open_ = left
-            if not pd.isna(r.signal_id):
-                open_.append((int(r.signal_id), 1 if r.direction == "BULLISH" else -1, r.trigger, r.stop, r.target, False))
-        if open_:
-            state.update(tuple(list(x) for x in zip(*open_)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["symbol", "signal_id", "event", "ts", "price"])
-
-    kept = "ids array<long>, signs array<int>, triggers array<double>, stops array<double>, targets array<double>, active array<boolean>"
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, signal_id long, event string, ts timestamp, price double", kept, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_source_state(events: DataFrame) -> DataFrame:
-    """Attempts and consumption by source_key, in update mode: source_key, attempts, consumed_ts."""
-    return events.groupBy("source_key").agg(F.count_if(F.col("event") == "ATTEMPT").alias("attempts"), F.min(F.when(F.col("event") == "TP", F.col("ts"))).alias("consumed_ts"))
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        left, out = [], []
+        for sid, sign, trigger, stop, target, active in state[0]:
+            event = None
+            if not active and (r.price - trigger) * sign > 0:
+                event, active = "ENTRY", True
+            elif active and (r.price - stop) * sign < 0:
+                event = "SL"
+            elif active and (r.price - target) * sign >= 0:
+                event = "TP"
+            if event:
+                out.append((sid, event, r.us, r.price))
+            if event not in ("SL", "TP"):
+                left.append((sid, sign, trigger, stop, target, active))
+        if r.signal_id is not None:
+            left.append((r.signal_id, 1 if r.direction == "BULLISH" else -1, r.trigger, r.stop, r.target, False))
+        return (left,), out
+
+    state = "open array<struct<id: long, sign: int, trigger: double, stop: double, target: double, active: boolean>>"
+    machine = Machine(state, ([],), "signal_id long, event string, ts long, price double", step)
+    return ordered(ticks, ("symbol",), "ts", ("event_id",), ("price", "signal_id", "direction", "trigger", "stop", "target"), machine, late, ("ts",))
+
+
+def stream_source_state(events: DataFrame, ttl_seconds: int = 30 * 86400, late: str = "10 minutes", key: str = "symbol", by_clock: bool = False) -> DataFrame:
+    """Attempts and consumption of each source, in update mode: key, source_key, attempts, first_ts, consumed, consumed_ts, as
+    reports.source_attempts has them; the last row of a source counts.
+
+    Events: key, source_key, event (ATTEMPT, TP or another), ts. Sources of a key are a map in its state. A source is forgotten
+    ttl_seconds after its last event, once the watermark has passed that (to the minute), so that a replay forgets the same
+    ones; by_clock: as much later by the clock. One that comes again then begins anew. Rows without a time or source are left out.
+    """
+    e = event_time(events.where("ts IS NOT NULL AND source_key IS NOT NULL"), "ts", late).withColumn("us", F.unix_micros("ts")).select(key, "ts", "us", "source_key", "event")
+    schema = f"{key} {dict(e.dtypes)[key]}, {SourceState.OUT}"
+    out = keyed(e).groupBy(key).transformWithState(SourceState(key, ttl_seconds * 1000, by_clock), schema, "update", "processingTime" if by_clock else "eventTime")
+    return out.select(key, "source_key", "attempts", F.timestamp_micros("first_us").alias("first_ts"), "consumed", F.timestamp_micros("consumed_us").alias("consumed_ts"))
 
 
 def stream_daily_counts(outcomes: DataFrame, late: str = "1 day") -> DataFrame:
-    """Signals and losses by day and direction; a day's state goes when the watermark passes it."""
-    o = outcomes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    """Signals and losses by day and direction, as reports.daily_signal_counts: each day once, when the watermark passes its end."""
+    o = event_time(outcomes, "ts", late)
     return o.groupBy(F.window("ts", "1 day").alias("w"), "direction").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col("profit") <= -0.01).alias("losses")).select(F.col("w.start").alias("day"), "direction", "signals", "losses")
 
 
-_LOG = "label string, state_key long, ts timestamp, event_id long, message int"
+def _period_us(period: str):
+    """Where a time's day or week (from Monday on) begins, and how long it is."""
+    if period == "week":
+        return lambda us: (us + 3 * DAY_US) // (7 * DAY_US) * 7 * DAY_US - 3 * DAY_US, 7 * DAY_US
+    return lambda us: us // DAY_US * DAY_US, DAY_US
+
+
+def stream_daily_limit(signals: DataFrame, mode: str, limit: int, keys: tuple[str, ...] = ("direction",), late: str = "1 hour") -> DataFrame:
+    """keys, ts, signal_id and `allowed` of signals (keys, ts, signal_id, profit), as reports.daily_limit: SIGNALS lets the first
+    `limit` of a day through, LOSSES all until that many have lost. A day's count goes when the watermark passes its end."""
+    begin, length = _period_us("day")
+
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        n = state[1]
+        counts = mode == "SIGNALS" or r.profit is not None and r.profit <= -0.01
+        return (begin(r.us), n + counts), [(r.us, r.signal_id, n < limit)]
 
+    machine = Machine("day long, n long", (0, 0), "ts long, signal_id long, allowed boolean", step, lambda state: state[0] + length)
+    return ordered(signals, keys, "ts", ("signal_id",), ("profit",), machine, late, ("ts",))
 
-def stream_log_on_change(events: DataFrame) -> DataFrame:
+
+_LOG = ("label", "state_key", "ts", "event_id", "message")
+
+
+def stream_log_on_change(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Events (label, state_key, ts, event_id, message) whose message differs from their key's last one."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        rows = _ordered(parts, "ts", "event_id")
-        before = rows["message"].shift(1)
-        keep = rows["message"].ne(before)
-        keep.iloc[0] = last is None or rows["message"].iloc[0] != last
-        state.update((int(rows["message"].iloc[-1]),))
-        yield rows.loc[keep, ["label", "state_key", "ts", "event_id", "message"]]
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        return (True, r.message), [] if tuple(state) == (True, r.message) else [(r.us, r.event_id, r.message)]
 
-    return events.groupBy("label", "state_key").applyInPandasWithState(step, _LOG, "last int", "append", GroupStateTimeout.NoTimeout)
+    machine = Machine("seen boolean, last int", (False, None), "ts long, event_id long, message int", step)
+    return ordered(events, ("label", "state_key"), "ts", ("event_id",), ("message",), machine, late, ("ts",)).select(*_LOG)
 
 
-def stream_log_throttle(events: DataFrame, seconds: int) -> DataFrame:
+def stream_log_throttle(events: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Events at least `seconds` after their key's last kept one, with the number dropped between."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, dropped = state.get if state.exists else (None, 0)
-        rows = _ordered(parts, "ts", "event_id")
-        keep, suppressed = [], []
-        for k, t in enumerate(rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)):
-            if last is None or t - last >= seconds * 1_000_000:
-                keep.append(k)
-                suppressed.append(dropped)
-                last, dropped = int(t), 0
-            else:
-                dropped += 1
-        state.update((last, dropped))
-        yield rows.iloc[keep].assign(suppressed=suppressed)[["label", "state_key", "ts", "event_id", "message", "suppressed"]]
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        last, dropped = state
+        if last is None or r.us - last >= seconds * 1_000_000:
+            return (r.us, 0), [(r.us, r.event_id, r.message, dropped)]
+        return (last, dropped + 1), []
 
-    return events.groupBy("label", "state_key").applyInPandasWithState(step, f"{_LOG}, suppressed long", "last long, dropped long", "append", GroupStateTimeout.NoTimeout)
+    machine = Machine("last long, dropped long", (None, 0), "ts long, event_id long, message int, suppressed long", step)
+    return ordered(events, ("label", "state_key"), "ts", ("event_id",), ("message",), machine, late, ("ts",)).select(*_LOG, "suppressed")
 
 
-def stream_drawdown_lock(equity: DataFrame, threshold: float, period: str = "day") -> DataFrame:
+def stream_drawdown_lock(equity: DataFrame, threshold: float, period: str = "day", late: str = "10 minutes", releases: bool = False) -> DataFrame:
     """Rows (symbol, ts, event_id, drawdown) with `locked`: an earlier row of the same day or week had a drawdown of at least the
-    threshold. The lock goes when the next day or week begins."""
+    threshold. The lock goes when the watermark passes the day's or week's end; with `releases` that is a row too, without an
+    event_id."""
+    begin, length = _period_us(period)
+
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        return (begin(r.us), state[1] or r.drawdown is not None and r.drawdown >= threshold), [(r.us, r.event_id, state[1])]
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, locked = state.get if state.exists else (None, False)
-        rows = _ordered(parts, "ts", "event_id")
-        starts, out = rows["ts"].dt.to_period("W" if period == "week" else "D").astype(str), []
-        for start, drawdown in zip(starts, rows["drawdown"]):
-            if start != anchor:
-                anchor, locked = start, False
-            out.append(locked)
-            locked = locked or drawdown >= threshold
-        state.update((anchor, bool(locked)))
-        yield rows.assign(locked=out)[["symbol", "ts", "event_id", "locked"]]
+    def end(key: tuple, state: tuple) -> tuple[None, list[tuple]]:
+        return None, [(state[0] + length, None, False)] if releases and state[1] else []
 
-    return equity.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, event_id long, locked boolean", "anchor string, locked boolean", "append", GroupStateTimeout.NoTimeout)
+    machine = Machine("start long, locked boolean", (0, False), "ts long, event_id long, locked boolean", step, lambda state: state[0] + length, end)
+    return ordered(equity, ("symbol",), "ts", ("event_id",), ("drawdown",), machine, late, ("ts",))
 
 
-def stream_force_close(requests: DataFrame) -> DataFrame:
+def stream_force_close(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Requests (symbol, ts, event_id, reason or null, allowed) as they are carried out: symbol, ts, reason. A reason waits until
     a row of its symbol says that closing is allowed, and isn't queued again while it waits."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        out = []
-        for r in _ordered(parts, "ts", "event_id").itertuples():
-            if isinstance(r.reason, str) and r.reason and r.reason not in waiting:
-                waiting.append(r.reason)
-            if r.allowed:
-                out += [(key[0], r.ts, reason) for reason in waiting]
-                waiting = []
-        state.update((waiting,))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "reason"])
-
-    return requests.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, reason string", "waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        waiting = list(state[0])
+        if r.reason and r.reason not in waiting:
+            waiting.append(r.reason)
+        return (([],), [(r.us, reason) for reason in waiting]) if r.allowed else ((waiting,), [])
+
+    machine = Machine("waiting array<string>", ([],), "ts long, reason string", step)
+    return ordered(requests, ("symbol",), "ts", ("event_id",), ("reason", "allowed"), machine, late, ("ts",))
 
 
 def publish_stream(results: DataFrame, path: str, checkpoint: str):
