@@ -2,7 +2,7 @@
 
 Spark hands a stateful operator each micro-batch's rows in any order, and rows of a later one may be earlier. Ordered holds
 them, as rows of their own in the state store, until the watermark passes them, and hands them on in order: rows that come
-late by no more than the watermark's delay change no result. Later ones are dropped, and counted by LateRows. States have
+late by no more than the watermark's delay change no result. Later ones Spark leaves out, and LateRows counts. States have
 fields, so that the state store can be read and they can be told apart in it. What ends at a time (a day's counts, a
 week's lock) ends by a timer when the watermark passes, whether or not another row comes.
 """
@@ -51,28 +51,29 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", self.kinds)
         self.own = handle.getValueState("own", self.machine.state)
-        self.due = handle.getValueState("due", "at long")
+        self.due = handle.getValueState("due", "at_ms long")
         self.row = namedtuple("Tick", self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = [tuple(r[c] for c in self.columns) for r in rows]
         if new:
             self.held.appendList(new)
-            self._wake(min(r[0] for r in new))
+            due = self.due.get()[0] if self.due.exists() else None
+            self.due.update((self._wake(due, min(r[0] for r in new)),))
         return iter(())
 
-    def _wake(self, us: int) -> None:
+    def _wake(self, due: int | None, us: int) -> int:
         """Be called once the watermark has passed a time, or an earlier one that was asked for before."""
-        at, now = us // 1000 + 1, self.due.get() if self.due.exists() else None
-        if now is None or at < now[0]:
-            if now is not None:
-                self.handle.deleteTimer(now[0])
-            self.handle.registerTimer(at)
-            self.due.update((at,))
+        at = us // 1000 + 1
+        if due is not None and due <= at:
+            return due
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(at)
+        return at
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self.due.clear()
         ready, rest = [], []
         for r in self.held.get():
             (ready if r[0] <= passed else rest).append(r)
@@ -101,7 +102,9 @@ class Ordered(StatefulProcessor):
         if state is not None and (at := machine.ends(state)) is not None:
             later.append(at)
         if later:
-            self._wake(min(later))
+            self.due.update((self._wake(None, min(later)),))
+        else:
+            self.due.clear()
         for row in out:
             yield Row(**dict(zip(self.out, (*key, *row))))
 
@@ -149,9 +152,8 @@ class LateRows(StreamingQueryListener):
         self.dropped.setdefault(event.name or str(event.id), 0)
 
     def onQueryProgress(self, event) -> None:
-        p = event.progress
-        name = p.name or str(p.id)
-        self.dropped[name] = self.dropped.get(name, 0) + sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        name = event.progress.name or str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
 
     def onQueryIdle(self, event) -> None:
         pass
