@@ -129,8 +129,8 @@ def _streamed(spark, frame, make, sink, mode="append", time="ts", late=None, key
     flush = frame.orderBy(F.desc(time)).limit(1).withColumns({key: F.lit("~" if text else -99), time: (F.col(time) + F.expr("INTERVAL 3650 DAYS")).cast(dict(frame.dtypes)[time])})
     if late:
         rows = frame.withColumn("__at", F.unix_seconds(F.col(time).cast("timestamp")) + F.pmod(F.xxhash64(*frame.columns), F.lit(late)))
-        parts = rows.repartitionByRange(5, "__at").withColumn("__part", F.spark_partition_id()).cache()
-        files = [parts.where(F.col("__part") == k).drop("__at", "__part") for k in range(5)]
+        parts = rows.repartitionByRange(3, "__at").withColumn("__part", F.spark_partition_id()).cache()
+        files = [parts.where(F.col("__part") == k).drop("__at", "__part") for k in range(3)]
     else:
         files = [frame]
     for k, part in enumerate([*files, flush.select(*frame.columns)]):
@@ -140,8 +140,10 @@ def _streamed(spark, frame, make, sink, mode="append", time="ts", late=None, key
         os.rename(made, f"{folder}/in/{k}.parquet")
         os.utime(f"{folder}/in/{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1 if late else 10).parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # few rows: a state store for each partition costs more than they do
     q = make(source).writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination(240)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark.table(sink).where(F.col(key) != ("~" if text else -99))
 
 

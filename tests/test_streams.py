@@ -95,8 +95,10 @@ def _parts(spark, frame, folder, first, second):
 
 def _run(spark, frame, make, folder, mode="append"):
     source = spark.readStream.schema(frame.schema).parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     out = make(source).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/{n}")).outputMode(mode).option("checkpointLocation", f"{folder}/check")
     out.trigger(availableNow=True).start().awaitTermination(240)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def _written(spark, folder):
