@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_series import _streamed
-from tidegauge.operators import reports, windows
+from tidegauge.operators import live, reports, signals, windows
 from tidegauge.operators import swings as W
 from tidegauge.plans.registry import bars as bars_of
-from tidegauge.sources.tables import read_event_log, read_ticks
+from tidegauge.sources.tables import read_event_log, read_ticks, strategy_config
 from tidegauge.streaming import ordered, streams
 
 LATE = 2 * 86400
@@ -190,3 +190,74 @@ def test_sources_forgotten_by_the_clock(spark, tmp_path):
     assert {r["source_key"]: r["attempts"] for r in _written(spark, str(tmp_path)).where("symbol = 'a'").collect()} == {"k": 2, "m": 2, "x": 1}
     held = spark.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", "sources").load()
     assert {r["key"]["symbol"] for r in held.collect()} <= {"a", "b"}
+
+
+# -- signals from ticks
+
+
+def _events(df):
+    return sorted((tuple(r) for r in df.select("symbol", *(name for name, _, _ in live.EVENTS)).collect()), key=str)
+
+
+@pytest.mark.parametrize("gates", [live.Gates(), live.Gates("SIGNALS", 1, True, 100.0)])
+def test_live_signals_from_late_ticks_are_the_batch(spark, sf, gates):
+    ticks = read_ticks(spark, f"{sf}/events.parquet").select("symbol", "event_id", F.col("ts").cast("timestamp").alias("ts"), "price")
+    rules = live.rules_of(strategy_config(spark), gates)
+    got = _streamed(spark, ticks, lambda s: streams.stream_live_signals(s, rules, "1 hour", DELAY), f"live_{gates.single}", late=LATE, key="symbol")
+    want = _events(live.signal_events(bars_of(spark, sf), rules))
+    got = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "extremum_ts")})
+    assert _events(got) == want and len(want) > 20
+
+
+def test_live_signals_survive_a_restart(spark, sf, tmp_path):
+    ticks = read_ticks(spark, f"{sf}/events.parquet").select("symbol", "event_id", F.col("ts").cast("timestamp").alias("ts"), "price")
+    flush = spark.createDataFrame([("~", -1, dt.datetime(2034, 1, 1), 1.0)], ticks.schema)
+    whole = ticks.unionByName(flush)
+    rules = live.rules_of(strategy_config(spark))
+    put = _parts(spark, whole, str(tmp_path), "ts < '2024-01-20 07:30:00'", "ts >= '2024-01-20 07:30:00'")
+    for name in ("a", "b"):
+        put(name)
+        _run(spark, whole, lambda s: streams.stream_live_signals(s, rules), str(tmp_path))
+    got = _written(spark, str(tmp_path)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "extremum_ts")})
+    assert _events(got) == _events(live.signal_events(bars_of(spark, sf), rules))
+
+
+@pytest.fixture(scope="module")
+def some_bars(spark):
+    return bars_of(spark, "/root/testdata/sf0.01").cache()
+
+
+def test_ungated_events_are_the_candidates(spark, some_bars):
+    columns = ("symbol", "strategy_id", "direction", "extremum_ts", "stop", "attempt", "bar_ts", "trigger", "entry_ts", "entry_close", "outcome", "exit_ts", "profit")
+    got = live.attempts_of(live.signal_events(some_bars, live.rules_of(strategy_config(spark))))
+    want = signals.label_outcomes(signals.detect_candidates(some_bars, strategy_config(spark)), some_bars)
+    assert {tuple(r) for r in got.select(*columns).collect()} == {tuple(r) for r in want.select(*columns).collect()}
+
+
+def test_each_gate_holds_and_bites(spark, some_bars):
+    def run(*gates):
+        rows = live.signal_events(some_bars, live.rules_of(strategy_config(spark), live.Gates(*gates))).orderBy("symbol", "bar_idx", "strategy_id").collect()
+        return rows, sum(r["event"] == "SIGNAL" for r in rows)
+
+    free = run()[1]
+    rows, n = run("SIGNALS", 1)
+    began = [(r["symbol"], r["direction"], r["ts"].date()) for r in rows if r["event"] == "SIGNAL"]
+    assert n < free and len(set(began)) == len(began)
+    rows, n = run("LOSSES", 1)
+    lost = {}
+    for r in rows:
+        key = r["symbol"], r["direction"], r["ts"].date()
+        if r["event"] == "SL":
+            lost[key] = min(lost.get(key, r["bar_idx"]), r["bar_idx"])
+    assert n < free and all(r["bar_idx"] <= lost.get((r["symbol"], r["direction"], r["ts"].date()), 10**9) for r in rows if r["event"] == "SIGNAL")
+    rows, n = run("OFF", 0, True)
+    open_ = {}
+    for r in rows:
+        key = r["symbol"], r["direction"]
+        if r["event"] == "SIGNAL":
+            assert not any(until is None or until > r["bar_idx"] for until in open_.get(key, {}).values())
+            open_.setdefault(key, {})[r["strategy_id"], r["extremum_ts"], r["attempt"]] = None
+        elif r["event"] != "ENTRY":
+            open_[key][r["strategy_id"], r["extremum_ts"], r["attempt"]] = r["bar_idx"]
+    assert n < free
+    assert run("OFF", 0, False, 100.0)[1] < free

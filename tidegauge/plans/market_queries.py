@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import scalars as S
 from tidegauge.operators import joins as J
+from tidegauge.operators import live
 from tidegauge.operators import reports as R
 from tidegauge.operators import signals as G
 from tidegauge.operators import windows as W
@@ -384,7 +385,11 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- candidates
 
 
-def _candidates_sql() -> str:
+_SOURCE = "symbol, strategy_id, extremum_ts, is_peak, price"
+
+
+def _setups_sql() -> str:
+    """Up to the table r of each bar's setups, a row for each strategy."""
     macros = {"3h": 3, "4h": 4, "8h": 8}
     ctes = []
     for tf, h in macros.items():
@@ -395,7 +400,6 @@ def _candidates_sql() -> str:
             q{h} AS (SELECT symbol, mts + to_hours({h}) AS at, ma, lag(ma) OVER (PARTITION BY symbol ORDER BY mts) AS was FROM q{h}c)"""
         )
     pick = lambda c: "CASE strategy_id WHEN 1 THEN q3.{0} WHEN 2 THEN q4.{0} ELSE q8.{0} END".format(c)
-    key = "symbol, strategy_id, extremum_ts, is_peak, price"
     return f"""{SNAPSHOT_SQL}, {', '.join(ctes)},
         x AS (SELECT symbol, bar_ts, bar_idx, is_peak, extremum_ts, extremum_idx, price FROM sized WHERE valid AND slot = 0 AND price > 0),
         bb AS (SELECT *, CASE WHEN bar_idx >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) END AS ma, lag(high) OVER (PARTITION BY symbol ORDER BY bar_ts) AS high_1, lag(low) OVER (PARTITION BY symbol ORDER BY bar_ts) AS low_1, max(bar_idx) OVER (PARTITION BY symbol) AS last_idx FROM bars),
@@ -404,7 +408,12 @@ def _candidates_sql() -> str:
             LEFT JOIN bb f ON f.symbol = s.symbol AND f.bar_idx = s.bar_idx - delay LEFT JOIN bb g ON g.symbol = s.symbol AND g.bar_idx = s.bar_idx - delay - 1),
         g AS (SELECT e.*, {pick('ma')} AS macro_ma, {pick('was')} AS macro_ma_before FROM e ASOF LEFT JOIN q3 ON e.symbol = q3.symbol AND e.bar_ts >= q3.at ASOF LEFT JOIN q4 ON e.symbol = q4.symbol AND e.bar_ts >= q4.at ASOF LEFT JOIN q8 ON e.symbol = q8.symbol AND e.bar_ts >= q8.at),
         h AS (SELECT *, coalesce((bma - bwas) * sg > 0 AND CASE WHEN is_peak THEN ehigh > bma ELSE elow < bma END, false) AS setup, coalesce((nma - nwas) * sg > 0, false) AS base_ok, coalesce((macro_ma - macro_ma_before) * sg > 0, false) AS macro_ok, CASE WHEN is_peak THEN low_1 ELSE high_1 END AS edge, CASE WHEN is_peak THEN low ELSE high END AS reach FROM g),
-        r AS MATERIALIZED (SELECT *, setup AND macro_ok AND coalesce(edge > 0 AND price > 0 AND (edge - price) * sg > 0, false) AS eligible, row_number() OVER (PARTITION BY {key} ORDER BY bar_idx) AS n FROM h),
+        r AS MATERIALIZED (SELECT *, setup AND macro_ok AND coalesce(edge > 0 AND price > 0 AND (edge - price) * sg > 0, false) AS eligible, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY bar_idx) AS n FROM h)"""
+
+
+def _candidates_sql() -> str:
+    key = _SOURCE
+    return f"""{_setups_sql()},
         life AS (SELECT {key}, sg, last_idx, n, bar_idx, bar_idx AS seen, CASE WHEN eligible THEN 1 ELSE 0 END AS att, CASE WHEN eligible THEN 'P' ELSE 'I' END AS st, bar_ts AS sig_ts, bar_idx AS sig_idx, edge AS trigger, edge AS anchor, CAST(NULL AS TIMESTAMP) AS entry_ts, CAST(NULL AS BIGINT) AS entry_idx, CAST(NULL AS DOUBLE) AS entry_close,
                 CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS TIMESTAMP) AS exit_ts, CAST(NULL AS DOUBLE) AS exit_close FROM r WHERE n = 1
             UNION ALL
@@ -477,6 +486,60 @@ def pending_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(G.detect_candidates(stored_bars(spark, sf_dir), T.strategy_config(spark)), "strategy_id", "direction", "trigger", "anchor")
 
 
+def _gated_sql(mode: str, limit: int, single: bool, drawdown: float) -> str:
+    """The turns of strategies as a recursion over (bar, strategy). A signal's end depends on the bars after its entry alone, so
+    that it is looked up for every bar before; the recursion decides what begins and enters."""
+    counted = "CASE WHEN sg = 1 THEN nb ELSE ns END" if mode == "SIGNALS" else "len(list_filter(live, lambda e: e.loss AND e.xday = today AND e.sg = sg AND (e.x < i OR e.x = i AND e.s <= sid)))"
+    alone = "len(list_filter(cur, lambda e: e.s <> sid AND e.st = 'P' AND e.sg = sg)) = 0 AND len(list_filter(live, lambda e: e.sg = sg AND (e.x > i OR e.x = i AND e.s > sid))) = 0" if single else "true"
+    never = 1 << 40
+    turn = "struct_pack(s := {0}::BIGINT, k := CAST(NULL AS VARCHAR), sg := 0::BIGINT, st := 'I', att := 0::BIGINT, anchor := 0::DOUBLE, x := 0::BIGINT, loss := false)"
+    held = "struct_pack(s := 0::BIGINT, sg := 0::BIGINT, ec := 0::DOUBLE, x := 0::BIGINT, loss := false, xday := DATE '1970-01-01')"
+    return f"""WITH RECURSIVE {_setups_sql()},
+        ends AS (SELECT r.symbol, r.strategy_id, r.bar_idx, min(b.bar_idx) AS x FROM r JOIN bars b ON b.symbol = r.symbol AND b.bar_idx > r.bar_idx AND ((b.close - r.price) * r.sg < 0 OR (CASE WHEN r.is_peak THEN b.low ELSE b.high END - (r.close + r.sg * abs(r.close - r.price))) * r.sg >= 0) GROUP BY ALL),
+        turn AS MATERIALIZED (SELECT r.symbol, r.strategy_id AS sid, r.bar_idx AS i, r.bar_ts, CAST(r.bar_ts AS DATE) AS today, r.sg::BIGINT AS sg, r.direction, r.extremum_ts, r.price, r.edge, r.close, r.eligible, r.base_ok, r.macro_ok, coalesce(ends.x, {never}) AS nx, coalesce((b.close - r.price) * r.sg < 0, false) AS nloss, CAST(b.bar_ts AS DATE) AS nxday, b.bar_ts AS xts,
+              CAST(r.extremum_ts AS VARCHAR) || '|' || r.is_peak || '|' || r.price AS k, row_number() OVER (PARTITION BY r.symbol ORDER BY r.bar_idx, r.strategy_id) AS n
+              FROM r LEFT JOIN ends USING (symbol, strategy_id, bar_idx) LEFT JOIN bars b ON b.symbol = r.symbol AND b.bar_idx = ends.x),
+        turns AS (SELECT DISTINCT symbol, 0::BIGINT AS n, CAST(NULL AS DATE) AS today, 0::BIGINT AS nb, 0::BIGINT AS ns, CAST(NULL AS DATE) AS lock, [{turn.format(1)}, {turn.format(2)}, {turn.format(3)}] AS cur, list_filter([{held}], lambda e: e.s > 0) AS live,
+                 CAST(NULL AS VARCHAR) AS gone, 0::BIGINT AS gone_att, CAST(NULL AS VARCHAR) AS event, 0::BIGINT AS att FROM turn
+            UNION ALL
+            SELECT symbol, n, today, nb + (opens AND sg = 1)::INT, ns + (opens AND sg = -1)::INT,
+                CASE WHEN sid = 3 AND coalesce(list_sum(list_transform(list_filter(alive, lambda e: e.x > i), lambda e: (e.ec - close) * e.sg)), 0) >= {drawdown} AND len(list_filter(alive, lambda e: e.x > i)) > 0 THEN today ELSE lock END,
+                list_transform(cur, lambda e: CASE WHEN e.s = sid THEN struct_pack(s := e.s, k := k, sg := sg, st := CASE st WHEN 'P' THEN CASE WHEN enters THEN 'A' WHEN passed THEN 'I' ELSE 'P' END WHEN 'A' THEN CASE WHEN i >= c.x THEN CASE WHEN c.loss THEN 'I' ELSE 'C' END ELSE 'A' END WHEN 'I' THEN CASE WHEN opens THEN 'P' ELSE 'I' END ELSE 'C' END,
+                    att := att + opens::INT, anchor := CASE WHEN opens THEN edge ELSE nearer END, x := CASE WHEN enters THEN nx ELSE c.x END, loss := CASE WHEN enters THEN nloss ELSE c.loss END) ELSE e END),
+                alive, gone, gone_att, CASE WHEN opens THEN 'SIGNAL' WHEN enters THEN 'ENTRY' WHEN passed AND NOT base_ok THEN 'BASE_EXPIRED' WHEN passed THEN 'MACRO_EXPIRED' END, att + opens::INT
+            FROM (SELECT *, list_concat(list_filter(live, lambda e: e.x >= i OR e.xday = today), CASE WHEN enters THEN [struct_pack(s := sid, sg := sg, ec := close, x := nx, loss := nloss, xday := nxday)] ELSE [] END) AS alive
+                FROM (SELECT *, passed AND base_ok AND macro_ok AS enters, st = 'I' AND eligible AND {counted} < {limit} AND {alone} AND lock IS DISTINCT FROM today AS opens
+                    FROM (SELECT *, st = 'P' AND (close - nearer) * sg > 0 AND (close - edge) * sg > 0 AS passed
+                        FROM (SELECT *, CASE WHEN st = 'P' AND (c.anchor - edge) * sg > 0.01::DOUBLE AND (edge - price) * sg > 0.01::DOUBLE AND abs(edge - price) / 0.01::DOUBLE >= 5 - 1e-7 THEN edge ELSE c.anchor END AS nearer
+                            FROM (SELECT *, CASE WHEN same THEN c.st ELSE 'I' END AS st, CASE WHEN same THEN c.att ELSE 0 END AS att, CASE WHEN NOT same AND c.st = 'P' THEN c.k END AS gone, c.att AS gone_att
+                                FROM (SELECT *, coalesce(c.k = k, false) AS same
+                                    FROM (SELECT q.*, l.cur, l.live, l.lock, CASE WHEN l.today = q.today THEN l.nb ELSE 0 END AS nb, CASE WHEN l.today = q.today THEN l.ns ELSE 0 END AS ns, l.cur[q.sid] AS c FROM turns l JOIN turn q ON q.symbol = l.symbol AND q.n = l.n + 1)))))))),
+        told AS (SELECT symbol, n, event, att, gone, gone_att FROM turns),
+        began AS MATERIALIZED (SELECT q.*, f.event, f.att AS attempt FROM told f JOIN turn q USING (symbol, n) WHERE f.event IS NOT NULL),
+        left_ AS (SELECT q.symbol, q.sid, f.gone AS k, f.gone_att AS attempt FROM told f JOIN turn q USING (symbol, n) WHERE f.gone IS NOT NULL)
+        SELECT a.symbol, a.bar_ts, CAST(a.sid AS INTEGER) AS strategy_id, a.direction, a.extremum_ts, CAST(a.attempt AS INTEGER) AS attempt, {r6('a.edge')} AS trigger, e.bar_ts AS entry_ts,
+               coalesce(z.event, CASE WHEN o.k IS NOT NULL THEN 'EXPIRED' WHEN e.symbol IS NULL THEN 'PENDING' WHEN e.nx = {never} THEN 'OPEN' WHEN e.nloss THEN 'SL' ELSE 'TP' END) AS outcome, e.xts AS exit_ts
+        FROM began a LEFT JOIN began e ON e.symbol = a.symbol AND e.sid = a.sid AND e.k = a.k AND e.attempt = a.attempt AND e.event = 'ENTRY' LEFT JOIN began z ON z.symbol = a.symbol AND z.sid = a.sid AND z.k = a.k AND z.attempt = a.attempt AND z.event IN ('BASE_EXPIRED', 'MACRO_EXPIRED')
+        LEFT JOIN left_ o ON o.symbol = a.symbol AND o.sid = a.sid AND o.k = a.k AND o.attempt = a.attempt WHERE a.event = 'SIGNAL'"""
+
+
+def _gated(spark: SparkSession, sf_dir: str, gates: live.Gates) -> DataFrame:
+    a = live.attempts_of(live.signal_events(bars(spark, sf_dir), live.rules_of(T.strategy_config(spark), gates)))
+    return shown(a, "strategy_id", "direction", "extremum_ts", "attempt", "trigger", "entry_ts", "outcome", "exit_ts")
+
+
+@query(_gated_sql("SIGNALS", 2, True, 150.0))
+def candidates_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two signals a day and direction, one at a time, none on a day after a drawdown of 150."""
+    return _gated(spark, sf_dir, live.Gates("SIGNALS", 2, True, 150.0))
+
+
+@query(_gated_sql("LOSSES", 1, False, 300.0))
+def candidates_gated_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """None after a stop of the day in its direction, none on a day after a drawdown of 300; any number at a time."""
+    return _gated(spark, sf_dir, live.Gates("LOSSES", 1, False, 300.0))
+
+
 # -- logs
 
 _LOG = "lg AS (SELECT event_id, ts, event_type AS label, user_id % 10 AS state_key, CAST(floor(value / 50) AS INTEGER) AS message FROM events)"

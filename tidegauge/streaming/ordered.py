@@ -112,7 +112,10 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def event_time(rows: DataFrame, time: str, late: str) -> DataFrame:
+def event_time(rows: DataFrame, time: str, late: str | None) -> DataFrame:
+    """Rows with a watermark; None leaves the one that they have."""
+    if late is None:
+        return rows
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
@@ -123,7 +126,7 @@ def keyed(rows: DataFrame):
     return rows
 
 
-def ordered(rows: DataFrame, keys: tuple[str, ...], time: str, ties: tuple[str, ...], columns: tuple[str, ...], machine: Machine, late: str, times: tuple[str, ...] = ()) -> DataFrame:
+def ordered(rows: DataFrame, keys: tuple[str, ...], time: str, ties: tuple[str, ...], columns: tuple[str, ...], machine: Machine, late: str | None, times: tuple[str, ...] = ()) -> DataFrame:
     """Keys and machine.out of streaming rows, whose `time` may be late by `late`; rows without a time are left out. Of the result
     the columns in `times` are microseconds that become timestamps. A row comes out once the watermark has passed it."""
     w = event_time(rows.where(F.col(time).isNotNull()), time, late).withColumn("us", F.unix_micros(time))

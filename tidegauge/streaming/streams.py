@@ -7,24 +7,28 @@ time, as ordered.py says: a row may be late by `late`, and what is decided on it
 
 from __future__ import annotations
 
+import json
 from dataclasses import astuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators import live
 from tidegauge.operators.lifecycle import ACTIVE, ATTEMPT, BAR, SOURCE, Signal
 from tidegauge.sources.sinks import publish_daily_results
 from tidegauge.streaming.ordered import DAY_US, Machine, SourceState, event_time, keyed, ordered
 
 
-def stream_bars(ticks: DataFrame, tf: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def stream_bars(ticks: DataFrame, tf: str = "1 hour", late: str = "10 minutes", closed: bool = False) -> DataFrame:
     """Bars of each symbol: symbol, bar_ts, open, high, low, close, tick_volume. In append mode a bar comes once, when the
-    watermark passes its end; in update mode the forming bar comes with every change."""
+    watermark passes its end; in update mode the forming bar comes with every change. With `closed` also the last moment of
+    the bar, which carries the watermark on to a further operator."""
     at = F.struct("ts", "event_id")
     bars = event_time(ticks, "ts", late).groupBy("symbol", F.window("ts", tf).alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("tick_volume")
     )
-    return bars.select("symbol", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "tick_volume")
+    end = [F.window_time("w").alias("closed")] if closed else []
+    return bars.select("symbol", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "tick_volume", *end)
 
 
 def stream_new_bars(ticks: DataFrame, tf_seconds: int, late: str = "10 minutes") -> DataFrame:
@@ -115,6 +119,26 @@ def stream_signals(setups: DataFrame, point: float = 0.01, least_points: float =
     return out.select(*SOURCE, *(x.split(" ")[0] for x in ATTEMPT.split(", ")))
 
 
+def stream_live_signals(ticks: DataFrame, rules: live.Rules, tf: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Ticks in, signals out, in one query: symbol and live.EVENTS, as live.signal_events has them of the batch's bars.
+
+    Ticks become bars by a windowed aggregation; a symbol's closed bars then go through its structure (swings, means, macro
+    bars joined as of each bar) and its signals with their gates. A bar's events come when the watermark has passed its end.
+    State of a symbol: some dozens of numbers and the signals that wait or run, as two JSON texts of named fields.
+    """
+    bars = stream_bars(ticks, tf, late, closed=True)
+
+    def step(key: tuple, state: tuple, r: tuple) -> tuple[tuple, list[tuple]]:
+        structure, turns = (live.Structure(rules, json.loads(state[0])), live.Turns(rules, json.loads(state[1]))) if state[0] else (live.Structure(rules), live.Turns(rules))
+        at = structure.s["bars"]
+        events = list(turns.bar(r.bar_us, at, r.high, r.low, r.close, structure.setups(r.bar_us, r.high, r.low, r.close)))
+        return (json.dumps(structure.s), json.dumps(turns.s)), events
+
+    machine = Machine("structure string, turns string", ("", ""), ", ".join(f"{name} {ddl}" for name, _, ddl in live.EVENTS), step)
+    bars = bars.withColumn("bar_us", F.unix_micros("bar_ts"))
+    return ordered(bars, ("symbol",), "closed", (), ("bar_us", "high", "low", "close"), machine, None, ("ts", "extremum_ts"))
+
+
 def _as_struct(ddl: str) -> str:
     return ", ".join(x.replace(" ", ": ", 1) for x in ddl.split(", "))
 
