@@ -131,35 +131,44 @@ def source_signals(setups: DataFrame, point: float = 0.01, least_points: float =
 
 
 #: Bars of a span, and spans of a larger one.
-FAN, LEVELS = 64, 3
+FAN = 64
 
 
-def bar_spans(bars: DataFrame) -> DataFrame:
-    """Bars (level 0), spans of FAN bars and spans of FAN spans, with the range of their closes and prices: symbol, level,
-    span, parent (-1 on the highest level), close_low, close_high, low, high."""
+def levels_of(bars: DataFrame) -> int:
+    """How many levels of spans a history needs so that its largest spans are FAN at most: the logarithm of its bars."""
+    last, levels = bars.agg(F.max("bar_idx")).first()[0] or 0, 1
+    while FAN**levels <= last:
+        levels += 1
+    return levels
+
+
+def bar_spans(bars: DataFrame, levels: int) -> DataFrame:
+    """Bars (level 0), spans of FAN bars, spans of FAN spans and so on, with the range of their closes and prices: symbol, level,
+    span, parent (-1 on the highest level), close_low, close_high, low, high. Each level is a FAN-th of the one below."""
     b = bars.select("symbol", F.lit(0).alias("level"), F.col("bar_idx").cast("long").alias("span"), F.col("close").alias("close_low"), F.col("close").alias("close_high"), "low", "high")
     out = b
-    for k in range(1, LEVELS):
+    for k in range(1, levels):
         b = b.groupBy("symbol", F.floor(F.col("span") / FAN).alias("span")).agg(F.lit(k).alias("level"), F.min("close_low").alias("close_low"), F.max("close_high").alias("close_high"), F.min("low").alias("low"), F.max("high").alias("high"))
         out = out.unionByName(b)
-    return out.withColumn("parent", F.when(F.col("level") < LEVELS - 1, F.floor(F.col("span") / FAN)).otherwise(F.lit(-1)))
+    return out.withColumn("parent", F.when(F.col("level") < levels - 1, F.floor(F.col("span") / FAN)).otherwise(F.lit(-1)))
 
 
 def first_bar(queries: DataFrame, keys: tuple[str, ...], bars: DataFrame, after: str, hit) -> DataFrame:
     """The number of the first bar of its symbol after bar `after` for which hit(close_low, close_high, low, high) holds:
     keys, hit_idx. Queries without one are left out.
 
-    Later bars of the own span, later spans of the larger one and all larger spans that have a hit are looked at, and the
-    first of them is opened down to a bar: however far away it is, a query meets some hundred rows. hit must say of a
-    span's range whether one of its bars hits.
+    On each level the later spans under the own one's parent are looked at, and the first that has a hit is opened down to a
+    bar: whatever the history and however far away the hit is, a query meets FAN rows a level, and levels grow with the
+    logarithm of the history. hit must say of a span's range whether one of its bars hits.
     """
-    spans = bar_spans(bars).select(F.col("symbol").alias("__s"), F.col("level").alias("__l"), F.col("span").alias("__span"), F.col("parent").alias("__parent"), *(F.col(c).alias(f"__{c}") for c in ("close_low", "close_high", "low", "high")))
+    levels = levels_of(bars)
+    spans = bar_spans(bars, levels).select(F.col("symbol").alias("__s"), F.col("level").alias("__l"), F.col("span").alias("__span"), F.col("parent").alias("__parent"), *(F.col(c).alias(f"__{c}") for c in ("close_low", "close_high", "low", "high")))
     hits = hit(*(F.col(f"__{c}") for c in ("close_low", "close_high", "low", "high")))
     met = lambda q, level: q.join(spans, (F.col("symbol") == F.col("__s")) & (level == F.col("__l")) & (F.col("__look") == F.col("__parent")) & hits)
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col(after) / FAN**k).alias("own"), (F.floor(F.col(after) / FAN ** (k + 1)) if k < LEVELS - 1 else F.lit(-1)).alias("look")) for k in range(LEVELS))))
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col(after) / FAN**k).alias("own"), (F.floor(F.col(after) / FAN ** (k + 1)) if k < levels - 1 else F.lit(-1)).alias("look")) for k in range(levels))))
     q = queries.withColumn("__step", steps).withColumns({"__look": F.col("__step.look"), "__own": F.col("__step.own")})
     found = met(q, F.col("__step.level")).where("__span > __own").groupBy(*keys).agg(F.min(F.struct("__l", "__span")).alias("__at"))
-    for k in range(LEVELS - 1, 0, -1):
+    for k in range(levels - 1, 0, -1):
         named = queries.join(found.withColumnsRenamed({c: f"__k_{c}" for c in keys}), [F.col(c) == F.col(f"__k_{c}") for c in keys]).drop(*(f"__k_{c}" for c in keys))
         upper = met(named.where(F.col("__at.__l") == k).withColumn("__look", F.col("__at.__span")), F.lit(k - 1)).groupBy(*keys).agg(F.min(F.struct("__l", "__span")).alias("__at"))
         found = found.where(F.col("__at.__l") < k).unionByName(upper)
