@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegauge.operators import lifecycle
+from tidegauge.operators import lifecycle, swings
+from tidegauge.sources.tables import with_bar_idx
 
 
 def test_first_bar_in_ten_million_bars(spark):
@@ -23,3 +24,35 @@ def test_first_bar_in_ten_million_bars(spark):
     assert set(got) == set(want) and max(want[k] - asks[k][2] for k in want) > 1_000_000
     # Spark's and numpy's sines may differ in the last place, and so a rounded close by a thousandth
     assert all(abs(high[got[k]] - asks[k][3]) < 0.0021 or got[k] == want[k] for k in want) and sum(got[k] == want[k] for k in want) > 0.9 * len(want)
+
+
+def _long(spark, n, parts=8):
+    """A symbol of n bars of 15 minutes, with gaps, without numbers."""
+    at = F.col("id")
+    close = F.round(100 + 10 * F.sin(at / 7) + 5 * F.sin(at / 211) + F.pmod(F.xxhash64("id"), F.lit(1000)) / 250, 2)
+    ts = F.timestamp_seconds(1_700_000_000 + (at + F.floor(at / 500) * 700) * 900).cast("timestamp_ntz")
+    return spark.range(0, n, numPartitions=parts).select(F.lit("a").alias("symbol"), F.lit("15min").alias("tf"), ts.alias("bar_ts"), close.alias("close"), close.alias("open"), (close + 0.3).alias("high"), (close - 0.3).alias("low"))
+
+
+def test_spans_number_bars_and_find_swings_alike(spark, tmp_path):
+    _long(spark, 30_000).write.parquet(str(tmp_path / "bars"))
+    b = spark.read.parquet(str(tmp_path / "bars"))
+    whole, cut = with_bar_idx(b), with_bar_idx(b, 30)
+    assert whole.exceptAll(cut.select(*whole.columns)).count() == 0 and cut.count() == 30_000
+    want, got = swings.swings(whole), swings.swings_in_spans(cut, size=700)
+    assert want.count() > 500
+    assert want.exceptAll(got.select(*want.columns)).count() == got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def test_a_long_symbol_is_many_tasks(spark, tmp_path):
+    _long(spark, 600_000).write.parquet(str(tmp_path / "bars"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        b = with_bar_idx(spark.read.parquet(str(tmp_path / "bars")), 64)
+        rows = [r["n"] for r in b.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(rows) == 4 and max(rows) < 0.6 * sum(rows)  # all tasks of the session have bars of the one symbol
+        assert b.agg(F.max("bar_idx"), F.countDistinct("bar_idx")).first() == (599_999, 600_000)
+        s = swings.swings_in_spans(b, size=20_000).where("confirmed")
+        assert s.agg(F.count("*"), F.countDistinct("leg_id"), F.min("leg_id")).first()[1] == s.count() > 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

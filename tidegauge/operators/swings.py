@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.fib import ALL_LEVELS, DEFAULT_LEVELS, levels, snap_level, trend_percent
 from tidegauge.functions.scalars import round_digits
-from tidegauge.operators.windows import KEYS, with_macd, with_macd_normalized, with_stochastic
+from tidegauge.operators.windows import KEYS, in_chunks, with_macd, with_macd_normalized, with_stochastic
 
 
 def _bars():
@@ -33,6 +33,11 @@ def swings_of(bars: DataFrame, sign: Column, osc: Column) -> DataFrame:
     b = b.withColumn("__started", F.max((F.col("__sign") == 1).cast("int")).over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
     b = b.where("__started = 1").withColumn("__flip", (~F.col("__s").eqNullSafe(F.lag("__s").over(_bars()))).cast("int"))
     b = b.withColumn("__leg", F.sum("__flip").over(_bars().rowsBetween(Window.unboundedPreceding, 0)))
+    return _legs_of(b)
+
+
+def _legs_of(b: DataFrame) -> DataFrame:
+    """Swings of bars with their leg's number (__leg), whether they begin it (__flip), and the oscillator (__osc)."""
     # a leg's first bar is also the last bar of the leg before
     legs = F.when((F.col("__flip") == 1) & (F.col("__leg") > 1), F.array(F.col("__leg") - 1, F.col("__leg"))).otherwise(F.array("__leg"))
     rows = b.select(*KEYS, "bar_ts", "bar_idx", "high", "low", "__osc", "__flip", F.col("__leg").alias("__own"), F.explode(legs).alias("leg_id"))
@@ -60,6 +65,32 @@ def swings(bars: DataFrame, high: float = 80.0, low: float = 20.0, **stochastic)
     return swings_of(b, F.when(v > high, 1).when(v < low, -1), v)
 
 
+def swings_in_spans(bars: DataFrame, high: float = 80.0, low: float = 20.0, size: int = 100_000, k: int = 5, slow: int = 3, **stochastic) -> DataFrame:
+    """swings(), with a symbol's history in spans of `size` bars that are tasks of their own.
+
+    What a span does to the legs depends on the sign that it comes in with, and on nothing else: it turns it into its own last
+    sign, and begins as many legs as its signs change, one more if its first differs from the one that came in. So spans are
+    summed up apart from each other, their sums are put one behind the other (a row for each span), and each span then
+    numbers its own bars' legs from where those before it end. The oscillator reads a few bars across a span's start.
+    """
+    b = in_chunks(bars, lambda x: with_stochastic(x, k=k, slow=slow, **stochastic).withColumn("__osc", oscillator()), k + slow, size)
+    v = F.col("__osc")
+    ends = bars.groupBy(*KEYS).agg(F.max("bar_idx").alias("__last"))
+    b = b.join(ends, list(KEYS)).where("bar_idx < __last").withColumn("__sign", F.when(F.col("bar_idx") >= 2, F.when(v > high, 1).when(v < low, -1))).drop("__last")
+    b = b.join(b.where("__sign = 1").groupBy(*KEYS).agg(F.min("bar_idx").alias("__start")), list(KEYS)).where("bar_idx >= __start").withColumn("__span", F.floor(F.col("bar_idx") / size))
+    own = Window.partitionBy(*KEYS, "__span").orderBy("bar_idx")
+    b = b.withColumn("__was", F.last("__sign", True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    changed = F.col("__was").isNotNull() & (F.col("__sign") != F.col("__was"))
+    sums = b.groupBy(*KEYS, "__span").agg(F.min_by("__sign", F.when(F.col("__sign").isNotNull(), F.col("bar_idx"))).alias("__first"), F.max_by("__sign", F.when(F.col("__sign").isNotNull(), F.col("bar_idx"))).alias("__final"), F.count_if(changed).alias("__changes"))
+    spans = Window.partitionBy(*KEYS).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__in", F.last("__final", True).over(spans))
+    begun = F.col("__changes") + (F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("__in"))).cast("int")
+    sums = sums.withColumn("__begun", begun).withColumn("__legs", F.coalesce(F.sum("__begun").over(spans), F.lit(0))).select(*KEYS, "__span", "__in", "__legs")
+    b = b.join(sums, [*KEYS, "__span"])
+    b = b.withColumn("__flip", (F.col("__sign").isNotNull() & ~F.col("__sign").eqNullSafe(F.coalesce("__was", "__in"))).cast("int"))
+    return _legs_of(b.withColumn("__leg", F.col("__legs") + F.sum("__flip").over(own.rowsBetween(Window.unboundedPreceding, 0))))
+
+
 def macd_swings(bars: DataFrame, mode: str = "signal", **macd) -> DataFrame:
     """Swings of macd above or below its signal, or of its normalised value above 80 or below 20."""
     if mode == "signal":

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions import fib as X
 from tidegauge.operators import swings as W
 from tidegauge.plans.indicator_queries import MACD_SQL, stochastic_sql
-from tidegauge.plans.registry import bars, bars_sql, query, r6, shown, table
+from tidegauge.plans.registry import bars, bars_sql, query, r6, shown, table, ticks
+from tidegauge.sources.stored import stored
+from tidegauge.sources.tables import build_bars
 
 _SWING = ("leg_id", "is_peak", "extremum_ts", "extremum_idx", "price", "osc", "confirm_ts", "confirm_idx", "confirmed")
 
@@ -49,6 +51,12 @@ def swings_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _show(W.swings(bars(spark, sf_dir, "15min")))
 
 
+@query(f"WITH {_stoch_swings('15min')} SELECT {_SHOW} FROM swings")
+def swings_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long histories: bars numbered and swings found in spans, here short ones."""
+    return _show(W.swings_in_spans(stored(build_bars(ticks(spark, sf_dir), "15min", span_days=2), "bars"), size=250))
+
+
 _GAP = "floor((macd - macd_signal) * 1e9 + 0.5) / 1e9"
 
 

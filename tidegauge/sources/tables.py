@@ -30,11 +30,11 @@ def floor_ts(ts: Column, seconds: int) -> Column:
     return (day + F.make_dt_interval(secs=F.floor(inside / seconds) * seconds)).cast("timestamp_ntz")
 
 
-def build_bars(ticks: DataFrame, *tfs: str) -> DataFrame:
+def build_bars(ticks: DataFrame, *tfs: str, span_days: int | None = None) -> DataFrame:
     """OHLC bars of every symbol and timeframe: symbol, tf, bar_ts, open, high, low, close, tick_volume, bar_idx.
 
     Ticks go by (ts, event_id). Spans without ticks give no bar. Several timeframes take one pass and one shuffle; each
-    task sums up its own ticks before that.
+    task sums up its own ticks before that. span_days: see with_bar_idx.
     """
     spans = F.array(*(F.struct(F.lit(tf).alias("tf"), floor_ts(F.col("ts"), _tf_seconds(tf)).alias("bar_ts")) for tf in tfs))
     at = F.struct("ts", "event_id")
@@ -42,24 +42,32 @@ def build_bars(ticks: DataFrame, *tfs: str) -> DataFrame:
     bars = rows.groupBy("symbol", F.col("span.tf").alias("tf"), F.col("span.bar_ts").alias("bar_ts")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("tick_volume")
     )
-    return with_bar_idx(bars)
+    return with_bar_idx(bars, span_days)
 
 
-def with_bar_idx(bars: DataFrame) -> DataFrame:
-    """Bars numbered from 0 within symbol and timeframe."""
+def with_bar_idx(bars: DataFrame, span_days: int | None = None) -> DataFrame:
+    """Bars numbered from 0 within symbol and timeframe. With span_days a symbol's spans of so many days are numbered in tasks of
+    their own, each from the number of bars in the spans before it: for long histories, of which it reads the times twice."""
     from pyspark.sql import Window
 
-    return bars.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol", "tf").orderBy("bar_ts")) - 1)
+    if span_days is None:
+        return bars.withColumn("bar_idx", F.row_number().over(Window.partitionBy("symbol", "tf").orderBy("bar_ts")) - 1)
+    b = bars.withColumn("__span", F.floor(F.unix_seconds(F.col("bar_ts").cast("timestamp")) / (span_days * 86400)))
+    counts = b.groupBy("symbol", "tf", "__span").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("symbol", "tf").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("symbol", "tf", "__span").orderBy("bar_ts"))
+    return b.join(starts, ["symbol", "tf", "__span"]).withColumn("bar_idx", (F.col("__before") + own - 1).cast("int")).select(*bars.columns, "bar_idx")
 
 
-def resample_bars(bars: DataFrame, *tfs: str) -> DataFrame:
+def resample_bars(bars: DataFrame, *tfs: str, span_days: int | None = None) -> DataFrame:
     """Bars of larger timeframes from bars of one smaller timeframe."""
     spans = F.array(*(F.struct(F.lit(tf).alias("tf"), floor_ts(F.col("bar_ts"), _tf_seconds(tf)).alias("bar_ts")) for tf in tfs))
     rows = bars.select("symbol", "open", "high", "low", "close", "tick_volume", F.col("bar_ts").alias("at"), F.explode(spans).alias("span"))
     out = rows.groupBy("symbol", F.col("span.tf").alias("tf"), F.col("span.bar_ts").alias("bar_ts")).agg(
         F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("tick_volume").alias("tick_volume")
     )
-    return with_bar_idx(out)
+    return with_bar_idx(out, span_days)
 
 
 def symbol_spec(symbols: DataFrame, point: float = 0.01) -> DataFrame:
