@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,37 @@ def test_publish_once(spark, tmp_path):
     assert [sinks.publish_daily_results(spark, r, path) for _ in range(2)] == [2, 0]
 
 
+def _results(spark, days):
+    rows = [(a, 1, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), 1.5 * a, d) for a in range(3) for d in days]
+    return spark.createDataFrame(rows, "account long, magic long, day timestamp_ntz, net_pnl double, deals long")
+
+
+def test_two_writers_publish_each_day_once(spark, tmp_path):
+    path = str(tmp_path / "results")
+    spans = [range(0, 8), range(4, 12), range(0, 12), range(8, 16)]
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda days: sinks.publish_daily_results(spark, _results(spark, days), path), spans))
+    there = spark.read.parquet(path)
+    assert there.count() == there.select("account", "magic", "day").distinct().count() == sum(counts) == 3 * 16
+
+
+def test_a_killed_batch_is_published_once_when_it_runs_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    sinks.publish_daily_results(spark, _results(spark, range(2)), path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_take", killed)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.publish_daily_results(spark, _results(spark, range(5)), path)
+    assert spark.read.parquet(path).count() == 6  # what was staged isn't seen
+    assert [sinks.publish_daily_results(spark, _results(spark, range(5)), path) for _ in range(2)] == [9, 0]
+    assert spark.read.parquet(path).count() == 15
+    assert sinks.publish_daily_results(spark, _results(spark, []), path) == 0
+
+
 def _streamed(spark, frame, make, sink, mode="append", time="ts", late=None, key=None):
     """What `make` gives of frame as a stream. A last row, of a key of its own, lets the watermark pass all others; with `late`
     the files come one by one, each with rows that are earlier than some before by up to that."""
