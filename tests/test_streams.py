@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_series import _streamed
-from tidegauge.operators import live, reports, signals, windows
+from tidegauge.operators import contract, live, reports, signals, windows
 from tidegauge.operators import swings as W
 from tidegauge.plans.registry import bars as bars_of
 from tidegauge.sources.tables import read_event_log, read_ticks, strategy_config
@@ -261,3 +261,26 @@ def test_each_gate_holds_and_bites(spark, some_bars):
             open_[key][r["strategy_id"], r["extremum_ts"], r["attempt"]] = r["bar_idx"]
     assert n < free
     assert run("OFF", 0, False, 100.0)[1] < free
+
+
+# -- indicators by one definition
+
+
+@pytest.mark.parametrize("name,indicator", [("atr", contract.atr(5)), ("macd", contract.macd()), ("stochastic", contract.stochastic()), ("own", contract.changes_up(6))])
+def test_an_indicator_is_one_thing_on_both(spark, sf, name, indicator):
+    b = bars_of(spark, sf).cache()
+    columns = indicator.names()
+
+    def of(df):
+        return {(r["symbol"], r["bar_idx"]): tuple(r[c] for c in columns) for r in df.select("symbol", "bar_idx", *columns).collect()}
+
+    folded = of(contract.on_bars(indicator, b, windows_too=False, size=60))  # in spans, where it has a reach
+    assert folded == of(contract._folded(indicator, b)) and len(folded) == b.count()
+    by_windows = of(contract.on_bars(indicator, b))
+    assert set(by_windows) == set(folded) and all(folded[k] == pytest.approx(v, abs=1e-9) for k, v in by_windows.items())
+    flow = b.select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "bar_idx", *contract.INPUTS)
+    live_rows = _streamed(spark, flow, lambda s: contract.on_stream(indicator, s, DELAY), f"one_{name}", time="bar_ts", late=LATE)
+    assert of(live_rows) == folded
+    if name == "own":
+        windows.register_indicator("up_percent", lambda x, n: contract.on_bars(contract.changes_up(n), x))
+        assert of(windows.indicator("up_percent", b, n=6)) == folded
