@@ -38,6 +38,54 @@ def attempt_gate(rows: DataFrame, mode: str = "BOTH") -> DataFrame:
     return rows.withColumn("blocked_by", first_reason(manual=no("manual_ok"), algo=no("algo_ok"), protection=no("protection_ok"), equity=no("equity_ok"), session=no("session_ok"), daily_limit=no("daily_ok"), direction=direction, concurrency=no("single_ok")))
 
 
+def with_next_price(rows: DataFrame, anchor: Column, level_points: Column, protective_points: Column, broker_points: Column, ask: Column, bid: Column, previous: Column, tick: float) -> DataFrame:
+    """Add next_price, source and reasons: where the next order of a row's direction goes, from its level in points beyond the anchor.
+
+    It must be beyond the own side's price (ask for bulls, bid for bears; the other where that is missing) by the protective and
+    the broker's points; without any price yet it falls back to one tick beyond the side's. Then it goes to a tick away from
+    the side, and never further than the order before it. Prices and points of 0 or less are missing. Each step is a column
+    that the next ones read, as one expression would repeat them many times over.
+    """
+    c, sign, bull = F.col, F.col("__sign"), is_bull()
+    own, other = F.when(bull, ask).otherwise(bid), F.when(bull, bid).otherwise(ask)
+    r = rows.withColumns({"__sign": S.direction_multiplier("direction"), "__side": F.when(own > 0, own).otherwise(other)})
+    r = r.withColumn("__level", F.when((anchor > 0) & (level_points > 0), anchor + sign * level_points * tick).otherwise(0.0))
+    for before, after, points in (("__level", "__safe", protective_points), ("__safe", "__far", broker_points)):
+        r = r.withColumn(f"{after}_least", c("__side") + sign * points * tick)
+        r = r.withColumn(f"{after}_hit", (c("__side") > 0) & (points > 0) & ((c(before) <= 0) | ((c(f"{after}_least") - c(before)) * sign > 0)))
+        r = r.withColumn(after, F.when(c(f"{after}_hit"), c(f"{after}_least")).otherwise(c(before)))
+    r = r.withColumn("__fallback", (c("__far") <= 0) & (c("__side") > 0))
+    r = r.withColumn("__found", F.when(c("__fallback"), c("__side") + sign * tick).otherwise(F.when(c("__far") <= 0, c("__level")).otherwise(c("__far"))))
+    r = r.withColumn("__whole", F.when(bull, F.ceil(c("__found") / tick - 1e-9)).otherwise(F.floor(c("__found") / tick + 1e-9)) * tick)
+    r = r.withColumn("__rounded", (c("__found") > 0) & (F.abs(c("__whole") - c("__found")) > 1e-9)).withColumn("__placed", F.when(c("__rounded"), c("__whole")).otherwise(c("__found")))
+    r = r.withColumn("__beyond", (c("__placed") - previous) * sign).withColumn("__held", (previous > 0) & (c("__placed") > 0) & (c("__beyond") > 0))
+    r = r.withColumn("next_price", F.when(c("__held"), previous).otherwise(c("__placed")))
+    clamped = c("__safe_hit") | c("__far_hit")
+    source = F.when(c("next_price") <= 0, "-").when(c("__held"), "monotonic").when(c("__rounded"), "clamped").when(c("__fallback"), "side_fallback").when(clamped, "clamped").otherwise("baseline")
+    said = S.join_reasons(F.when(c("__safe_hit"), "protective"), F.when(c("__far_hit"), "broker_stops"), F.when(c("__fallback"), "fallback_side"), F.when(c("__rounded"), "tick_round"), F.when(c("__held") & (c("__beyond") > tick + 1e-9), "monotonic"))
+    r = r.withColumns({"source": source, "reasons": said})
+    return r.drop(*(x for x in r.columns if x.startswith("__")))
+
+
+def spread_guard(ticks: DataFrame, most_points: float, digits: int = 2) -> DataFrame:
+    """Ticks whose spread is no more than so many points; a millionth of a point is forgiven. Ticks without both prices go."""
+    return ticks.where(S.spread_points(digits) <= most_points + 1e-6)
+
+
+def direction_rejects(rows: DataFrame, context: str = "BASE", trigger: str = "LIMIT") -> DataFrame:
+    """Rows (id, direction, is_bottom, peak, bottom, price, ts) whose structure's orientation doesn't fit their direction, as the
+    event log tells of them: id, ts, label, state_key (what changed-only logs compare by) and message."""
+    from tidegauge.functions.levels import orientation_matches
+
+    orientation = F.when(F.col("is_bottom"), "BOTTOM").otherwise("PEAK")
+    at = F.date_format("ts", "yyyy.MM.dd HH:mm:ss")
+    number = lambda c: F.format_string("%.5f", S.round_digits(c, 5))
+    text = S.kv_message(reason=F.lit("STRUCTURE_DIRECTION_MISMATCH"), context=F.lit(context), trigger=F.lit(trigger), dir=F.col("direction"), orientation=orientation, current_is_bottom=F.col("is_bottom"), peak=number("peak"), bottom=number("bottom"), close=number("price"), structure_ts=at)
+    key = F.concat_ws("|", F.lit(context), "direction", orientation, F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
+    out = rows.where(~orientation_matches("direction", "is_bottom"))
+    return out.select("id", "ts", F.lit("SIGNAL_REJECT").alias("label"), key.alias("state_key"), text.alias("message"))
+
+
 def execution_eligibility(rows: DataFrame, max_spread_points: float, least_points: Column) -> DataFrame:
     """Add refused_by, the first failing check of an order, and allowed.
 

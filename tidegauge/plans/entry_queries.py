@@ -350,3 +350,47 @@ def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.count(F.lit(1)) % 7).alias("finish_level"), F.sum("o_totalprice").alias("expectations"))
     a, b = (R.numbered(R.sort_by(o, field, None, "id"), name).select("id", name) for field, name in (("finish_level", "by_level"), ("expectations", "by_expectations")))
     return a.join(b, "id")
+
+
+_SPREAD = "SELECT event_id, ts, event_type AS symbol, value AS bid, value + (event_id % 6) / 100::DOUBLE AS ask FROM events"
+
+
+@query(f"SELECT event_id, symbol, {r6('abs(ask - bid) * 100')} AS points FROM ({_SPREAD}) WHERE abs(ask - bid) * 100 <= 3 + 1e-6")
+def spread_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("ask", F.col("bid") + (F.col("event_id") % 6) / F.lit(100.0))
+    return shown(G.spread_guard(t, 3.0).withColumn("points", S.spread_points(2)), "points", keys=("event_id", "symbol"))
+
+
+@query(
+    f"""WITH {_ENTRIES}, o AS (SELECT t.*, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN is_bottom THEN 'BOTTOM' ELSE 'PEAK' END AS orientation FROM t JOIN orders ON o_orderkey = id WHERE is_bottom <> (direction = 'BULLISH'))
+    SELECT id, 'BASE|' || direction || '|' || orientation || '|' || CAST(epoch(ts) AS BIGINT) AS state_key, 'reason=STRUCTURE_DIRECTION_MISMATCH|context=BASE|trigger=LIMIT|dir=' || direction || '|orientation=' || orientation || '|current_is_bottom=' || is_bottom
+        || '|peak=' || printf('%.5f', floor(peak * 1e5 + 0.5) / 1e5) || '|bottom=' || printf('%.5f', floor(bottom * 1e5 + 0.5) / 1e5) || '|close=' || printf('%.5f', floor(price * 1e5 + 0.5) / 1e5) || '|structure_ts=' || strftime(ts, '%Y.%m.%d %H:%M:%S') AS message FROM o"""
+)
+def direction_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("__id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    e = _entries(spark, sf_dir)
+    return G.direction_rejects(e.join(at, F.col("id") == F.col("__id"))).select("id", "state_key", "message")
+
+
+_NEXT = """n0 AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS p, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END AS sg, CASE WHEN o_custkey % 7 = 0 THEN 0::DOUBLE ELSE o_totalprice / 1000 END AS anchor, (o_custkey % 40)::DOUBLE AS level, (o_orderkey % 3 * 4)::DOUBLE AS protective, (o_orderkey % 5 * 3)::DOUBLE AS broker,
+        CASE WHEN o_custkey % 11 = 0 THEN 0::DOUBLE ELSE o_totalprice / 1000 + 0.3::DOUBLE END AS ask, CASE WHEN o_custkey % 13 = 0 THEN 0::DOUBLE ELSE o_totalprice / 1000 - 0.3::DOUBLE END AS bid, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 1000 ELSE 0::DOUBLE END AS prev FROM orders),
+    n1 AS (SELECT *, CASE WHEN CASE sg WHEN 1 THEN ask ELSE bid END > 0 THEN CASE sg WHEN 1 THEN ask ELSE bid END ELSE CASE sg WHEN 1 THEN bid ELSE ask END END AS side, CASE WHEN anchor > 0 AND level > 0 THEN anchor + sg * level * 0.05::DOUBLE ELSE 0 END AS a FROM n0),
+    n2 AS (SELECT *, side > 0 AND protective > 0 AND (a <= 0 OR (side + sg * protective * 0.05::DOUBLE - a) * sg > 0) AS h1 FROM n1), n3 AS (SELECT *, CASE WHEN h1 THEN side + sg * protective * 0.05::DOUBLE ELSE a END AS b FROM n2),
+    n4 AS (SELECT *, side > 0 AND broker > 0 AND (b <= 0 OR (side + sg * broker * 0.05::DOUBLE - b) * sg > 0) AS h2 FROM n3), n5 AS (SELECT *, CASE WHEN h2 THEN side + sg * broker * 0.05::DOUBLE ELSE b END AS c FROM n4),
+    n6 AS (SELECT *, c <= 0 AND side > 0 AS h3, CASE WHEN c <= 0 AND side > 0 THEN side + sg * 0.05::DOUBLE WHEN c <= 0 THEN a ELSE c END AS d FROM n5), n7 AS (SELECT *, CASE sg WHEN 1 THEN ceil(d / 0.05::DOUBLE - 1e-9) ELSE floor(d / 0.05::DOUBLE + 1e-9) END * 0.05::DOUBLE AS w FROM n6),
+    n8 AS (SELECT *, d > 0 AND abs(w - d) > 1e-9 AS h4, CASE WHEN d > 0 AND abs(w - d) > 1e-9 THEN w ELSE d END AS e FROM n7), n9 AS (SELECT *, prev > 0 AND e > 0 AND (e - prev) * sg > 0 AS h5 FROM n8), n AS (SELECT *, CASE WHEN h5 THEN prev ELSE e END AS f FROM n9)"""
+
+
+@query(
+    f"""WITH {_NEXT} SELECT id, {r6('f')} AS price, CASE WHEN f <= 0 THEN '-' WHEN h5 THEN 'monotonic' WHEN h4 THEN 'clamped' WHEN h3 THEN 'side_fallback' WHEN h1 OR h2 THEN 'clamped' ELSE 'baseline' END AS source,
+    concat_ws(';', CASE WHEN h1 THEN 'protective' END, CASE WHEN h2 THEN 'broker_stops' END, CASE WHEN h3 THEN 'fallback_side' END, CASE WHEN h4 THEN 'tick_round' END, CASE WHEN h5 AND (e - prev) * sg > 0.05::DOUBLE + 1e-9 THEN 'monotonic' END) AS reasons FROM n"""
+)
+def resolve_next_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders some of which lack an anchor, a side's price, or both, so that every source of a price occurs."""
+    c, p = F.col("o_custkey"), F.col("o_totalprice") / 1000
+    unless = lambda n, x: F.when(c % n == 0, 0.0).otherwise(x)
+    double = lambda x: x.cast("double")
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id").withColumn("direction", F.when(c % 2 == 0, "BULLISH").otherwise("BEARISH"))
+    o = F.col("id")
+    n = G.with_next_price(rows, unless(7, p), double(c % 40), double(o % 3 * 4), double(o % 5 * 3), unless(11, p + 0.3), unless(13, p - 0.3), F.when(o % 4 == 0, p).otherwise(0.0), 0.05)
+    return shown(n.withColumnRenamed("next_price", "price"), "price", "source", "reasons", keys=("id",))
