@@ -12,9 +12,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.llm import common, line_dedup
 from tidegauge.llm import conversation_repair as C
 from tidegauge.llm import length_buckets as B
 from tidegauge.llm import vector_codes as Q
+from tidegauge.llm.chat_format import chat_windows
 from tidegauge.llm.queries import op12_conversation_repair, op13_packing, oracle_sql, queries
 
 # -- documents in pieces of powers of two
@@ -329,3 +331,33 @@ def test_equals_sql(spark, name):
     names = [d[0] for d in theirs.description]
     assert sorted(names) == sorted(ours.columns)
     assert Counter(map(tuple, ours.select(*names).collect())) == Counter(theirs.fetchall())
+
+
+# -- budgets and broadcasts
+
+
+def test_windows_of_control_strings_keep_their_budget(spark, library):
+    rng = random.Random(11)
+    parts = ("<|", "\\", "\n", "<|im_end|>", "word ", " ", "<|im_start|>assistant\n", "\r\n", "é", "'s", "\\n")
+    rows = [(c, t, rng.choice(("user", "assistant", "system", "<|" * 40, "a\nb")), "".join(rng.choice(parts) for _ in range(rng.randrange(0, 500)))) for c in range(30) for t in range(12)]
+    rows += [(100, 0, "user", "<|" * 450), (100, 1, "assistant", "<|" * 450), (101, 0, "user", "\\" * 900), (101, 1, "assistant", "ok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    budget, several = 700, 0
+    for w in chat_windows(df, public_tokenizers.path("byte_bpe_50k.json"), budget=budget, history_tokens=150).collect():
+        assert len(library(w["formatted"])) == w["n_tokens"]
+        several += w["n_own"] > 1
+        own = w["formatted"].split("<|im_start|>")[1 + w["own_from"] :]
+        assert w["n_tokens"] <= budget or len(own) == 1
+    assert several > 10
+
+
+def test_long_texts_are_not_broadcast(spark, table, monkeypatch):
+    docs = table([(i, "x" * 1000) for i in range(50)])
+    hinted = lambda: "broadcast" in docs.join(common.small(docs.select(F.col("text").alias("t")), "small"), F.col("text") == F.col("t"))._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 40_000)
+    assert not hinted()
+    monkeypatch.setattr(line_dedup, "COMMON", 1)
+    lines = [(i, f"a line that is long enough to count {'y' * 30_000}\nown line number {i:09d} of this text") for i in range(6)]
+    got = line_dedup.drop_repeated_lines(table(lines)).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}

@@ -24,8 +24,6 @@ from tidegauge.llm.common import batched, rows_of
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns are dealt to tasks by blocks of this many turn numbers, so that a conversation of any length spreads out.
 BLOCK = 1024
-#: Tokens of the template in a turn, at most.
-FRAME_TOKENS = 16
 
 _UNESCAPED = {"\\\\": "\\", "\\|": "|", "\\n": "\n"}
 _ESCAPE = re.compile(r"\\[\\|n]")
@@ -70,7 +68,9 @@ class _Turn:
     def __init__(self, role: str, text: str, encoder):
         self.role = role
         self.rendered, self.start, self.end = render(role, text)
-        self.tokens = encoder.count(text) + FRAME_TOKENS
+        # as rendered: escapes and the template count. A turn ends in a newline and begins with `<`, which the tokenizer parts,
+        # so that turns' tokens add up to their window's
+        self.tokens = encoder.count(self.rendered)
 
 
 def _window(key: tuple, number: int, system: _Turn | None, history: list[_Turn], own: list[_Turn]) -> tuple:
@@ -138,9 +138,9 @@ def chat_windows(
 
     The first own_from turns of a window repeat the system turn (a conversation's first turn, if its role is system) and at
     most history_turns turns of history_tokens before its span; then come n_own turns of its own. Each turn is an own turn
-    of just one window. `loss` has the code point ranges of formatted to train on: the texts of own assistant turns. Windows
-    have at most `budget` tokens, counted as the texts' ids and FRAME_TOKENS a turn, unless a single turn with the system
-    turn has more: such a turn stays whole, in a window of its own.
+    of just one window. `loss` has the code point ranges of formatted to train on: the texts of own assistant turns. n_tokens
+    are the tokens of formatted. Windows have at most `budget` of them, unless a single turn with the system turn has more:
+    such a turn stays whole, in a window of its own.
 
     Null roles and texts are empty. Turns go by number, then role, then text; null numbers come first, and repeated rows are
     turns of their own. Rows without a conversation form one, whose id is null. Other columns aren't read. An empty table

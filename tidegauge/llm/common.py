@@ -18,8 +18,8 @@ WHITE = " \t\n\x0b\x0c\r"
 U64 = np.uint64
 
 
-#: Rows of a table that may be broadcast whole, once they are counted.
-BROADCAST_ROWS = 1 << 20
+#: Rows of a table that may be broadcast whole, and bytes of their texts, once they are counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 64 << 20
 #: Longer words aren't remembered by any cache, which so are bounded in bytes too.
 LONGEST = 64
 
@@ -30,9 +30,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table, with a broadcast hint if it has few enough rows; else it is joined as Spark sees fit."""
+    """df as a written table, with a broadcast hint if it has few enough rows and bytes; else it is joined as Spark sees fit."""
     held = saved(df, name)
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in held.dtypes if kind in ("string", "binary")]
+    rows, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
+    return F.broadcast(held) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else held
 
 
 def few_by_hash(df: DataFrame, hash_: Column, n: int) -> DataFrame:

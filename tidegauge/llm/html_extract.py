@@ -444,7 +444,8 @@ def layout(rng: random.Random, content: list[str], other: list[str]) -> tuple[st
 
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES, seed: int = 7) -> Labeller:
-    """Fit on a bounded sample of pages, one for each id; without any page, the labeller is as it starts."""
+    """Fit on a bounded sample: fit_pages pages, one for each id, of those of at most FIT_CHARS characters (a parameter of this
+    module; longer pages are labelled like all others, but don't teach). Without any page, the labeller is as it starts."""
     short = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") <= FIT_CHARS)
     chosen = few_by_hash(short, F.xxhash64("id"), fit_pages).groupBy("hash").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
     sample = [r["html"] for r in sorted(chosen.collect(), key=lambda r: r["hash"])]

@@ -223,7 +223,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size:
 
     A document is its text's ids and then end_id; null and empty texts are the end id alone. Documents longer than `size`
     are cut into pieces of `size` ids, the first of which may be shorter; others stay whole. Sequences hold at most `size`
-    ids, gapless from offset 0, and are numbered by the task and count of their first piece, so that no two share a number.
+    ids, gapless from offset 0. Those with more room than `size` / SLACK give their pieces to the second round; fuller ones stay as
+    they are (a parameter of this module: 8 of 1024 tokens). They are numbered by the task and count of their first piece, so that no two share a number.
     Rows that repeat an id are documents of their own; null ids stay null. Other columns aren't read. An empty table gives
     an empty result.
     """
