@@ -180,7 +180,7 @@ def stream_source_state(events: DataFrame, ttl_seconds: int = 30 * 86400, late:
 
     Events: key, source_key, event (ATTEMPT, TP or another), ts. Sources of a key are a map in its state. A source is forgotten
     ttl_seconds after its last event, once the watermark has passed that (to the minute), so that a replay forgets the same
-    ones; by_clock: as much later by the clock. One that comes again then begins anew. Rows without a time or source are left out.
+    ones; by_clock: as much later by the clock, in a query that goes on (one that takes what is there and ends doesn't end). One that comes again then begins anew. Rows without a time or source are left out.
     """
     e = event_time(events.where("ts IS NOT NULL AND source_key IS NOT NULL"), "ts", late).withColumn("us", F.unix_micros("ts")).select(key, "ts", "us", "source_key", "event")
     schema = f"{key} {dict(e.dtypes)[key]}, {SourceState.OUT}"
