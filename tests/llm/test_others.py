@@ -17,6 +17,7 @@ from tidegauge.llm import html_extract as H
 from tidegauge.llm.common import few_by_hash
 from tidegauge.llm.components import components
 from tidegauge.llm.queries import op10_chat_format
+from written_pages import FIRST, LAST, page_and_text
 
 # -- vectors
 
@@ -180,10 +181,15 @@ def test_gradients():
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
 
 
-def test_extraction(spark, sf):
+@pytest.fixture(scope="module")
+def labeller(spark, sf):
+    return H.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def test_extraction(spark, sf, labeller):
     """The articles of the given pages, and held-out layouts that no page of the table has."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    model = H.fit_labeller(pages)
+    model = labeller
     right = total = 0
     own = {r["page_id"]: r for r in pages.collect()}
     for r in H.extract_main_text(pages, model).collect():
@@ -237,10 +243,18 @@ _WRITTEN = [
 ]
 
 
-def test_pages_written_by_hand(spark, sf):
-    model = H.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
+def test_pages_written_by_hand(spark, labeller):
     df = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(_WRITTEN)], "page_id long, url string, html string")
-    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, model).collect()} == {i: text for i, (_, text) in enumerate(_WRITTEN)}
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df, labeller).collect()} == {i: text for i, (_, text) in enumerate(_WRITTEN)}
+
+
+def test_pages_of_unseen_markup(spark, labeller):
+    """Whole texts, without a block too many or too few."""
+    for pages, least in ((FIRST, 24), (LAST, 8)):
+        made = [page_and_text(p) for p in pages]
+        df = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in H.extract_main_text(df, labeller).collect()}
+        assert sum(got[i] == text for i, (_, text) in enumerate(made)) >= least
 
 
 def test_the_sample_is_small_and_whole(spark):
@@ -252,14 +266,13 @@ def test_the_sample_is_small_and_whole(spark):
     assert few_by_hash(rows.limit(0), F.xxhash64("id"), 3).count() == 0
 
 
-def test_odd_pages(spark, sf):
-    model = H.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
+def test_odd_pages(spark, labeller):
     rows = [(1, None, None), (1, "u", ""), (None, "u", "<p>x"), (2, "u", "<article>" + "<p>word one two.</p>" * 3000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS id", "3 AS n_blocks")
-    got = {(r["page_id"], r["url"]): r for r in H.extract_main_text(df, model).collect()}
+    got = {(r["page_id"], r["url"]): r for r in H.extract_main_text(df, labeller).collect()}
     assert got[1, None]["text"] == got[1, "u"]["text"] == "" and got[1, None]["n_chars"] == 0
     assert got[2, "u"]["text"].count("\n") == got[2, "u"]["n_kept"] - 1 > 2900
-    assert H.extract_main_text(df.limit(0), model).count() == 0
+    assert H.extract_main_text(df.limit(0), labeller).count() == 0
     assert H.fit_labeller(df.limit(0)).arrays
 
 

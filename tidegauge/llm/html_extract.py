@@ -27,11 +27,13 @@ from tidegauge.llm.common import WordHashes, few_by_hash
 
 #: Pages that the labeller is fitted on, at most: those of the smallest hashes of their ids, up to this many characters.
 FIT_PAGES, FIT_CHARS = 256, 1 << 16
-#: Made-up layouts for each of them.
-LAYOUTS = 3
-PATH, WORDS, FIGURES, HIDDEN = 96, 32, 6, 16
+#: Made-up layouts of their paragraphs, in all.
+LAYOUTS = 3072
+PATH, WORDS, FIGURES, HIDDEN = 128, 64, 14, 24
 SIZE = PATH + WORDS + FIGURES
-EPOCHS, BATCH, RATE = 18, 32, 0.01
+EPOCHS, BATCH, RATE = 14, 64, 0.014
+#: Last epochs whose weights are averaged.
+AVERAGED = 4
 #: Blocks that are labelled together, with padding (unless one page has more).
 TOGETHER = 1 << 14
 
@@ -214,6 +216,34 @@ def _bucket(text: str, n: int) -> tuple[int, float]:
     return h % n, 1.0 if h & 0x10000 else -1.0
 
 
+#: Signs that stand between links or begin a notice of rights, and digits.
+_MARKS, _DIGITS = re.compile(r"[|·•»›©®/]"), re.compile(r"\d")
+
+
+def _containers(blocks: list[Block]) -> list[tuple[float, ...]]:
+    """For each block: whether it shares its container with the block before and after it, which share of the page's unlinked
+    text stands in its container and in the one around that, the containers' linked share, and how many blocks its own has."""
+    own = [(b.path.parent, b.path.parent.parent if b.path.parent else None) if b.path else (None, None) for b in blocks]
+    plain: dict[tuple, int] = {}
+    linked: dict[tuple, int] = {}
+    held: dict[tuple, int] = {}
+    for b, (inner, outer) in zip(blocks, own):
+        for level, node in ((1, inner), (2, outer)):
+            key = level, id(node)
+            plain[key] = plain.get(key, 0) + len(b.text) - b.linked
+            linked[key] = linked.get(key, 0) + b.linked
+            held[key] = held.get(key, 0) + 1
+    whole = max(sum(len(b.text) - b.linked for b in blocks), 1)
+    out = []
+    for k, (inner, outer) in enumerate(own):
+        one, two = (1, id(inner)), (2, id(outer))
+        out.append((
+            k > 0 and own[k - 1][0] is inner, k + 1 < len(own) and own[k + 1][0] is inner, plain[one] / whole, plain[two] / whole,
+            linked[one] / max(linked[one] + plain[one], 1), math.log1p(held[one]) / 4,
+        ))
+    return out
+
+
 class Features:
     """Vectors of blocks; what an element adds is remembered."""
 
@@ -254,7 +284,7 @@ class Features:
     def of(self, blocks: list[Block]) -> np.ndarray:
         """One row for each block of a page."""
         n = len(blocks)
-        out = np.zeros((n, SIZE))
+        out = np.zeros((n, SIZE), np.float32)
         words = [b.text.encode("utf-8", "surrogatepass").lower().split() for b in blocks]
         sizes = np.array([len(w) for w in words])
         owner = np.repeat(np.arange(n), sizes)
@@ -262,10 +292,11 @@ class Features:
         bins = (h & np.uint64(WORDS - 1)).astype(np.int64)
         sign = np.where(h & np.uint64(1 << 20), 1.0, -1.0)
         out[:, PATH : PATH + WORDS] = np.bincount(owner * WORDS + bins, weights=sign, minlength=n * WORDS).reshape(n, WORDS) / np.sqrt(np.maximum(sizes, 1))[:, None]
+        around = _containers(blocks)
         for k, b in enumerate(blocks):
             out[k, :PATH] = self._path(b.path)
             size = len(b.text)
-            out[k, PATH + WORDS :] = (math.log1p(size) / 5, b.linked / size, math.log1p(sizes[k]) / 4, k / n, (n - k) / n, b.text[-1] in ".!?…:")
+            out[k, PATH + WORDS :] = (math.log1p(size) / 5, b.linked / size, math.log1p(sizes[k]) / 4, k / n, (n - k) / n, b.text[-1] in ".!?…:", min(len(_MARKS.findall(b.text)) / sizes[k], 1), len(_DIGITS.findall(b.text)) / size, *around[k])
         return out
 
 
@@ -292,8 +323,8 @@ class Labeller:
         """States of one direction; x: steps, pages, features. Padding leaves the state as it is."""
         a = self.arrays
         inputs = x @ a[f"{d} x"] + a[f"{d} b"]
-        h = c = np.zeros((x.shape[1], HIDDEN))
-        out = np.zeros((len(x), x.shape[1], HIDDEN))
+        h = c = np.zeros((x.shape[1], HIDDEN), x.dtype)
+        out = np.zeros((len(x), x.shape[1], HIDDEN), x.dtype)
         for t in range(len(x)) if d == "forward" else range(len(x) - 1, -1, -1):
             z = inputs[t] + h @ a[f"{d} h"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
@@ -320,12 +351,12 @@ class Labeller:
             parts.append(self._run(d, x, mask, traces[d]))
         states = np.concatenate(parts, axis=2)
         z = (states @ a["out"])[:, :, 0] + a["bias"]
-        dz = np.where(mask, 1 / (1 + np.exp(-z)) - label, 0.0) / mask.sum()
+        dz = np.where(mask, 1 / (1 + np.exp(-z)) - label, 0.0).astype(x.dtype) / int(mask.sum())
         out = {"out": np.einsum("tpk,tp->k", states, dz)[:, None], "bias": np.array([dz.sum()])}
         back = dz[:, :, None] * a["out"][:, 0]
         for d, own in (("forward", back[:, :, :HIDDEN]), ("backward", back[:, :, HIDDEN:])):
             gx, gh, gb = (np.zeros_like(a[f"{d} {k}"]) for k in "xhb")
-            dh = dc = np.zeros((x.shape[1], HIDDEN))
+            dh = dc = np.zeros((x.shape[1], HIDDEN), x.dtype)
             for t, i, f, o, g, c, tc, h in reversed(traces[d]):
                 m = mask[t][:, None]
                 total = dh + own[t]
@@ -343,7 +374,7 @@ class Labeller:
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
-    x, mask = np.zeros((steps, len(pages), SIZE)), np.zeros((steps, len(pages)), bool)
+    x, mask = np.zeros((steps, len(pages), SIZE), pages[0].dtype), np.zeros((steps, len(pages)), bool)
     for k, p in enumerate(pages):
         x[: len(p), k], mask[: len(p), k] = p, True
     return x, mask
@@ -358,23 +389,56 @@ def _own_labels(blocks: list[Block]) -> np.ndarray | None:
     return label if label.any() else None
 
 
-# Words that furniture is often made of.
+# Words that furniture is often made of, and names that authors of pages give to its elements and to those of the article.
 _SAID = {
-    "nav": ["Home", "About", "Contact", "News", "Archive", "Login", "Menu", "Search", "Shop"], "notice": ["We use cookies to improve this site.", "Accept all cookies", "Read our privacy policy", "Please disable your ad blocker", "This page is out of date"],
-    "ad": ["Advertisement", "Sponsored", "Buy now", "Special offer"], "form": ["Subscribe to our newsletter", "Your email", "Send", "Name", "Search this site"],
-    "side": ["Related articles", "Most read", "Tags", "Read more", "Popular posts", "Share this"], "comments": ["Comments", "Reply", "Leave a comment", "3 comments", "Report"],
-    "footer": ["© 2024 All rights reserved", "Terms of use", "Imprint", "Privacy", "Contact us", "Back to top"],
+    "nav": ["Home", "About", "Contact", "News", "Archive", "Login", "Menu", "Search", "Shop", "Blog", "Help", "Sport", "World", "Start", "Photos", "Links", "Guides", "Overview", "Next", "Previous", "Older posts"],
+    "notice": ["We use cookies to improve this site.", "Accept all cookies", "Read our privacy policy", "Please disable your ad blocker", "This page is out of date", "Your browser is not supported.", "OK", "The site will be down for maintenance tonight."],
+    "ad": ["Advertisement", "Sponsored", "Buy now", "Special offer", "Cheap flights from 29 euros!", "20 % off all shoes", "Anzeige", "Offers near you"],
+    "form": ["Subscribe to our newsletter", "Your email", "Send", "Name", "Search this site", "Password", "Sign up", "Log in", "Your comment"],
+    "side": ["Related articles", "Most read", "Tags", "Read more", "Popular posts", "Share this", "Follow us", "Categories", "Also read", "Recent comments (4)"],
+    "comments": ["Comments", "Reply", "Leave a comment", "3 comments", "Report", "Thanks, great read!", "I don't agree at all.", "Same here, it never worked for me.", "Anna, 3 May: well said.", "What about the price?"],
+    "footer": ["© 2024 All rights reserved", "Terms of use", "Imprint", "Privacy", "Contact us", "Back to top", "Site map", "Powered by a small server", "Last updated 5 June 2011", "About us", "Mail to the editor", "No liability is accepted."],
+}
+_CALLED = {
+    "nav": "nav menu navbar navigation topnav mainmenu links tabs breadcrumb crumbs pager pagination menubar", "head": "header head masthead top brand banner logo site-title hd hero",
+    "ad": "ad ads advert sponsored promo ad-slot partner werbung adbox", "notice": "cookie cookie-notice notice banner alert consent popup gdpr warning message cookiebar",
+    "side": "sidebar related share widget rail social tags recommended right-col teaser more", "form": "newsletter search signup login poll",
+    "comments": "comments comment-list reader-comments disqus_thread respond replies discussion responses commentlist thread", "footer": "footer foot bottom site-info copyright colophon legal credits ft",
+    "article": "content post article-body entry-content story text main article page-content entry copy prose blog-post single post-content maincontent bd", "comment": "comment post reply msg response",
 }
+_PLACES, _PAPERS = ["Town", "River", "North", "Valley", "Coast", "City", "Garden", "Kitchen"], ["Herald", "Post", "Times", "Journal", "Blog", "Weekly", "Club", "Notes"]
+_NAMED, _MEANT = re.compile(r' (?:class|id|role)="[^"]*"'), re.compile(r"<(/?)(?:nav|aside|footer|header|article|main|section|menu|form)\b")
 
 
 def layout(rng: random.Random, content: list[str], other: list[str]) -> tuple[str, list[int]]:
-    """A page of `content` as its article, with furniture that is partly made of `other`; and the labels of its blocks."""
+    """A page of `content` as its article, with furniture that is partly made of `other`; and the labels of its blocks.
+
+    Names and elements that tell what they hold are missing, or mean nothing, in many pages; there furniture says what it is."""
     parts: list[str] = []
     labels: list[int] = []
     esc = html.escape
+    names = rng.choices(["telling", "some", "odd", "none"], [50, 20, 12, 18])[0]
+    meant = rng.random() < (0.75 if names == "telling" else 0.4)  # elements such as nav and article are used
+    telling = names == "telling"
 
     def say(kind: str, whole: float = 0.5) -> str:
-        return rng.choice(other) if other and rng.random() < whole else rng.choice(_SAID[kind])
+        if other and telling and rng.random() < whole:
+            return rng.choice(other)
+        return rng.choice(_SAID[kind])
+
+    def site() -> str:
+        return f"{rng.choice(['', '', 'The '])}{rng.choice(_PLACES)} {rng.choice(_PAPERS)}"
+
+    def rights() -> str:
+        return f"{rng.choice(['©', 'Copyright', '© Copyright', '©'])} {rng.choice(['', str(rng.randint(1998, 2030))])} {site()}{rng.choice(['', '.', ' - all rights reserved', ' · Imprint'])}"
+
+    def called(kind: str) -> str:
+        name, more = rng.choice(_CALLED[kind].split()), rng.random()
+        if more < 0.15:
+            name = f"{rng.choice(['c', 'l', 'm', 'site', 'page', 'my', 'block'])}-{name}"
+        elif more < 0.3:
+            name = f"{name}{rng.choice(['-', '_', ' ', '__'])}{rng.choice(['box', 'inner', 'wrapper', 'list', 'area', 'container', 'left', 'right', 'text'])}"
+        return f'{rng.choice(["class", "class", "id"])}="{name}"'
 
     def put(open_: str, texts: list[str], each: str, close: str, label: int = 0) -> None:
         parts.append(open_)
@@ -384,63 +448,139 @@ def layout(rng: random.Random, content: list[str], other: list[str]) -> tuple[st
                 labels.append(label)
         parts.append(close)
 
+    def line(open_: str, texts: list[str], close: str) -> None:
+        """One block of all texts, most of them links."""
+        each, between = rng.choice(['<a href="/x">@</a>', '<a href="/x">@</a>', "<span>@</span>", "@"]), rng.choice([" ", " | ", " / ", " » ", " · ", ""])
+        parts.append(open_ + between.join(each.replace("@", esc(t)) for t in texts) + close)
+        labels.append(0)
+
     def menu() -> None:
-        o, c = rng.choice([("<nav><ul>", "</ul></nav>"), ("<nav>", "</nav>"), ('<div class="menu"><ul>', "</ul></div>"), ('<ul id="navigation">', "</ul>"), ('<div role="navigation"><ul>', "</ul></div>"), ("<header><nav><ul>", "</ul></nav></header>")])
-        put(o, [say("nav") for _ in range(rng.randint(2, 8))], '<li><a href="/x">@</a></li>' if "ul" in o else '<div><a href="/x">@</a></div>', c)
+        o, c = rng.choice([("<nav><ul>", "</ul></nav>"), ("<nav>", "</nav>"), (f"<div {called('nav')}><ul>", "</ul></div>"), (f"<ul {called('nav')}>", "</ul>"), ('<div role="navigation"><ul>', "</ul></div>"), ("<header><nav><ul>", "</ul></nav></header>"), (f"<div {called('nav')}>", "</div>"), ("<menu>", "</menu>")])
+        texts = [say("nav") for _ in range(rng.randint(1 if rng.random() < 0.2 else 2, 8))]
+        if "ul" not in o and rng.random() < 0.6:
+            line(o, texts if telling else [rng.choice(_SAID["nav"]) for _ in texts], c)
+        else:
+            put(o, texts, rng.choice(['<li><a href="/x">@</a></li>', '<li><a href="/x">@</a></li>', "<li>@</li>"]) if "ul" in o or "menu" in o else rng.choice(['<div><a href="/x">@</a></div>', '<p><a href="/x">@</a></p>', '<a href="/x">@</a><br>']), c)
 
     def boxes() -> None:
         kind = rng.choice(["ad", "notice", "side", "form"])
         n = rng.randint(1, 3)
-        if kind == "ad":
-            put(f'<{(t := rng.choice(["div", "aside", "section"]))} class="{rng.choice(["ad", "advert", "ads banner", "sponsored", "promo"])}">', [say("ad", 0.8) for _ in range(n)], rng.choice(["<p>@</p>", "<div>@</div>"]), f"</{t}>")
+        if kind == "ad" and rng.random() < 0.35:
+            put("", [say("ad", 0.8)], f"<p {called('ad')}>@</p>", "")
+        elif kind == "ad":
+            put(f"<{(t := rng.choice(['div', 'aside', 'section']))} {called('ad')}>", [say("ad", 0.8) for _ in range(n)], rng.choice(["<p>@</p>", "<div>@</div>"]), f"</{t}>")
         elif kind == "notice":
-            put(f'<div class="{rng.choice(["cookie", "cookie-notice", "notice", "banner", "alert", "consent", "popup"])}">', [say("notice") for _ in range(n)], rng.choice(["<p>@</p>", "<div>@</div>"]), "</div>")
+            put(f"<div {called('notice')}>", [say("notice") for _ in range(n)], rng.choice(["<p>@</p>", "<div>@</div>", "<button>@</button>"]), "</div>")
         elif kind == "side":
-            tag = rng.choice(["aside", 'div class="sidebar"', 'div class="related"', 'div class="share"', 'section class="widget"'])
-            put(f"<{tag}>", [say("side", 0.7) for _ in range(rng.randint(1, 6))], rng.choice(['<li><a href="/x">@</a></li>', "<p>@</p>", "<h3>@</h3>", '<div><a href="#">@</a></div>']), f"</{tag.split()[0]}>")
+            tag = rng.choice(["aside", "aside", "div", "div", "div", "section"])
+            inside = [say("side", 0.7) for _ in range(rng.choice([1, 1, 2, 3, 4, 6]))]
+            if rng.random() < 0.3:
+                inside = [f"{rng.choice(['Also read', 'More', 'Related', 'See also'])}: {cut(t, 6)}" if rng.random() < 0.5 else cut(t, 6) for t in inside]
+            if rng.random() < 0.25:
+                line(f"<{tag} {called('side')}>", inside[:3], f"</{tag}>")
+            else:
+                put(f"<{tag} {called('side')}>", inside, rng.choice(['<li><a href="/x">@</a></li>', "<p>@</p>", "<h3>@</h3>", '<div><a href="#">@</a></div>', '<p><a href="#">@</a></p>']), f"</{tag}>")
         else:
-            put('<form action="/s">', [say("form", 0.3) for _ in range(n)], rng.choice(["<label>@</label>", "<button>@</button>", "<p>@</p>", "<option>@</option>"]), "</form>")
+            o, c = rng.choice([('<form action="/s">', "</form>"), (f"<form {called('form')}>", "</form>"), (f"<div {called('form')}>", "</div>")])
+            put(o, [say("form", 0.3) for _ in range(n)], rng.choice(["<label>@</label>", "<button>@</button>", "<p>@</p>", "<option>@</option>", "<label>@</label><input><br>"]), c)
 
     def comments() -> None:
-        o, c = rng.choice([('<section id="comments">', "</section>"), ('<div class="comments">', "</div>"), ('<div class="comment-list">', "</div>"), ('<ol class="comments">', "</ol>"), ('<section class="reader-comments">', "</section>")])
-        put(o, [say("comments", 0.8) for _ in range(rng.randint(1, 6))], rng.choice(["<p>@</p>", '<div class="comment"><p>@</p></div>', '<li class="comment">@</li>', '<article class="comment"><p>@</p></article>']), c)
+        tag = rng.choice(["section", "div", "div", "div", "ol"])
+        parts.append(f"<{tag} {called('comments')}>")
+        if not telling or rng.random() < 0.4:
+            put("", [rng.choice(_SAID["comments"][:4] + ["2 replies", "Discussion", "Leave a reply"])], f"<{(h := rng.choice(['h2', 'h3', 'h4', 'p']))}>@</{h}>", "")
+        inner = rng.choice(_CALLED["comment"].split())
+        put("", [say("comments", 0.8) for _ in range(rng.randint(1, 6))], rng.choice(["<p>@</p>", f'<div class="{inner}"><p>@</p></div>', f'<li class="{inner}">@</li>', f'<article class="{inner}"><p>@</p></article>', "<li>@</li>"]), f"</{tag}>")
+
+    def cut(t: str, most: int) -> str:
+        return " ".join(t.split()[: rng.randint(1, most)])
 
     def article() -> None:
-        tag = rng.choice(["article", "article", "main", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="article-body"', "section", 'div class="entry-content"', "div", 'div role="main"'])
-        parts.append(f"<{tag}>")
-        loose = rng.random() < 0.2
+        tag = rng.choice(["article", "article", "main", "main", *[f"div {called('article')}" for _ in range(6)], f"section {called('article')}", "section", "div", 'div role="main"', ""])
+        inner = rng.random() < 0.25 and f"<div {called('article')}>"
+        parts.append((f"<{tag}>" if tag else "") + (inner or ""))
+        loose, short = rng.random() < 0.15, rng.random() < 0.5
         for k, t in enumerate(content):
-            if k == 0 and rng.random() < 0.7:
-                t = " ".join(t.split()[:9])
-                put("<h1>", [t], "@", "</h1>", 1)
+            if k == 0 and rng.random() < 0.75:
+                put("", [cut(t, 9)], f"<{(h := rng.choice(['h1', 'h1', 'h2', 'h2']))}>@</{h}>", "", 1)
                 continue
-            form = rng.choices(["<p>@</p>", "<p>@", "<p><b>@<br>", "<h2>@</h2>", "<ul><li>@</li></ul>", "<blockquote>@</blockquote>", "<div>@</div>", "<table><tr><td>@</td></tr></table>", '<p><a href="/y">@</a></p>', "<pre>@</pre>"], [30, 3, 3, 2, 2, 2, 4, 1, 1, 1])[0]
-            put("", [t], "@<br>" if loose else form, "", 1)
+            if short and k > 8 and rng.random() < 0.5:
+                break
+            if short and rng.random() < 0.8:  # a sentence or two
+                words = t.split()
+                t = " ".join(words[: rng.randint(8, 40)])
+                t += "" if t[-1:] in ".!?" else "."
+            form = rng.choices(
+                ["<p>@</p>", "<p>@", "<p><b>@<br>", "<h2>@</h2>", "<ul><li>@</li></ul>", "<blockquote>@</blockquote>", "<div>@</div>", "<table><tr><td>@</td></tr></table>", "<pre>@</pre>", "linked", "list", "heading", "figure"],
+                [34, 6, 3, 1, 1, 2, 4, 1, 1, 2, 3, 3, 1],
+            )[0]
+            if loose:
+                put("", [t], "@<br>", "", 1)
+            elif form == "list":
+                o, c = rng.choice([("<ul>", "</ul>"), ("<ol>", "</ol>"), ("<table><tr>", "</tr></table>")])
+                end = rng.choice(["", "."])
+                put(o, [cut(t, 12).rstrip(".") + end for _ in range(rng.randint(2, 6))], "<td>@</td>" if "table" in o else "<li>@</li>", c, 1)
+                put("", [t], "<p>@</p>", "", 1)
+            elif form == "linked":
+                words, at = t.split(), rng.randint(0, 6)
+                a, b, c = " ".join(words[:at]), " ".join(words[at : at + 4]), " ".join(words[at + 4 :])
+                parts.append(f'<p>{esc(a)} <a href="/y">{esc(b or "here")}</a> {esc(c)}</p>')
+                labels.append(1)
+            elif form == "heading":
+                put("", [cut(t, 7)], "<h2>@</h2>" if rng.random() < 0.6 else "<h3>@</h3>", "", 1)
+                put("", [t], "<p>@</p>", "", 1)
+            elif form == "figure":
+                put("<figure>", [cut(t, 12)], "<figcaption>@</figcaption>", "</figure>", 1)
+            else:
+                put("", [t], form, "", 1)
             if rng.random() < 0.06:
                 boxes()
         if rng.random() < 0.1:
             comments()
-        parts.append(f"</{tag.split()[0]}>")
+        parts.append(("</div>" if inner else "") + (f"</{tag.split()[0]}>" if tag else ""))
 
     parts.append('<!DOCTYPE html><html><head><title>x</title><script>var a="<p>";</script></head><body>')
+    if rng.random() < 0.1:
+        line("", [rng.choice(_SAID["nav"]) for _ in range(rng.randint(1, 4))], rng.choice(["<hr>", "<p>"]))
     if rng.random() < 0.5:
-        o, c = rng.choice([("<header>", "</header>"), ('<div class="header">', "</div>"), ('<div id="top">', "</div>")])
-        put(o, [say("nav", 0.4) for _ in range(rng.randint(1, 3))], rng.choice(["<div>@</div>", "<p>@</p>", "<h2>@</h2>", "<span>@</span><br>"]), c)
-    if rng.random() < 0.8:
+        o, c = rng.choice([("<header>", "</header>"), (f"<div {called('head')}>", "</div>"), (f"<div {called('head')}>", "</div>")])
+        put(o, [site() if rng.random() < 0.5 else say("nav", 0.4) for _ in range(rng.choice([1, 1, 2, 3]))], rng.choice(["<div>@</div>", "<p>@</p>", "<h2>@</h2>", "<h1>@</h1>", "<h1>@</h1>", "<span>@</span><br>", '<a href="/">@</a><br>', "@<br>"]), c)
+    if rng.random() < 0.75:
         menu()
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(rng.choice([0, 0, 1, 2])):
         boxes()
-    wrap = rng.random() < 0.4
-    parts.append('<div class="page"><div class="row">' if wrap else "")
+    o, c = rng.choice([("", ""), ("", ""), ("", ""), ('<div class="page"><div class="row">', "</div></div>"), ('<div class="wrap">', "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+    parts.append(o)
     article()
     if rng.random() < 0.4:
         comments()
-    for _ in range(rng.randint(0, 2)):
+    for _ in range(rng.choice([0, 0, 1, 2])):
         boxes()
-    parts.append("</div></div>" if wrap else "")
+    parts.append(c)
     if rng.random() < 0.85:
-        put(*(("<footer>", [say("footer", 0.5) for _ in range(rng.randint(1, 4))], rng.choice(["<p>@</p>", "<div>@</div>", '<li><a href="/z">@</a></li>']), "</footer>") if rng.random() < 0.7 else ('<div class="footer">', [say("footer")], "<p>@</p>", "</div>")))
-    return "".join(parts) + "</body></html>", labels
+        texts = [rights() if rng.random() < 0.4 else say("footer", 0.5) for _ in range(rng.choice([1, 1, 2, 3, 4]))]
+        kind = rng.random()
+        if kind < 0.2:
+            put("", [rights() if rng.random() < 0.6 else rng.choice(_SAID["footer"])], rng.choice(["@", "<hr>@", "<center>@</center>", "<span>@</span>", "<p>@</p>", "<hr><font>@</font>"]), "")
+        else:
+            o, c = rng.choice([("<footer>", "</footer>"), ("<footer>", "</footer>"), (f"<div {called('footer')}>", "</div>"), (f"<div {called('footer')}>", "</div>")])
+            if kind < 0.4:
+                line(o, [rights(), *(rng.choice(_SAID["footer"]) for _ in texts[1:])], c)
+            else:
+                put(o, texts, rng.choice(["<p>@</p>", "<div>@</div>", '<li><a href="/z">@</a></li>', "@<br>"]), c)
+    page = "".join(parts) + "</body></html>"
+    if names != "telling":
+        odd = {}  # an odd name stands for one telling name throughout a page
+
+        def other_name(m: re.Match) -> str:
+            if names == "none" or names == "some" and rng.random() < 0.5:
+                return ""
+            if names == "some":
+                return m[0]
+            return odd.setdefault(m[0], f' class="{"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 6)))}"')
+
+        page = _NAMED.sub(other_name, page)
+    return page if meant else _MEANT.sub(r"<\1div", page), labels
 
 
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES, seed: int = 7) -> Labeller:
@@ -448,7 +588,11 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     module; longer pages are labelled like all others, but don't teach). Without any page, the labeller is as it starts."""
     short = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") <= FIT_CHARS)
     chosen = few_by_hash(short, F.xxhash64("id"), fit_pages).groupBy("hash").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
-    sample = [r["html"] for r in sorted(chosen.collect(), key=lambda r: r["hash"])]
+    return fitted([r["html"] for r in sorted(chosen.collect(), key=lambda r: r["hash"])], seed)
+
+
+def fitted(sample: list[str], seed: int) -> Labeller:
+    """A labeller that has learned from the sample's own articles, and from made-up layouts of their paragraphs."""
     features, rng, data, texts = Features(), random.Random(seed), [], []
     for page in sample:
         blocks = blocks_of(page)
@@ -458,16 +602,15 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             texts.append([b.text for b, y in zip(blocks, label) if y])
         elif own := [b.text for b in blocks if len(b.text) >= 60 and b.linked * 4 < len(b.text)]:
             texts.append(own)  # a page that doesn't mark its article only lends its longer blocks to made-up layouts
-    for content in texts:
-        for _ in range(LAYOUTS):
-            other = rng.choice(texts)
-            page, labels = layout(rng, [t for t in content if t][:40], other)
-            blocks = blocks_of(page)
-            if len(blocks) == len(labels):
-                data.append((features.of(blocks), np.array(labels, float)))
-    model = Labeller.fresh(seed)
+    for k in range(LAYOUTS if texts else 0):
+        page, labels = layout(rng, [t for t in texts[k % len(texts)] if t][:40], rng.choice(texts))
+        blocks = blocks_of(page)
+        if len(blocks) == len(labels):
+            data.append((features.of(blocks), np.array(labels, float)))
+    model = Labeller({k: a.astype(np.float32) for k, a in Labeller.fresh(seed).arrays.items()})
     m = {k: np.zeros_like(v) for k, v in model.arrays.items()}
     v = {k: np.zeros_like(x) for k, x in model.arrays.items()}
+    mean = {k: np.zeros_like(x) for k, x in model.arrays.items()}
     step, drop = 0, np.random.default_rng(seed)
     for epoch in range(EPOCHS):
         order = sorted(range(len(data)), key=lambda i: (len(data[i][0]) // 8, rng.random()))
@@ -477,7 +620,7 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             own = [data[i] for i in order[s : s + BATCH]]
             x, mask = _padded([p for p, _ in own])
             x[:, :, PATH : PATH + WORDS] *= drop.random((1, x.shape[1], 1)) < 0.5  # words must not decide alone
-            label = np.zeros(mask.shape)
+            label = np.zeros(mask.shape, x.dtype)
             for k, (_, y) in enumerate(own):
                 label[: len(y), k] = y
             step += 1
@@ -486,7 +629,10 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 model.arrays[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return model
+        if epoch >= EPOCHS - AVERAGED:
+            for k, a in model.arrays.items():
+                mean[k] += a / AVERAGED
+    return Labeller(mean)
 
 
 def label_pages(model: Labeller, features: Features, pages: list[list[Block]]) -> list[np.ndarray]:
