@@ -479,3 +479,56 @@ def test_toxicity(spark, table):
     assert T.with_toxicity(table([]), model).count() == 0
     assert T.fit_toxicity(table(docs), truth.where("toxic = 0")).bias < 0
     assert T.fit_toxicity(table([]), truth).bias == 0
+
+
+def _plain_toxicity(texts, labels):
+    """Scores of texts by a model fitted on them, in plain Python: n-grams as strings, sums term by term."""
+    grams = [Counter(w[k : k + n] for w in {f"<{x}>" for x in re.findall("[a-z0-9]+", t.lower())} for n in T.SIZES for k in range(len(w) - n + 1)) for t in texts]
+    n1 = sum(labels)
+    n0 = len(labels) - n1
+    share, ratio = n1 / (n0 + n1), {}
+    for g in set().union(*grams):
+        a, b = (sum(g in x for x, y in zip(grams, labels) if y == label) for label in (1, 0))
+        r = math.log((a + T.SMOOTHING * share) / n1) - math.log((b + T.SMOOTHING * (1 - share)) / n0)
+        if abs(r) >= T.LEAST_RATIO:
+            ratio[g] = r
+    rows = [{g: c * ratio[g] for g, c in x.items() if g in ratio} for x in grams]
+    w, bias, w2, bias2 = dict.fromkeys(ratio, 0.0), 0.0, dict.fromkeys(ratio, 1e-8), 1e-8
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for _ in range(T.STEPS):
+        error = [(sigmoid(sum(v * w[g] for g, v in x.items()) + bias) - y) / len(rows) for x, y in zip(rows, labels)]
+        slope = {g: T.RIDGE * w[g] for g in w}
+        for e, x in zip(error, rows):
+            for g, v in x.items():
+                slope[g] += e * v
+        for g, d in slope.items():
+            w2[g] += d * d
+            w[g] -= T.STEP * d / math.sqrt(w2[g])
+        bias2 += sum(error) ** 2
+        bias -= T.STEP * sum(error) / math.sqrt(bias2) * 4
+    return [sigmoid(sum(v * w[g] for g, v in x.items()) + bias) for x in rows]
+
+
+def test_the_fit_is_a_plain_one(spark, table):
+    rng = random.Random(8)
+    texts, labels = [], []
+    for i in range(80):
+        w = [rng.choice(["harbour", "tide", "wind", "boat", "sail", "rope", "deck"]) for _ in range(rng.randrange(1, 12))]
+        labels.append(int(i % 3 == 0))
+        texts.append(" ".join([*w, *(["Scum"] if labels[-1] and rng.random() < 0.9 else []), *(["vile"] if rng.random() < 0.2 + 0.6 * labels[-1] else [])]))
+    docs, truth = table(list(enumerate(texts))), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in T.with_toxicity(docs, T.fit_toxicity(docs, truth)).collect()}
+    want = _plain_toxicity(texts, labels)
+    assert max(want) > 0.8 > 0.3 > min(want)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
+
+
+def test_values_beyond_the_bound_stay_away_from_the_driver(spark, table):
+    rows = spark.createDataFrame([(h, n) for h, n in ((-5, 4), (-5, 3), (1, 2), (7, 0), (9, 50))], "hash long, held long")
+    kept = lambda most: sorted((r["hash"], r["held"]) for r in T._within(rows, most).collect())
+    assert kept(59) == [(-5, 3), (-5, 4), (1, 2), (7, 0), (9, 50)]
+    assert kept(58) == kept(9) == [(-5, 3), (-5, 4), (1, 2), (7, 0)]
+    assert kept(8) == [(-5, 3), (-5, 4)] and kept(6) == [] and T._within(rows.limit(0), 0).count() == 0
+    docs = [(i, "scum of the sea" if i % 2 else "a fine day") for i in range(40)]
+    truth = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert T.fit_toxicity(table(docs), truth, fit_values=0).bias == 0

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import LONGEST, U64, batched, few_by_hash, mix, rows_of, saved
@@ -23,6 +23,9 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on, at most: those of the smallest hashes of their ids.
 FIT_ROWS = 20_000
+#: Values of weighted n-grams that the weights are learned from, at most: 8 bytes each on their way to the driver, so that long
+#: texts don't fill it. Rows beyond, in the order of their ids' hashes, count for the ratios only.
+FIT_VALUES = 1 << 25
 #: Added to the counts of both classes together; keeps n-grams of a few documents from having large ratios by chance.
 SMOOTHING = 20.0
 #: N-grams whose log ratio is closer to 0 have no weight.
@@ -101,33 +104,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _values(ratios):
     """Kept buckets of each document and their values."""
-    schema = pa.schema([("label", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("hash", pa.int64()), ("label", pa.int32()), ("held", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ratios.value != 0
 
         def rows() -> Iterator[tuple]:
-            for label, text in rows_of(batches, "label", "text"):
+            for key, label, text in rows_of(batches, "hash", "label", "text"):
                 found = [b[kept[b]] for _, b in ngrams(sorted(distinct_words(text)))]
                 at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-                yield label, at.astype("<i4").tobytes(), n.astype("<i4").tobytes()
+                yield key, label, len(at), at.astype("<i4").tobytes(), n.astype("<i4").tobytes()
 
-        yield from batched(rows(), schema)
+        yield from batched(rows(), schema, 64)
 
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on at most fit_rows of the labelled documents.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_values: int = FIT_VALUES) -> ToxicityModel:
+    """Fit on at most fit_rows of the labelled documents, and on at most fit_values values of theirs.
 
     Labels other than 0 and 1 (null too) are ignored; an id with both counts as toxic. Without labelled rows of both classes
     no n-gram has a weight, and every text gets the smoothed share of toxic rows, 0.5 where there are none.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = few_by_hash(known, F.xxhash64("label_id"), fit_rows).drop("hash")  # bounds what is broadcast and collected
+    chosen = few_by_hash(known, F.xxhash64("label_id"), fit_rows)  # bounds what is broadcast and collected
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fit = saved(texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label", "text"), "labelled")
+    fit = saved(texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("hash", "label", "text"), "labelled")
     sizes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not (n0 and n1):
@@ -137,7 +140,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     p, q = (counts["n1"] + SMOOTHING * share) / n1, (counts["n0"] + SMOOTHING * (1 - share)) / n0
     ratios[counts["bucket"]] = np.log(p / q)
     ratios[np.abs(ratios) < LEAST_RATIO] = 0
-    rows = fit.mapInArrow(_values(spark.sparkContext.broadcast(ratios)), "label int, buckets binary, counts binary").toPandas()
+    held = saved(fit.mapInArrow(_values(spark.sparkContext.broadcast(ratios)), "hash long, label int, held long, buckets binary, counts binary"), "values")
+    rows = _within(held, fit_values).select("label", "buckets", "counts").toPandas()
+    if rows.empty:
+        return ToxicityModel(np.zeros(BUCKETS), math.log((n1 + 0.5) / (n0 + 0.5)))
     rows = rows.sort_values(["label", "buckets", "counts"], ignore_index=True)
     at = [np.frombuffer(b, "<i4") for b in rows["buckets"]]
     bucket, row = np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at])
@@ -146,6 +152,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(weights * ratios, bias)
 
 
+def _within(held: DataFrame, most: int) -> DataFrame:
+    """Rows of the smallest hashes whose column `held` sums up to no more than `most`; rows of one hash stay or go together."""
+    total = held.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    if total <= most:
+        return held
+    by_hash = held.groupBy("hash").agg(F.sum("held").alias("own"))  # a row for each of at most fit_rows ids
+    last = by_hash.withColumn("so_far", F.sum("own").over(Window.orderBy("hash"))).where(F.col("so_far") <= most).agg(F.max("hash")).first()[0]
+    return held.where(F.lit(False) if last is None else F.col("hash") <= last)
+
+
 def _logistic(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by full-batch Adagrad."""
     n, w, b = len(label), np.zeros(BUCKETS), 0.0
