@@ -19,7 +19,8 @@ SOURCE = ("symbol", "strategy_id", "direction", "slot", "is_peak", "extremum_ts"
 #: What a signal's life reads of a bar.
 BAR = ("bar_ts", "bar_idx", "high_1", "low_1", "high", "low", "close", "eligible", "base_ok", "macro_ok", "last_idx")
 
-IDLE, PENDING, ACTIVE, CONSUMED = range(4)
+#: ENDED: idle, but its strategy hasn't had a turn since the stop.
+IDLE, PENDING, ACTIVE, CONSUMED, ENDED = range(5)
 
 
 @dataclass
@@ -50,19 +51,19 @@ class Signal:
         if self.status == PENDING:
             # the trigger follows the closed bar's edge towards the stop, by more than a point and not up to the stop
             if (self.anchor - edge) * sign > point and (edge - stop) * sign > point and abs(edge - stop) / point >= least_points - 1e-7:
-                self.anchor, self.target = edge, edge + (edge - stop) * percent / 100
+                self.anchor, self.target = edge, edge + (edge - stop) * (percent / 100)
             if (close - self.anchor) * sign > 0 and (close - edge) * sign > 0:
                 if not (base_ok and macro_ok):
                     self.status = IDLE
                     return self.row("MACRO_EXPIRED" if base_ok else "BASE_EXPIRED", ts, i, close)
                 self.status, self.entry_ts, self.entry_idx, self.entry_close = ACTIVE, ts, i, close
-                self.target = close + sign * abs(close - stop) * percent / 100
+                self.target = close + sign * abs(close - stop) * (percent / 100)
         elif self.status == ACTIVE:
             return self.exit(sign, stop, bar)
         elif self.status == IDLE and eligible:
             self.attempt, self.status, self.signal_ts, self.signal_idx = self.attempt + 1, PENDING, ts, i
             self.trigger = self.anchor = edge
-            self.target = edge + (edge - stop) * percent / 100
+            self.target = edge + (edge - stop) * (percent / 100)
             self.entry_ts, self.entry_idx, self.entry_close = None, -1, 0.0
         return None
 
