@@ -205,11 +205,12 @@ def compact_time(ts: Column | str) -> Column:
     return F.date_format(_c(ts), "yyyyMMdd_HHmmss")
 
 
-def signal_identifier(sequence: Column | str, entry_ts: Column | str, price: Column | str, direction: Column | str, digits: int = 2) -> Column:
-    """The first there is: the sequence id, the compact time, the price's digits, EXEC_ and the direction's number."""
+def signal_identifier(sequence: Column | str, entry_ts: Column | str, price: Column | str, direction: Column | str, digits: int = 2, zero: bool = False) -> Column:
+    """The first there is: the sequence id, the compact time, the price's digits, EXEC_ and the direction's number. A price of 0 is
+    none, unless `zero` says that it is a price like others."""
     number = F.when(_c(direction) == BULLISH, 1).when(_c(direction) == BEARISH, 2).otherwise(0)
     figures = F.replace(F.format_string(f"%.{digits}f", _c(price)), F.lit("."), F.lit(""))
-    return F.coalesce(F.when(_c(sequence) != "", _c(sequence)), compact_time(entry_ts), F.when(_c(price) > 0, figures), F.format_string("EXEC_%d", number))
+    return F.coalesce(F.when(_c(sequence) != "", _c(sequence)), compact_time(entry_ts), F.when(_c(price) >= 0 if zero else _c(price) > 0, figures), F.format_string("EXEC_%d", number))
 
 
 def signal_label(direction: Column | str, suffix: str = "") -> Column:

@@ -239,7 +239,7 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("direction", F.when(F.col("user_id") % 2 == 0, "BULLISH").otherwise("BEARISH"))
     return e.select(
         "event_id", S.sequence_id(F.lit("S1"), F.col("direction"), sec, sec - 60).alias("sequence"),
-        S.signal_identifier(F.when(k == 0, "seq").otherwise(""), F.when(k == 1, F.col("ts")), F.when(k == 2, F.col("value")).otherwise(0.0), "direction").alias("identifier"),
+        S.signal_identifier(F.when(k == 0, "seq").otherwise(""), F.when(k == 1, F.col("ts")), F.when(k == 2, F.col("value")), "direction", zero=True).alias("identifier"),
         S.signal_label("direction", "TP").alias("label"), S.fib_entry_label(F.lit("Entry"), F.lit(61.8)).alias("entry_label"), S.fib_next_label(F.lit("Next"), F.lit(78.6), (k - 1).cast("int"), F.lit(0.25)).alias("next_label"),
         S.safe_epoch(k - 2).alias("epoch"), S.safe_enum(k, 1, 3, 2).alias("enum"), S.enum_label("swing", k).alias("swing"), S.enum_label("signal", k).alias("signal"), S.offset_text(k * 30 - 60).alias("shift"),
         S.session_label(Asia=F.hour("ts") < 8, London=F.hour("ts") < 12).alias("session"), S.dst_summary("MANUAL", "ts", 60).alias("dst"), S.safe_fibo(F.when(k == 0, -1.0).when(k == 1, 100.0).otherwise(6000.0)).alias("fibo"),
