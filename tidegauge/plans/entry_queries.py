@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fib as X
@@ -346,8 +346,14 @@ _RESULTS = "(SELECT o_custkey AS id, count(*) % 7 AS finish_level, sum(o_totalpr
 
 @query(f"SELECT id, row_number() OVER (ORDER BY finish_level, id) AS by_level, row_number() OVER (ORDER BY expectations DESC, id) AS by_expectations FROM {_RESULTS}")
 def sorted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' places in two orders of their results: sorted by ranges over all tasks, and numbered by the tasks' counts."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.count(F.lit(1)) % 7).alias("finish_level"), F.sum("o_totalprice").alias("expectations"))
+    """Customers' places in two orders of their results: sorted by ranges over all tasks, and numbered by the tasks' counts.
+
+    A customer's prices add up in the order of their keys, row by row, so that equal customers have equal sums to the last digit
+    however the rows lie in files and tasks."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(w).alias("total"))
+    o = o.groupBy(F.col("o_custkey").alias("id")).agg((F.count(F.lit(1)) % 7).alias("finish_level"), F.max_by("total", "o_orderkey").alias("expectations"))
+    o = stored(o, "results")
     a, b = (R.numbered(R.sort_by(o, field, None, "id"), name).select("id", name) for field, name in (("finish_level", "by_level"), ("expectations", "by_expectations")))
     return a.join(b, "id")
 
