@@ -87,7 +87,9 @@ def reconcile_positions(legs: DataFrame, positions: DataFrame) -> DataFrame:
     # of positions with one comment and side the smallest ticket counts
     by_comment = p.groupBy(F.col("p_comment").alias("c_comment"), F.col("p_side").alias("c_side")).agg(F.min(F.struct("p_ticket", "p_volume", "p_profit")).alias("c"))
     side = F.when(F.col("direction") == "BULLISH", "BUY").otherwise("SELL")
-    j = legs.join(by_ticket, F.col("ticket") == F.col("t_p_ticket"), "left")
+    # legs without a ticket match none; a key of their own spreads them over tasks, where null would put them all in one
+    spread = F.coalesce(F.col("ticket"), F.xxhash64("signal_id", "level_index").cast(legs.schema["ticket"].dataType))
+    j = legs.join(by_ticket, (spread == F.col("t_p_ticket")) & (F.col("ticket") == F.col("t_p_ticket")), "left")
     j = j.join(by_comment, (F.col("comment") == F.col("c_comment")) & (side == F.col("c_side")), "left")
     use_comment = F.col("ticket").isNull() & F.col("c").isNotNull() & (F.col("status") != "COMPLETED")
     match = F.when(F.col("t_p_ticket").isNotNull(), "ticket").when(F.col("ticket").isNotNull(), "vanished").when(use_comment, "comment").otherwise("none")
