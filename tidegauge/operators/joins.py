@@ -122,19 +122,21 @@ def same_identity(candidates: DataFrame, running: DataFrame, point: float, how:
 
 
 def first_touch(starts: DataFrame, path: DataFrame, hit: Column, horizon_seconds: int, bucket_seconds: int, key: str, time: str = "bar_ts") -> DataFrame:
-    """The first row of path (symbol, time, ...) after each start (key, symbol, start_ts, ...) within the horizon for which
-    `hit` holds: key, hit_ts, hit_row (all columns of path). Starts without one are left out.
+    """The first row of path (symbol, time, ...; a row for each symbol and time) after each start (key, symbol, start_ts, ...)
+    within the horizon for which `hit` holds: key, hit_ts, hit_row (all columns of path). Starts without one are left out.
 
     Time is cut into buckets; each start goes to the buckets that its horizon reaches, and meets path rows by symbol and
-    bucket. Buckets spread a symbol over tasks, and a start that has its first touch is one row however long it waits.
+    bucket. Buckets spread a symbol over tasks, and a start that has its first touch is one row however long it waits. Pairs that
+    meet are reduced to their first time, a hash aggregation that never sorts them; only then that time's row is looked up.
     """
     reach = -(-horizon_seconds // bucket_seconds)
     bucket = lambda ts: F.floor(F.unix_timestamp(ts.cast("timestamp")) / bucket_seconds)
     s = starts.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("start_ts")) + reach)))
-    p = path.select(F.col("symbol").alias("__symbol"), bucket(F.col(time)).alias("__pb"), F.struct(*path.columns).alias("row"))
-    within = (F.col(f"row.{time}") > F.col("start_ts")) & (F.col(f"row.{time}") <= F.col("start_ts") + F.make_dt_interval(secs=F.lit(horizon_seconds)))
-    j = s.join(p, (F.col("symbol") == F.col("__symbol")) & (F.col("__bucket") == F.col("__pb")) & within & hit)
-    return j.groupBy(key).agg(F.min_by("row", F.col(f"row.{time}")).alias("hit_row")).withColumn("hit_ts", F.col(f"hit_row.{time}"))
+    p = path.select(F.col("symbol").alias("__symbol"), F.col(time).alias("__time"), F.struct(*path.columns).alias("row"))
+    within = (F.col("__time") > F.col("start_ts")) & (F.col("__time") <= F.col("start_ts") + F.make_dt_interval(secs=F.lit(horizon_seconds)))
+    j = s.join(p.withColumn("__pb", bucket(F.col("__time"))), (F.col("symbol") == F.col("__symbol")) & (F.col("__bucket") == F.col("__pb")) & within & hit)
+    first = j.groupBy(key, "symbol").agg(F.min("__time").alias("hit_ts"))
+    return first.join(p, (F.col("symbol") == F.col("__symbol")) & (F.col("hit_ts") == F.col("__time"))).select(key, F.col("row").alias("hit_row"), "hit_ts")
 
 
 def deal_to_position(deals: DataFrame, positions: DataFrame, hours: int = 24) -> DataFrame:
