@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ DEFAULT_LEVELS = (0.0, 23.6, 38.2, 61.8, 78.6, 100.0, 161.8, 261.8, 423.6)
 FALLBACK_CSV = "23.6,38.2,50.0,61.8,78.6,100.0"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def levels(values: tuple[float, ...]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
@@ -123,20 +130,22 @@ def fib_next_cycled(x: Column | str, steps: Column | int, up: bool, at: tuple[fl
 
     def one(v: Column, _: Column) -> Column:
         to = move(v, all_, own[0], own[-1])
-        return to if allow_zero else F.when(F.abs(to) >= _EPS, to).otherwise(move(to, all_, own[0], own[-1]))
+        return to if allow_zero else bound(to, lambda t: F.when(F.abs(t) >= _EPS, t).otherwise(move(t, all_, own[0], own[-1])))
 
+    if isinstance(steps, int) and steps == 1:
+        return bound(_c(x).cast("double"), lambda v: one(v, v))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps) if isinstance(steps, int) else steps), _c(x).cast("double"), one)
 
 
 def structure_percent(price: Column | str, is_bottom: Column | str, peak: Column | str, bottom: Column | str) -> Column:
     """Percent of a price in the structure's range, by its current extremum; null when below 0."""
     p = F.when(_c(is_bottom), trend_percent("bottom", price, peak, bottom)).otherwise(trend_percent("peak", price, peak, bottom))
-    return F.when(p >= 0, p)
+    return bound(p, lambda v: F.when(v >= 0, v))
 
 
 def structure_price(percent: Column | str, is_bottom: Column | str, peak: Column | str, bottom: Column | str) -> Column:
     p = F.when(_c(is_bottom), trend_price("bottom", percent, peak, bottom)).otherwise(trend_price("peak", percent, peak, bottom))
-    return F.when(p > 0, p)
+    return bound(p, lambda v: F.when(v > 0, v))
 
 
 def breakout_target(direction: Column | str, a: Column | str, b: Column | str) -> Column:

@@ -55,10 +55,14 @@ def canonical_percent(price: Column | str, direction: Column | str, is_bottom: C
     own = F.when(_c(price) > 0, fib.structure_percent(price, is_bottom, peak, bottom))
     if not limit:
         return own
-    strict, plain = fib.fib_band_strict(own, at), fib.fib_band(own, at)
-    low, high = F.coalesce(strict["low"], plain["low"]), F.coalesce(strict["high"], plain["high"])
-    priced = fib.structure_price(low, is_bottom, peak, bottom).isNotNull() & fib.structure_price(high, is_bottom, peak, bottom).isNotNull()
-    return F.coalesce(F.when(priced, directional_target(direction, is_bottom, low, high)), own)
+
+    def counted(own: Column, band: Column) -> Column:
+        priced = fib.structure_price(band["low"], is_bottom, peak, bottom).isNotNull() & fib.structure_price(band["high"], is_bottom, peak, bottom).isNotNull()
+        return F.coalesce(F.when(priced, directional_target(direction, is_bottom, band["low"], band["high"])), own)
+
+    ends = lambda strict, plain: F.struct(F.coalesce(strict["low"], plain["low"]).alias("low"), F.coalesce(strict["high"], plain["high"]).alias("high"))
+    band = lambda own: fib.bound(F.struct(fib.fib_band_strict(own, at).alias("s"), fib.fib_band(own, at).alias("p")), lambda b: ends(b["s"], b["p"]))
+    return fib.bound(own, lambda v: fib.bound(band(v), lambda b: counted(v, b)))
 
 
 def next_level(percent: Column | str, steps: Column | int, direction: Column | str, is_bottom: Column | str, at: tuple[float, ...]) -> Column:
@@ -92,17 +96,20 @@ def base_distance(
     if range_points > 0:
 
         def onward(done: Column, n: Column) -> Column:
-            percent = next_level(done["percent"], 1, direction, is_bottom, at)
-            points = F.abs(e - fib.structure_price(percent, is_bottom, peak, bottom)) / point
-            new = done["steps"].isNull() & (points >= range_points)
-            return F.struct(percent.alias("percent"), F.when(new, n).otherwise(done["steps"]).alias("steps"), F.when(new, points).otherwise(done["points"]).alias("points"))
+            def at_percent(percent: Column, points: Column) -> Column:
+                far = points >= range_points
+                return F.struct(percent.alias("percent"), F.when(far, n).alias("steps"), F.when(far, points).alias("points"))
+
+            away = lambda percent: F.abs(e - fib.structure_price(percent, is_bottom, peak, bottom)) / point
+            following = fib.bound(next_level(done["percent"], 1, direction, is_bottom, at), lambda v: fib.bound(away(v), lambda d: at_percent(v, d)))
+            return F.when(done["steps"].isNotNull(), done).otherwise(following)  # what is found stays
 
         start = F.struct(_c(canonical).cast("double").alias("percent"), F.lit(None).cast("int").alias("steps"), F.lit(None).cast("double").alias("points"))
         found = F.aggregate(F.sequence(F.lit(1), F.lit(len(at) + 10)), start, onward)
     else:
         found = at_step(F.lit(1))
-    points = enforce_distance(found["points"], least, F.lit(tick), F.lit(point))
-    return F.when((e > 0) & found["points"].isNotNull(), F.struct(found["steps"].alias("steps"), points.alias("points")))
+    points = lambda f: enforce_distance(f["points"], least, F.lit(tick), F.lit(point))
+    return fib.bound(found, lambda f: F.when((e > 0) & f["points"].isNotNull(), F.struct(f["steps"].alias("steps"), points(f).alias("points"))))
 
 
 def beyond_levels(percent: Column | str, direction: Column | str, is_bottom: Column | str, at: tuple[float, ...]) -> Column:
