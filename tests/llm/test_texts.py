@@ -368,6 +368,40 @@ def test_elias_fano():
             assert (e.get(pick) == v[pick]).all()
 
 
+def test_elias_fano_with_clusters_and_bounds():
+    """Dense runs between wide gaps, blocks that aren't full, and searches that pointers bound."""
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 32, 33, 2000):
+        v = np.unique(np.concatenate([np.arange(i, i + rng.integers(1, 40)) for i in rng.integers(0, 2**61, n)]).astype(np.uint64))
+        e = EliasFano(np.frombuffer(encode(v), np.uint8))
+        assert (e.all() == v).all() and (e.get(np.arange(len(v))) == v).all()
+        ask = np.unique(np.concatenate([v, v + np.uint64(1), v - np.minimum(v, np.uint64(1))]))
+        place = np.searchsorted(v, ask)
+        want = np.where((place < len(v)) & (v[np.minimum(place, len(v) - 1)] == ask), place, -1)
+        assert (e.find(ask) == want).all()
+        begin = np.minimum(np.maximum(place - rng.integers(0, 50, len(ask)), 0), len(v) - 1)
+        end = np.minimum(np.maximum(place, begin) + rng.integers(1, 50, len(ask)), len(v))
+        assert (e.find(ask, begin, end) == want).all()
+
+
+def test_a_lookup_reads_few_values(monkeypatch):
+    """Values of one block rarely share their high part, and where all do, what they share is halved."""
+    reads, low = [0], EliasFano._low
+
+    def counted(self, where, place):
+        reads[0] += len(place)
+        return low(self, where, place)
+
+    monkeypatch.setattr(EliasFano, "_low", counted)
+    rng = np.random.default_rng(6)
+    for top, most in ((2**33, 1.5), (2**36, 1.5), (2**40, 1.5), (None, 6)):
+        v = np.unique(rng.integers(0, top, 50_000).astype(np.uint64)) if top else (np.arange(3200) // 32 * 2**40 + np.arange(3200) % 32 + (np.arange(3200) % 32 == 31) * 2**30).astype(np.uint64)
+        e = EliasFano(np.frombuffer(encode(v), np.uint8))
+        reads[0] = 0
+        assert (e.find(v) == np.arange(len(v))).all()
+        assert reads[0] < most * len(v)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_are_the_formula(table, order):
     rng = random.Random(order)

@@ -1,8 +1,8 @@
 """Monotone sequences of 64-bit integers in Elias-Fano blocks, of which numpy looks up many values at a time.
 
 A block has BLOCK values. Above its first value, their high parts stand in unary in two machine words, of BLOCK ones and HIGH
-zeros; their low parts are whole bytes. A value is found by selecting a one, its place by selecting zeros: no block is
-decoded for a lookup.
+zeros; their low parts have as few bits as that leaves, so that there are more high parts than values and few values share one.
+A value is found by selecting a one, its place by selecting zeros: no block is decoded for a lookup.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import numpy as np
 from tidegauge.llm.common import U64
 
 BLOCK, HIGH = 32, 96
-_WORDS = (BLOCK + HIGH) // 64
+#: Words of a block beside its first value and its low parts: where those begin, with their bits, and the unary part.
+_WORDS = 3
 #: Lookups that are worked on together, so that what they need stays in the processor's cache.
 TOGETHER = 1 << 14
-_MASKS = np.array([(1 << 8 * w) - 1 for w in range(8)], dtype=U64)
+_MASKS = np.array([(1 << w) - 1 for w in range(64)], dtype=U64)
+_ONE, _SIX, _LAST = U64(1), U64(6), U64(63)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -25,22 +27,35 @@ def encode(values: np.ndarray) -> bytes:
     full = np.full(blocks * BLOCK, values[-1] if n else 0, dtype=U64)
     full[:n] = values
     full = full.reshape(blocks, BLOCK)
-    first = full[:, 0].copy()
-    off = full - first[:, None]
-    width = np.zeros(blocks, dtype=np.int64)
-    for w in range(1, 8):
-        width[(off[:, -1] >> U64(8 * (w - 1))) >= U64(HIGH)] = w
-    high = (off >> (8 * width).astype(U64)[:, None]).astype(np.int64)
-    bits = np.zeros((blocks, BLOCK + HIGH), dtype=bool)
-    np.put_along_axis(bits, high + np.arange(BLOCK), True, axis=1)
-    at = np.concatenate(([0], np.cumsum(width * BLOCK)))
-    low = np.zeros(at[-1] + 8, dtype=np.uint8)  # lookups read eight bytes
-    parts = off.astype("<u8").view(np.uint8).reshape(blocks, BLOCK, 8)
-    for w in np.unique(width[width > 0]):
-        own = np.flatnonzero(width == w)
-        low[(at[own][:, None] + np.arange(w * BLOCK)).reshape(-1)] = parts[own, :, :w].reshape(-1)
-    where = (at[:-1].astype(U64) << U64(3)) | width.astype(U64)
-    return b"".join((np.array([n, blocks], "<i8").tobytes(), first.astype("<u8").tobytes(), where.astype("<u8").tobytes(), np.packbits(bits, axis=1, bitorder="little").tobytes(), low.tobytes()))
+    first, top = full[:, 0].copy(), full[:, -1] - full[:, 0]
+    width = np.maximum(np.frexp(top.astype(float))[1] - 7, 0).astype(U64)
+    width += (top >> width) >= U64(HIGH)
+    at = np.concatenate((np.zeros(1, U64), np.cumsum(width * U64(BLOCK), dtype=U64)))
+    # low parts are one sequence of bits, and a word more, since lookups read eight bytes
+    head, low = np.empty((blocks, _WORDS), U64), np.zeros(int(at[-1] >> _SIX) + 2, U64)
+    head[:, 0] = (at[:-1] << _SIX) | width
+    for lo in range(0, blocks, TOGETHER // BLOCK):
+        own = slice(lo, lo + TOGETHER // BLOCK)
+        off = full[own] - first[own, None]
+        bit = (off >> width[own, None]) + np.arange(BLOCK, dtype=U64)
+        one, second = _ONE << (bit & _LAST), bit >> _SIX
+        head[own, 1], head[own, 2] = (np.bitwise_or.reduce(one * half, axis=1) for half in (_ONE - second, second))
+        _pack(low, off & _MASKS[width[own].view(np.int64)][:, None], at[own], width[own])
+    return np.array([n, blocks], "<i8").tobytes() + b"".join(x.astype("<u8", copy=False).tobytes() for x in (first, head, low))
+
+
+def _pack(out: np.ndarray, low: np.ndarray, at: np.ndarray, width: np.ndarray) -> None:
+    """Put the low parts of blocks of these widths into the sequence of bits, from `at` on."""
+    some = np.flatnonzero(width)
+    if not len(some):
+        return
+    place = (at[some, None] + width[some, None] * np.arange(BLOCK, dtype=U64)).reshape(-1)
+    low, width = low[some].reshape(-1), np.repeat(width[some], BLOCK)
+    word, shift = (place >> _SIX).view(np.int64), place & _LAST
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[begins]] |= np.bitwise_or.reduceat(low << shift, begins)
+    over = np.flatnonzero(shift + width > U64(64))  # their upper bits begin the next word
+    out[word[over] + 1] |= low[over] >> (U64(64) - shift[over])
 
 
 def _places_in_bytes() -> np.ndarray:
@@ -64,7 +79,14 @@ def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     x = ((x + (x >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH
     bits = np.bitwise_count(((rank * _EACH) | _TOP) - x & _TOP).astype(U64) * U64(8)
     before = ((x << U64(8)) >> bits) & U64(255)
-    return (bits + _IN_BYTE[(((rank - before) << U64(8)) | ((word >> bits) & U64(255))).astype(np.int64)]).astype(np.int64)
+    return (bits + _IN_BYTE[(((rank - before) << U64(8)) | ((word >> bits) & U64(255))).view(np.int64)]).view(np.int64)
+
+
+def _ones(first: np.ndarray, second: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the one with `rank` ones below it, in pairs of words."""
+    below = np.bitwise_count(first)
+    later = rank >= below
+    return 64 * later + _select(np.where(later, second, first), (rank - below * later).view(U64))
 
 
 class EliasFano:
@@ -80,25 +102,20 @@ class EliasFano:
             at += size
             return out
 
-        self.first, self.where = take(8 * blocks, "<u8"), take(8 * blocks, "<u8")
-        self.unary = take(8 * _WORDS * blocks, "<u8").reshape(blocks, _WORDS)
+        self.first, self.head = take(8 * blocks, "<u8"), take(8 * _WORDS * blocks, "<u8")
         low = np.ascontiguousarray(buffer[at:])
         self.low = np.ndarray(max(len(low) - 7, 0), "<u8", low, strides=(1,))  # eight bytes from every place on
 
-    def _ones(self, block: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
-        """The place in the block's unary part of the one (or zero) with this many before it."""
-        words = self.unary[block]
-        if flip:
-            words = ~words
-        below = np.bitwise_count(words[:, 0])
-        second = rank >= below
-        return 64 * second + _select(np.where(second, words[:, 1], words[:, 0]), (rank - below * second).astype(U64))
-
-    def _low(self, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Low parts of the values at places of blocks, and the blocks' widths in bytes."""
-        where = self.where[block]
-        width = (where & U64(7)).astype(np.int64)
-        return self.low[(where >> U64(3)).astype(np.int64) + place * width] & _MASKS[width], width
+    def _heads(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the low parts of blocks begin, with their bits, and both words of the unary parts."""
+        at = block * _WORDS
+        return self.head.take(at), self.head.take(at + 1), self.head.take(at + 2)
+
+    def _low(self, where: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Low parts of the values at places of blocks, of which `where` has begin and width."""
+        width = where & _LAST
+        bit = (where >> _SIX) + place.view(U64) * width
+        return (self.low[(bit >> U64(3)).view(np.int64)] >> (bit & U64(7))) & _MASKS.take(width.view(np.int64))
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at positions."""
@@ -106,50 +123,62 @@ class EliasFano:
         for lo in range(0, len(index), TOGETHER):
             own = index[lo : lo + TOGETHER]
             block, place = own // BLOCK, own % BLOCK
-            high = (self._ones(block, place, False) - place).astype(U64)
-            low, width = self._low(block, place)
-            out[lo : lo + TOGETHER] = self.first[block] + ((high << (8 * width).astype(U64)) | low)
+            where, *words = self._heads(block)
+            high = (_ones(*words, place) - place).view(U64)
+            out[lo : lo + TOGETHER] = self.first.take(block) + ((high << (where & _LAST)) | self._low(where, place))
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Positions of values in a sequence without repeats, -1 for those that it hasn't. Sorted values are found fastest."""
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Positions of values in a sequence without repeats, -1 for those that it hasn't. Sorted values are found fastest.
+
+        Where it is known that a value can stand from `begin` to before `end` only, which mustn't be empty, its block is
+        searched for only if they are in several.
+        """
         out = np.full(len(values), -1, dtype=np.int64)
         if not self.n:
             return out
         for lo in range(0, len(values), TOGETHER):
             own = values[lo : lo + TOGETHER]
-            block = np.searchsorted(self.first, own, side="right") - 1
-            inside = np.flatnonzero(block >= 0)
-            block = block[inside]
-            off = own[inside] - self.first[block]
-            width = self.where[block] & U64(7)
-            high = (off >> (U64(8) * width)).astype(np.int64)
-            some = np.flatnonzero(high < HIGH)
-            inside, block, off, high, width = inside[some], block[some], off[some], high[some], width[some]
+            if begin is None:
+                block = np.searchsorted(self.first, own, side="right") - 1
+            else:
+                block = begin[lo : lo + TOGETHER] // BLOCK
+                several = np.flatnonzero((end[lo : lo + TOGETHER] - 1) // BLOCK > block)
+                block[several] = np.searchsorted(self.first, own[several], side="right") - 1
+            where, *words = self._heads(np.maximum(block, 0))
+            off, width = own - self.first.take(block, mode="clip"), where & _LAST
+            high, want = off >> width, off & _MASKS.take(width.view(np.int64))
+            open_ = np.flatnonzero((block >= 0) & (high < HIGH))
+            if len(open_) < len(own):
+                block, high, want, where, *words = (x.take(open_) for x in (block, high, want, where, *words))
             # values of this high part stand after the zero before it, up to the next zero
-            start = np.where(high > 0, self._ones(block, np.maximum(high, 1) - 1, True) + 1 - high, 0)
-            want, flat = off & _MASKS[width.astype(np.int64)], self.unary.reshape(-1)
-            left = self.n - block * BLOCK
-            open_ = np.arange(len(block))
-            while len(open_):
-                b, s = block[open_], start[open_]
-                bit = s + high[open_]
-                there = ((flat[_WORDS * b + np.minimum(bit >> 6, _WORDS - 1)] >> (bit & 63).astype(U64)) & U64(1)).astype(bool) & (bit < BLOCK + HIGH) & (s < left[open_])
-                open_, b, s = open_[there], b[there], s[there]
-                low, mine = self._low(b, s)[0], want[open_]
-                hit = low == mine
-                out[lo + inside[open_[hit]]] = b[hit] * BLOCK + s[hit]
-                open_ = open_[low < mine]
-                start[open_] += 1
+            high = high.view(np.int64)
+            place = np.where(high > 0, _ones(~words[0], ~words[1], np.maximum(high, 1) - 1) + 1 - high, 0)
+            there = (np.where(place + high < 64, *words) >> (place + high & 63).view(U64)) & _ONE
+            low = self._low(where, place)
+            hit = np.flatnonzero((low == want) & (there > 0))
+            out[lo + open_.take(hit)] = block.take(hit) * BLOCK + place.take(hit)
+            # the few that others come before: halve what is left up to the next zero
+            on = np.flatnonzero((low < want) & (there > 0))
+            open_, block, high, want, where, left, *words = (x.take(on) for x in (open_, block, high, want, where, place + 1, *words))
+            right = _ones(~words[0], ~words[1], high) - high
+            while len(on := np.flatnonzero(left < right)):
+                open_, block, want, where, left, right = (x.take(on) for x in (open_, block, want, where, left, right))
+                place = (left + right) >> 1
+                low = self._low(where, place)
+                hit = np.flatnonzero(low == want)
+                # what fills up the last block equals the last value
+                out[lo + open_.take(hit)] = np.minimum(block.take(hit) * BLOCK + place.take(hit), self.n - 1)
+                left, right = np.where(low < want, place + 1, left), np.where(low > want, place, np.where(low < want, right, left))
         return out
 
     def all(self) -> np.ndarray:
         """All values, whole blocks at a time."""
-        out = np.empty((len(self.first), BLOCK), U64)
-        for lo in range(0, len(out), 4096):
-            own = np.arange(lo, min(lo + 4096, len(out)))
-            ones = np.flatnonzero(np.unpackbits(self.unary[own].view(np.uint8), axis=1, bitorder="little")).reshape(len(own), BLOCK)
-            high = (ones - (BLOCK + HIGH) * np.arange(len(own))[:, None] - np.arange(BLOCK)).astype(U64)
-            low, width = self._low(own[:, None], np.arange(BLOCK))
-            out[own] = self.first[own][:, None] + ((high << (8 * width).astype(U64)) | low)
+        out, head = np.empty((len(self.first), BLOCK), U64), self.head.reshape(-1, _WORDS)
+        for lo in range(0, len(out), TOGETHER // BLOCK):
+            own = slice(lo, lo + TOGETHER // BLOCK)
+            unary, where = np.ascontiguousarray(head[own, 1:]), head[own, :1]
+            ones = np.flatnonzero(np.unpackbits(unary.view(np.uint8), axis=1, bitorder="little")).reshape(len(unary), BLOCK)
+            high = (ones - (BLOCK + HIGH) * np.arange(len(unary))[:, None] - np.arange(BLOCK)).view(U64)
+            out[own] = self.first[own, None] + ((high << (where & _LAST)) | self._low(where, np.arange(BLOCK)))
         return out.reshape(-1)[: self.n]

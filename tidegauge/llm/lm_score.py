@@ -176,34 +176,47 @@ class Trie:
 
     def successors(self, k: int, parents: np.ndarray, words: np.ndarray, weights: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each parent (a position in level k-1) and word: position in level k or -1, and with `weights` its log10
-        probability and the parent's back-off (else zeros). The back-off is 0 for parents that nothing follows."""
+        probability and, of words that aren't found, the parent's back-off (else zeros). The back-off is 0 for parents that
+        nothing follows."""
         level, n, model = self.model.levels[k - 1], int(self.offsets[k - 2][-1]), self.model
         base, ranges = model.parent_range(k, len(level), n), model.word_ranges(k)
         at, prob, back = np.full(len(parents), -1, np.int64), np.zeros(len(parents)), np.zeros(len(parents))
         for p, own in _groups(model.part_of(k, len(level), n, parents, words)):
-            if weights:
-                backs = _mapped(f"{level[p - p % ranges].path}.weights")[2].view("<u2")
-                back[own] = -backs[parents[own] - p // ranges * base].astype(float) / STEPS
-            own = own[words[own] >= 0]
-            if not level[p].entries or not len(own):
-                continue
-            (entries,), (pointers, probs, _) = _mapped(f"{level[p].path}.entries"), _mapped(f"{level[p].path}.weights")
-            key, which = np.unique((parents[own] - p // ranges * base) * model.words + words[own], return_inverse=True)
-            local = key // model.words
-            # keys are sorted by parent: the pointers of each parent are looked up once, and parents without successors go
-            turn = np.flatnonzero(np.diff(local, prepend=-1))
-            pointer, mine = EliasFano(pointers), np.repeat(np.arange(len(turn)), np.diff(turn, append=len(local)))
-            lo, hi = (pointer.get(local[turn] + d).astype(np.int64)[mine] for d in (0, 1))
-            some, found = np.flatnonzero(hi > lo), np.full(len(key), -1, np.int64)
-            place = EliasFano(entries).find(key[some].astype(U64))
-            found[some] = np.where((place >= lo[some]) & (place < hi[some]), place, -1)
-            found = found[which]
+            parent, word = parents.take(own) - p // ranges * base, words.take(own)
+            found = self._found(level[p], parent, word)
             hit = np.flatnonzero(found >= 0)
-            at[own[hit]] = found[hit] + self.offsets[k - 1][p]
-            if weights:
-                prob[own[hit]] = -probs.view("<u2")[found[hit]].astype(float) / STEPS
+            if weights and len(hit) < len(own):
+                missed = np.flatnonzero(found < 0)
+                backs = _mapped(f"{level[p - p % ranges].path}.weights")[2].view("<u2")
+                back[own.take(missed)] = -backs.take(parent.take(missed)).astype(float) / STEPS
+            if len(hit):
+                own, found = own.take(hit), found.take(hit)
+                at[own] = found + self.offsets[k - 1][p]
+                if weights:
+                    prob[own] = -_mapped(f"{level[p].path}.weights")[1].view("<u2").take(found).astype(float) / STEPS
         return at, prob, back
 
+    def _found(self, part: Part, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Positions in a part of words after its parents, -1 where they aren't found."""
+        known = np.flatnonzero(word >= 0)
+        if not part.entries or not len(known):
+            return np.full(len(word), -1, np.int64)
+        if len(known) < len(word):
+            found = np.full(len(word), -1, np.int64)
+            found[known] = self._found(part, parent.take(known), word.take(known))
+            return found
+        (entries,), pointer = _mapped(f"{part.path}.entries"), EliasFano(_mapped(f"{part.path}.weights")[0])
+        key, which = np.unique(parent * self.model.words + word, return_inverse=True)
+        local = key // self.model.words
+        # keys are sorted by parent: the pointers of each parent are looked up once, and parents without successors go
+        turn = np.flatnonzero(np.diff(local, prepend=-1))
+        first, times = local.take(turn), np.diff(turn, append=len(local))
+        lo, hi = (pointer.get(first + d).view(np.int64) for d in (0, 1))
+        lo, some = np.repeat(lo, times), np.repeat(hi > lo, times)
+        hi, found = np.repeat(hi, times), np.full(len(key), -1, np.int64)
+        found[some] = EliasFano(entries).find(key[some].view(U64), lo[some], hi[some])
+        return found.take(which)
+
 
 @functools.lru_cache(maxsize=2)
 def _trie(key: str) -> list:
@@ -232,9 +245,9 @@ class Words:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         encoded = lists.flatten().cast(pa.binary()).dictionary_encode()
         places, sizes = encoded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        distinct = encoded.dictionary.to_pylist()
-        if b"" in distinct:
-            gone = places == distinct.index(b"")
+        distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if (empty := pc.index(encoded.dictionary, b"").as_py()) >= 0:
+            gone = places == empty
             sizes = sizes - np.add.reduceat(gone, np.cumsum(sizes) - sizes)
             places = places[~gone]
         return cls(distinct, places, sizes)
@@ -450,7 +463,7 @@ def _write_weights(trie: Trie, path: str, k: int, part: int, parts: int, parent:
     start = part // ranges * trie.model.parent_range(k, parts, int(trie.offsets[k - 2][-1]))
     lower = 10.0 ** _lower(trie, k, parent + start, word)
     prob = np.log10((counts - DISCOUNT) / total[parent] + 10.0 ** back[parent] * lower)
-    pointers = np.searchsorted(parent, np.arange(len(total) + 1))
+    pointers = np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=len(total)))))
     _write(f"{path}.weights", elias_fano.encode(pointers.astype(U64)), _codes(prob), _codes(back) if part % ranges == 0 else b"")
 
 
